@@ -168,7 +168,9 @@ def _(spark, sf):
 # --- n-gram metrics --------------------------------------------------------------------------
 
 def gram_sql(tokens: str, n: int) -> str:
-    return f"list_transform(range(1, len({tokens}) - {n - 2}), lambda i: array_to_string(list_slice({tokens}, i, i + {n - 1}), ' '))"
+    """Exploded n-grams of a list column as a subquery over ``toks``."""
+    joined = " || ' ' || ".join(f"{tokens}[i + {j}]" for j in range(n))
+    return f"SELECT sample_id, {joined} AS gram FROM (SELECT sample_id, {tokens}, unnest(range(1, len({tokens}) - {n - 2})) AS i FROM toks)"
 
 
 def overlap_sql(hyp: str, ref: str, orders: tuple[int, ...]) -> str:
@@ -176,8 +178,8 @@ def overlap_sql(hyp: str, ref: str, orders: tuple[int, ...]) -> str:
     parts = []
     for n in orders:
         parts.append(f"""SELECT sample_id, {n} AS n, gram, sum(h) AS h, sum(r) AS r FROM (
-            SELECT sample_id, unnest({gram_sql('h', n)}) AS gram, 1 AS h, 0 AS r FROM toks
-            UNION ALL SELECT sample_id, unnest({gram_sql('r', n)}), 0, 1 FROM toks) GROUP BY ALL""")
+            SELECT *, 1 AS h, 0 AS r FROM ({gram_sql('h', n)})
+            UNION ALL SELECT *, 0, 1 FROM ({gram_sql('r', n)})) GROUP BY ALL""")
     cols = ", ".join(
         f"coalesce(sum(least(g.h, g.r)) FILTER (WHERE n = {n}), 0) AS m{n}, coalesce(sum(g.h) FILTER (WHERE n = {n}), 0) AS t{n}, "
         f"coalesce(sum(g.r) FILTER (WHERE n = {n}), 0) AS f{n}" for n in orders)

@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from narralytics.catalog.registry import query
-from narralytics.catalog.views import norm_sql, table
+from narralytics.catalog.views import documents, norm_sql, table
 from narralytics.constants import FINE_LABELS_BY_COARSE
 from narralytics.functions import text as T
 from narralytics.functions.labels import remap_label
@@ -31,7 +31,7 @@ def tokens_alnum_sql(column: str) -> str:
 
 
 def _docs(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", "text")
+    return documents(spark, sf).select("doc_id", "text")
 
 
 @query("text_collapse_whitespace", "T1", f"SELECT doc_id, {norm_sql('text')} AS out FROM documents")

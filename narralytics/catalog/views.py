@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from narralytics.constants import EMOTION_LABELS
 from narralytics.functions.text import collapse
+from narralytics.session import spread
 
 BENCHMARK_OFFSET = 1_000_000_000_000
 CONVERSATION_OFFSET = 2_000_000_000_000
@@ -21,6 +22,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents; a table of very few files is spread over the cores before heavy text work."""
+    docs = table(spark, sf_dir, "documents")
+    if len(docs.inputFiles()) < spark.sparkContext.defaultParallelism:
+        docs = spread(docs, "doc_id")
+    return docs
+
+
 def pick_label(n: Column) -> Column:
     return F.element_at(F.array(*[F.lit(x) for x in EMOTION_LABELS]), (F.pmod(n, F.lit(7)) + 1).cast("int"))
 
@@ -31,7 +40,7 @@ def drop_words(text: Column, step: int, phase: int) -> Column:
 
 
 def gold(spark: SparkSession, sf: str) -> DataFrame:
-    docs = table(spark, sf, "documents").select("doc_id", F.col("doc_id").alias("sample_id"), "text")
+    docs = documents(spark, sf).select("doc_id", F.col("doc_id").alias("sample_id"), "text")
     items = table(spark, sf, "benchmark").select(
         F.col("item_id").alias("doc_id"), (F.col("item_id") + BENCHMARK_OFFSET).alias("sample_id"), "text")
     return docs.unionByName(items).select(
@@ -45,7 +54,7 @@ def predicted_label(doc_id: Column) -> Column:
 
 
 def pred(spark: SparkSession, sf: str, step: int = 7, phase: int = 3) -> DataFrame:
-    docs = table(spark, sf, "documents").select("doc_id", "text").join(table(spark, sf, "labels"), "doc_id", "left")
+    docs = documents(spark, sf).select("doc_id", "text").join(table(spark, sf, "labels"), "doc_id", "left")
     from_docs = docs.select(
         F.col("doc_id").alias("sample_id"), drop_words(collapse(F.col("text")), step, phase).alias("predicted_narrative"),
         predicted_label(F.col("doc_id")).alias("predicted_emotion_label"))

@@ -13,6 +13,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StringType
 
 from narralytics.constants import FIRST_PERSON_WORDS, PAST_IRREGULAR, PRESENT_VERBS
 from narralytics.functions import kernels, porter
@@ -50,7 +51,7 @@ class CharHashingEncoder:
 def encode_column(make_encoder: Callable[[], Encoder]) -> Callable[[Column], Column]:
     """Arrow UDF around an encoder, made once per Python worker task."""
 
-    @F.pandas_udf("array<double>")
+    @F.pandas_udf(ArrayType(DoubleType()))
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         encoder = make_encoder()
         for batch in batches:
@@ -59,7 +60,7 @@ def encode_column(make_encoder: Callable[[], Encoder]) -> Callable[[Column], Col
     return run
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(ArrayType(StringType()))
 def stem_tokens(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Porter stems; a bounded cache means a frequent word is stemmed once per task."""
     cached = lru_cache(maxsize=200_000)(porter.stem)

@@ -41,8 +41,7 @@ def sentences(text: Column) -> Column:
 
 
 def words(text: Column) -> Column:
-    flat = collapse(text)
-    return F.when(flat == "", F.array().cast("array<string>")).otherwise(F.split(flat, " "))
+    return F.array_remove(F.split(collapse(text), " "), "")  # a blank text splits into one empty word
 
 
 def word_count(text: Column) -> Column:
@@ -149,7 +148,7 @@ def tokens_13a(text: Column) -> Column:
 def tokens_alnum(text: Column) -> Column:
     """Lower-cased runs of ASCII letters and digits (the ROUGE tokeniser, before stemming)."""
     spaced = F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), "[^a-z0-9]+", " "))
-    return F.when(spaced == "", F.array().cast("array<string>")).otherwise(F.split(spaced, " "))
+    return F.array_remove(F.split(spaced, " "), "")
 
 
 def tokens_linguistic(text: Column) -> Column:
@@ -164,9 +163,10 @@ def ngrams(tokens: Column, n: int) -> Column:
 
     def grams(t: Column) -> Column:
         last = F.size(t) - F.lit(n - 1)
-        slices = F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))),
-                             lambda i: F.array_join(F.slice(t, i, n), " "))
-        return F.when(last > 0, slices).otherwise(none)
+        # indexed access is constant time; slice() would copy the whole list at every position
+        windows = F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(1)) - 1),
+                              lambda i: F.concat_ws(" ", *[F.get(t, i + j) for j in range(n)]))
+        return F.when(last > 0, windows).otherwise(none)
 
     if n == 1:
         return tokens

@@ -5,30 +5,32 @@ both grouping steps reuse the partitioning, so no exploded n-gram crosses the ne
 """
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
 from narralytics.functions import kernels
 from narralytics.functions.plugins import stem_tokens
 from narralytics.functions.text import ngrams, tokens_13a, tokens_alnum
+from narralytics.session import spread
 
 ORDERS = (1, 2, 3, 4)
 BLEU_STATS = ["hyp_len", "ref_len"] + [f"match_{n}" for n in ORDERS] + [f"total_{n}" for n in ORDERS]
 
 
-def overlap_counts(df: DataFrame, key: str, hyp: Column, ref: Column, orders: Sequence[int]) -> DataFrame:
+def overlap_counts(df: DataFrame, key: str, hyp: str, ref: str, tokenise: Callable[[Column], Column],
+                   orders: Sequence[int]) -> DataFrame:
     """Per sample and order: clipped matches and the n-gram totals of both sides."""
-    tokens = df.select(F.col(key), hyp.alias("_h"), ref.alias("_r")).repartition(F.col(key))
-    sides = tokens.select(key, F.explode(F.array(
-        F.struct(F.lit(1).alias("h"), F.lit(0).alias("r"), F.col("_h").alias("t")),
-        F.struct(F.lit(0).alias("h"), F.lit(1).alias("r"), F.col("_r").alias("t")))).alias("s"))
-    by_order = sides.select(key, "s.h", "s.r", F.explode(F.array(*[
-        F.struct(F.lit(n).alias("n"), ngrams(F.col("s.t"), n).alias("grams")) for n in orders])).alias("o"))
-    grams = by_order.select(key, "h", "r", F.col("o.n").alias("n"), F.explode_outer("o.grams").alias("gram"))
-    counts = grams.groupBy(key, "n", "gram").agg(F.sum("h").alias("h"), F.sum("r").alias("r"))
+    texts = spread(df.select(key, F.col(hyp).alias("_h"), F.col(ref).alias("_r")), key)
+    # every list gets its own column before it is exploded, so exploded rows do not carry it along
+    sides = texts.select(key, F.posexplode(F.array(tokenise(F.col("_h")), tokenise(F.col("_r")))).alias("r", "t"))
+    by_order = sides.select(key, "r", F.posexplode(F.array(*[ngrams(F.col("t"), n) for n in orders])).alias("o", "grams"))
+    order_of = F.element_at(F.array(*[F.lit(n) for n in orders]), F.col("o") + 1)
+    grams = by_order.select(key, "r", order_of.alias("n"), F.explode_outer("grams").alias("gram"))
+    counts = grams.groupBy(key, "n", "gram").agg(F.sum("r").alias("r"), F.sum(1 - F.col("r")).alias("h"))
     real = F.col("gram").isNotNull()
     aggregates = []
     for n in orders:
@@ -41,7 +43,7 @@ def overlap_counts(df: DataFrame, key: str, hyp: Column, ref: Column, orders: Se
 def bleu_statistics(df: DataFrame, hyp: str = "predicted_narrative", ref: str = "reference_narrative",
                     key: str = "sample_id") -> DataFrame:
     """Ten integers per sample; everything BLEU needs afterwards is a sum of them."""
-    counts = overlap_counts(df, key, tokens_13a(F.col(hyp)), tokens_13a(F.col(ref)), ORDERS)
+    counts = overlap_counts(df, key, hyp, ref, tokens_13a, ORDERS)
     return counts.select(
         key, F.col("hyp_1").alias("hyp_len"), F.col("ref_1").alias("ref_len"),
         *[F.col(f"match_{n}") for n in ORDERS], *[F.col(f"hyp_{n}").alias(f"total_{n}") for n in ORDERS])
@@ -92,14 +94,13 @@ def rouge_tokens(text: Column, stemmer: bool) -> Column:
 
 def rouge_n(df: DataFrame, hyp: str = "predicted_narrative", ref: str = "reference_narrative",
             key: str = "sample_id", orders: Sequence[int] = (1, 2), stemmer: bool = True) -> DataFrame:
-    prepared = df.select(key, rouge_tokens(F.col(hyp), stemmer).alias("_ht"), rouge_tokens(F.col(ref), stemmer).alias("_rt"))
-    counts = overlap_counts(prepared, key, F.col("_ht"), F.col("_rt"), orders)
+    counts = overlap_counts(df, key, hyp, ref, lambda text: rouge_tokens(text, stemmer), orders)
     columns = [c for n in orders
                for c in _prf(F.col(f"match_{n}"), F.col(f"hyp_{n}"), F.col(f"ref_{n}"), f"rouge{n}")]
     return counts.select(key, *columns)
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(IntegerType())
 def _lcs(left: pd.Series, right: pd.Series) -> pd.Series:
     return pd.Series([kernels.lcs_length(list(a), list(b)) for a, b in zip(left, right)], dtype="int32")
 

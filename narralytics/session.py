@@ -52,3 +52,12 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(shared_dir(spark))
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash-partition by key with a fixed partition count.
+
+    Used before steps whose cost is CPU, not bytes: adaptive execution would merge such partitions
+    by their byte size and leave cores idle.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)

@@ -15,6 +15,9 @@ TABLES = ("region nation customer supplier part orders lineitem events documents
           "labels conversations").split()
 
 
+TIMES: dict[str, float] = {}
+
+
 def connect(sf_dir: str) -> duckdb.DuckDBPyConnection:
     con = duckdb.connect()
     for name in TABLES:
@@ -35,8 +38,10 @@ def _rows(columns, rows):
 
 def compare(spark, con, entry, sf_dir: str) -> str:
     """Empty string when equal, else a short description of the difference."""
+    start = time.time()
     df = entry.run(spark, sf_dir)
     ours = _rows(df.columns, [tuple(r) for r in df.collect()])
+    TIMES[entry.name] = time.time() - start
     if not entry.sql:
         return "" if ours[1] else "no rows"
     result = con.execute(entry.sql)
@@ -66,7 +71,7 @@ def main() -> None:
         except Exception as exc:  # noqa: BLE001
             problem = f"{type(exc).__name__}: {str(exc)[:600]}"
         bad += bool(problem)
-        print(f"{'BAD' if problem else 'ok '} {name} {time.time() - start:.1f}s {'' if entry.sql else '(rows only)'} {problem}", flush=True)
+        print(f"{'BAD' if problem else 'ok '} {name} {TIMES.get(name, 0):.1f}s of {time.time() - start:.1f}s {'' if entry.sql else '(rows only)'} {problem}", flush=True)
     print(f"{bad} problems")
 
 

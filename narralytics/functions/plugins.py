@@ -74,6 +74,9 @@ class RuleTagger:
     past_pattern = r"^(?:" + "|".join(PAST_IRREGULAR) + r"|\p{L}{2,}ed)$"
     other_pattern = r"^(?:" + "|".join(PRESENT_VERBS) + r"|\p{L}{3,}ing)$"
 
+    def __init__(self, first_person_words: list[str] = FIRST_PERSON_WORDS):
+        self.first_person_words = first_person_words
+
     def add_counts(self, df: DataFrame, text: str) -> DataFrame:
         """Adds ``verbs``, ``past_verbs``, ``first_person`` and ``tokens``."""
         token = F.col("_tokens")
@@ -82,7 +85,7 @@ class RuleTagger:
             .withColumn("past_verbs", F.size(F.filter(token, lambda t: t.rlike(self.past_pattern))))
             .withColumn("verbs", F.col("past_verbs")
                         + F.size(F.filter(token, lambda t: t.rlike(self.other_pattern))))
-            .withColumn("first_person", F.size(F.filter(token, lambda t: t.isin(FIRST_PERSON_WORDS))))
+            .withColumn("first_person", F.size(F.filter(token, lambda t: t.isin(self.first_person_words))))
             .withColumn("tokens", F.size(token))
             .drop("_tokens")
         )

@@ -62,3 +62,32 @@ def top_per_group(df: DataFrame, groups: Sequence[str], order: Sequence[Column],
     """Best k rows of every group. Spark prunes each input partition to k before the shuffle."""
     window = Window.partitionBy(*groups).orderBy(*order)
     return df.withColumn(out, F.row_number().over(window)).where(F.col(out) <= k)
+
+
+def exact_percentiles(df: DataFrame, column: str, probabilities: Sequence[float], buckets: int = RANGE_BUCKETS) -> DataFrame:
+    """One row with linearly interpolated percentiles ``p0, p1, ...`` of a whole column.
+
+    Equal values are counted first and cumulated bucket by bucket, so no task holds all distinct
+    values (the built-in ``percentile`` merges them in one buffer).
+    """
+    values = (df.where(F.col(column).isNotNull()).groupBy(F.col(column).cast("double").alias("_v"))
+              .agg(F.count("*").alias("_c")))
+    edges = sorted(set(df.select(F.col(column).cast("double").alias("_v"))
+                       .approxQuantile("_v", [i / buckets for i in range(1, buckets)], 1.0 / (4 * buckets))))
+    bucket = (F.size(F.filter(F.array(*[F.lit(e) for e in edges]), lambda e: e < F.col("_v"))) if edges else F.lit(0))
+    tagged = values.withColumn("_bucket", bucket)
+    ordered = Window.partitionBy().orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = tagged.groupBy("_bucket").agg(F.sum("_c").alias("_n")).select(
+        "_bucket", F.coalesce(F.sum("_n").over(ordered), F.lit(0)).alias("_before"),
+        F.sum("_n").over(Window.partitionBy()).alias("_total"))
+    local = F.sum("_c").over(Window.partitionBy("_bucket").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0))
+    placed = tagged.withColumn("_local", local).join(sizes, "_bucket").withColumn("_end", F.col("_before") + F.col("_local"))
+    start = F.col("_end") - F.col("_c")
+    aggregates = []
+    for i, p in enumerate(probabilities):
+        for name, rank in (("lo", F.floor((F.col("_total") - 1) * p)), ("hi", F.ceil((F.col("_total") - 1) * p))):
+            aggregates.append(F.max(F.when((start <= rank) & (rank < F.col("_end")), F.col("_v"))).alias(f"_{name}{i}"))
+    found = placed.groupBy().agg(F.max("_total").alias("_total"), *aggregates)
+    return found.select(*[
+        (F.col(f"_lo{i}") + ((F.col("_total") - 1) * p - F.floor((F.col("_total") - 1) * p))
+         * (F.col(f"_hi{i}") - F.col(f"_lo{i}"))).alias(f"p{i}") for i, p in enumerate(probabilities)])

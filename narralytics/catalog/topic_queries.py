@@ -111,7 +111,8 @@ def _(spark, sf):
 
 @query("reduced_embeddings", "V7")
 def _(spark, sf):
-    return T.reduce_dimensions(vectors(spark, sf), k=50).select("id", "reduced")
+    reduced = T.reduce_dimensions(vectors(spark, sf), k=50)
+    return reduced.select("id", F.posexplode("reduced").alias("dim", "value"))
 
 
 @query("topic_clusters", "V8")
@@ -164,10 +165,16 @@ def _(spark, sf):
     return table.select("topic_id", "count", "name", cluster_text(F.col("name"), F.col("top_terms"), F.col("representative_docs")).alias("cluster_text"))
 
 
-@query("encoded_sentences", "V6 UDF3")
+@query("encoded_sentences", "V6 UDF3", f"""
+    WITH w AS (SELECT doc_id, unnest(string_split(lower({V.norm_sql('text')}), ' ')) AS word FROM documents),
+    h AS (SELECT doc_id, md5('7:' || word) AS h FROM w WHERE word <> '')
+    SELECT doc_id, CAST(('0x' || substr(h, 1, 8))::BIGINT % 32 AS INTEGER) AS dim,
+           sum(CASE WHEN ('0x' || substr(h, 9, 1))::BIGINT % 2 = 0 THEN 1.0 ELSE -1.0 END)::DOUBLE AS value FROM h GROUP BY ALL HAVING value <> 0""")
 def _(spark, sf):
-    docs = V.documents(spark, sf).select("doc_id", "text")
-    return M.encode_sentences(docs, "doc_id", ["text"]).select("doc_id", "pos", "sentence", "vec")
+    """Sentence vectors summed per document; dimensions whose total is 0 are left out."""
+    encoded = M.encode_sentences(V.documents(spark, sf).select("doc_id", "text"), "doc_id", ["text"])
+    sums = encoded.select("doc_id", F.posexplode("vec").alias("dim", "value")).groupBy("doc_id", "dim").agg(F.sum("value").alias("value"))
+    return sums.where("value <> 0")
 
 
 @query("sentence_alignment", "V3 V6")

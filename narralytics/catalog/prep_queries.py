@@ -294,8 +294,7 @@ def _(spark, sf):
 
 
 @query("shared_test_sources", "J9", f"""
-    WITH l AS (SELECT {KEY_OF('text')} AS key, min((item_id, {V.label_sql('item_id')})) AS v FROM benchmark GROUP BY 1),
-    s AS (SELECT d.doc_id, {KEY_OF('d.text')} AS key, {V.label_sql('d.doc_id')} AS label FROM documents d),
+    WITH s AS (SELECT d.doc_id, {KEY_OF('d.text')} AS key, {V.label_sql('d.doc_id')} AS label FROM documents d),
     a AS (SELECT key, min(doc_id) AS id FROM s WHERE doc_id IN (SELECT doc_id FROM labels) GROUP BY key),
     b AS (SELECT key, min(doc_id) AS id FROM s WHERE doc_id NOT IN (SELECT doc_id FROM labels) GROUP BY key)
     SELECT a.id AS sample_id_left, b.id AS sample_id_right, {V.label_sql('a.id')} = {V.label_sql('b.id')} AS same_label

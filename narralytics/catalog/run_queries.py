@@ -10,6 +10,7 @@ from narralytics.catalog.registry import query
 from narralytics.catalog.stats_queries import RUNS_SQL, rounded, run_summaries
 from narralytics.functions.plugins import RuleTagger
 from narralytics.operators import runs as R
+from narralytics.operators.ranking import top_per_group
 from narralytics.operators.audits import file_fingerprints, order_free_print, ordered_print
 from narralytics.session import scratch_path
 from narralytics.sources import runs as SR
@@ -49,10 +50,13 @@ def _(spark, sf):
     return S.read_jsonl(spark, S.write_jsonl(rows, scratch_path(spark, "alpaca")), S.ALPACA_SCHEMA)
 
 
-@query("nested_json_scan", "IO8", """SELECT source AS name, count(*) AS "count", string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id) AS top_terms FROM documents GROUP BY source""")
+@query("nested_json_scan", "IO8", """SELECT source AS name, count(*) AS "count", string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id) FILTER (WHERE r <= 5) AS top_terms
+    FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS r FROM documents) GROUP BY source""")
 def _(spark, sf):
     docs = V.table(spark, sf, "documents").select("source", "doc_id")
-    nested = docs.groupBy("source").agg(F.count("*").alias("count"), F.transform(F.sort_array(F.collect_list("doc_id")), lambda d: d.cast("string")).alias("top_terms"))
+    firsts = top_per_group(docs, ["source"], [F.col("doc_id")], 5).groupBy("source").agg(
+        F.transform(F.sort_array(F.collect_list("doc_id")), lambda d: d.cast("string")).alias("top_terms"))
+    nested = docs.groupBy("source").agg(F.count("*").alias("count")).join(firsts, "source")
     path = S.write_jsonl(nested.withColumnRenamed("source", "name"), scratch_path(spark, "topics"))
     return spark.read.schema(S.TOPIC_SUMMARY_SCHEMA).json(path).select("name", "count", F.array_join("top_terms", ",").alias("top_terms"))
 

@@ -107,17 +107,18 @@ def pivot_conditions(scores: DataFrame, conditions: Sequence[str], by: Sequence[
 
 
 def shared_sources(left: DataFrame, right: DataFrame, source: str = "source_text") -> DataFrame:
-    """Rows of two test sets with the same normalised source, joined on a digest of it.
+    """Rows of two test sets with the same normalised source.
 
-    Both sides are reduced to the first row of each key, so the join is one-to-one.
+    Each key keeps its first row, found from (digest, id) alone; texts are read only for the pairs.
     """
-    def keyed(df: DataFrame, tag: str) -> DataFrame:
-        cols = ["sample_id", "emotion_label", "reference_narrative"]
-        best = F.min(F.struct(*cols))
-        return (df.withColumn("_key", key_digest(F.col(source))).groupBy("_key").agg(best.alias("_row"))
-                .select("_key", *[F.col(f"_row.{c}").alias(f"{c}_{tag}") for c in cols]))
+    def firsts(df: DataFrame, tag: str) -> DataFrame:
+        return df.groupBy(key_digest(F.col(source)).alias("_key")).agg(F.min("sample_id").alias(f"sample_id_{tag}"))
 
-    return keyed(left, "left").join(keyed(right, "right"), "_key").drop("_key")
+    def rows(df: DataFrame, tag: str) -> DataFrame:
+        return df.select(*[F.col(c).alias(f"{c}_{tag}") for c in ("sample_id", "emotion_label", "reference_narrative")])
+
+    pairs = firsts(left, "left").join(firsts(right, "right"), "_key").drop("_key")
+    return pairs.join(rows(left, "left"), "sample_id_left").join(rows(right, "right"), "sample_id_right")
 
 
 def shared_source_summary(pairs: DataFrame) -> DataFrame:

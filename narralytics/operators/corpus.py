@@ -11,7 +11,7 @@ from narralytics.constants import (
 )
 from narralytics.functions.plugins import RuleTagger
 from narralytics.functions.text import clean_markup, collapse_without_urls, safe_int, safe_number, tag_topics, word_count
-from narralytics.operators.ranking import exact_percentiles
+from narralytics.operators.ranking import exact_percentiles, first_by_ordinal
 from narralytics.session import cut_lineage
 
 
@@ -30,7 +30,7 @@ def sequential_sample(df: DataFrame, ordinal: str, rows: int = TOPIC_SAMPLE_ROWS
     """The first ``rows`` long documents in ordinal order; rows with a bad count are skipped."""
     words = safe_number(F.col("word_count")) if "word_count" in df.columns else word_count(F.col(text))
     keep = (F.trim(F.coalesce(F.col(text), F.lit(""))) != "") & (words.cast("long") > min_words)
-    return df.where(keep).orderBy(ordinal).limit(rows)
+    return first_by_ordinal(df.where(keep), ordinal, rows)
 
 
 def narrative_ratios(df: DataFrame, text: str = "text", tagger=None) -> DataFrame:

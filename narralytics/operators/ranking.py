@@ -58,6 +58,24 @@ def rank_by_value(df: DataFrame, ordinal: str, groups: Sequence[str] = (), out:
     return _shifted_rank(df, bucket, [F.col(ordinal)], groups, out)
 
 
+def first_by_ordinal(df: DataFrame, ordinal: str, rows: int, buckets: int = 100_000) -> DataFrame:
+    """The first ``rows`` rows in the order of a unique numeric ordinal, sorted.
+
+    Counting equal-width ordinal ranges first bounds what the final sort may see: without that, every
+    task would hand its own first ``rows`` rows to one merging task.
+    """
+    value = F.col(ordinal).cast("double")
+    low, high = df.agg(F.min(value), F.max(value)).first()
+    if low is None or low == high:
+        return df.orderBy(ordinal).limit(rows)
+    bucket = F.floor((value - low) / (high - low) * buckets)
+    counts = df.groupBy(bucket.alias("_bucket")).agg(F.count("*").alias("_n"))
+    running = F.sum("_n").over(Window.partitionBy().orderBy("_bucket"))  # at most one row per bucket
+    last = counts.withColumn("_sum", running).where(F.col("_sum") >= rows).agg(F.min("_bucket")).first()[0]
+    kept = df if last is None else df.where(bucket <= last)
+    return kept.orderBy(ordinal).limit(rows)
+
+
 def top_per_group(df: DataFrame, groups: Sequence[str], order: Sequence[Column], k: int, out: str = "rank") -> DataFrame:
     """Best k rows of every group. Spark prunes each input partition to k before the shuffle."""
     window = Window.partitionBy(*groups).orderBy(*order)

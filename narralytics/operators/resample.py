@@ -24,6 +24,7 @@ from narralytics.session import cut_lineage
 
 DEFAULT_SAMPLES = 10_000
 BROADCAST_ROWS = 1_000_000
+BROADCAST_VALUES = 16_000_000  # rows x value columns, 128 MB of doubles
 BLOCK_ROWS = 65_536
 ZERO = 1e-12  # distributed sums differ in their last bits; replicates this close to 0 count as ties
 
@@ -66,7 +67,7 @@ def resampled_sums(stats: DataFrame, values: Sequence[str], groups: Sequence[str
     """(groups, replicate, summed values, draws) of a row bootstrap over an indexed table."""
     sizes = group_sizes(stats, groups)
     total = sizes.agg(F.sum("n")).first()[0] or 0
-    if total <= broadcast_rows:
+    if total <= broadcast_rows and total * max(1, len(values)) <= BROADCAST_VALUES:
         return drawn_sums(replicates(sizes, samples, groups), stats, groups, [*groups, "replicate"], values, seed, portable)
     return block_sums(stats, values, groups, samples, seed)
 

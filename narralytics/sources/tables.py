@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from narralytics.functions.text import collapse, usable_comment
 from narralytics.operators.align import GOLD_COLUMNS, PREDICTION_COLUMNS, ValidationError, require_columns, require_unique
-from narralytics.operators.ranking import rank_by_value
+from narralytics.operators.ranking import first_by_ordinal, rank_by_value
 
 ALPACA_SCHEMA = "system string, instruction string, input string, output string"
 PAIRED_SCHEMA = ("source_text string, emotion_label string, reference_narrative string, label_system string, "
@@ -50,7 +50,7 @@ def read_predictions(spark: SparkSession, path: str, check: bool = True) -> Data
 def read_comments(spark: SparkSession, path: str, ordinal: str, rows: int | None = None, limit: int = 5000) -> DataFrame:
     """Usable comments of a Parquet table in ordinal order, optionally the first n."""
     comments = spark.read.parquet(path).select(ordinal, "text").withColumn("text", usable_comment(F.col("text"), limit)).where("text is not null")
-    return comments if rows is None else comments.orderBy(ordinal).limit(rows)
+    return comments if rows is None else first_by_ordinal(comments, ordinal, rows)
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: str, check: bool = True) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql.streaming import DataStreamWriter
 
 from narralytics.constants import FIRST_PERSON_THRESHOLD, PAST_THRESHOLD
 from narralytics.operators.corpus import narrative_filter
+from narralytics.operators.ranking import first_by_ordinal
 
 MAX_ROWS = 1_000_000
 
@@ -26,7 +27,7 @@ def filter_stream(stream: DataFrame, out: str, checkpoint: str, ordinal: str, ma
                 done = log.where(f"batch < {batch_id}").groupBy().sum("rows").first()[0] or 0
             left = max(0, max_rows - done)
             size = batch.count()
-            rows = batch if size <= left else batch.orderBy(ordinal).limit(left)
+            rows = batch if size <= left else first_by_ordinal(batch, ordinal, left)
             batch.sparkSession.range(1).selectExpr(f"cast({min(size, left)} as long) rows").write.mode("overwrite").parquet(f"{out}/read/batch={batch_id}")
         kept = narrative_filter(rows, tagger=tagger, past=past, first_person=first_person)
         kept.write.mode("overwrite").parquet(f"{out}/kept/batch={batch_id}")

@@ -59,8 +59,13 @@ def main() -> None:
     from narralytics.catalog import load_all
     from narralytics.session import build_session
 
-    sf_dir, names = sys.argv[1], sys.argv[2:]
-    spark, con = build_session("local[8]"), connect(sf_dir)
+    sf_dir, names = sys.argv[1], [a for a in sys.argv[2:] if a != "--plain"]
+    if "--plain" in sys.argv:  # Spark's own defaults instead of this repository's session
+        from pyspark.sql import SparkSession
+        catalog, spark = load_all(), SparkSession.builder.master("local[8]").getOrCreate()
+    else:
+        spark = build_session("local[8]")
+    con = connect(sf_dir)
     bad = 0
     for name, entry in load_all().items():
         if names and not any(n in name for n in names):

@@ -432,3 +432,9 @@ def test_token_batches_match_sequential_greedy(spark):
         assert got[i] == batch
     sharded = G.token_batches(df, "id", "tokens", 8, 150, shard_rows=50).toPandas()
     assert sharded.groupby("shard").size().tolist() == [50] * 4
+
+
+@pytest.mark.parametrize("rows", [0, 1, 7, 1000, 5000])
+def test_first_by_ordinal(spark, rows):
+    df = spark.range(3000).select((F.col("id") * F.col("id")).alias("ordinal"))
+    assert [r[0] for r in K.first_by_ordinal(df, "ordinal", rows).collect()] == [i * i for i in range(min(rows, 3000))]

@@ -22,10 +22,12 @@ def build_summary(sources: Sequence[DataFrame | None], aliases: dict[str, str] =
     merged = ranked[0]
     for s in ranked[1:]:
         merged = merged.unionByName(s)
-    mapping = F.create_map(*[F.lit(x) for pair in aliases.items() for x in pair])
-    extra = merged.where(F.col("metric").isin(list(aliases))).select(
-        F.element_at(mapping, F.col("metric")).alias("metric"), "value", (F.col("_rank") - F.lit(len(ranked))).alias("_rank"))
-    return merged.unionByName(extra).groupBy("metric").agg(F.max_by("value", "_rank").alias("value"))
+    # a metric and its alias leave one scan as two rows; an alias ranks below every real metric
+    alias = F.try_element_at(F.create_map(*[F.lit(x) for pair in aliases.items() for x in pair]), F.col("metric"))
+    rows = merged.select(F.explode(F.array_compact(F.array(
+        F.struct("metric", "value", "_rank"),
+        F.when(alias.isNotNull(), F.struct(alias.alias("metric"), "value", (F.col("_rank") - F.lit(len(ranked))).alias("_rank")))))).alias("r"))
+    return rows.select("r.*").groupBy("metric").agg(F.max_by("value", "_rank").alias("value"))
 
 
 def summary_wide(summary: DataFrame, metrics: Sequence[str]) -> DataFrame:

@@ -136,7 +136,7 @@ def tokens_13a(text: Column) -> Column:
         line = F.replace(line, F.lit(old), F.lit(new))
     line = F.concat(F.lit(" "), line, F.lit(" "))
     for pattern, spaced in (
-        (r"([\{-\~\[-\` -\&\(-\+\:-\@\/])", " $1 "),
+        (r"([!-&(-+/:-@\[-`{-~])", " $1 "),  # spaces need no spacing out
         (r"([^0-9])([\.,])", "$1 $2 "),
         (r"([\.,])([^0-9])", " $1 $2"),
         (r"([0-9])(-)", "$1 $2 "),

@@ -13,6 +13,7 @@ from narralytics.operators import label_metrics as L
 from narralytics.operators import overlap_metrics as O
 from narralytics.operators import runs as R
 from narralytics.operators import semantic as M
+from narralytics.session import spread
 
 
 @dataclass
@@ -43,7 +44,7 @@ def evaluate(gold: DataFrame, pred: DataFrame, labels: bool = True, overlap: boo
     """Metrics of predictions against gold rows. The aligned table feeds every branch and is persisted
     with its lineage, so lost blocks are recomputed."""
     parts = A.align(gold, pred, check=check)
-    aligned = parts.aligned.persist(StorageLevel.MEMORY_AND_DISK)
+    aligned = spread(parts.aligned, "sample_id").persist(StorageLevel.MEMORY_AND_DISK)
     tables, summaries = [], [row_counts(gold, pred)]
     cells = L.cell_counts(aligned)
     if overlap:

@@ -89,11 +89,11 @@ ADV_SQL = f"""adv AS (SELECT t.dataset, t.metric, c.condition AS control, t.seed
     (CASE WHEN t.metric = 'normalized_dtw_distance_mean' THEN -1.0 ELSE 1.0 END) * (t.value - c.value) AS a
     FROM seed_metrics t JOIN seed_metrics c ON c.dataset = t.dataset AND c.metric = t.metric AND c.seed = t.seed
     WHERE t.condition = 'paired_joint' AND c.condition <> 'paired_joint'),
-    tests AS (SELECT dataset, metric, control, count(*) AS n_seeds, avg(tv) AS treatment_mean, avg(cv) AS control_mean, avg(a) AS m, stddev_samp(a) AS s,
+    tests AS (SELECT dataset, metric, control, count(*) AS n_seeds, avg(tv) AS treatment_mean, avg(cv) AS control_mean, avg(a) AS m, CASE WHEN stddev_samp(a) < 1e-12 THEN 0 ELSE stddev_samp(a) END AS s,
         list(a ORDER BY a) AS v FROM adv GROUP BY ALL),
     flips AS (SELECT dataset, metric, control, avg(CASE WHEN abs((v[1] * b1 + v[2] * b2 + v[3] * b3) / 3) >= abs(m) - 1e-15 THEN 1.0 ELSE 0 END) AS p
         FROM tests, (SELECT unnest([-1, 1]) AS b1), (SELECT unnest([-1, 1]) AS b2), (SELECT unnest([-1, 1]) AS b3) GROUP BY ALL),
-    tp AS (SELECT *, 2 * (1 - (0.5 + abs(m / (s / sqrt(3.0))) / (2 * sqrt(2 + power(m / (s / sqrt(3.0)), 2))))) AS tp FROM tests)"""
+    tp AS (SELECT *, CASE WHEN s > 0 THEN 2 * (1 - (0.5 + abs(m / (s / sqrt(3.0))) / (2 * sqrt(2 + power(m / (s / sqrt(3.0)), 2))))) WHEN abs(m) > 1e-12 THEN 0.0 END AS tp FROM tests)"""
 
 
 def advantages(spark, sf) -> DataFrame:
@@ -108,7 +108,7 @@ def advantages(spark, sf) -> DataFrame:
 @query("paired_seed_tests", "R7 R8 R9", f"""WITH {SEED_SQL}, {ADV_SQL}
     SELECT tp.dataset, tp.metric, tp.control AS control_name, n_seeds, round(treatment_mean, 8) AS treatment_mean, round(control_mean, 8) AS control_mean,
            round(m, 8) AS mean_advantage, round(m - 4.302652729696142 * s / sqrt(3.0), 8) AS advantage_ci_95_low,
-           round(m + 4.302652729696142 * s / sqrt(3.0), 8) AS advantage_ci_95_high, round(m / s, 6) AS cohen_dz,
+           round(m + 4.302652729696142 * s / sqrt(3.0), 8) AS advantage_ci_95_high, round(m / nullif(s, 0), 6) AS cohen_dz,
            round(tp, 8) AS paired_t_p, round(f.p, 8) AS exact_sign_flip_p
     FROM tp JOIN flips f ON f.dataset = tp.dataset AND f.metric = tp.metric AND f.control = tp.control""")
 def _(spark, sf):

@@ -13,6 +13,7 @@ from narralytics.functions import kernels
 from narralytics.operators.align import ValidationError
 
 MAX_SIGN_FLIP_SEEDS = 20
+ZERO = 1e-12
 
 
 @F.pandas_udf(DoubleType())
@@ -83,17 +84,24 @@ def sign_flip_p(values: Column) -> Column:
     return F.when(k <= MAX_SIGN_FLIP_SEEDS, extreme / F.size(masks))
 
 
+def _spread(column: str) -> Column:
+    """Sample standard deviation where rounding noise of equal values counts as none."""
+    sd = F.stddev_samp(column)
+    return F.when(sd < ZERO, 0.0).otherwise(sd)
+
+
 def paired_tests(advantages: DataFrame, by: Sequence[str] = ("dataset", "metric")) -> DataFrame:
     """Paired t test with interval, Cohen's dz and the exact sign-flip test, one row per group."""
     grouped = advantages.groupBy(*by).agg(
         F.count("advantage").alias("n_seeds"), F.avg("treatment").alias("treatment_mean"), F.avg("control").alias("control_mean"),
-        F.avg("advantage").alias("mean_advantage"), F.stddev_samp("advantage").alias("_sd"),
+        F.avg("advantage").alias("mean_advantage"), _spread("advantage").alias("_sd"),
         F.sort_array(F.collect_list("advantage")).alias("_values"))  # one value per seed
     df = (F.col("n_seeds") - 1).cast("double")
     t = F.try_divide(F.col("mean_advantage"), F.col("_sd") / F.sqrt(F.col("n_seeds")))
     tested = with_t_interval(grouped, "mean_advantage", "_sd", "n_seeds", "advantage_ci_95")
+    p = F.when(F.col("_sd") > 0, t_p_value(t, df)).when(F.abs("mean_advantage") > ZERO, 0.0)  # no spread: certain, or undefined at 0
     return (tested.withColumn("cohen_dz", F.try_divide(F.col("mean_advantage"), F.col("_sd")))
-            .withColumn("paired_t_p", t_p_value(t, df)).withColumn("exact_sign_flip_p", sign_flip_p(F.col("_values")))
+            .withColumn("paired_t_p", p).withColumn("exact_sign_flip_p", sign_flip_p(F.col("_values")))
             .drop("_sd", "_values"))
 
 

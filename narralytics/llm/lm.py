@@ -1,0 +1,117 @@
+"""Language-model scoring by cross-entropy difference.
+
+Two interpolated 4-gram models, one of the target texts and one of the background corpus, share one
+vocabulary of 32 symbols: a-z, blank, digit, other letter, stop mark, other sign and the text boundary. Every
+4-gram of every text is counted exactly (32 ** 4 slots, so the tables have a fixed size); tasks count in an
+array and only (slot, count) rows are shuffled and summed. The models are matched: same order, symbols and
+smoothing mass, and the larger count table is scaled to the mass of the smaller. A document's score is the
+mean over its tokens of target loss minus background loss, in bits; low means like the target.
+
+Defined results: a null or empty text has one token (its end); repeated rows are counted and scored each; an
+empty target or background gives a uniform model; further columns are ignored.
+"""
+from __future__ import annotations
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from narralytics.llm.common import slices, utf8
+
+ORDER = 4
+SYMBOLS = 32
+BLANK, DIGIT, LETTER, STOP, SIGN, EDGE = 26, 27, 28, 29, 30, 31
+MASS = 16.0     # pseudo-counts that a context gets from the next shorter one
+SLOTS = SYMBOLS ** ORDER
+_SKIP = 255
+_SYMBOL = np.full(256, SIGN, dtype=np.uint8)
+_SYMBOL[[9, 10, 11, 12, 13, 32]] = BLANK
+_SYMBOL[48:58] = DIGIT
+_SYMBOL[97:123] = _SYMBOL[65:91] = np.arange(26)
+_SYMBOL[[ord(c) for c in ".,;:!?"]] = STOP
+_SYMBOL[128:192] = _SKIP                          # later bytes of a character
+_SYMBOL[192:] = LETTER
+
+
+def grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(slot of every token's 4-gram, number of tokens per text); the end of a text is a token."""
+    edge = np.full(ORDER - 1, EDGE, np.uint8)
+    coded = []
+    for t in texts:
+        s = _SYMBOL[np.frombuffer(t, dtype=np.uint8)]
+        coded += [edge, s[s != _SKIP], edge[:1]]
+    joined = np.concatenate(coded).astype(np.int32) if coded else np.zeros(0, np.int32)
+    counts = np.array([len(c) + 1 for c in coded[1::3]], dtype=np.int64)
+    slot = joined.copy()
+    for k in range(1, ORDER):
+        slot[k:] += joined[:-k] << (5 * k)
+    ends = np.cumsum(counts + ORDER - 1)
+    token = np.ones(len(joined), bool)
+    for k in range(ORDER - 1):
+        token[ends - counts - ORDER + 1 + k] = False
+    return slot[token], counts
+
+
+def gram_counts(texts: DataFrame, name: str) -> DataFrame:
+    """(slot, count) over all rows of a table with a text column, summed by Spark."""
+    def run(batches):
+        total = np.zeros(SLOTS, dtype=np.int64)
+        for batch in batches:
+            for part in slices(batch, 256):
+                total += np.bincount(grams(utf8(part.column(0)))[0], minlength=SLOTS)
+        slot = np.flatnonzero(total)
+        for start in range(0, len(slot), 1 << 16):
+            some = slot[start:start + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some])], ["slot", "n"])
+
+    rows = texts.select(F.col("text").cast("string")).mapInArrow(run, "slot int, n long")
+    return rows.groupBy("slot").agg(F.sum("n").alias(name))
+
+
+def dense(counts: DataFrame, name: str) -> np.ndarray:
+    """The summed counts as one array; at most ``SLOTS`` rows."""
+    out = np.zeros(SLOTS)
+    got = counts.select("slot", name).toArrow()
+    out[got.column("slot").to_numpy()] = got.column(name).to_numpy()
+    return out
+
+
+def losses(counts: np.ndarray, mass: float = MASS) -> np.ndarray:
+    """Bits per token for every 4-gram, each order smoothed by the next shorter one."""
+    probability = np.full(SYMBOLS, 1 / SYMBOLS)
+    for order in range(1, ORDER + 1):
+        c = counts.reshape(-1, SYMBOLS ** order).sum(axis=0).reshape(-1, SYMBOLS)   # context by symbol
+        shorter = np.tile(probability.reshape(-1, SYMBOLS), (len(c) // max(1, probability.size // SYMBOLS), 1))
+        probability = (c + mass * shorter) / (c.sum(axis=1, keepdims=True) + mass)
+    return -np.log2(probability).ravel()
+
+
+def models(target: DataFrame, background: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(target, background) loss tables of two matched models."""
+    t, b = dense(gram_counts(target, "target_n"), "target_n"), dense(gram_counts(background, "background_n"), "background_n")
+    both = min(t.sum(), b.sum())
+    return tuple(losses(c * (both / c.sum() if both else 1.0)).astype(np.float32) for c in (t, b))
+
+
+def score(docs: DataFrame, tables: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """doc_id, n_tokens, target_loss, background_loss, difference for every row; one narrow pass."""
+    target, background = tables
+
+    def run(batches):
+        for batch in batches:
+            for part in slices(batch, 256):
+                slot, counts = grams(utf8(part.column("text")))
+                starts = np.concatenate([[0], np.cumsum(counts)[:-1]])
+                mean = [np.add.reduceat(t[slot].astype(np.float64), starts) / counts for t in (target, background)]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("doc_id"), pa.array(counts), pa.array(mean[0]), pa.array(mean[1]), pa.array(mean[0] - mean[1])],
+                    ["doc_id", "n_tokens", "target_loss", "background_loss", "difference"])
+
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
+        run, "doc_id long, n_tokens long, target_loss double, background_loss double, difference double")
+
+
+def cross_entropy_difference(docs: DataFrame, target: DataFrame) -> DataFrame:
+    """Score every row of ``docs`` with the target texts against all of ``docs``."""
+    return score(docs, models(target, docs))

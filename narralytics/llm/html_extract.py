@@ -172,14 +172,17 @@ def page_text(page: Page, kept: np.ndarray) -> str:
     return "\n".join(blocks)
 
 
-def extract(html: str, model) -> str:
-    """Main text of one page."""
-    if not html:
-        return ""
-    page = Page(html)
-    odds = trees.predict(model, node_features(page))
-    odds[np.array([t in NEVER for t in page.tag])] = -30.0   # these never hold prose
-    return page_text(page, decode(page.parent, odds))
+def extract(htmls: list[str], model) -> list[str]:
+    """Main texts of some pages; the trees judge the nodes of all of them at once."""
+    pages = [Page(h) for h in htmls]
+    odds = trees.predict(model, np.concatenate([node_features(p) for p in pages])) if pages else np.zeros(0)
+    out, start = [], 0
+    for page in pages:
+        own = odds[start:start + len(page.tag)]
+        start += len(own)
+        own[[t in NEVER for t in page.tag]] = -30.0   # these never hold prose
+        out.append(page_text(page, decode(page.parent, own)))
+    return out
 
 
 def _boilerplate(rng, words: list[str]) -> str:
@@ -295,7 +298,7 @@ def main_text(pages: DataFrame, model=None) -> DataFrame:
     def run(batches):
         for batch in batches:
             for part in slices(batch, 64):
-                texts = [extract(h, fitted) for h in strings(part.column("html"))]
+                texts = extract(strings(part.column("html")), fitted)
                 yield pa.RecordBatch.from_arrays(
                     [part.column("page_id"), part.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
                     ["page_id", "url", "text", "n_chars"])

@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
 from narralytics.llm.common import written
 from narralytics.llm.graph import components, local_labels
@@ -27,7 +28,7 @@ from narralytics.session import spread
 THRESHOLD = 0.93
 TABLES = 6
 AXES = 2         # hashes per key: (2 * width) ** AXES keys per label and table
-PROBES = 4       # further keys per vector and table
+PROBES = 2       # further keys per vector and table
 TILE_ROWS = 2048
 SEED = 7
 
@@ -84,9 +85,9 @@ def usable(vector: Column) -> Column:
 
 
 def _classes(rows: DataFrame) -> DataFrame:
-    """One row per distinct (label, vector): class id, number of copies, label, width, vector."""
+    """One row per distinct (label, vector): smallest vec_id, hash, number of copies, label, width, vector."""
     return (rows.groupBy("label", "vector").agg(F.min("vec_id").alias("cls"), F.count(F.lit(1)).alias("copies"))
-            .select("cls", "copies", "label", F.size("vector").alias("width"), "vector"))
+            .select("cls", F.xxhash64("label", "vector").alias("uid"), "copies", "label", F.size("vector").alias("width"), "vector"))
 
 
 def _hashed(classes: DataFrame, tables: int, axes: int, probes: int) -> DataFrame:
@@ -101,7 +102,7 @@ def _hashed(classes: DataFrame, tables: int, axes: int, probes: int) -> DataFram
                 yield pa.RecordBatch.from_arrays(
                     [*part.columns, pa.ListArray.from_arrays(offsets, pa.array(codes.ravel()))], [*part.schema.names, "codes"])
 
-    schema = "cls long, copies long, label string, width int, vector array<double>, codes array<long>"
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in classes.schema) + ", codes array<long>"
     return classes.mapInArrow(run, schema)
 
 
@@ -144,19 +145,16 @@ def _cell_links(cls, copies, vectors, codes, home, block, cell, table, key, thre
 def class_links(hashed: DataFrame, threshold: float, tables: int, probes: int, tile_rows: int) -> DataFrame:
     """(cls, links, peer): per tile and class, the copies it links to and a class it is connected with."""
     per = 1 + probes
-    met = hashed.select("*", F.posexplode("codes").alias("slot", "key")).select(
-        "cls", "copies", "label", "width", "vector", "codes", (F.col("slot") / per).cast("int").alias("tab"),
-        (F.col("slot") % per == 0).alias("home"), "key")
     meeting = ["label", "width", "tab", "key"]
-    sizes = (hashed.select("label", "width", F.posexplode("codes").alias("slot", "key"))
-             .groupBy("label", "width", (F.col("slot") / per).cast("int").alias("tab"), "key")
-             .agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("slot") % per == 0).cast("long")).alias("homes"))
-             .where("homes > 0 AND n > 1")
-             .select(*meeting, F.ceil(F.col("n") / tile_rows).alias("blocks")))
-    placed = met.join(sizes, meeting).withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")))
+    sent = hashed.select("cls", "uid", "label", "width", F.posexplode("codes").alias("slot", "key")).select(
+        "cls", "uid", "label", "width", (F.col("slot") / per).cast("int").alias("tab"), "key", (F.col("slot") % per == 0).alias("home"))
+    sizes = (sent.groupBy(*meeting).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("home").cast("long")).alias("homes"))
+             .where("homes > 0 AND n > 1").select(*meeting, F.ceil(F.col("n") / tile_rows).alias("blocks")))
+    placed = sent.join(sizes, meeting).withColumn("block", F.pmod(F.xxhash64("uid"), F.col("blocks")))
     cells = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda b: F.struct(
         F.least(b, F.col("block")).alias("lo"), F.greatest(b, F.col("block")).alias("hi")))
-    tiled = placed.withColumn("cell", F.explode(cells)).select("*", "cell.lo", "cell.hi").drop("cell", "blocks")
+    tiles = placed.withColumn("cell", F.explode(cells)).select("cls", "uid", "tab", "key", "home", "block", "cell.lo", "cell.hi")
+    tiled = tiles.join(hashed, ["cls", "uid"])   # vectors join last, so only meeting rows carry them
     order = [*meeting, "lo", "hi"]
     sorted_tiles = spread(tiled, *order).sortWithinPartitions(*order)
 
@@ -210,10 +208,12 @@ def class_links(hashed: DataFrame, threshold: float, tables: int, probes: int, t
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, tables: int = TABLES, axes: int = AXES,
                     probes: int = PROBES, tile_rows: int = TILE_ROWS) -> DataFrame:
     """vec_id, n_links, component_id, kept: one row per row of ``vectors`` (vec_id, embedding, label)."""
+    # single-precision vectors travel as they are; all arithmetic is in double precision
+    kept = "array<float>" if vectors.schema["embedding"].dataType == ArrayType(FloatType()) else "array<double>"
     rows = vectors.select(F.col("vec_id").cast("long"), F.col("label").cast("string"),
-                          F.col("embedding").cast("array<double>").alias("vector"))
+                          F.col("embedding").cast(kept).alias("vector"))
     ok = F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.coalesce(usable(F.col("vector")), F.lit(False))
-    keyed = rows.withColumn("ok", ok).withColumn("vector", F.when(F.col("ok"), F.transform("vector", lambda v: v + 0.0)))
+    keyed = rows.withColumn("ok", ok).withColumn("vector", F.when(F.col("ok"), F.transform("vector", lambda v: F.when(v == 0, F.lit(0).cast(kept[6:-1])).otherwise(v))))
     hashed = written(_hashed(_classes(keyed.where("ok")), tables, axes, probes), "vector-classes")
     met = written(class_links(hashed, threshold, tables, probes, tile_rows), "vector-links")
     found = components(met.select(F.col("cls").alias("a"), F.col("peer").alias("b")))

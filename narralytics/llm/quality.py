@@ -132,7 +132,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", limit: int =
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, float], keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``keep`` columns, score and predicted for every row; one narrow pass."""
+    """``keep`` columns, quality_score and quality_predicted for every row; one narrow pass."""
     weights, bias = model
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
 
@@ -144,19 +144,20 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], keep: tuple[str, ...
                 p = 1 / (1 + np.exp(-np.clip(total[offsets[1:]] - total[offsets[:-1]] + bias, -35, 35)))
                 yield pa.RecordBatch.from_arrays(
                     [*(part.column(c) for c in keep), pa.array(p), pa.array((p >= 0.5).astype(np.int32))],
-                    [*keep, "score", "predicted"])
+                    [*keep, "quality_score", "quality_predicted"])
 
     return docs.select(*keep, F.col("text").cast("string").alias("quality_text")).mapInArrow(
-        run, f"{schema}, score double, predicted int")
+        run, f"{schema}, quality_score double, quality_predicted int")
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted for every row of ``docs``."""
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
-    return score(docs, fit(docs, labels)).select("doc_id", held.alias("held_out"), "score", "predicted")
+    return score(docs, fit(docs, labels)).select(
+        "doc_id", held.alias("held_out"), F.col("quality_score").alias("score"), F.col("quality_predicted").alias("predicted"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that the classifier does not reject, all columns."""
     names = tuple(docs.columns)
-    return score(docs, fit(docs, labels), keep=names).where("predicted = 1").select(*names)
+    return score(docs, fit(docs, labels), keep=names).where("quality_predicted = 1").select(*names)

@@ -12,6 +12,7 @@ an empty table gives an empty result; further columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import os
 import struct
 from functools import lru_cache
 
@@ -25,12 +26,13 @@ from tokenizers import Tokenizer
 from narralytics.llm.common import slices, utf8
 
 VOCABULARY = "word_bpe_49k.json"
-CACHED_FRAGMENTS = 200_000
+CACHED_FRAGMENTS = 400_000
 CACHED_BYTES = 64        # longer fragments are not kept
 
 
 @lru_cache(maxsize=2)
 def tokenizer(path: str) -> Tokenizer:
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
     made = Tokenizer.from_file(path)
     made.no_truncation()
     made.no_padding()
@@ -71,31 +73,49 @@ def fragments(text: bytes, table: np.ndarray) -> list[bytes]:
 
 
 class Codec:
-    """Encodes fragments once; a fragment maps to its ids (little-endian bytes) and its decoded text."""
+    """Encodes fragments once; a fragment maps to its ids (little-endian bytes) and its decoded text.
+
+    Where the vocabulary is lower-case anyway, ASCII capitals are lowered first, unless the text could
+    then hold a special token it does not hold now.
+    """
 
     def __init__(self, path: str):
         self.made, self.table, self.known = tokenizer(path), cut_table(path), {}
+        size = self.made.get_vocab_size(with_added_tokens=True)
+        self.names = [(self.made.id_to_token(i) or "").encode() for i in range(size)]
+        self.special = [t.content.lower().encode() for t in self.made.get_added_tokens_decoder().values()]
+        capitals = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+        self.lowers = self.made.normalizer is not None and self.made.normalizer.normalize_str(capitals) == capitals.lower()
+
+    def _decoded(self, ids: list[int]) -> bytes:
+        if self.made.decoder is None:  # such a tokenizer decodes to its tokens, joined by blanks
+            return b" ".join([self.names[i] for i in ids])
+        return self.made.decode(ids, skip_special_tokens=False).encode()
 
-    def learn(self, wanted: set[bytes]) -> dict[bytes, tuple[bytes, bytes]]:
-        new = [f for f in wanted if f not in self.known]
-        if len(self.known) + len(new) > CACHED_FRAGMENTS:
-            self.known = {f: self.known[f] for f in wanted if f in self.known and len(f) <= CACHED_BYTES}
-        ready = self.known
+    def _lowered(self, text: bytes) -> bytes:
+        low = text.lower() if self.lowers else text
+        return text if any(s in low for s in self.special) else low
+
+    def encode(self, texts: list[bytes]) -> list[tuple[bytes, bytes]]:
+        """(ids as bytes, decoded text) per text; decoded fragments are joined as the library joins tokens."""
+        cut = [fragments(self._lowered(t), self.table) for t in texts]
+        known, long = self.known, []
+        new = [f for f in set().union(*cut) if f not in known]
         for start in range(0, len(new), 4096):
             some = new[start:start + 4096]
             for f, e in zip(some, self.made.encode_batch_fast([f.decode() for f in some], add_special_tokens=False)):
                 ids = e.ids
-                ready[f] = (struct.pack(f"<{len(ids)}I", *ids), self.made.decode(ids, skip_special_tokens=False).encode())
-        return ready
-
-    def encode(self, texts: list[bytes]) -> list[tuple[bytes, bytes]]:
-        """(ids as bytes, decoded text) per text; decoded fragments are joined as the library joins tokens."""
-        cut = [fragments(t, self.table) for t in texts]
-        ready = self.learn({f for fs in cut for f in fs})
+                known[f] = (struct.pack(f"<{len(ids)}I", *ids), b" " + self._decoded(ids) if ids else b"")
+                if len(f) > CACHED_BYTES:
+                    long.append(f)
         out = []
         for fs in cut:
-            pieces = [ready[f] for f in fs]
-            out.append((b"".join(p[0] for p in pieces), b" ".join(p[1] for p in pieces if p[0])))
+            ids, decoded = zip(*[known[f] for f in fs]) if fs else ((), ())
+            out.append((b"".join(ids), b"".join(decoded)[1:]))
+        if len(known) > CACHED_FRAGMENTS:
+            known.clear()
+        for f in long:
+            known.pop(f, None)
         return out
 
 
@@ -128,7 +148,7 @@ def _mapped(docs: DataFrame, path: str | None, rows, schema: str) -> DataFrame:
     def run(batches):
         codec = Codec(where)
         for batch in batches:
-            for part in slices(batch, 512):
+            for part in slices(batch, 1024):
                 yield pa.RecordBatch.from_arrays(rows(part.column("doc_id"), codec.encode(utf8(part.column("text")))), names)
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from narralytics.catalog.registry import query
 from narralytics.catalog.text_queries import WORDS_SQL
 from narralytics.catalog.views import documents, norm_sql, table
-from narralytics.constants import FIRST_PERSON_GRID, PAST_GRID
+from narralytics.constants import FIRST_PERSON_GRID, PAST_GRID, TOPIC_SAMPLE_ROWS
 from narralytics.functions.plugins import RuleTagger
 from narralytics.operators import corpus as C
 
@@ -44,7 +44,7 @@ def _(spark, sf):
 @query("sequential_sample", "F2 IO4", f"""
     SELECT doc_id, text FROM documents WHERE trim(text) <> '' AND len({WORDS_SQL}) > 80 ORDER BY doc_id LIMIT 50000""")
 def _(spark, sf):
-    return C.sequential_sample(documents(spark, sf).select("doc_id", "text"), "doc_id")
+    return C.sequential_sample(documents(spark, sf).select("doc_id", "text"), "doc_id", TOPIC_SAMPLE_ROWS)
 
 
 @query("narrative_ratios", "F3 UDF3", f"WITH {RATIO_SQL} SELECT doc_id, round(past_verb_ratio, 9) AS past_verb_ratio, "

@@ -255,8 +255,9 @@ def _(spark, sf):
 
 @query("token_budget_batches", "W10")
 def _(spark, sf):
-    sized = V.documents(spark, sf).select("doc_id", F.size(tokens_13a(F.col("text"))).alias("tokens"))
-    return G.token_batches(sized, "doc_id", "tokens", 16, 8192)
+    shard = F.floor(F.col("doc_id") / 1000).alias("shard")
+    sized = V.documents(spark, sf).select(shard, "doc_id", F.size(tokens_13a(F.col("text"))).alias("tokens"))
+    return G.token_batches(sized, "shard", "doc_id", "tokens", 16, 8192)
 
 
 # --- summaries of a run ----------------------------------------------------------------------

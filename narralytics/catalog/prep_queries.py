@@ -304,10 +304,28 @@ def _(spark, sf):
         F.col("doc_id").alias("sample_id"), F.col("text").alias("source_text"), V.pick_label(F.col("doc_id")).alias("emotion_label"),
         F.col("text").alias("reference_narrative"))
     covered = V.table(spark, sf, "labels").select(F.col("doc_id").alias("sample_id"))
-    pairs = A.shared_sources(docs.join(covered, "sample_id", "left_semi"), docs.join(covered, "sample_id", "left_anti"))
+    pairs = A.shared_sources(docs.join(covered, "sample_id", "left_semi"), docs.join(covered, "sample_id", "left_anti"), check=False)
     return pairs.select("sample_id_left", "sample_id_right", (F.col("emotion_label_left") == F.col("emotion_label_right")).alias("same_label"))
 
 
+@query("shared_source_agreement", "J9", f"""
+    WITH s AS (SELECT d.doc_id, {KEY_OF('d.text')} AS key, {V.label_sql('d.doc_id')} AS label FROM documents d),
+    a AS (SELECT key, min(doc_id) AS id FROM s WHERE doc_id IN (SELECT doc_id FROM labels) GROUP BY key),
+    b AS (SELECT key, min(doc_id) AS id FROM s WHERE doc_id NOT IN (SELECT doc_id FROM labels) GROUP BY key),
+    n AS (SELECT count(*) FILTER (WHERE doc_id IN (SELECT doc_id FROM labels)) AS x, count(*) FILTER (WHERE doc_id NOT IN (SELECT doc_id FROM labels)) AS y FROM s)
+    SELECT round(count(*) / (SELECT greatest(1, least(x, y)) FROM n)::DOUBLE, 9) AS share_of_smaller, count(*) AS shared_sources,
+           count(*) FILTER (WHERE {V.label_sql('a.id')} = {V.label_sql('b.id')}) AS label_agreements, count(*) AS narrative_agreements
+    FROM a JOIN b ON a.key = b.key""")
+def _(spark, sf):
+    docs = V.documents(spark, sf).select(
+        F.col("doc_id").alias("sample_id"), F.col("text").alias("source_text"), V.pick_label(F.col("doc_id")).alias("emotion_label"),
+        F.col("text").alias("reference_narrative"))
+    covered = V.table(spark, sf, "labels").select(F.col("doc_id").alias("sample_id"))
+    left, right = docs.join(covered, "sample_id", "left_semi"), docs.join(covered, "sample_id", "left_anti")
+    summary = A.shared_source_summary(A.shared_sources(left, right, check=False), left.count(), right.count())
+    return summary.withColumn("share_of_smaller", F.round("share_of_smaller", 9))
+
+
 @query("source_intersection", "U4", f"""
     SELECT sha256({KEY_OF('text')}) AS key FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)
     INTERSECT SELECT sha256({KEY_OF('text')}) FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)""")

@@ -11,6 +11,7 @@ from narralytics.catalog.stats_queries import RUNS_SQL, rounded, run_summaries
 from narralytics.functions.plugins import RuleTagger
 from narralytics.operators import runs as R
 from narralytics.operators.ranking import top_per_group
+from narralytics.constants import MAX_COMMENT_CHARS
 from narralytics.operators.audits import file_fingerprints, order_free_print, ordered_print
 from narralytics.session import scratch_path
 from narralytics.sources import runs as SR
@@ -41,7 +42,7 @@ def _(spark, sf):
 @query("comments_from_parquet", "IO4 T8", r"""SELECT doc_id, text FROM (SELECT doc_id, substr(regexp_replace(text, '^\s+|\s+$', '', 'g'), 1, 5000) AS text FROM documents)
     WHERE text <> '' AND text NOT IN ('[deleted]', '[removed]') ORDER BY doc_id LIMIT 12000""")
 def _(spark, sf):
-    return S.read_comments(spark, f"{sf}/documents.parquet", "doc_id", 12_000)
+    return S.read_comments(spark, f"{sf}/documents.parquet", "doc_id", 12_000, MAX_COMMENT_CHARS)
 
 
 @query("jsonl_round_trip", "IO5 IO6 F13", """SELECT 'sys' AS system, 'ins' AS instruction, text AS input, source AS output FROM documents""")
@@ -57,8 +58,9 @@ def _(spark, sf):
     firsts = top_per_group(docs, ["source"], [F.col("doc_id")], 5).groupBy("source").agg(
         F.transform(F.sort_array(F.collect_list("doc_id")), lambda d: d.cast("string")).alias("top_terms"))
     nested = docs.groupBy("source").agg(F.count("*").alias("count")).join(firsts, "source")
-    path = S.write_jsonl(nested.withColumnRenamed("source", "name"), scratch_path(spark, "topics"))
-    return spark.read.schema(S.TOPIC_SUMMARY_SCHEMA).json(path).select("name", "count", F.array_join("top_terms", ",").alias("top_terms"))
+    path = scratch_path(spark, "topics")
+    nested.withColumnRenamed("source", "name").write.option("maxRecordsPerFile", 1).json(path)  # one document per file
+    return S.read_nested(spark, path, S.TOPIC_SUMMARY_SCHEMA).select("name", "count", F.array_join("top_terms", ",").alias("top_terms"))
 
 
 SUMMARY_SCHEMA = "rougeL_mean double, num_aligned_rows long, num_missing_prediction_rows long, gold_path string"
@@ -104,9 +106,10 @@ def _(spark, sf):
         order_free_print(F.col("text")).alias("content_print"), ordered_print(F.col("text"), F.col("doc_id")).alias("ordered_print"), F.min(F.sha2("text", 256)).alias("first_sha256"))
 
 
-@query("file_fingerprints", "IO12")
+@query("file_fingerprints", "IO12", """SELECT count(*) AS rows, CAST(sum(('0x' || substr(md5(concat(doc_id, '|', text, '|', lang, '|', source, '|', n_chars)), 1, 12))::BIGINT) AS VARCHAR) AS content_print
+    FROM documents""")
 def _(spark, sf):
-    return file_fingerprints(spark, f"{sf}/documents.parquet").select("length", "sha256")
+    return file_fingerprints(spark, f"{sf}/documents.parquet").select("rows", "content_print")
 
 
 # --- run artefacts ---------------------------------------------------------------------------
@@ -216,6 +219,17 @@ def _(spark, sf):
     return rounded(R.telemetry_rollup(records(V.table(spark, sf, "events"))), 6)
 
 
+PHASE_SQL = """p AS (SELECT event_id, CASE WHEN event_type IN ('click', 'view') THEN 1 ELSE 0 END AS running, user_id % 2 = 0 AS busy FROM events)"""
+
+
+@query("telemetry_phases", "A35", f"""WITH {PHASE_SQL} SELECT phase, count(*) AS records FROM (
+    SELECT 'training' AS phase FROM p WHERE running > 0 UNION ALL SELECT 'evaluation' FROM p WHERE busy) GROUP BY phase""")
+def _(spark, sf):
+    running = F.when(F.col("event_type").isin("click", "view"), 1).otherwise(0).alias("training_running")
+    phase = F.when(F.col("user_id") % 2 == 0, "evaluating").otherwise("idle").alias("evaluation_phase")
+    return R.with_phases(V.table(spark, sf, "events").select(running, phase)).groupBy("phase").agg(F.count("*").alias("records"))
+
+
 @query("telemetry_windows_streamed", "ST2 A35", f"WITH {GPU_SQL} SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS window_start, phase, {GPU_COLUMNS_SQL} FROM g GROUP BY 1, 2")
 def _(spark, sf):
     schema = V.table(spark, sf, "events").schema

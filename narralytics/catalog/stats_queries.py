@@ -450,12 +450,9 @@ def family_sql() -> str:
 
 @query("comparison_family", "R18 R1 J5", family_sql())
 def _(spark, sf):
-    one_seed = runs(spark, sf).where("seed = 42")
-    side_of = F.array_compact(F.array(*[F.when(F.col("condition") == c, F.struct(F.lit(p).alias("pair"), F.lit(s).alias("side")))
-                                        for p, a, b in PAIR_LIST for s, c in (("a", a), ("b", b))]))
-    sided = one_seed.withColumn("m", F.explode(side_of))
-    value = lambda m, s: F.max(F.when(F.col("m.side") == s, F.col(m))).alias(f"{m}_{s}")
-    pairs = sided.groupBy(F.concat_ws("_", "m.pair", "dataset").alias("pair_id"), "sample_id").agg(*[value(m, s) for m in PAIR_METRICS for s in "ab"])
+    listed = spark.createDataFrame([(*p, d) for p in PAIR_LIST for d in ("stage1", "manual")], "pair string, run_a string, run_b string, dataset string")
+    paired = A.pair_table(runs(spark, sf).where("seed = 42"), listed, PAIR_METRICS, run="condition")
+    pairs = paired.withColumn("pair_id", F.concat_ws("_", "pair", "dataset"))
     return rounded(R.paired_bootstrap(pairs, {m: m for m in PAIR_METRICS}, groups=["pair_id"], samples=SAMPLES, bleu=False, portable=True), 8)
 
 

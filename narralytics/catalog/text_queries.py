@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from narralytics.catalog.registry import query
 from narralytics.catalog.views import documents, norm_sql, table
-from narralytics.constants import FINE_LABELS_BY_COARSE
+from narralytics.constants import COARSE_LABEL, MAX_COMMENT_CHARS
 from narralytics.functions import text as T
 from narralytics.functions.labels import remap_label
 
@@ -75,7 +75,7 @@ def _(spark, sf):
     SELECT doc_id, out FROM (SELECT doc_id, substr(regexp_replace(text, '^\\s+|\\s+$', '', 'g'), 1, 5000) AS out FROM documents)
     WHERE out <> '' AND out NOT IN ('[deleted]', '[removed]')""")
 def _(spark, sf):
-    return _docs(spark, sf).select("doc_id", T.usable_comment(F.col("text")).alias("out")).where("out is not null")
+    return _docs(spark, sf).select("doc_id", T.usable_comment(F.col("text"), MAX_COMMENT_CHARS).alias("out")).where("out is not null")
 
 
 @query("text_clean_markup", "T9", r"""
@@ -85,10 +85,9 @@ def _(spark, sf):
     return table(spark, sf, "pages").select("page_id", T.clean_markup(F.col("html")).alias("out"))
 
 
-FINE = [name for names in FINE_LABELS_BY_COARSE.values() for name in names.split()]
+FINE = list(COARSE_LABEL)
 FINE_SQL = "[" + ",".join(f"'{x}'" for x in FINE) + "]"
-MAP_SQL = ("MAP {" + ",".join(f"'{fine}': '{coarse}'" for coarse, names in FINE_LABELS_BY_COARSE.items()
-                              for fine in names.split()) + "}")
+MAP_SQL = "MAP {" + ",".join(f"'{fine}': '{coarse}'" for fine, coarse in COARSE_LABEL.items()) + "}"
 
 
 @query("label_remap", "T10", f"""
@@ -150,6 +149,11 @@ def _(spark, sf):
         "doc_id", T.first_tokens(F.col("t"), 64).alias("out"), (F.size("t") > 64).alias("truncated"))
 
 
+@query("text_last_number", "T16", r"""SELECT doc_id, list_last(regexp_extract_all(text, '([0-9]+)', 1)) AS last_number FROM documents""")
+def _(spark, sf):
+    return _docs(spark, sf).select("doc_id", T.last_match(F.col("text"), "([0-9]+)").alias("last_number"))
+
+
 @query("text_last_progress", "T16", r"""
     SELECT user_id, CAST(list_last(regexp_extract_all(log, '(\d+)/3915', 1)) AS BIGINT) AS progress FROM (
         SELECT user_id, string_agg(CASE WHEN event_type = 'error' THEN 'failed' ELSE event_id || '/3915' END, chr(10) ORDER BY event_id) AS log

@@ -49,18 +49,21 @@ def hashed_vector(features: list[str], dim: int, seed: int) -> np.ndarray:
     return vector
 
 
-def beta_cdf(a: float, b: float, x: float) -> float:
-    """Regularised incomplete beta function by its continued fraction (modified Lentz)."""
+def beta_cdf(a: float, b: float, x: float, terms: int = 100_000) -> float:
+    """Regularised incomplete beta function by its continued fraction (modified Lentz).
+
+    A fraction that has not settled after ``terms`` steps is an error.
+    """
     if x <= 0.0 or x >= 1.0:
         return 0.0 if x <= 0.0 else 1.0
     if x > (a + 1.0) / (a + b + 2.0):
-        return 1.0 - beta_cdf(b, a, 1.0 - x)
+        return 1.0 - beta_cdf(b, a, 1.0 - x, terms)
     tiny = 1e-300
     front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b)
                      + a * math.log(x) + b * math.log1p(-x)) / a
     c, d = 1.0, 1.0 / max(1.0 - (a + b) * x / (a + 1.0), tiny)
     value = d
-    for m in range(1, 100_000):
+    for m in range(1, terms):
         for term in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)),
                      -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
             d = 1.0 + term * d
@@ -69,8 +72,8 @@ def beta_cdf(a: float, b: float, x: float) -> float:
             c = c if abs(c) > tiny else tiny
             value *= d * c
         if abs(d * c - 1.0) < 1e-15:
-            break
-    return front * value
+            return front * value
+    raise ArithmeticError(f"the incomplete beta function does not converge at a={a}, b={b}, x={x}")
 
 
 def t_two_sided(t: float, df: float) -> float:

@@ -6,7 +6,7 @@ from itertools import chain
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from narralytics.constants import FINE_LABELS_BY_COARSE
+from narralytics.constants import COARSE_LABEL
 
 
 def vocabulary(spark: SparkSession, labels: list[str], name: str = "label") -> DataFrame:
@@ -15,14 +15,14 @@ def vocabulary(spark: SparkSession, labels: list[str], name: str = "label") -> D
 
 
 def label_mapping() -> Column:
-    pairs = [(fine, coarse) for coarse, names in FINE_LABELS_BY_COARSE.items() for fine in names.split()]
-    return F.create_map(*[F.lit(x) for x in chain.from_iterable(pairs)])
+    return F.create_map(*[F.lit(x) for x in chain.from_iterable(COARSE_LABEL.items())])
 
 
 def remap_label(label: Column) -> Column:
-    """Coarse label of a fine label; null for blank or unknown input."""
+    """Coarse label of a fine label; null for a blank one. Any other label stops the job and is named."""
     key = F.lower(F.trim(label))
-    return F.when(F.coalesce(key, F.lit("")) != "", F.try_element_at(label_mapping(), key))
+    unknown = F.raise_error(F.concat(F.lit("label outside the taxonomy: "), label))
+    return F.when(F.coalesce(key, F.lit("")) != "", F.coalesce(F.try_element_at(label_mapping(), key), unknown))
 
 
 def label_code(label: Column, labels: list[str]) -> Column:

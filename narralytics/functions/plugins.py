@@ -112,6 +112,3 @@ class StatisticalTagger:
                 yield pd.DataFrame(rows, columns=["verbs", "past_verbs", "first_person", "tokens"])
 
         return df.withColumn("_c", count(F.col(text))).select(*df.columns, "_c.*")
-
-
-default_tokens = tokens_13a

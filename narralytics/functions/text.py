@@ -9,7 +9,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from narralytics.constants import DELETED_MARKERS, MAX_COMMENT_CHARS
+from narralytics.constants import DELETED_MARKERS
 
 # Java's \s is ASCII only; the (?U) class still misses the four information separators.
 WHITESPACE = r"(?U)[\s\x1c-\x1f]+"
@@ -65,11 +65,11 @@ def cluster_text(name: Column, terms: Column, docs: Column, doc_limit: int = 600
     )
 
 
-def usable_comment(text: Column, limit: int = MAX_COMMENT_CHARS) -> Column:
-    """Trimmed and clipped comment, null when blank or a deletion marker."""
+def usable_comment(text: Column, limit: int | None = None) -> Column:
+    """Trimmed comment, clipped to ``limit`` characters when given; null when blank or a deletion marker."""
     stripped = F.regexp_replace(text, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
     keep = (stripped != "") & ~stripped.isin(DELETED_MARKERS)
-    return F.when(keep, F.substring(stripped, 1, limit))
+    return F.when(keep, stripped if limit is None else F.substring(stripped, 1, limit))
 
 
 def clean_markup(text: Column) -> Column:

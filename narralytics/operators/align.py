@@ -106,23 +106,50 @@ def pivot_conditions(scores: DataFrame, conditions: Sequence[str], by: Sequence[
     return wide.select(*by, *[F.col(f"{c}_value").alias(c) for c in conditions])
 
 
-def shared_sources(left: DataFrame, right: DataFrame, source: str = "source_text") -> DataFrame:
-    """Rows of two test sets with the same normalised source.
+def shared_sources(left: DataFrame, right: DataFrame, source: str = "source_text", check: bool = True) -> DataFrame:
+    """Rows of two test sets with the same normalised source, one to one.
 
-    Each key keeps its first row, found from (digest, id) alone; texts are read only for the pairs.
+    A shared source that one side repeats is an error; without ``check`` its first row counts. Keys are found
+    from (digest, id) alone; texts are read only for the pairs.
     """
     def firsts(df: DataFrame, tag: str) -> DataFrame:
-        return df.groupBy(key_digest(F.col(source)).alias("_key")).agg(F.min("sample_id").alias(f"sample_id_{tag}"))
+        return df.groupBy(key_digest(F.col(source)).alias("_key")).agg(
+            F.min("sample_id").alias(f"sample_id_{tag}"), F.count("*").alias(f"_n_{tag}"))
 
     def rows(df: DataFrame, tag: str) -> DataFrame:
         return df.select(*[F.col(c).alias(f"{c}_{tag}") for c in ("sample_id", "emotion_label", "reference_narrative")])
 
-    pairs = firsts(left, "left").join(firsts(right, "right"), "_key").drop("_key")
+    keyed = firsts(left, "left").join(firsts(right, "right"), "_key")
+    if check:
+        repeated = keyed.where("_n_left > 1 OR _n_right > 1").select("sample_id_left", "sample_id_right").take(5)
+        if repeated:
+            raise ValidationError(f"shared sources are repeated: {[tuple(r) for r in repeated]}")
+    pairs = keyed.select("sample_id_left", "sample_id_right")
     return pairs.join(rows(left, "left"), "sample_id_left").join(rows(right, "right"), "sample_id_right")
 
 
-def shared_source_summary(pairs: DataFrame) -> DataFrame:
+def pair_table(runs: DataFrame, pairs: DataFrame, metrics: Sequence[str], run: str = "run", check: bool = True) -> DataFrame:
+    """(pair, dataset, sample_id, ``<metric>_a``, ``<metric>_b``) for every row of ``pairs`` (pair, run_a, run_b, dataset).
+
+    Both runs of a pair must cover the same samples of its dataset; otherwise it is an error.
+    """
+    def side(tag: str) -> DataFrame:
+        named = pairs.select("pair", "dataset", F.col(f"run_{tag}").alias(run))
+        return named.join(runs, [run, "dataset"]).select(
+            "pair", "dataset", "sample_id", *[F.col(m).alias(f"{m}_{tag}") for m in metrics], F.lit(True).alias(f"_has_{tag}"))
+
+    both = side("a").join(side("b"), ["pair", "dataset", "sample_id"], "full_outer")
+    if check:
+        alone = both.where("_has_a IS NULL OR _has_b IS NULL").select("pair", "dataset", "sample_id").take(5)
+        if alone:
+            raise ValidationError(f"only one run of the pair has {[tuple(r) for r in alone]}")
+    return both.drop("_has_a", "_has_b")
+
+
+def shared_source_summary(pairs: DataFrame, left_rows: int, right_rows: int) -> DataFrame:
+    """Shared rows, their share of the smaller test set, and agreements of label and narrative."""
     return pairs.agg(
+        (F.count("*") / F.lit(float(max(1, min(left_rows, right_rows))))).alias("share_of_smaller"),
         F.count("*").alias("shared_sources"),
         F.count_if(F.col("emotion_label_left") == F.col("emotion_label_right")).alias("label_agreements"),
         F.count_if(match_key(F.col("reference_narrative_left")) == match_key(F.col("reference_narrative_right")))

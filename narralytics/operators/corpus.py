@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from narralytics.constants import (
-    FIRST_PERSON_GRID, FIRST_PERSON_THRESHOLD, MIN_WORD_COUNT, PAST_GRID, PAST_THRESHOLD, TOPIC_SAMPLE_ROWS,
+    FIRST_PERSON_GRID, FIRST_PERSON_THRESHOLD, MIN_WORD_COUNT, PAST_GRID, PAST_THRESHOLD,
 )
 from narralytics.functions.plugins import RuleTagger
 from narralytics.functions.text import clean_markup, collapse_without_urls, safe_int, safe_number, tag_topics, word_count
@@ -25,12 +25,12 @@ def long_documents(df: DataFrame, text: str = "text", min_words: int = MIN_WORD_
     return clean.withColumn("word_count", counted).where(F.col("word_count") > min_words)
 
 
-def sequential_sample(df: DataFrame, ordinal: str, rows: int = TOPIC_SAMPLE_ROWS, text: str = "text",
+def sequential_sample(df: DataFrame, ordinal: str, rows: int | None = None, text: str = "text",
                       min_words: int = MIN_WORD_COUNT) -> DataFrame:
-    """The first ``rows`` long documents in ordinal order; rows with a bad count are skipped."""
+    """The first ``rows`` long documents in ordinal order (all by default); rows with a bad count are skipped."""
     words = safe_number(F.col("word_count")) if "word_count" in df.columns else word_count(F.col(text))
     keep = (F.trim(F.coalesce(F.col(text), F.lit(""))) != "") & (words.cast("long") > min_words)
-    return first_by_ordinal(df.where(keep), ordinal, rows)
+    return df.where(keep) if rows is None else first_by_ordinal(df.where(keep), ordinal, rows)
 
 
 def narrative_ratios(df: DataFrame, text: str = "text", tagger=None) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from narralytics.operators.parsing import parse_strict
-from narralytics.operators.ranking import rank_by_value
+from narralytics.session import stored
 
 # A client maps a prompt to (text, finish reason); making one per task is the caller's factory.
 Client = Callable[[str], tuple[str, str]]
@@ -46,7 +46,8 @@ def request_rows(df: DataFrame, prompt: str, make_client: Callable[[], Client],
 def generate_predictions(df: DataFrame, prompt: str, make_client: Callable[[], Client], model: str, run_name: str,
                          concurrency: int | None = None) -> DataFrame:
     """Prediction table with parse and request outcome per row; failed rows stay, with empty fields."""
-    parsed = parse_strict(request_rows(df, prompt, make_client, concurrency=concurrency))
+    answers = stored(request_rows(df, prompt, make_client, concurrency=concurrency), "answers")  # asked once, read many times
+    parsed = parse_strict(answers)
     failed = F.col("request_error") != ""
     return parsed.select(
         "sample_id", "predicted_narrative", "predicted_emotion_label", "raw_generation", "parse_success",
@@ -57,26 +58,23 @@ def generate_predictions(df: DataFrame, prompt: str, make_client: Callable[[], C
 def score_rows(df: DataFrame, prompt: str, make_client: Callable[[], Client], schema: str, retries: int = 3,
                key: str = "sample_id", check: bool = True) -> DataFrame:
     """JSON scores per row with retries; a row that keeps failing is an error unless ``check`` is off."""
-    answered = request_rows(df, prompt, make_client, retries, key)
+    answered = stored(request_rows(df, prompt, make_client, retries, key), "scores")
     if check:
         guard = F.when(F.col("request_error") != "", F.raise_error(F.concat(F.lit("request failed: "), F.col("request_error")))).otherwise(F.col("raw_generation"))
         answered = answered.withColumn("raw_generation", guard)
     return answered.select(key, F.from_json("raw_generation", schema).alias("s")).select(key, "s.*")
 
 
-def token_batches(df: DataFrame, ordinal: str, tokens: str, batch_size: int, max_batch_tokens: int,
-                  shard_rows: int = 100_000) -> DataFrame:
+def token_batches(df: DataFrame, shard: str, ordinal: str, tokens: str, batch_size: int, max_batch_tokens: int) -> DataFrame:
     """Greedy batches of consecutive rows whose padded size (longest x count) stays in the budget.
 
-    Rows are cut into shards of consecutive ordinals and each shard is packed on its own, so a batch
-    never crosses a shard edge and no task sees more than ``shard_rows`` rows.
+    Every value of the ``shard`` column is packed on its own, in ordinal order; the caller's shards bound
+    what one task sees, and a batch never crosses them.
     """
-    ranked = rank_by_value(df.select(ordinal, tokens), ordinal, out="_rank")
-    shards = ranked.withColumn("shard", F.floor((F.col("_rank") - 1) / shard_rows).cast("long"))
-    kind = dict(df.dtypes)[ordinal]
+    kinds = dict(df.dtypes)
 
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_rank")
+        pdf = pdf.sort_values(ordinal)
         ids, batch, count, longest = [], 0, 0, 0
         for size in pdf[tokens]:
             widest = max(longest, size)
@@ -85,6 +83,6 @@ def token_batches(df: DataFrame, ordinal: str, tokens: str, batch_size: int, max
                 batch, count, widest = batch + 1, 0, size
             count, longest = count + 1, widest
             ids.append(batch)
-        return pd.DataFrame({ordinal: pdf[ordinal], "shard": pdf["shard"], "batch": ids})
+        return pd.DataFrame({ordinal: pdf[ordinal], shard: pdf[shard], "batch": ids})
 
-    return shards.groupBy("shard").applyInPandas(pack, f"{ordinal} {kind}, shard long, batch long")
+    return df.select(shard, ordinal, tokens).groupBy(shard).applyInPandas(pack, f"{ordinal} {kinds[ordinal]}, {shard} {kinds[shard]}, batch long")

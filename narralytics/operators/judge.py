@@ -1,12 +1,11 @@
 """Judge, argument and manual-review summaries, and the content-addressed score cache."""
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from narralytics.functions.text import safe_number
+from narralytics.session import stored
 
 
 def _means(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
@@ -36,11 +35,19 @@ def cache_key(sample_id: Column, model: str, prompt_version: str, *content: Colu
 
 
 def cached_scores(rows: DataFrame, cache: DataFrame, key: str = "cache_key") -> tuple[DataFrame, DataFrame]:
-    """(hits with their scores, misses still to be scored)."""
-    return rows.join(cache, key), rows.join(cache.select(key), key, "left_anti")
+    """(hits with their scores, misses still to be scored). Of a repeated key the cache's smallest row counts."""
+    others = [c for c in cache.columns if c != key]
+    once = cache.groupBy(key).agg(F.min(F.struct(*others)).alias("_s")).select(key, "_s.*")
+    return rows.join(once, key), rows.join(once.select(key), key, "left_anti")
+
 
+def score_with_cache(rows: DataFrame, cache: DataFrame, score, key: str = "cache_key", append_to: str | None = None) -> DataFrame:
+    """Hits from the cache, misses through ``score`` (a DataFrame function that adds the cache columns).
 
-def score_with_cache(rows: DataFrame, cache: DataFrame, score, key: str = "cache_key") -> DataFrame:
-    """Hits from the cache, misses through ``score`` (a DataFrame function that adds the cache columns)."""
+    New scores are computed once and, with ``append_to``, added to the cache table at that path.
+    """
     hits, misses = cached_scores(rows, cache, key)
-    return reduce(lambda a, b: a.unionByName(b), [hits, score(misses).select(*hits.columns)])
+    new = stored(score(misses).select(*hits.columns), "new-scores")
+    if append_to is not None:
+        new.select(*cache.columns).dropDuplicates([key]).write.mode("append").parquet(append_to)
+    return hits.unionByName(new)

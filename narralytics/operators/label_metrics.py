@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from narralytics.constants import EMOTION_LABELS
@@ -15,8 +15,13 @@ MAX_MATRIX_LABELS = 1000
 GOLD, PRED = "emotion_label", "predicted_emotion_label"
 
 
+def _label(column: str) -> Column:
+    """A null label counts as an empty one, in every metric alike."""
+    return F.coalesce(F.col(column), F.lit(""))
+
+
 def accuracy(df: DataFrame, by: Sequence[str] = (), gold: str = GOLD, pred: str = PRED) -> DataFrame:
-    hit = (F.col(gold) == F.col(pred)).cast("double")
+    hit = (_label(gold) == _label(pred)).cast("double")
     return df.groupBy(*by).agg(F.avg(hit).alias("accuracy"), F.count("*").alias("n"))
 
 
@@ -26,16 +31,16 @@ def correctness(df: DataFrame, gold: str = GOLD, pred: str = PRED) -> DataFrame:
 
 def cell_counts(df: DataFrame, by: Sequence[str] = (), gold: str = GOLD, pred: str = PRED) -> DataFrame:
     """Sparse confusion counts; partial aggregation leaves a handful of rows per task."""
-    return df.groupBy(*by, F.col(gold).alias("gold"), F.col(pred).alias("pred")).agg(F.count("*").alias("n"))
+    return df.groupBy(*by, _label(gold).alias("gold"), _label(pred).alias("pred")).agg(F.count("*").alias("n"))
 
 
 def confusion_grid(cells: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Zero-filled square over every label seen on either side (long form)."""
     seen = cells.select(*by, F.explode(F.array("gold", "pred")).alias("label"))
     grid = seen.groupBy(*by).agg(F.sort_array(F.collect_set("label")).alias("labels"))
-    limit = F.assert_true(F.size("labels") <= MAX_MATRIX_LABELS, F.lit("too many labels for a square matrix"))
-    grid = (grid.withColumn("_ok", limit).withColumn("gold", F.explode("labels"))
-            .withColumn("pred", F.explode("labels")).drop("labels", "_ok"))
+    stop = F.raise_error(F.lit(f"more than {MAX_MATRIX_LABELS} labels for a square matrix")).cast("array<string>")
+    checked = F.when(F.size("labels") <= MAX_MATRIX_LABELS, F.col("labels")).otherwise(stop)
+    grid = (grid.select(*by, "labels", F.explode(checked).alias("gold")).select(*by, "gold", F.explode("labels").alias("pred")))
     joined = grid.join(cells, [*by, "gold", "pred"], "left")
     return joined.select(*by, "gold", "pred", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 

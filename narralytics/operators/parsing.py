@@ -36,10 +36,13 @@ def parse_strict(df: DataFrame, raw: str = "raw_generation", labels: Sequence[st
                           F.when(ok, F.col("_l")).otherwise("").alias(LABEL), ok.alias("parse_success"), "parse_error")
 
 
+# fixed values: a field of an answer that is not JSON
+LOOSE_FIELD = r'(?is)"?{name}"?\s*[:=]\s*"?(.*?)"?(?:,|\n|$)'
+
+
 def _field(name: str) -> Column:
     """Loose field value from text that is not JSON, with quotes and commas removed."""
-    pattern = rf'(?is)"?{name}"?\s*[:=]\s*"?(.*?)"?(?:,|\n|$)'
-    value = F.regexp_replace(F.regexp_extract("_raw", pattern, 1), r"^\s+|\s+$", "")
+    value = F.regexp_replace(F.regexp_extract("_raw", LOOSE_FIELD.format(name=name), 1), r"^\s+|\s+$", "")
     value = F.trim(F.regexp_replace(value, "^,+|,+$", ""))
     value = F.rtrim(F.regexp_replace(value, r"\}$", ""))
     return collapse(F.regexp_replace(F.regexp_replace(value, '^"+|"+$', ""), "^'+|'+$", ""))

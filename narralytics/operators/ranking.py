@@ -58,22 +58,30 @@ def rank_by_value(df: DataFrame, ordinal: str, groups: Sequence[str] = (), out:
     return _shifted_rank(df, bucket, [F.col(ordinal)], groups, out)
 
 
-def first_by_ordinal(df: DataFrame, ordinal: str, rows: int, buckets: int = 100_000) -> DataFrame:
-    """The first ``rows`` rows in the order of a unique numeric ordinal, sorted.
+def first_by_ordinal(df: DataFrame, ordinal: str, rows: int, buckets: int = 4096, small: int = 10_000) -> DataFrame:
+    """The rows with the ``rows`` smallest values of a unique numeric ordinal, in no order, on all partitions.
 
-    Counting equal-width ordinal ranges first bounds what the final sort may see: without that, every
-    task would hand its own first ``rows`` rows to one merging task.
+    The last value that belongs to them is found from exact counts: ordinal ranges are counted, the range that
+    holds the last row is cut again from its own smallest to its own largest value, until few enough rows are
+    left in it to look at. Rows without an ordinal are left out.
     """
-    value = F.col(ordinal).cast("double")
-    low, high = df.agg(F.min(value), F.max(value)).first()
-    if low is None or low == high:
-        return df.orderBy(ordinal).limit(rows)
-    bucket = F.floor((value - low) / (high - low) * buckets)
-    counts = df.groupBy(bucket.alias("_bucket")).agg(F.count("*").alias("_n"))
-    running = F.sum("_n").over(Window.partitionBy().orderBy("_bucket"))  # at most one row per bucket
-    last = counts.withColumn("_sum", running).where(F.col("_sum") >= rows).agg(F.min("_bucket")).first()[0]
-    kept = df if last is None else df.where(bucket <= last)
-    return kept.orderBy(ordinal).limit(rows)
+    value = F.col(ordinal)
+    inside, need = df.where(value.isNotNull()).select(ordinal), rows
+    low, high, size = inside.agg(F.min(value), F.max(value), F.count(value)).first()
+    if rows <= 0 or not size:
+        return df.where(F.lit(False))
+    while size > need:
+        if size <= small or low == high:
+            cut = inside.where(value.between(low, high)).orderBy(ordinal).limit(need).agg(F.max(value)).first()[0]
+            return df.where(value <= cut)
+        part = F.floor((value.cast("double") - float(low)) / (float(high) - float(low)) * buckets)
+        counts = inside.where(value.between(low, high)).groupBy(part.alias("_part")).agg(
+            F.count("*").alias("_n"), F.min(value).alias("_low"), F.max(value).alias("_high"))
+        end = F.sum("_n").over(Window.partitionBy().orderBy("_part"))  # at most one row per range
+        last = counts.withColumn("_end", end).where(F.col("_end") >= need).orderBy("_part").first()
+        need -= last["_end"] - last["_n"]
+        low, high, size = last["_low"], last["_high"], last["_n"]
+    return df.where(value <= high)
 
 
 def top_per_group(df: DataFrame, groups: Sequence[str], order: Sequence[Column], k: int, out: str = "rank") -> DataFrame:

@@ -1,14 +1,15 @@
-"""Bootstraps as joins: replicates are rows, draws are computed in place, sums are pre-aggregated.
+"""Bootstraps: replicates are rows, draws are computed in place, sums are pre-aggregated.
 
-The small path explodes replicate x slot and looks rows up by index in a size-checked broadcast of
-the statistics. Beyond the limit the draws of a replicate are split over row blocks by seeded
-binomials, so each block resamples its own rows and nothing but per-block sums is shuffled; the
-joint distribution of the draws is the same.
+Rows are cut into blocks. The draws of a replicate are split over the blocks by seeded binomials, each
+block resamples its own rows, and nothing but per-block sums is shuffled; label bootstraps draw the cells of
+the label table as one multinomial. This is the one way at every table size. ``portable=True`` draws row by row
+with a hash that any SQL engine can repeat, at every size too; it is meant for checks against SQL.
 """
 from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -23,8 +24,7 @@ from narralytics.operators.ranking import rank_by_value
 from narralytics.session import cut_lineage
 
 DEFAULT_SAMPLES = 10_000
-BROADCAST_ROWS = 1_000_000
-BROADCAST_VALUES = 16_000_000  # rows x value columns, 128 MB of doubles
+BROADCAST_VALUES = 16_000_000  # values of a table that is sent to every task: 128 MB of doubles
 BLOCK_ROWS = 65_536
 ZERO = 1e-12  # distributed sums differ in their last bits; replicates this close to 0 count as ties
 
@@ -53,22 +53,25 @@ def drawn_sums(reps: DataFrame, stats: DataFrame, groups: Sequence[str], keys: S
                seed: int, portable: bool = False, extra: Sequence[str] = ()) -> DataFrame:
     """Sums over n draws with replacement per row of ``reps`` (its ``n`` rows of its group).
 
-    The slots of a replicate stay in its partition, so grouping needs no further exchange.
+    The slots of a replicate stay in its partition; rows are looked up in a broadcast table when it is small
+    enough, else by a shuffled join with the same result.
     """
     draws = reps.withColumn("slot", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))))
     picked = draws.withColumn("idx", draw_index(F.col("n"), seed, *[F.col(k) for k in keys], F.col("slot"), portable=portable))
-    joined = picked.join(F.broadcast(stats.select(*groups, "idx", *values, *extra)), [*groups, "idx"])
+    table = stats.select(*groups, "idx", *values, *extra)
+    if stats.count() * (1 + len(groups) + len(values) + len(extra)) <= BROADCAST_VALUES:
+        table = F.broadcast(table)
+    joined = picked.join(table, [*groups, "idx"])
     aggregates = [F.sum(v).alias(v) for v in values] + [F.count("*").alias("draws")]
     return joined.groupBy(*keys, *[g for g in groups if g not in keys], *extra).agg(*aggregates)
 
 
 def resampled_sums(stats: DataFrame, values: Sequence[str], groups: Sequence[str], samples: int, seed: int,
-                   portable: bool = False, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+                   portable: bool = False) -> DataFrame:
     """(groups, replicate, summed values, draws) of a row bootstrap over an indexed table."""
-    sizes = group_sizes(stats, groups)
-    total = sizes.agg(F.sum("n")).first()[0] or 0
-    if total <= broadcast_rows and total * max(1, len(values)) <= BROADCAST_VALUES:
-        return drawn_sums(replicates(sizes, samples, groups), stats, groups, [*groups, "replicate"], values, seed, portable)
+    if portable:
+        reps = replicates(group_sizes(stats, groups), samples, groups)
+        return drawn_sums(reps, stats, groups, [*groups, "replicate"], values, seed, True)
     return block_sums(stats, values, groups, samples, seed)
 
 
@@ -91,7 +94,9 @@ def block_sums(stats: DataFrame, values: Sequence[str], groups: Sequence[str], s
                block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Bootstrap sums for tables of any size; a task holds one block of rows."""
     names, cols = list(groups), list(values)
-    sized = stats.join(group_sizes(stats, groups), names) if names else stats.withColumn("n", F.lit(stats.count()).cast("long"))
+    sizes = group_sizes(stats, groups).select(*[F.col(g).alias(f"_g{i}") for i, g in enumerate(names)], "n")
+    same = reduce(lambda x, y: x & y, [F.col(g).eqNullSafe(F.col(f"_g{i}")) for i, g in enumerate(names)], F.lit(True))
+    sized = stats.join(sizes, same) if names else stats.withColumn("n", F.lit(stats.count()).cast("long"))
     blocks = sized.withColumn("_block", F.floor(F.col("idx") / block_rows).cast("long"))
 
     def resample(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
@@ -227,21 +232,21 @@ def multinomial_cells(reps: DataFrame, cells: DataFrame, groups: Sequence[str],
     return work.mapInPandas(draw, schema)
 
 
-def replicate_cells(reps: DataFrame, sizes: DataFrame, cells: DataFrame, groups: Sequence[str], keys: Sequence[str],
-                    seed: int, portable: bool, broadcast_rows: int) -> DataFrame:
-    """Cell counts per replicate: drawn row by row up to the limit, as multinomials beyond it."""
-    if (sizes.agg(F.sum("n")).first()[0] or 0) <= broadcast_rows:
-        return drawn_sums(reps, cells, groups, keys, [], seed, portable, extra=["g", "a", "c"])
+def replicate_cells(reps: DataFrame, cells: DataFrame, groups: Sequence[str], keys: Sequence[str],
+                    seed: int, portable: bool) -> DataFrame:
+    """Cell counts per replicate, as multinomials; row by row only when the draws have to be portable."""
+    if portable:
+        return drawn_sums(reps, cells, groups, keys, [], seed, True, extra=["g", "a", "c"])
     return multinomial_cells(reps, cells, groups, keys, seed)
 
 
 def label_bootstrap(pairs: DataFrame, groups: Sequence[str] = ("dataset",), samples: int = DEFAULT_SAMPLES, seed: int = 42,
-                    portable: bool = False, broadcast_rows: int = BROADCAST_ROWS, p_smoothing: bool = False) -> DataFrame:
+                    portable: bool = False, p_smoothing: bool = False) -> DataFrame:
     """Paired bootstrap of the accuracy and macro-F1 differences (second system minus first)."""
     cells = label_cells(pairs, groups)
     keys = [*groups, "replicate"]
     sizes = group_sizes(cells, groups)
-    counts = replicate_cells(replicates(sizes, samples, groups), sizes, cells, groups, keys, seed, portable, broadcast_rows)
+    counts = replicate_cells(replicates(sizes, samples, groups), cells, groups, keys, seed, portable)
     distribution = label_score_differences(counts, keys)
     points = label_score_differences(cell_totals(cells, groups), groups).withColumnRenamed("value", "difference")
     return summarise(distribution, points, [*groups, "metric"], p_smoothing)
@@ -306,7 +311,7 @@ def hierarchical_contrasts(cells: DataFrame, metrics: Sequence[str], contrasts:
 
 
 def hierarchical_label_bootstrap(pairs: DataFrame, groups: Sequence[str] = ("dataset",), samples: int = DEFAULT_SAMPLES,
-                                 seed: int = 42, portable: bool = False, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+                                 seed: int = 42, portable: bool = False) -> DataFrame:
     """Seeds drawn per replicate, with fresh rows for every drawn seed slot."""
     by_seed = [*groups, "seed"]
     cells = label_cells(pairs, by_seed)
@@ -314,7 +319,7 @@ def hierarchical_label_bootstrap(pairs: DataFrame, groups: Sequence[str] = ("dat
     keys = [*groups, "replicate", "seed_slot"]
     width = int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     reps = seed_draws(sizes, groups, samples, seed, portable).join(sizes, by_seed).repartition(width, *keys)
-    counts = replicate_cells(reps, sizes, cells, by_seed, keys, seed, portable, broadcast_rows)
+    counts = replicate_cells(reps, cells, by_seed, keys, seed, portable)
     per_slot = label_score_differences(counts.drop("seed"), keys)
     distribution = per_slot.groupBy(*groups, "replicate", "metric").agg(F.avg("value").alias("value"))
     points = label_score_differences(cell_totals(cells, by_seed), by_seed).groupBy(*groups, "metric").agg(F.avg("value").alias("difference"))

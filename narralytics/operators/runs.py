@@ -30,15 +30,18 @@ def build_summary(sources: Sequence[DataFrame | None], aliases: dict[str, str] =
     return rows.select("r.*").groupBy("metric").agg(F.max_by("value", "_rank").alias("value"))
 
 
-def summary_wide(summary: DataFrame, metrics: Sequence[str]) -> DataFrame:
-    return summary.groupBy().pivot("metric", list(metrics)).agg(F.first("value"))
-
-
 def check_summary(recomputed: DataFrame, stored: DataFrame, tolerance: float = 1e-9, by: Sequence[str] = ()) -> DataFrame:
-    """Largest difference between recomputed and stored metrics, and whether it is within tolerance."""
-    both = recomputed.select(*by, "metric", F.col("value").alias("_a")).join(stored.select(*by, "metric", F.col("value").alias("_b")), [*by, "metric"])
-    return both.groupBy(*by).agg(F.max(F.abs(F.col("_a") - F.col("_b"))).alias("max_difference"), F.count("*").alias("metrics")).withColumn(
-        "equal", F.col("max_difference") <= tolerance)
+    """Largest difference between recomputed and stored metrics, and whether all are within tolerance.
+
+    A metric that only one side has, or that is no number, is unequal; nothing to compare at all is an error.
+    """
+    both = recomputed.select(*by, "metric", F.col("value").alias("_a")).join(
+        stored.select(*by, "metric", F.col("value").alias("_b")), [*by, "metric"], "full_outer")
+    gap = F.nanvl(F.abs(F.col("_a") - F.col("_b")), F.lit(None).cast("double"))
+    found = both.groupBy(*by).agg(F.max(gap).alias("max_difference"), F.count("*").alias("metrics"),
+                                  F.count_if(F.coalesce(gap <= tolerance, F.lit(False))).alias("_close"))
+    nothing = F.raise_error(F.lit("no metric to compare")).cast("boolean")
+    return found.withColumn("equal", F.when(F.col("metrics") > 0, F.col("_close") == F.col("metrics")).otherwise(nothing)).drop("_close")
 
 
 def join_training(manifest: DataFrame, results: DataFrame, min_epoch: float, global_step: int, check: bool = True) -> DataFrame:
@@ -86,14 +89,28 @@ def available_checkpoints(history: DataFrame, files: DataFrame, by: Sequence[str
     return history.join(files.select(*by, "step").distinct(), [*by, "step"], "left_semi")
 
 
-def select_checkpoint(history: DataFrame, by: Sequence[str] = ("run",)) -> DataFrame:
+def select_checkpoint(history: DataFrame, by: Sequence[str] = ("run",), named: DataFrame | None = None,
+                      runs: DataFrame | None = None) -> DataFrame:
+    """The step with the lowest loss per run, or the one that ``named`` (by, step) asks for.
+
+    A run of ``runs`` without any candidate left is an error.
+    """
+    if named is not None:
+        asked = named.select(*by, F.col("step").alias("_step"))
+        history = history.join(asked, list(by), "left").where(F.col("_step").isNull() | (F.col("_step") == F.col("step"))).drop("_step")
+    if runs is not None:
+        lost = runs.select(*by).distinct().join(history.select(*by).distinct(), list(by), "left_anti").take(5)
+        if lost:
+            raise ValidationError(f"no checkpoint is left for {[tuple(r) for r in lost]}")
     return history.groupBy(*by).agg(F.min(F.struct("eval_loss", "step")).alias("_b")).select(
         *by, F.col("_b.step").alias("selected_step"), F.col("_b.eval_loss").alias("selected_loss"))
 
 
-def telemetry_phase() -> Column:
-    return F.when(F.coalesce(F.col("training_running"), F.lit(0)) > 0, "training").when(
-        F.col("evaluation_phase") == "evaluating", "evaluation")
+def with_phases(records: DataFrame) -> DataFrame:
+    """A row per record and phase: training while runs are going, evaluation while evaluating; a record can be both."""
+    training = F.when(F.coalesce(F.col("training_running"), F.lit(0)) > 0, "training")
+    evaluation = F.when(F.col("evaluation_phase") == "evaluating", "evaluation")
+    return records.withColumn("phase", F.explode(F.array_compact(F.array(training, evaluation))))
 
 
 def telemetry_rollup(records: DataFrame, by: Sequence[Column | str] = ("phase",), busy: float = 90.0) -> DataFrame:

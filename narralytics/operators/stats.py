@@ -69,11 +69,16 @@ def seed_advantages(metrics: DataFrame, treatment: str, control: str, by: Sequen
         F.max(F.when(F.col("condition") == treatment, F.col("value"))).alias("treatment"),
         F.max(F.when(F.col("condition") == control, F.col("value"))).alias("control"))
     advantage = direction(F.col("metric")) * (F.col("treatment") - F.col("control"))
-    return wide.withColumn("advantage", advantage)
+    lone = F.raise_error(F.concat(F.lit("seed without both conditions: "), F.col("seed").cast("string"))).cast("double")
+    both = F.col("treatment").isNotNull() & F.col("control").isNotNull()
+    return wide.withColumn("advantage", F.when(both, advantage).otherwise(lone))
 
 
 def sign_flip_p(values: Column) -> Column:
-    """Share of all 2^k sign vectors whose mean is at least as far from 0 as the observed one."""
+    """Share of all 2^k sign vectors whose mean is at least as far from 0 as the observed one.
+
+    More than ``MAX_SIGN_FLIP_SEEDS`` values are an error: their sign vectors do not fit into one row.
+    """
     k = F.size(values)
     mean_of = lambda mask: F.aggregate(
         F.sequence(F.lit(0), k - 1), F.lit(0.0),
@@ -81,7 +86,8 @@ def sign_flip_p(values: Column) -> Column:
     observed = F.abs(F.aggregate(values, F.lit(0.0), lambda a, v: a + v) / k)
     masks = F.sequence(F.lit(0), F.call_function("shiftleft", F.lit(1), k) - 1)
     extreme = F.size(F.filter(masks, lambda m: F.abs(mean_of(m)) >= observed - 1e-15))
-    return F.when(k <= MAX_SIGN_FLIP_SEEDS, extreme / F.size(masks))
+    too_many = F.raise_error(F.lit(f"the exact test takes at most {MAX_SIGN_FLIP_SEEDS} seeds")).cast("double")
+    return F.when(k <= MAX_SIGN_FLIP_SEEDS, extreme / F.size(masks)).otherwise(too_many)
 
 
 def _spread(column: str) -> Column:
@@ -156,12 +162,13 @@ def run_table(metrics: DataFrame, names: Sequence[str], by: Sequence[str] = ("da
     return metrics.groupBy(*by).pivot("metric", list(names)).agg(F.first("value"))
 
 
-def verdict(results: DataFrame, favoured: str = "favored", treatment: str = "treatment", control: str = "control") -> DataFrame:
-    """Overall reading of a family of comparisons from its wins and losses."""
+def verdict(results: DataFrame, favoured: str = "favored", treatment: str = "treatment", control: str = "control",
+            min_wins: int = 1) -> DataFrame:
+    """Overall reading of a family of comparisons from its wins and losses; fewer than ``min_wins`` wins are none."""
     counts = results.agg(F.count("*").alias("comparisons"), F.count_if(F.col(favoured) == treatment).alias("wins"),
                          F.count_if(F.col(favoured) == control).alias("losses"))
     return counts.withColumn("verdict", F.when(F.col("wins") == F.col("comparisons"), "consistent_improvement")
-                             .when((F.col("wins") > 0) & (F.col("losses") == 0), "partial_improvement")
+                             .when((F.col("wins") >= min_wins) & (F.col("losses") == 0), "partial_improvement")
                              .when(F.col("losses") > 0, "not_superior").otherwise("no_clear_difference"))
 
 

@@ -23,8 +23,8 @@ class TopicStudy:
 
 
 def study_topics(comments: DataFrame, ordinal: str, codebook: DataFrame, make_encoder: Callable[[], Encoder] = HashingEncoder,
-                 rows: int = 50_000, clusters: int = 50, min_size: int = 120, min_topics: int = 5) -> TopicStudy:
-    """The reviewer fills the blank columns of ``review``; ``select_topics`` then exports the choice."""
+                 rows: int | None = None, clusters: int = 50, min_size: int = 120, min_topics: int = 5) -> TopicStudy:
+    """All long comments are studied unless ``rows`` asks for the first so many. The reviewer fills the blank columns of ``review``; ``select_topics`` then exports the choice."""
     encode = encode_column(make_encoder)
     sample = C.sequential_sample(comments, ordinal, rows)
     documents = C.long_documents(sample).withColumn("vec", encode(F.col("text")))
@@ -38,7 +38,3 @@ def study_topics(comments: DataFrame, ordinal: str, codebook: DataFrame, make_en
     prototypes = codebook.withColumn("vec", encode(F.col("prototype_text")))
     candidates = T.rank_candidates(described, prototypes)
     return TopicStudy(assigned, terms, summary, candidates, T.review_table(described, candidates, codebook))
-
-
-def export_selected(assignments: DataFrame, chosen: DataFrame, ordinal: str) -> DataFrame:
-    return C.select_topics(assignments, chosen, ordinal)

@@ -4,7 +4,6 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,12 +12,12 @@ from narralytics.operators import label_metrics as L
 from narralytics.operators import overlap_metrics as O
 from narralytics.operators import runs as R
 from narralytics.operators import semantic as M
-from narralytics.session import spread
+from narralytics.session import spread, stored
 
 
 @dataclass
 class Evaluation:
-    """Lazy outputs of a run; nothing is computed before a sink asks for it."""
+    """Outputs of a run; only the alignment is computed before a sink asks."""
 
     alignment: A.Alignment
     per_sample: DataFrame
@@ -41,10 +40,10 @@ def row_counts(gold: DataFrame, pred: DataFrame, key: str = "sample_id") -> Data
 
 def evaluate(gold: DataFrame, pred: DataFrame, labels: bool = True, overlap: bool = True, semantic: bool = True,
              stemmer: bool = True, extra_summaries: Sequence[DataFrame] = (), check: bool = True) -> Evaluation:
-    """Metrics of predictions against gold rows. The aligned table feeds every branch and is persisted
-    with its lineage, so lost blocks are recomputed."""
+    """Metrics of predictions against gold rows. The aligned table feeds every branch; it is written once to the
+    shared scratch folder, so no branch aligns again and no executor has to keep it."""
     parts = A.align(gold, pred, check=check)
-    aligned = spread(parts.aligned, "sample_id").persist(StorageLevel.MEMORY_AND_DISK)
+    aligned = stored(spread(parts.aligned, "sample_id"), "aligned")
     tables, summaries = [], [row_counts(gold, pred)]
     cells = L.cell_counts(aligned)
     if overlap:

@@ -22,9 +22,11 @@ class Comparison:
 
 def compare_conditions(run_summaries: DataFrame, per_sample: DataFrame, treatment: str, controls: Sequence[str],
                        run_metrics: Sequence[str], sample_metrics: Sequence[str], primary: Sequence[str],
-                       samples: int = R.DEFAULT_SAMPLES, seed: int = 20260819) -> Comparison:
+                       samples: int = R.DEFAULT_SAMPLES, seed: int = 20260819, verdict_control: str | None = None,
+                       min_wins: int = 1, portable: bool = False) -> Comparison:
     """``run_summaries``: one row per (dataset, condition, seed); ``per_sample``: one row per
-    (dataset, condition, seed, sample_id) with a column per metric."""
+    (dataset, condition, seed, sample_id) with a column per metric. The verdict reads the contrasts with
+    ``verdict_control`` only, or with all controls."""
     metrics = S.seed_metrics(run_summaries, run_metrics)
     summary = S.with_t_interval(S.condition_summary(metrics))
     pairs = [S.seed_advantages(metrics, treatment, c).withColumn("control_name", F.lit(c)) for c in controls]
@@ -35,7 +37,10 @@ def compare_conditions(run_summaries: DataFrame, per_sample: DataFrame, treatmen
     cells = wide.select("dataset", "seed", "sample_id", *[
         F.col(f"{c}_{m}").alias(f"{m}__{c}") for c in (treatment, *controls) for m in sample_metrics])
     contrasts = {c: {treatment: 1, c: -1} for c in controls}
-    tested = R.hierarchical_contrasts(cells, sample_metrics, contrasts, samples=samples, seed=seed)
+    tested = R.hierarchical_contrasts(cells, sample_metrics, contrasts, samples=samples, seed=seed, portable=portable)
     favoured = F.when(F.col("ci_95_low") > 0, F.lit("treatment")).when(F.col("ci_95_high") < 0, F.lit("control")).otherwise("no_clear_difference")
     hierarchical = tested.withColumn("favored", favoured)
-    return Comparison(summary, paired, hierarchical, S.verdict(hierarchical.where(F.col("metric").isin(list(primary)))))
+    judged = hierarchical.where(F.col("metric").isin(list(primary)))
+    if verdict_control is not None:
+        judged = judged.where(F.col("contrast") == verdict_control)
+    return Comparison(summary, paired, hierarchical, S.verdict(judged, min_wins=min_wins))

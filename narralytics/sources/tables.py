@@ -11,8 +11,6 @@ from narralytics.operators.align import GOLD_COLUMNS, PREDICTION_COLUMNS, Valida
 from narralytics.operators.ranking import first_by_ordinal, rank_by_value
 
 ALPACA_SCHEMA = "system string, instruction string, input string, output string"
-PAIRED_SCHEMA = ("source_text string, emotion_label string, reference_narrative string, label_system string, "
-                 "label_instruction string, narrative_system string, narrative_instruction string")
 GOLD_SCHEMA = "source_text string, emotion_label string, reference_narrative string"
 PREDICTION_SCHEMA = "sample_id string, predicted_narrative string, predicted_emotion_label string"
 TOPIC_SUMMARY_SCHEMA = "topic_id int, count long, name string, top_terms array<string>, representative_docs array<string>"
@@ -47,8 +45,8 @@ def read_predictions(spark: SparkSession, path: str, check: bool = True) -> Data
     return require_unique(typed, ["sample_id"], path) if check else typed
 
 
-def read_comments(spark: SparkSession, path: str, ordinal: str, rows: int | None = None, limit: int = 5000) -> DataFrame:
-    """Usable comments of a Parquet table in ordinal order, optionally the first n."""
+def read_comments(spark: SparkSession, path: str, ordinal: str, rows: int | None = None, limit: int | None = None) -> DataFrame:
+    """Usable comments of a Parquet table, optionally the first n by ordinal and clipped to ``limit`` characters."""
     comments = spark.read.parquet(path).select(ordinal, "text").withColumn("text", usable_comment(F.col("text"), limit)).where("text is not null")
     return comments if rows is None else first_by_ordinal(comments, ordinal, rows)
 
@@ -84,8 +82,3 @@ def write_csv(df: DataFrame, path: str) -> str:
     """CSV that ``read_csv`` reads back unchanged: all fields quoted, quotes doubled."""
     df.write.mode("errorifexists").options(header="true", quoteAll="true", escape='"', emptyValue="").csv(path)
     return path
-
-
-def write_parquet(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> str:
-    df.write.mode("errorifexists").partitionBy(*partition_by).parquet(path)
-    return path

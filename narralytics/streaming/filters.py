@@ -8,12 +8,10 @@ from narralytics.constants import FIRST_PERSON_THRESHOLD, PAST_THRESHOLD
 from narralytics.operators.corpus import narrative_filter
 from narralytics.operators.ranking import first_by_ordinal
 
-MAX_ROWS = 1_000_000
 
-
-def filter_stream(stream: DataFrame, out: str, checkpoint: str, ordinal: str, max_rows: int | None = MAX_ROWS, tagger=None,
+def filter_stream(stream: DataFrame, out: str, checkpoint: str, ordinal: str, max_rows: int | None = None, tagger=None,
                   past: float = PAST_THRESHOLD, first_person: float = FIRST_PERSON_THRESHOLD) -> DataStreamWriter:
-    """Writes the narrative rows of every micro-batch to ``out/kept``; reads at most ``max_rows`` rows.
+    """Writes the narrative rows of every micro-batch to ``out/kept``; reads every row, or the first ``max_rows``.
 
     A batch replaces its own folder, so a batch that is run again after a failure leaves one copy.
     The rows read by earlier batches are counted from ``out/read``, which survives restarts.

@@ -65,7 +65,9 @@ def test_last_match_and_labels(spark):
     assert one(spark, T.last_match(F.col("t"), r"(\d+)/3915"), t="1/3915 x 27/3915") == "27"
     assert one(spark, T.last_match(F.col("t"), r"(\d+)/3915"), t="none") is None
     assert one(spark, remap_label(F.col("t")), t=" Grief ") == "Sadness"
-    assert one(spark, remap_label(F.col("t")), t="grieving") is None
+    assert one(spark, remap_label(F.col("t")), t=" ") is None
+    with pytest.raises(Exception, match="outside the taxonomy: grieving"):
+        one(spark, remap_label(F.col("t")), t="grieving")
     assert one(spark, label_code(F.col("t"), ["x", "y"]), t="z") == 2
 
 

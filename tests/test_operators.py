@@ -422,19 +422,23 @@ def test_failed_request_keeps_row_or_raises(spark):
 
 def test_token_batches_match_sequential_greedy(spark):
     sizes = [int(x) for x in np.random.default_rng(2).integers(1, 60, 200)]
-    df = spark.createDataFrame(list(enumerate(sizes)), "id long, tokens int")
-    got = {r["id"]: r["batch"] for r in G.token_batches(df, "id", "tokens", 8, 150).collect()}
+    df = spark.createDataFrame([(0, i, n) for i, n in enumerate(sizes)], "shard int, id long, tokens int")
+    got = {r["id"]: r["batch"] for r in G.token_batches(df, "shard", "id", "tokens", 8, 150).collect()}
     batch, current = 0, []
     for i, size in enumerate(sizes):
         if current and (len(current) >= 8 or max([*current, size]) * (len(current) + 1) > 150):
             batch, current = batch + 1, []
         current.append(size)
         assert got[i] == batch
-    sharded = G.token_batches(df, "id", "tokens", 8, 150, shard_rows=50).toPandas()
-    assert sharded.groupby("shard").size().tolist() == [50] * 4
+    cut = df.withColumn("shard", F.floor(F.col("id") / 50))
+    firsts = G.token_batches(cut, "shard", "id", "tokens", 8, 150).groupBy("shard").agg(F.min("batch"), F.count("*")).collect()
+    assert sorted(map(tuple, firsts)) == [(k, 0, 50) for k in range(4)]
 
 
 @pytest.mark.parametrize("rows", [0, 1, 7, 1000, 5000])
 def test_first_by_ordinal(spark, rows):
-    df = spark.range(3000).select((F.col("id") * F.col("id")).alias("ordinal"))
-    assert [r[0] for r in K.first_by_ordinal(df, "ordinal", rows).collect()] == [i * i for i in range(min(rows, 3000))]
+    far = spark.createDataFrame([(1 << 60,), (None,)], "ordinal long")  # one outlier must not put all rows into one bucket
+    df = spark.range(3000).select((F.col("id") * F.col("id")).alias("ordinal")).repartition(8).union(far)
+    got = K.first_by_ordinal(df, "ordinal", rows, small=16)
+    assert sorted(r[0] for r in got.collect()) == ([i * i for i in range(3000)] + [1 << 60])[:rows]
+    assert rows < 1000 or got.rdd.getNumPartitions() > 1

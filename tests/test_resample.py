@@ -13,7 +13,7 @@ def rows(spark, n=300, groups=("a", "b")):
 
 def test_drawn_and_block_sums_agree_in_distribution(spark):
     stats = R.indexed(rows(spark), "sample_id", ["g"])
-    drawn = R.resampled_sums(stats, ["v"], ["g"], 400, 1).toPandas()
+    drawn = R.resampled_sums(stats, ["v"], ["g"], 400, 1, portable=True).toPandas()
     blocks = R.block_sums(stats, ["v"], ["g"], 400, 1, block_rows=70).toPandas()
     for part in (drawn, blocks):
         assert (part["draws"] == 300).all() and len(part) == 800
@@ -24,9 +24,20 @@ def test_drawn_and_block_sums_agree_in_distribution(spark):
     assert sorted(blocks["v"].round(9)) == sorted(again["v"].round(9))
 
 
-def test_large_path_is_chosen_beyond_the_limit(spark):
+def test_results_do_not_depend_on_a_size_limit(spark, monkeypatch):
     stats = R.indexed(rows(spark, 50), "sample_id", ["g"])
-    assert R.resampled_sums(stats, ["v"], ["g"], 20, 1, broadcast_rows=10).count() == 40
+    get = lambda portable: sorted(map(tuple, R.resampled_sums(stats, ["v"], ["g"], 20, 1, portable).collect()))
+    before = get(False), get(True)
+    monkeypatch.setattr(R, "BROADCAST_VALUES", 0)
+    after = get(False), get(True)
+    for a, b in zip(before, after):
+        assert [r[:2] for r in a] == [r[:2] for r in b] and len(a) == 40
+        assert [r[2:] for r in a] == [pytest.approx(r[2:]) for r in b]
+
+
+def test_rows_with_a_null_group_are_resampled(spark):
+    stats = R.indexed(rows(spark, 30, ("a", None)), "sample_id", ["g"])
+    assert R.resampled_sums(stats, ["v"], ["g"], 5, 1).where("g IS NULL AND draws = 30").count() == 5
 
 
 def label_pairs(spark, n=400):
@@ -43,9 +54,9 @@ def label_pairs(spark, n=400):
 @pytest.mark.parametrize("hierarchical", [False, True])
 def test_label_bootstrap_paths_agree(spark, hierarchical):
     pairs = label_pairs(spark)
-    run = (lambda limit: R.hierarchical_label_bootstrap(pairs, samples=150, broadcast_rows=limit)) if hierarchical else (
-        lambda limit: R.label_bootstrap(pairs.where("seed = 1"), ["dataset"], 300, broadcast_rows=limit))
-    exact, cells = ({r["metric"]: r for r in run(limit).collect()} for limit in (10**6, 1))
+    run = (lambda portable: R.hierarchical_label_bootstrap(pairs, samples=150, portable=portable)) if hierarchical else (
+        lambda portable: R.label_bootstrap(pairs.where("seed = 1"), ["dataset"], 300, portable=portable))
+    exact, cells = ({r["metric"]: r for r in run(portable).collect()} for portable in (True, False))
     for metric in ("accuracy", "macro_f1"):
         assert exact[metric]["difference"] == pytest.approx(cells[metric]["difference"])
         assert exact[metric]["ci_95_low"] == pytest.approx(cells[metric]["ci_95_low"], abs=0.03)

@@ -7,9 +7,9 @@ import math
 import numpy as np
 
 
-def lcs_length(left: list[str], right: list[str]) -> int:
+def lcs_length(left: list, right: list) -> int:
     """Longest common subsequence, one big-integer row of bits per token of ``right``."""
-    masks: dict[str, int] = {}
+    masks: dict = {}
     for position, token in enumerate(left):
         masks[token] = masks.get(token, 0) | (1 << position)
     full = (1 << len(left)) - 1
@@ -20,6 +20,29 @@ def lcs_length(left: list[str], right: list[str]) -> int:
     return len(left) - row.bit_count()
 
 
+def clipped_counts(codes: np.ndarray, lists: np.ndarray, rows: int, orders: tuple[int, ...]) -> dict[int, np.ndarray]:
+    """Per order a (3, rows) array of clipped matches, hypothesis n-grams and reference n-grams.
+
+    ``codes`` are the tokens of all lists one after another, ``lists`` the list each belongs to: lists
+    0..rows-1 are the hypotheses, rows..2*rows-1 their references. An n-gram is numbered by its row, its
+    first n - 1 tokens and its last one, so numbers stay small at any order.
+    """
+    width = int(codes.max()) + 1 if len(codes) else 1
+    number, out = lists % rows if rows else lists, {}
+    for n in range(1, max(orders) + 1):
+        start = np.flatnonzero(lists[:len(lists) - n + 1] == lists[n - 1:]) if len(lists) >= n else np.zeros(0, int)
+        distinct, first, which = np.unique(number[start] * width + codes[start + n - 1], return_index=True, return_inverse=True)
+        number = np.zeros(len(codes), dtype=np.int64)
+        number[start] = which
+        if n in orders:
+            reference = lists[start] >= rows
+            hyp = np.bincount(which[~reference], minlength=len(distinct))
+            ref = np.bincount(which[reference], minlength=len(distinct))
+            of = lists[start][first] % rows
+            out[n] = np.stack([np.bincount(of, c, rows) for c in (np.minimum(hyp, ref), hyp, ref)]).astype(np.int64)
+    return out
+
+
 def unit_rows(matrix: np.ndarray) -> np.ndarray:
     norms = np.linalg.norm(matrix, axis=1, keepdims=True)
     return np.divide(matrix, norms, out=np.zeros_like(matrix), where=norms > 0)

@@ -1,52 +1,73 @@
 """BLEU and ROUGE from clipped n-gram counts.
 
-Texts are partitioned by sample id once. The n-grams of a sample then stay in that partition:
-both grouping steps reuse the partitioning, so no exploded n-gram crosses the network.
+Everything is counted per row, in one narrow step: the token lists of both texts go to an Arrow kernel that
+numbers the n-grams of a batch of rows at once. No n-gram is ever a row, and no text is shuffled.
 """
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType
 
 from narralytics.functions import kernels
 from narralytics.functions.plugins import stem_tokens
-from narralytics.functions.text import ngrams, tokens_13a, tokens_alnum
-from narralytics.session import spread
+from narralytics.functions.text import tokens_13a, tokens_alnum
 
 ORDERS = (1, 2, 3, 4)
 BLEU_STATS = ["hyp_len", "ref_len"] + [f"match_{n}" for n in ORDERS] + [f"total_{n}" for n in ORDERS]
-
-
-def overlap_counts(df: DataFrame, key: str, hyp: str, ref: str, tokenise: Callable[[Column], Column],
-                   orders: Sequence[int]) -> DataFrame:
-    """Per sample and order: clipped matches and the n-gram totals of both sides."""
-    texts = spread(df.select(key, F.col(hyp).alias("_h"), F.col(ref).alias("_r")), key)
-    # every list gets its own column before it is exploded, so exploded rows do not carry it along
-    sides = texts.select(key, F.posexplode(F.array(tokenise(F.col("_h")), tokenise(F.col("_r")))).alias("r", "t"))
-    by_order = sides.select(key, "r", F.posexplode(F.array(*[ngrams(F.col("t"), n) for n in orders])).alias("o", "grams"))
-    order_of = F.element_at(F.array(*[F.lit(n) for n in orders]), F.col("o") + 1)
-    grams = by_order.select(key, "r", order_of.alias("n"), F.explode_outer("grams").alias("gram"))
-    counts = grams.groupBy(key, "n", "gram").agg(F.sum("r").alias("r"), F.sum(1 - F.col("r")).alias("h"))
-    real = F.col("gram").isNotNull()
-    aggregates = []
-    for n in orders:
-        mine = real & (F.col("n") == n)
-        for name, value in (("match", F.least("h", "r")), ("hyp", F.col("h")), ("ref", F.col("r"))):
-            aggregates.append(F.sum(F.when(mine, value).otherwise(F.lit(0))).cast("long").alias(f"{name}_{n}"))
-    return counts.groupBy(key).agg(*aggregates)
+KERNEL_ROWS = 512  # rows whose tokens are numbered together
+
+
+def _counted(hyp: pa.Array, ref: pa.Array, orders: Sequence[int], lcs: bool) -> list[np.ndarray]:
+    """Columns for one pair of token-list columns: match, hyp, ref per order, then lcs with both lengths."""
+    rows = len(hyp)
+    lengths = [pc.fill_null(pc.list_value_length(x), 0).to_numpy() for x in (hyp, ref)]
+    coded = pa.concat_arrays([hyp.flatten(), ref.flatten()]).dictionary_encode().indices.to_numpy().astype(np.int64)
+    lists = np.repeat(np.arange(2 * rows), np.concatenate(lengths))
+    found = kernels.clipped_counts(coded, lists, rows, tuple(orders)) if orders else {}
+    columns = [part for n in orders for part in found[n]]
+    if lcs:
+        ends = np.cumsum(np.concatenate(lengths))
+        of = lambda k: coded[ends[k] - np.concatenate(lengths)[k]:ends[k]].tolist()
+        columns += [np.array([kernels.lcs_length(of(i), of(rows + i)) for i in range(rows)], dtype=np.int64), *lengths]
+    return columns
+
+
+def overlap_counts(df: DataFrame, key: str, hyp: str, ref: str,
+                   parts: dict[str, tuple[Callable[[Column], Column], Sequence[int], bool]]) -> DataFrame:
+    """Per row and part (prefix -> tokeniser, orders, whether to find the longest common subsequence):
+    ``<prefix>match_n``, ``<prefix>hyp_n``, ``<prefix>ref_n``, and ``<prefix>lcs`` with both lengths."""
+    tokens = df.select(key, *[c for p, (tokenise, _, _) in parts.items()
+                              for c in (tokenise(F.col(hyp)).alias(f"{p}_h"), tokenise(F.col(ref)).alias(f"{p}_r"))])
+    ordered = [name for p, (_, orders, lcs) in parts.items() for name in
+               [f"{p}{side}_{n}" for n in orders for side in ("match", "hyp", "ref")] + [f"{p}{x}" for x in ("lcs", "hyp_len", "ref_len") if lcs]]
+
+    def run(batches):
+        for batch in batches:
+            for start in range(0, batch.num_rows, KERNEL_ROWS):
+                some = batch.slice(start, KERNEL_ROWS)
+                columns = [c for p, (_, orders, lcs) in parts.items()
+                           for c in _counted(some.column(f"{p}_h"), some.column(f"{p}_r"), orders, lcs)]
+                yield pa.RecordBatch.from_arrays([some.column(key), *[pa.array(c.astype(np.int64)) for c in columns]], [key, *ordered])
+
+    kind = dict(df.dtypes)[key]
+    return tokens.mapInArrow(run, f"`{key}` {kind}, " + ", ".join(f"{n} long" for n in ordered))
 
 
 def bleu_statistics(df: DataFrame, hyp: str = "predicted_narrative", ref: str = "reference_narrative",
                     key: str = "sample_id") -> DataFrame:
     """Ten integers per sample; everything BLEU needs afterwards is a sum of them."""
-    counts = overlap_counts(df, key, hyp, ref, tokens_13a, ORDERS)
-    return counts.select(
-        key, F.col("hyp_1").alias("hyp_len"), F.col("ref_1").alias("ref_len"),
-        *[F.col(f"match_{n}") for n in ORDERS], *[F.col(f"hyp_{n}").alias(f"total_{n}") for n in ORDERS])
+    counts = overlap_counts(df, key, hyp, ref, {"b_": (tokens_13a, ORDERS, False)})
+    return counts.select(key, *_bleu_columns())
+
+
+def _bleu_columns() -> list[Column]:
+    return [F.col("b_hyp_1").alias("hyp_len"), F.col("b_ref_1").alias("ref_len"), *[F.col(f"b_match_{n}").alias(f"match_{n}") for n in ORDERS],
+            *[F.col(f"b_hyp_{n}").alias(f"total_{n}") for n in ORDERS]]
 
 
 def bleu_score(prefix: str = "", effective_order: bool = False) -> Column:
@@ -94,31 +115,27 @@ def rouge_tokens(text: Column, stemmer: bool) -> Column:
 
 def rouge_n(df: DataFrame, hyp: str = "predicted_narrative", ref: str = "reference_narrative",
             key: str = "sample_id", orders: Sequence[int] = (1, 2), stemmer: bool = True) -> DataFrame:
-    counts = overlap_counts(df, key, hyp, ref, lambda text: rouge_tokens(text, stemmer), orders)
-    columns = [c for n in orders
-               for c in _prf(F.col(f"match_{n}"), F.col(f"hyp_{n}"), F.col(f"ref_{n}"), f"rouge{n}")]
-    return counts.select(key, *columns)
+    counts = overlap_counts(df, key, hyp, ref, {"r_": (lambda text: rouge_tokens(text, stemmer), orders, False)})
+    return counts.select(key, *_rouge_columns(orders))
 
 
-@F.pandas_udf(IntegerType())
-def _lcs(left: pd.Series, right: pd.Series) -> pd.Series:
-    return pd.Series([kernels.lcs_length(list(a), list(b)) for a, b in zip(left, right)], dtype="int32")
+def _rouge_columns(orders: Sequence[int]) -> list[Column]:
+    return [c for n in orders for c in _prf(F.col(f"r_match_{n}"), F.col(f"r_hyp_{n}"), F.col(f"r_ref_{n}"), f"rouge{n}")]
 
 
 def rouge_l(df: DataFrame, hyp: str = "predicted_narrative", ref: str = "reference_narrative",
             key: str = "sample_id", stemmer: bool = True) -> DataFrame:
     """Longest common subsequence over the whole text; a narrow per-row step without a shuffle."""
-    prepared = df.select(key, rouge_tokens(F.col(hyp), stemmer).alias("_ht"), rouge_tokens(F.col(ref), stemmer).alias("_rt"))
-    scored = prepared.select(key, F.size("_ht").alias("_hn"), F.size("_rt").alias("_rn"), _lcs("_ht", "_rt").alias("_m"))
-    return scored.select(key, *_prf(F.col("_m"), F.col("_hn"), F.col("_rn"), "rougeL"))
+    counts = overlap_counts(df, key, hyp, ref, {"r_": (lambda text: rouge_tokens(text, stemmer), (), True)})
+    return counts.select(key, *_prf(F.col("r_lcs"), F.col("r_hyp_len"), F.col("r_ref_len"), "rougeL"))
 
 
 def overlap_metrics(df: DataFrame, key: str = "sample_id", stemmer: bool = True) -> tuple[DataFrame, DataFrame]:
-    """Per-sample BLEU/ROUGE table and its long (metric, value) summary."""
-    stats = bleu_statistics(df, key=key)
-    scored = stats.withColumn("bleu_sentence", bleu_score(effective_order=True))
-    per_sample = (scored.join(rouge_n(df, key=key, stemmer=stemmer), key)
-                  .join(rouge_l(df, key=key, stemmer=stemmer), key))
+    """Per-sample BLEU/ROUGE table and its long (metric, value) summary, from one pass over the texts."""
+    counts = overlap_counts(df, key, "predicted_narrative", "reference_narrative", {
+        "b_": (tokens_13a, ORDERS, False), "r_": (lambda text: rouge_tokens(text, stemmer), (1, 2), True)})
+    rouge = [*_rouge_columns((1, 2)), *_prf(F.col("r_lcs"), F.col("r_hyp_len"), F.col("r_ref_len"), "rougeL")]
+    per_sample = counts.select(key, *_bleu_columns(), *rouge).withColumn("bleu_sentence", bleu_score(effective_order=True))
     totals = per_sample.agg(
         *sum_statistics(), F.avg("bleu_sentence").alias("bleu_sentence_mean"),
         *[F.avg(f"{r}_fmeasure").alias(f"{r}_mean") for r in ("rouge1", "rouge2", "rougeL")])

@@ -3,6 +3,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+from functools import lru_cache
 
 import numpy as np
 
@@ -63,13 +64,20 @@ def dtw_cost(cost: np.ndarray) -> float:
     return float(last[n])
 
 
+@lru_cache(maxsize=500_000)
+def hashed_slot(feature: str, dim: int, seed: int) -> tuple[int, float]:
+    """Position and sign of a feature; the table of known features is bounded."""
+    digest = hashlib.md5(f"{seed}:{feature}".encode()).hexdigest()
+    return int(digest[:8], 16) % dim, 1.0 if int(digest[8], 16) % 2 == 0 else -1.0
+
+
 def hashed_vector(features: list[str], dim: int, seed: int) -> np.ndarray:
     """Signed feature hashing of a bag of strings."""
-    vector = np.zeros(dim)
+    vector = [0.0] * dim
     for feature in features:
-        digest = hashlib.md5(f"{seed}:{feature}".encode()).hexdigest()
-        vector[int(digest[:8], 16) % dim] += 1.0 if int(digest[8], 16) % 2 == 0 else -1.0
-    return vector
+        at, sign = hashed_slot(feature, dim, seed)
+        vector[at] += sign
+    return np.array(vector)
 
 
 def beta_cdf(a: float, b: float, x: float, terms: int = 100_000) -> float:

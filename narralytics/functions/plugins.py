@@ -48,6 +48,21 @@ class CharHashingEncoder:
         return np.array([kernels.hashed_vector(g, self.dim, self.seed) for g in grams])
 
 
+class CachedEncoder:
+    """Remembers the vectors of a bounded number of texts, so one that repeats in a task is encoded once."""
+
+    def __init__(self, encoder: Encoder, limit: int = 200_000):
+        self.encoder, self.limit, self.known = encoder, limit, {}
+
+    def encode(self, texts: list[str]) -> np.ndarray:
+        new = [t for t in dict.fromkeys(texts) if t not in self.known]
+        if len(self.known) + len(new) > self.limit:
+            self.known, new = {}, list(dict.fromkeys(texts))
+        if new:
+            self.known.update(zip(new, self.encoder.encode(new)))
+        return np.stack([self.known[t] for t in texts]) if texts else self.encoder.encode(texts)
+
+
 def encode_column(make_encoder: Callable[[], Encoder]) -> Callable[[Column], Column]:
     """Arrow UDF around an encoder, made once per Python worker task."""
 

@@ -1,6 +1,7 @@
 """Sentence and token similarity between reference and prediction with a pluggable encoder."""
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -10,9 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from narralytics.functions import kernels
-from narralytics.functions.plugins import CharHashingEncoder, Encoder, HashingEncoder, encode_column
+from narralytics.functions.plugins import CachedEncoder, CharHashingEncoder, Encoder, HashingEncoder, encode_column
 from narralytics.functions.text import sentences, tokens_13a
-from narralytics.session import spread
 
 
 def encode_sentences(df: DataFrame, key: str, texts: Sequence[str], make_encoder: Callable[[], Encoder] = HashingEncoder) -> DataFrame:
@@ -28,30 +28,29 @@ def encode_sentences(df: DataFrame, key: str, texts: Sequence[str], make_encoder
     return long.join(distinct.withColumn("vec", encode_column(make_encoder)(F.col("sentence"))), "sentence")
 
 
-@F.pandas_udf(DoubleType())
-def _dtw(a: pd.Series, b: pd.Series) -> pd.Series:
-    out = []
-    for x, y in zip(a, b):
-        if x is None or y is None or not len(x) or not len(y):
-            out.append(None)
-            continue
-        x, y = kernels.unit_rows(np.stack(x).astype(float)), kernels.unit_rows(np.stack(y).astype(float))
-        out.append(kernels.dtw_cost(1.0 - x @ y.T))
-    return pd.Series(out, dtype="float64")
+_DTW = StructType([StructField("dtw_distance", DoubleType()), StructField("normalized_dtw_distance", DoubleType())])
+
+
+def _dtw(ref: list[str], hyp: list[str], encoder: Encoder) -> tuple[float | None, float | None]:
+    if not len(ref) or not len(hyp):
+        return None, None
+    x, y = kernels.unit_rows(encoder.encode(list(ref))), kernels.unit_rows(encoder.encode(list(hyp)))
+    cost = kernels.dtw_cost(1.0 - x @ y.T)
+    return cost, cost / (len(ref) + len(hyp))
 
 
 def sentence_dtw(df: DataFrame, ref: str = "reference_narrative", hyp: str = "predicted_narrative", key: str = "sample_id",
                  make_encoder: Callable[[], Encoder] = HashingEncoder) -> DataFrame:
     """Time-warping distance between the sentence vectors of both texts, raw and over n + m; null
-    when either side has no sentence."""
-    vectors = encode_sentences(df, key, [ref, hyp], make_encoder)
-    ordered = lambda side: F.transform(
-        F.sort_array(F.collect_list(F.when(F.col("side") == side, F.struct("pos", "vec")))), lambda e: e["vec"])
-    grouped = vectors.groupBy(key).agg(ordered(ref).alias("_a"), ordered(hyp).alias("_b"))
-    scored = grouped.select(key, F.size("_a").alias("_n"), F.size("_b").alias("_m"), _dtw("_a", "_b").alias("dtw_distance"))
-    return df.select(key).join(scored, key, "left").select(
-        key, F.nanvl("dtw_distance", F.lit(None)).alias("dtw_distance"),
-        F.nanvl(F.col("dtw_distance") / (F.col("_n") + F.col("_m")), F.lit(None)).alias("normalized_dtw_distance"))
+    when either side has no sentence. A narrow per-row step; a task encodes a repeated sentence once."""
+    @F.pandas_udf(_DTW)
+    def score(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        encoder = CachedEncoder(make_encoder(), 50_000)
+        for refs, hyps in batches:
+            yield pd.DataFrame([_dtw(r, h, encoder) for r, h in zip(refs, hyps)], columns=[f.name for f in _DTW.fields], dtype="float64")
+
+    scored = df.select(key, score(sentences(F.col(ref)), sentences(F.col(hyp))).alias("s"))
+    return scored.select(key, *[F.nanvl(f"s.{f.name}", F.lit(None)).alias(f.name) for f in _DTW.fields])
 
 
 _PRF = StructType([StructField(f"bertscore_{n}", DoubleType()) for n in ("precision", "recall", "f1")])
@@ -59,7 +58,8 @@ _PRF = StructType([StructField(f"bertscore_{n}", DoubleType()) for n in ("precis
 
 def _greedy(hyp: list[str], ref: list[str], encoder: Encoder, chunk: int = 2048) -> tuple[float, float, float]:
     """Mean best cosine of the tokens of each side, over distinct tokens weighted by their counts."""
-    (h, hn), (r, rn) = np.unique(hyp, return_counts=True), np.unique(ref, return_counts=True)
+    h, r = Counter(hyp), Counter(ref)
+    hn, rn = np.array(list(h.values())), np.array(list(r.values()))
     hv, rv = kernels.unit_rows(encoder.encode(list(h))), kernels.unit_rows(encoder.encode(list(r)))
     best_h, best_r = np.empty(len(h)), np.full(len(r), -np.inf)
     for start in range(0, len(h), chunk):
@@ -78,13 +78,12 @@ def greedy_match(df: DataFrame, ref: str = "reference_narrative", hyp: str = "pr
     """
     @F.pandas_udf(_PRF)
     def score(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        encoder = make_encoder()
+        encoder = CachedEncoder(make_encoder())
         for hyps, refs in batches:
             rows = [(None, None, None) if not len(h) or not len(r) else _greedy(list(h), list(r), encoder) for h, r in zip(hyps, refs)]
             yield pd.DataFrame(rows, columns=[f.name for f in _PRF.fields], dtype="float64")
 
-    spread_rows = spread(df.select(key, hyp, ref), key)
-    return spread_rows.select(key, score(tokens_13a(F.col(hyp)), tokens_13a(F.col(ref))).alias("s")).select(
+    return df.select(key, score(tokens_13a(F.col(hyp)), tokens_13a(F.col(ref))).alias("s")).select(
         key, *[F.nanvl(f"s.{f.name}", F.lit(None)).alias(f.name) for f in _PRF.fields])
 
 

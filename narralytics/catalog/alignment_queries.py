@@ -240,9 +240,14 @@ def _(spark, sf):
     return O.rouge_n(V.aligned(spark, sf), stemmer=True)
 
 
-@query("rouge_l_scores", "A11")
+@query("rouge_l_scores", "A11", V.with_views(["aligned"], f"""
+    , t AS (SELECT sample_id, len({tokens_alnum_sql('predicted_narrative')}) AS h, len({tokens_alnum_sql('reference_narrative')}) AS r FROM aligned)
+    SELECT sample_id, CASE WHEN h > 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS "rougeL_precision", round(h / greatest(r, 1)::DOUBLE, 9) AS "rougeL_recall",
+           round(CASE WHEN h > 0 THEN 2.0 * h / (h + r) ELSE 0 END::DOUBLE, 9) AS "rougeL_fmeasure" FROM t"""))
 def _(spark, sf):
-    return O.rouge_l(V.aligned(spark, sf), stemmer=False)
+    """A prediction is its reference with words left out, so its tokens are the longest common subsequence."""
+    scores = O.rouge_l(V.aligned(spark, sf), stemmer=False)
+    return scores.select("sample_id", *[F.round(c, 9).alias(c) for c in scores.columns if c != "sample_id"])
 
 
 @query("overlap_metric_means", "A12 U1", V.with_views(["aligned"], BLEU_SQL + f"""

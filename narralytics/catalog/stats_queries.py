@@ -198,7 +198,7 @@ CONTRAST_COLUMNS = {(m, c): " + ".join(f"({w}) * max({m}) FILTER (WHERE conditio
                     for m in METRICS for c, weights in CONTRASTS.items()}
 
 
-def contrast_sql(select: str, ids: dict[str, dict[str, str]]) -> str:
+def contrast_sql(select: str, ids: dict[str, dict[str, str]], samples: int = 100, seed: int = 20260824, digits: int = 8) -> str:
     """Hierarchical bootstrap in SQL: rows within (dataset, seed), then seeds within dataset."""
     names = list(ids)
     longs = " UNION ALL ".join(
@@ -207,23 +207,23 @@ def contrast_sql(select: str, ids: dict[str, dict[str, str]]) -> str:
     return f"""{select},
     idx AS (SELECT *, row_number() OVER (PARTITION BY dataset, seed ORDER BY sample_id) - 1 AS idx FROM vals),
     sizes AS (SELECT dataset, seed, count(*) AS n FROM vals GROUP BY ALL),
-    reps AS (SELECT dataset, seed, n, unnest(range(0, {SAMPLES})) AS b FROM sizes),
+    reps AS (SELECT dataset, seed, n, unnest(range(0, {samples})) AS b FROM sizes),
     slots AS (SELECT dataset, seed, n, b, unnest(range(1, n + 1)) AS k FROM reps),
-    draws AS (SELECT dataset, seed, b, {DRAW.format(keys='20260824, dataset, seed, b, k')} AS idx FROM slots),
+    draws AS (SELECT dataset, seed, b, {DRAW.format(keys=f'{seed}, dataset, seed, b, k')} AS idx FROM slots),
     within AS (SELECT d.dataset, d.seed, d.b, {", ".join(f"avg({n}) AS {n}" for n in names)} FROM draws d
         JOIN idx i ON i.dataset = d.dataset AND i.seed = d.seed AND i.idx = d.idx GROUP BY ALL),
     seeds AS (SELECT dataset, list(seed ORDER BY seed) AS seeds, count(*) AS n FROM sizes GROUP BY dataset),
-    sreps AS (SELECT dataset, seeds, n, unnest(range(0, {SAMPLES})) AS b FROM seeds),
+    sreps AS (SELECT dataset, seeds, n, unnest(range(0, {samples})) AS b FROM seeds),
     sslots AS (SELECT *, unnest(range(1, n + 1)) AS slot FROM sreps),
-    chosen AS (SELECT dataset, b, seeds[{DRAW.format(keys="20260824, 'seed', dataset, b, slot")} + 1] AS seed FROM sslots),
+    chosen AS (SELECT dataset, b, seeds[{DRAW.format(keys=f"{seed}, 'seed', dataset, b, slot")} + 1] AS seed FROM sslots),
     dist AS (SELECT c.dataset, c.b, {", ".join(f"avg({n}) AS {n}" for n in names)} FROM chosen c
         JOIN within w ON w.dataset = c.dataset AND w.seed = c.seed AND w.b = c.b GROUP BY ALL),
     points AS (SELECT dataset, 0 AS b, {", ".join(f"avg({n}) AS {n}" for n in names)} FROM (
         SELECT dataset, seed, {", ".join(f"avg({n}) AS {n}" for n in names)} FROM vals GROUP BY ALL) GROUP BY dataset),
     ldist AS ({longs.format('dist')}), lpoints AS ({longs.format('points')})
-    SELECT p.dataset, {", ".join("p." + k for k in by.split(", "))}, round(max(p.value), 8) AS effect,
-           round(quantile_cont(l.value, 0.025), 8) AS ci_95_low, round(quantile_cont(l.value, 0.975), 8) AS ci_95_high,
-           round(least(1.0, 2.0 * least(count(*) FILTER (WHERE l.value <= 1e-12) + 1, count(*) FILTER (WHERE l.value >= -1e-12) + 1) / ({SAMPLES} + 1)), 8) AS p_value,
+    SELECT p.dataset, {", ".join("p." + k for k in by.split(", "))}, round(max(p.value), {digits}) AS effect,
+           round(quantile_cont(l.value, 0.025), {digits}) AS ci_95_low, round(quantile_cont(l.value, 0.975), {digits}) AS ci_95_high,
+           round(least(1.0, 2.0 * least(count(*) FILTER (WHERE l.value <= 1e-12) + 1, count(*) FILTER (WHERE l.value >= -1e-12) + 1) / ({samples} + 1)), {digits}) AS p_value,
            quantile_cont(l.value, 0.025) > 0 OR quantile_cont(l.value, 0.975) < 0 AS significant_95
     FROM lpoints p JOIN ldist l ON l.dataset = p.dataset AND {" AND ".join(f"l.{k} = p.{k}" for k in by.split(", "))}
     GROUP BY p.dataset, {", ".join("p." + k for k in by.split(", "))}"""
@@ -262,13 +262,21 @@ def _(spark, sf):
                                ["dataset", "metric"]), 8)
 
 
-@query("bootstrap_verdict", "R14")
+VERDICT_METRICS = ("rougeL_mean", "bertscore_f1_mean")
+
+
+@query("bootstrap_verdict", "R14", f"""WITH f AS (SELECT ci_95_low AS lo, ci_95_high AS hi FROM (""" + contrast_sql(f"""WITH {RUNS_SQL}, vals AS (SELECT dataset, seed, sample_id,
+    {", ".join(f"({CONTRAST_COLUMNS[m, ONE_CONTRAST]}) AS v{i}" for i, m in enumerate(VERDICT_METRICS))} FROM runs GROUP BY dataset, seed, sample_id)""",
+    {f"v{i}": {"metric": m} for i, m in enumerate(VERDICT_METRICS)}) + """)), w AS (
+    SELECT count(*) AS comparisons, count(*) FILTER (WHERE lo > 0) AS wins, count(*) FILTER (WHERE hi < 0) AS losses FROM f)
+    SELECT *, CASE WHEN wins = comparisons THEN 'consistent_improvement' WHEN wins > 0 AND losses = 0 THEN 'partial_improvement'
+                   WHEN losses > 0 THEN 'not_superior' ELSE 'no_clear_difference' END AS verdict FROM w""")
 def _(spark, sf):
     rows = runs(spark, sf).where(F.col("condition").isin("paired_joint", "single_joint"))
     value = lambda m, c: F.max(F.when(F.col("condition") == c, F.col(m)))
-    wide = rows.groupBy("dataset", "seed", "sample_id").agg(*[(value(m, "paired_joint") - value(m, "single_joint")).alias(m) for m in ("rougeL_mean", "bertscore_f1_mean")])
-    ids = {m: {"metric": m} for m in ("rougeL_mean", "bertscore_f1_mean")}
-    distribution, points = R.hierarchical_means(wide, list(ids), samples=500)
+    wide = rows.groupBy("dataset", "seed", "sample_id").agg(*[(value(m, "paired_joint") - value(m, "single_joint")).alias(m) for m in VERDICT_METRICS])
+    ids = {m: {"metric": m} for m in VERDICT_METRICS}
+    distribution, points = R.hierarchical_means(wide, list(ids), samples=SAMPLES, portable=True)
     tested = R.summarise(R.long_values(distribution, ["dataset"], ids, "value"), R.long_values(points, ["dataset"], ids, "effect"), ["dataset", "metric"])
     return S.verdict(tested.withColumn("favored", R.favoured("treatment", "control", none="no_clear_difference")))
 

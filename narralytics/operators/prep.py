@@ -12,6 +12,9 @@ from narralytics.functions.text import collapse, first_tokens, key_digest, token
 from narralytics.operators.align import ValidationError, require_unique
 from narralytics.operators.label_metrics import label_distribution
 from narralytics.operators.ranking import rank_by_hash, rank_by_value
+from narralytics.session import small_side
+
+MAX_LABELS = 1000  # labels a relabelling may have; its plan has one run per pair of them
 
 
 def required_rows(df: DataFrame, text: str, label: str, labels: Sequence[str] = tuple(EMOTION_LABELS),
@@ -46,10 +49,11 @@ def stratified_split(df: DataFrame, label: str, ordinal: str, fraction: float =
     """Adds ``split``: per label the first max(1, round(n * fraction)) rows in hash order validate."""
     sizes = df.groupBy(label).agg(F.count("*").alias("_n"))
     quota = F.greatest(F.lit(1), F.bround(F.col("_n") * F.lit(fraction)).cast("long"))
-    ranked = rank_by_hash(df, [ordinal], seed, [label], "_rank")
-    return (ranked.join(sizes.select(label, quota.alias("_quota")), label)
-            .withColumn("split", F.when(F.col("_rank") <= F.col("_quota"), "validation").otherwise("train"))
-            .select(*df.columns, "split"))
+    quotas = small_side(sizes.select(F.col(label).alias("_label"), quota.alias("_quota")))
+    # only ids and labels are ranked; the texts meet their split in one join
+    ranked = rank_by_hash(df.select(ordinal, label), [ordinal], seed, [label], "_rank").join(quotas, F.col(label).eqNullSafe(F.col("_label")))
+    split = F.when(F.col("_rank") <= F.col("_quota"), "validation").otherwise("train").alias("split")
+    return df.join(ranked.select(ordinal, split), ordinal).select(*df.columns, "split")
 
 
 def split_summary(source: DataFrame, required: DataFrame, split: DataFrame, label: str, narrative: str,
@@ -244,17 +248,19 @@ def forced_wrong_labels(df: DataFrame, label: str, ordinal: str, seed: int, cand
     Rows of one label are put in hash order and handed out in runs of the planned cell sizes, so
     one ranking pass realises the plan whatever the table size.
     """
-    counts = {r[0]: r[1] for r in df.groupBy(label).count().collect()}  # one row per label of a fixed vocabulary
+    found = df.groupBy(label).count().limit(MAX_LABELS + 1).collect()
+    if len(found) > MAX_LABELS:
+        raise ValidationError(f"{label} has more than {MAX_LABELS} labels")
+    counts = {r[0]: r[1] for r in found}
     runs, filled = [], {}
     for (true, assigned), n in sorted(plan_derangement(counts, seed, candidates).items()):
         start = filled.get(true, 0)
         runs.append((true, start + 1, start + n, assigned))
         filled[true] = start + n
-    ranked = rank_by_hash(df, [ordinal], seed, [label], "_rank")
-    choice = F.lit(None).cast("string")
-    for true, first, last, assigned in runs:
-        choice = F.when((F.col(label) == true) & F.col("_rank").between(first, last), F.lit(assigned)).otherwise(choice)
-    return ranked.withColumn(out, choice).select(*df.columns, out)
+    table = df.sparkSession.createDataFrame(runs, "_label string, _first long, _last long, _assigned string")
+    ranked = rank_by_hash(df.select(ordinal, label), [ordinal], seed, [label], "_rank")
+    chosen = ranked.join(small_side(table, MAX_LABELS ** 2), (F.col(label) == F.col("_label")) & F.col("_rank").between(F.col("_first"), F.col("_last")))
+    return df.join(chosen.select(ordinal, F.col("_assigned").alias(out)), ordinal).select(*df.columns, out)
 
 
 def longest_first(df: DataFrame, text: str, ordinal: str, rows: int) -> DataFrame:

@@ -1,61 +1,47 @@
 """Ranks over whole tables without sorting a table, or one hot group, in a single task.
 
-A plain ``row_number`` over a global or heavily skewed window runs in one task. Here rows are
-first cut into ordered buckets, ranked inside each bucket, and shifted by the sizes of the
-buckets before. Only the small bucket-size table is ever ordered as a whole.
+A plain ``row_number`` over a global or heavily skewed window runs in one task. Here rows are range-partitioned by
+(groups, order) and written once in that order; a row's place in its partition and the sizes of the partitions
+before give its rank. A hot group spans as many partitions as its rows fill, and only the small table of
+(partition, group) sizes is ever ordered per group.
 """
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from narralytics.functions.draws import hash_hex
+from narralytics.session import stored
 
-HASH_DIGITS = 3  # 16**3 = 4096 buckets per group
 RANGE_BUCKETS = 256
 
 
-def _shifted_rank(df: DataFrame, bucket: Column, order: Sequence[Column], groups: Sequence[str], out: str) -> DataFrame:
-    tagged = df.withColumn("_bucket", bucket)
-    local = Window.partitionBy(*groups, "_bucket").orderBy(*order)
-    sizes = tagged.groupBy(*groups, "_bucket").agg(F.count("*").alias("_rows"))
-    before = Window.partitionBy(*groups).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(
-        *[F.col(g).alias(f"_g{i}") for i, g in enumerate(groups)],
-        F.col("_bucket").alias("_gb"),
-        F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_before"),
-    )
-    ranked = tagged.withColumn("_local", F.row_number().over(local))
-    same = ranked["_bucket"] == offsets["_gb"]
-    for i, g in enumerate(groups):
-        same = same & ranked[g].eqNullSafe(offsets[f"_g{i}"])
-    joined = ranked.join(offsets, same)
-    return joined.select(*df.columns, (F.col("_local") + F.col("_before")).cast("long").alias(out))
-
-
-def rank_by_hash(df: DataFrame, keys: Sequence[str], seed, groups: Sequence[str] = (), out: str = "rank",
-                 digits: int = HASH_DIGITS) -> DataFrame:
+def _placed_rank(df: DataFrame, order: Sequence[Column], groups: Sequence[str], out: str) -> DataFrame:
+    keys = [*[F.col(g) for g in groups], *order]
+    # the ids number the rows of each written partition; written once, so counts and ranks see the same ones
+    rows = stored(df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_id", F.monotonically_increasing_id()), "ranked")
+    part, place = F.shiftright("_id", 33), F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))
+    before = Window.partitionBy(*[f"_g{i}" for i in range(len(groups))]).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = rows.groupBy(part.alias("_p"), *[F.col(g).alias(f"_g{i}") for i, g in enumerate(groups)]).agg(
+        F.min(place).alias("_first"), F.count("*").alias("_n"))
+    offsets = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    placed = rows.withColumn("_part", part)
+    same = reduce(lambda x, y: x & y, [F.col(g).eqNullSafe(F.col(f"_g{i}")) for i, g in enumerate(groups)], F.col("_part") == F.col("_p"))
+    return placed.join(offsets, same).select(*df.columns, (place - F.col("_first") + F.col("_before") + 1).cast("long").alias(out))
+
+
+def rank_by_hash(df: DataFrame, keys: Sequence[str], seed, groups: Sequence[str] = (), out: str = "rank") -> DataFrame:
     """1-based rank in a seeded random order; ``keys`` must identify a row."""
-    order = hash_hex(seed, *[F.col(k) for k in keys])
-    ranked = _shifted_rank(df.withColumn("_order", order), F.substring("_order", 1, digits),
-                           [F.col("_order"), *[F.col(k) for k in keys]], groups, out)
-    return ranked.drop("_order")
-
-
-def rank_by_value(df: DataFrame, ordinal: str, groups: Sequence[str] = (), out: str = "rank",
-                  buckets: int = RANGE_BUCKETS) -> DataFrame:
-    """1-based rank by a unique numeric ordinal. Bucket edges come from one quantile sketch."""
-    probabilities = [i / buckets for i in range(1, buckets)]
-    edges = sorted(set(df.select(F.col(ordinal).cast("double").alias("_v"))
-                       .approxQuantile("_v", probabilities, 1.0 / (4 * buckets))))
-    if edges:
-        value = F.col(ordinal).cast("double")
-        bucket = F.size(F.filter(F.array(*[F.lit(e) for e in edges]), lambda e: e < value))
-    else:
-        bucket = F.lit(0)
-    return _shifted_rank(df, bucket, [F.col(ordinal)], groups, out)
+    ordered = df.withColumn("_order", hash_hex(seed, *[F.col(k) for k in keys]))
+    return _placed_rank(ordered, [F.col("_order"), *[F.col(k) for k in keys]], groups, out).drop("_order")
+
+
+def rank_by_value(df: DataFrame, ordinal: str, groups: Sequence[str] = (), out: str = "rank") -> DataFrame:
+    """1-based rank by a unique numeric ordinal."""
+    return _placed_rank(df, [F.col(ordinal)], groups, out)
 
 
 def first_by_ordinal(df: DataFrame, ordinal: str, rows: int, buckets: int = 4096, small: int = 10_000) -> DataFrame:

@@ -32,9 +32,9 @@ ZERO = 1e-12  # distributed sums differ in their last bits; replicates this clos
 def indexed(df: DataFrame, ordinal: str, groups: Sequence[str] = ()) -> DataFrame:
     """Adds ``idx``, the zero-based position of a row within its group.
 
-    Input and result are written once: sizes, draws and point estimates all read the indexed table.
+    The result is written once: sizes, draws and point estimates all read the indexed table.
     """
-    ranked = rank_by_value(cut_lineage(df), ordinal, groups, "_rank")
+    ranked = rank_by_value(df, ordinal, groups, "_rank")
     return cut_lineage(ranked.withColumn("idx", F.col("_rank") - 1).drop("_rank"))
 
 

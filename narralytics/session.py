@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def build_session(master: str = "local[*]", shuffle_partitions: int = 8, app: str = "narralytics") -> SparkSession:
@@ -61,6 +62,11 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small_side(df: DataFrame, rows: int = 100_000) -> DataFrame:
+    """``df`` marked for broadcasting when it has at most ``rows`` rows; the join's result is the same either way."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Hash-partition by key with a fixed partition count.
 

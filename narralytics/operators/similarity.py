@@ -13,8 +13,8 @@ from narralytics.functions import kernels
 from narralytics.operators.ranking import exact_percentiles, rank_by_hash, top_per_group
 from narralytics.session import cut_lineage
 
-BROADCAST_VECTORS = 20_000
-BLOCK_VECTORS = 2_048
+BROADCAST_BYTES = 64 << 20  # a right side up to this size goes to every task
+BLOCK_BYTES = 32 << 20      # else each side is cut into blocks of this size
 
 
 def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
@@ -32,29 +32,34 @@ def _top_frame(left_ids: pd.Series, left: np.ndarray, right_ids: np.ndarray, rig
                          "similarity": scores[rows, picked.ravel()]})
 
 
-def cosine_top_k(left: DataFrame, right: DataFrame, k: int, broadcast_vectors: int = BROADCAST_VECTORS,
-                 block_vectors: int = BLOCK_VECTORS) -> DataFrame:
+def cosine_top_k(left: DataFrame, right: DataFrame, k: int, broadcast_bytes: int = BROADCAST_BYTES,
+                 block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(left_id, right_id, similarity, rank): the k most similar right vectors of every left vector.
 
-    Both inputs are (id long, vec array). A right side within the size limit is sent to every task.
+    Both inputs are (id long, vec array). A right side within the limit in bytes is sent to every task.
     A larger one is cut into blocks; every left block meets every right block in its own bounded task,
-    which keeps only its k best, and the winners are merged. Zero vectors have similarity 0.
+    which keeps only its k best, and the winners are merged. Both ways give the same rows, and a vector is
+    copied once per block of the other side. Zero vectors have similarity 0.
     """
     schema = "left_id long, right_id long, similarity double"
-    head = right.select("id", "vec").limit(broadcast_vectors + 1).collect()
-    if len(head) <= broadcast_vectors:
-        ids = np.array([r["id"] for r in head], dtype=np.int64)
-        matrix = kernels.unit_rows(np.array([r["vec"] for r in head], dtype=float))
+    count, width = right.agg(F.count("*"), F.max(F.size("vec"))).first()
+    row_bytes = 8 * ((width or 0) + 1)
+    if count * row_bytes <= broadcast_bytes:
+        head = right.select("id", "vec").toPandas()
+        ids = head["id"].to_numpy(dtype=np.int64)
+        matrix = kernels.unit_rows(np.stack(head["vec"].to_numpy()).astype(float) if count else np.zeros((0, 1)))
         shared = left.sparkSession.sparkContext.broadcast((ids, matrix))
 
         def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             right_ids, right_matrix = shared.value
             for pdf in batches:
-                if len(pdf):
+                if len(pdf) and len(right_ids):
                     yield _top_frame(pdf["id"], np.stack(pdf["vec"].to_numpy()).astype(float), right_ids, right_matrix, k)
 
         found = left.select("id", "vec").mapInPandas(scan, schema)
     else:
+        block_vectors = max(1, block_bytes // row_bytes)
+
         def blocks(df: DataFrame) -> tuple[DataFrame, int]:
             ranked = rank_by_hash(df.select("id", "vec"), ["id"], "block")
             cut = ranked.withColumn("block", F.floor((F.col("rank") - 1) / block_vectors).cast("int")).drop("rank")

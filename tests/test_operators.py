@@ -325,7 +325,8 @@ def test_top_k_block_path_equals_broadcast_path(spark):
     a, b = vector_table(spark, left), vector_table(spark, right, 100)
     rows = lambda d: sorted((r["left_id"], r["rank"], r["right_id"], round(r["similarity"], 9)) for r in d.collect())
     small = rows(N.cosine_top_k(a, b, 3))
-    assert small == rows(N.cosine_top_k(a, b, 3, broadcast_vectors=5, block_vectors=16))
+    assert small == rows(N.cosine_top_k(a, b, 3, broadcast_bytes=0, block_bytes=16 * 56))
+    assert N.cosine_top_k(a, b.limit(0), 3).count() == 0
     unit = lambda m: np.divide(m, np.linalg.norm(m, axis=1, keepdims=True), out=np.zeros_like(m), where=np.linalg.norm(m, axis=1, keepdims=True) > 0)
     scores = unit(left) @ unit(right).T
     expected = [(i, k + 1, 100 + j) for i in range(40) for k, j in enumerate(np.lexsort((np.arange(55), -np.round(scores[i], 12)))[:3])]

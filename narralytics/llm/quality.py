@@ -123,7 +123,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", limit: int =
     for batch in got.to_batches():
         slots, values = batch.column("slot"), batch.column("value")
         for k in range(batch.num_rows):
-            rows.append((slots[k].values.to_numpy(), values[k].values.to_numpy().astype(float)))
+            rows.append((slots[k].values.to_numpy(), values[k].values.to_numpy()))
         y.extend(batch.column("y").to_pylist())
     if not rows:
         return np.zeros(1 << BITS, np.float32), 0.0

@@ -43,7 +43,7 @@ def pool(spark, sf) -> DataFrame:
 
 
 def split(spark, sf) -> DataFrame:
-    return P.stratified_split(P.keep_first(P.required_rows(pool(spark, sf), "text", "label"), "text", "doc_id"), "label", "doc_id")
+    return P.deduplicated_split(P.required_rows(pool(spark, sf), "text", "label"), "text", "label", "doc_id")
 
 
 def all_splits(spark, sf) -> DataFrame:

@@ -12,7 +12,7 @@ from narralytics.functions.text import collapse, first_tokens, key_digest, token
 from narralytics.operators.align import ValidationError, require_unique
 from narralytics.operators.label_metrics import label_distribution
 from narralytics.operators.ranking import rank_by_hash, rank_by_value
-from narralytics.session import small_side
+from narralytics.session import small_side, stored
 
 MAX_LABELS = 1000  # labels a relabelling may have; its plan has one run per pair of them
 
@@ -23,7 +23,10 @@ def required_rows(df: DataFrame, text: str, label: str, labels: Sequence[str] =
     clean = df.withColumn(text, collapse(F.col(text))).withColumn(label, collapse(F.col(label)))
     kept = clean.where((F.col(text) != "") & (F.col(label) != ""))
     if check:
-        unknown = kept.where(~F.col(label).isin(list(labels))).select(label).distinct().take(10)
+        other = ~F.col(label).isin(list(labels))
+        # the labels alone are read first; texts matter only when some label is unknown
+        suspect = df.select(collapse(F.col(label)).alias(label)).where((F.col(label) != "") & other).take(1)
+        unknown = kept.where(other).select(label).distinct().take(10) if suspect else []
         if unknown:
             raise ValidationError(f"unknown labels {[r[0] for r in unknown]}")
     return kept
@@ -45,15 +48,31 @@ def keep_first(df: DataFrame, text: str, ordinal: str) -> DataFrame:
     return df.join(first.select(ordinal), ordinal, "left_semi")
 
 
-def stratified_split(df: DataFrame, label: str, ordinal: str, fraction: float = 0.05, seed: int = 42) -> DataFrame:
-    """Adds ``split``: per label the first max(1, round(n * fraction)) rows in hash order validate."""
-    sizes = df.groupBy(label).agg(F.count("*").alias("_n"))
+def _assigned_split(keys: DataFrame, label: str, ordinal: str, fraction: float, seed: int) -> DataFrame:
+    """(ordinal, split) of a stored table of ids and labels."""
+    sizes = keys.groupBy(label).agg(F.count("*").alias("_n"))
     quota = F.greatest(F.lit(1), F.bround(F.col("_n") * F.lit(fraction)).cast("long"))
     quotas = small_side(sizes.select(F.col(label).alias("_label"), quota.alias("_quota")))
-    # only ids and labels are ranked; the texts meet their split in one join
-    ranked = rank_by_hash(df.select(ordinal, label), [ordinal], seed, [label], "_rank").join(quotas, F.col(label).eqNullSafe(F.col("_label")))
-    split = F.when(F.col("_rank") <= F.col("_quota"), "validation").otherwise("train").alias("split")
-    return df.join(ranked.select(ordinal, split), ordinal).select(*df.columns, "split")
+    ranked = rank_by_hash(keys.select(ordinal, label), [ordinal], seed, [label], "_rank").join(quotas, F.col(label).eqNullSafe(F.col("_label")))
+    return ranked.select(ordinal, F.when(F.col("_rank") <= F.col("_quota"), "validation").otherwise("train").alias("split"))
+
+
+def stratified_split(df: DataFrame, label: str, ordinal: str, fraction: float = 0.05, seed: int = 42) -> DataFrame:
+    """Adds ``split``: per label the first max(1, round(n * fraction)) rows in hash order validate.
+
+    Ids and labels are written once and ranked; the texts meet their split in one join.
+    """
+    keys = stored(df.select(ordinal, label), "split-keys")
+    return df.join(_assigned_split(keys, label, ordinal, fraction, seed), ordinal).select(*df.columns, "split")
+
+
+def deduplicated_split(df: DataFrame, text: str, label: str, ordinal: str, fraction: float = 0.05, seed: int = 42) -> DataFrame:
+    """``keep_first`` and ``stratified_split`` in one: two passes over the texts, one for the digests of their
+    match keys and one for the join with the split."""
+    keys = stored(df.select(ordinal, label, key_digest(F.col(text)).alias("_key")), "split-keys")
+    first = keys.groupBy("_key").agg(F.min(ordinal).alias(ordinal)).select(ordinal)
+    split = _assigned_split(keys.join(first, ordinal, "left_semi"), label, ordinal, fraction, seed)
+    return df.join(split, ordinal).select(*df.columns, "split")
 
 
 def split_summary(source: DataFrame, required: DataFrame, split: DataFrame, label: str, narrative: str,
@@ -248,7 +267,8 @@ def forced_wrong_labels(df: DataFrame, label: str, ordinal: str, seed: int, cand
     Rows of one label are put in hash order and handed out in runs of the planned cell sizes, so
     one ranking pass realises the plan whatever the table size.
     """
-    found = df.groupBy(label).count().limit(MAX_LABELS + 1).collect()
+    keys = stored(df.select(ordinal, label), "relabel-keys")
+    found = keys.groupBy(label).count().limit(MAX_LABELS + 1).collect()
     if len(found) > MAX_LABELS:
         raise ValidationError(f"{label} has more than {MAX_LABELS} labels")
     counts = {r[0]: r[1] for r in found}
@@ -258,7 +278,7 @@ def forced_wrong_labels(df: DataFrame, label: str, ordinal: str, seed: int, cand
         runs.append((true, start + 1, start + n, assigned))
         filled[true] = start + n
     table = df.sparkSession.createDataFrame(runs, "_label string, _first long, _last long, _assigned string")
-    ranked = rank_by_hash(df.select(ordinal, label), [ordinal], seed, [label], "_rank")
+    ranked = rank_by_hash(keys, [ordinal], seed, [label], "_rank")
     chosen = ranked.join(small_side(table, MAX_LABELS ** 2), (F.col(label) == F.col("_label")) & F.col("_rank").between(F.col("_first"), F.col("_last")))
     return df.join(chosen.select(ordinal, F.col("_assigned").alias(out)), ordinal).select(*df.columns, out)
 

@@ -14,6 +14,7 @@ from narralytics.constants import POLICY_TOPICS, STOP_WORDS
 from narralytics.functions.text import cluster_text, ngrams
 from narralytics.operators.ranking import top_per_group
 from narralytics.operators.similarity import cosine_top_k
+from narralytics.session import small_side, stored
 
 
 def reduce_dimensions(df: DataFrame, vec: str = "vec", k: int = 50, out: str = "reduced") -> DataFrame:
@@ -46,13 +47,14 @@ def term_lists(text: Column, stop_words: Sequence[str] = tuple(STOP_WORDS)) -> C
 def topic_terms(df: DataFrame, text: str = "text", topic: str = "topic_id", min_topics: int = 5, k: int = 10,
                 stop_words: Sequence[str] = tuple(STOP_WORDS)) -> DataFrame:
     """Top terms per topic by class-based TF-IDF; a term must occur in ``min_topics`` topics."""
-    counts = (df.select(topic, F.explode(term_lists(F.col(text), stop_words)).alias("term"))
-              .groupBy(topic, "term").agg(F.count("*").alias("n")))
+    # texts are tokenised once; every later step reads the written counts
+    counts = stored(df.select(topic, F.explode(term_lists(F.col(text), stop_words)).alias("term"))
+                    .groupBy(topic, "term").agg(F.count("*").alias("n")), "term-counts")
     terms = counts.groupBy("term").agg(F.sum("n").alias("f"), F.count("*").alias("topics")).where(F.col("topics") >= min_topics)
     kept = counts.join(terms, "term")
     sizes = kept.groupBy(topic).agg(F.sum("n").alias("topic_total"))
     average = sizes.withColumn("average", F.avg("topic_total").over(Window.partitionBy()))  # one row per topic
-    weighted = kept.join(average, topic).withColumn(
+    weighted = kept.join(small_side(average), topic).withColumn(
         "weight", F.col("n") / F.col("topic_total") * F.ln(1.0 + F.col("average") / F.col("f")))
     return top_per_group(weighted, [topic], [F.desc(F.round("weight", 12)), F.col("term")], k).select(topic, "rank", "term", "weight")
 
@@ -69,7 +71,7 @@ def cosine(a: Column, b: Column) -> Column:
 
 def representative_rows(df: DataFrame, key: str, vec: str = "vec", topic: str = "topic_id", k: int = 5) -> DataFrame:
     """Rows closest to the centroid of their topic."""
-    scored = df.join(centroids(df, vec, topic), topic).withColumn("similarity", cosine(F.col(vec), F.col("centroid"))).drop("centroid")
+    scored = df.join(small_side(centroids(df, vec, topic)), topic).withColumn("similarity", cosine(F.col(vec), F.col("centroid"))).drop("centroid")
     return top_per_group(scored, [topic], [F.desc(F.round("similarity", 12)), F.col(key)], k)
 
 

@@ -194,6 +194,8 @@ def test_keep_first_and_split(spark):
     for r in split:
         counts[r["label"], r["split"]] += 1
     assert counts == {("Joy", "validation"): 1, ("Joy", "train"): 19, ("Fear", "validation"): 2, ("Fear", "train"): 29}
+    both = prep.deduplicated_split(df, "text", "label", "id", 0.05)
+    assert sorted(map(tuple, both.collect())) == sorted(map(tuple, split))
     assert prep.stratified_split(first.limit(1), "label", "id").first()["split"] == "validation"
 
 

@@ -38,6 +38,12 @@ def row_counts(gold: DataFrame, pred: DataFrame, key: str = "sample_id") -> Data
         F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("value")) for c in counts.columns])).alias("r")).select("r.*")
 
 
+def failure_count(pred: DataFrame) -> DataFrame:
+    """Predictions whose answer could not be parsed, as a summary row."""
+    failed = ~F.coalesce(F.col("parse_success").cast("boolean"), F.lit(False))
+    return pred.agg(F.count_if(failed).cast("double").alias("value")).select(F.lit("num_generation_failures").alias("metric"), "value")
+
+
 def evaluate(gold: DataFrame, pred: DataFrame, labels: bool = True, overlap: bool = True, semantic: bool = True,
              stemmer: bool = True, extra_summaries: Sequence[DataFrame] = (), check: bool = True) -> Evaluation:
     """Metrics of predictions against gold rows. The aligned table feeds every branch; it is written once to the
@@ -45,6 +51,8 @@ def evaluate(gold: DataFrame, pred: DataFrame, labels: bool = True, overlap: boo
     parts = A.align(gold, pred, check=check)
     aligned = stored(spread(parts.aligned, "sample_id"), "aligned")
     tables, summaries = [], [row_counts(gold, pred)]
+    if "parse_success" in pred.columns:
+        summaries.append(failure_count(pred))
     cells = L.cell_counts(aligned)
     if overlap:
         per_sample, summary = O.overlap_metrics(aligned, stemmer=stemmer)

@@ -12,6 +12,9 @@ from narralytics.operators import label_metrics as L
 from narralytics.operators import runs as R
 from narralytics.operators import stats as S
 from narralytics.operators.align import ValidationError
+from narralytics.functions.plugins import StatisticalTagger
+from narralytics.operators.corpus import narrative_ratios
+from narralytics.plans.evaluation import evaluate
 
 
 def test_grid_stops_above_the_limit(spark):
@@ -144,3 +147,18 @@ def test_cache_grows_and_repeated_keys_count_once(spark, tmp_path):
         got = J.score_with_cache(rows, cache, score, append_to=path)
         assert sorted((r["sample_id"], r["score"]) for r in got.collect()) == [(0, 4), (1, 1), (2, 1), (3, 1)]
         assert len(log.read_text().split()) == calls
+
+
+def test_run_summary_counts_parse_failures(spark):
+    gold = spark.createDataFrame([(1, "s", "Joy", "n"), (2, "s", "Fear", "n")], "sample_id long, source_text string, emotion_label string, reference_narrative string")
+    pred = spark.createDataFrame([(1, "n", "Joy", True), (2, "", "", False)], "sample_id long, predicted_narrative string, predicted_emotion_label string, parse_success boolean")
+    summary = {r["metric"]: r["value"] for r in evaluate(gold, pred, overlap=False, semantic=False).summary.collect()}
+    assert summary["num_generation_failures"] == 1 and summary["accuracy"] == 0.5
+
+
+def test_learned_tagger_adapter(spark):
+    def make():
+        return lambda texts: [[(w, "PAST" if w.endswith("ed") else "VERB" if w == "go" else "OTHER") for w in t.split()] for t in texts]
+    df = spark.createDataFrame([(1, "I walked and we go"), (2, "")], "id long, text string")
+    rows = narrative_ratios(df, tagger=StatisticalTagger(make, {"PAST", "VERB"}, {"PAST"})).collect()
+    assert [(r["id"], r["past_verb_ratio"], r["first_person_ratio"]) for r in rows] == [(1, 0.5, 0.4)]

@@ -292,12 +292,24 @@ def _(spark, sf):
     return rounded(R.build_summary([stale, metrics, None, counts]))
 
 
-@query("summary_recheck", "A13", V.with_views(["cells"], """
-    , d AS (SELECT abs((SELECT sum(CASE WHEN gold = pred THEN n ELSE 0 END) / sum(n)::DOUBLE FROM cells)
-        - (SELECT avg(CASE WHEN emotion_label = predicted_emotion_label THEN 1.0 ELSE 0 END) FROM aligned)) AS m)
-    SELECT round(m, 9) AS max_difference, 1::BIGINT AS metrics, m <= 1e-9 AS equal FROM d"""))
+@query("summary_recheck", "A13 F9", V.with_views(["aligned"], """
+    , parts AS (SELECT 'all' AS rows, * FROM aligned UNION ALL SELECT 'without_toxic', * FROM aligned WHERE sample_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)),
+    c AS (SELECT rows, emotion_label AS gold, predicted_emotion_label AS pred, count(*) AS n FROM parts GROUP BY ALL),
+    s AS (SELECT rows, label, sum(tp)::DOUBLE AS tp, sum(g)::DOUBLE AS g, sum(p)::DOUBLE AS p FROM (
+        SELECT rows, gold AS label, CASE WHEN gold = pred THEN n ELSE 0 END AS tp, n AS g, 0 AS p FROM c UNION ALL SELECT rows, pred, 0, 0, n FROM c) GROUP BY ALL),
+    f AS (SELECT rows, avg(coalesce(2 * tp / nullif(g + p, 0), 0)) AS a, avg(coalesce(2 * (tp / nullif(p, 0)) * (tp / nullif(g, 0)) / nullif(tp / nullif(p, 0) + tp / nullif(g, 0), 0), 0)) AS b FROM s GROUP BY rows),
+    x AS (SELECT rows, sum(CASE WHEN gold = pred THEN n ELSE 0 END) / sum(n)::DOUBLE AS a FROM c GROUP BY rows),
+    y AS (SELECT rows, avg(CASE WHEN emotion_label = predicted_emotion_label THEN 1.0 ELSE 0 END) AS b FROM parts GROUP BY rows),
+    d AS (SELECT rows, greatest(abs(x.a - y.b), abs(f.a - f.b)) AS m FROM x JOIN y USING (rows) JOIN f USING (rows))
+    SELECT rows, round(m, 9) AS max_difference, 2::BIGINT AS metrics, m <= 1e-9 AS equal FROM d"""))
 def _(spark, sf):
-    both = V.aligned(spark, sf)
-    stored = L.label_summary(L.cell_counts(both)).where("metric = 'accuracy'")
-    recomputed = L.accuracy(both).select(F.lit("accuracy").alias("metric"), F.col("accuracy").alias("value"))
-    return rounded(R.check_summary(recomputed, stored))
+    """Stored summaries of all rows and of the rows left after an exclusion, recomputed row by row."""
+    both = V.aligned(spark, sf).select("sample_id", L.GOLD, L.PRED)
+    toxic = V.table(spark, sf, "labels").where("toxic = 1").select(F.col("doc_id").alias("sample_id"))
+    parts = both.withColumn("rows", F.lit("all")).unionByName(A.exclude_ids([both], toxic)[0].withColumn("rows", F.lit("without_toxic")))
+    cells = L.cell_counts(parts, ["rows"])
+    of = lambda name: L.label_summary(cells.where(F.col("rows") == name).drop("rows")).where("metric IN ('accuracy', 'macro_f1')").withColumn("rows", F.lit(name))
+    accuracy = L.accuracy(parts, ["rows"]).select("rows", F.lit("accuracy").alias("metric"), F.col("accuracy").alias("value"))
+    harmonic = F.coalesce(F.try_divide(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")), F.lit(0.0))
+    macro = L.label_scores(cells, ["rows"]).groupBy("rows").agg(F.avg(harmonic).alias("value")).select("rows", F.lit("macro_f1").alias("metric"), "value")
+    return rounded(R.check_summary(accuracy.unionByName(macro), of("all").unionByName(of("without_toxic")), by=["rows"]))

@@ -24,8 +24,10 @@ def encode_sentences(df: DataFrame, key: str, texts: Sequence[str], make_encoder
         F.struct(F.lit(t).alias("side"), sentences(F.col(t)).alias("list")) for t in texts])).alias("s"))
     flat = sides.select(key, "s.side", F.col("s.list").alias("list"))
     long = flat.select(key, "side", F.posexplode("list").alias("pos", "sentence"))
-    distinct = long.select("sentence").distinct()
-    return long.join(distinct.withColumn("vec", encode_column(make_encoder)(F.col("sentence"))), "sentence")
+    keyed = long.withColumn("_k", F.unhex(F.md5("sentence")))  # sentences meet by a 16-byte digest, not by their text
+    distinct = keyed.groupBy("_k").agg(F.min("sentence").alias("_s"))
+    vectors = distinct.select("_k", encode_column(make_encoder)(F.col("_s")).alias("vec"))
+    return keyed.join(vectors, "_k").drop("_k")
 
 
 _DTW = StructType([StructField("dtw_distance", DoubleType()), StructField("normalized_dtw_distance", DoubleType())])

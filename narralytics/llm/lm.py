@@ -9,6 +9,8 @@ mean over its tokens of target loss minus background loss, in bits; low means li
 
 Defined results: a null or empty text has one token (its end); repeated rows are counted and scored each; an
 empty target or background gives a uniform model; further columns are ignored.
+
+No query uses these character models; ``word_lm`` scores ``op9_lm_difference``.
 """
 from __future__ import annotations
 

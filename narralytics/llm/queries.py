@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from narralytics.llm import bpe, embed_dedup, html_extract, lm, media, mixing, pii, quality, simhash, token_count
+from narralytics.llm import bpe, embed_dedup, html_extract, media, mixing, pii, quality, simhash, token_count, word_lm
 from narralytics.llm.common import table
 
 
@@ -40,7 +40,7 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_lm_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm.cross_entropy_difference(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return word_lm.cross_entropy_difference(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:

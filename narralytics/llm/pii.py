@@ -1,11 +1,15 @@
 """Personal data in texts: base patterns, and candidates judged by boosted trees. DataFrame functions only.
 
 Four base patterns give spans that always stay. For recall, one looser generator per kind proposes further
-spans (spelled-out addresses, other separators, missing plus signs, failed checksums). Each candidate has format
-and context features; boosted trees, fitted on the counts of all distinct feature vectors of the whole table with
-"shares text with a base span of its kind" as label, give it a score, and per kind the lowest score at which the
-labels reach ``PRECISION`` is the threshold. Candidates above it that touch no base span are added, from the left,
-without overlap among themselves. Only the counted feature vectors (a grid of fixed size) reach the driver.
+spans (spelled-out addresses, other separators, missing plus signs, failed checksums). Each candidate has format,
+validity and context features, and boosted trees give it a score. They are fitted on the counts of all distinct
+feature vectors of the whole table, with labels that do not ask what the base patterns cover. Positive are the valid
+base spans rewritten where they stand: spelled out, with other separators, without plus sign, and for cards with one
+digit mistyped. Negative are candidates that fail their checksum, range or form, that are a valid span of another
+kind, that stand inside a word or digit run, or that are plain lists of four numbers. Valid candidates beside the base spans have no label. Per kind the
+threshold is the score from which on down a further range of candidates would fall below ``PRECISION``. Candidates above it that touch no base span are added,
+from the left, without overlap among themselves. Only the counted feature vectors (a grid of fixed size) reach the
+driver. A card with a wrong checksum is added only where valid cards of its form are far more frequent in the table.
 
 Positions are code points, ends exclusive. The patterns are written so that a run of like characters is read
 once: possessive repeats, and starts only at the beginning of a run or where the last match ended.
@@ -37,16 +41,25 @@ LOOSE = {
              r"(?:\x20?(?:\.|\(dot\)|\[dot\])\x20?[A-Za-z0-9-]++)++",
     "ip": r"(?:(?<![0-9])|\G)[0-9]{1,3}+(?:\x20?(?:\.|,|:|-|\[\.\]|\(\.\))\x20?[0-9]{1,3}+){3}(?![0-9])",
     "card": r"(?:(?<![0-9])|\G)[0-9](?:[\x20./_-]?[0-9]){11,18}(?![0-9])",
-    "phone": r"(?:\+|\b00)?\x20?\(?[0-9]{1,4}+\)?(?:[\x20./()-]{1,2}[0-9]{2,4}+){2,4}(?![0-9])",
+    "phone": r"(?:(?:\+|\b00)\x20?)?\(?[0-9]{1,4}+\)?(?:[\x20./()-]{1,2}[0-9]{2,4}+){2,4}(?![0-9])",
 }
 GUARD = {"email": r"@|\(at\)|\[at\]", "ip": "[0-9]", "card": "[0-9]", "phone": "[0-9]"}
 CONTEXT = r"(?i)\b(?:e-?mail|mail|contact|call|tel|phone|fax|mobile|card|visa|pay|account|ip|host|server|address|from)\b"
 PRECISION = 0.9
 SPAN = "array<struct<start:int,kind:int,finish:int>>"
 PROPOSED = ("array<struct<start:int,kind:int,finish:int,digits:int,marks:int,plus:int,hint:int,before:int,after:int,"
-            "size:int,letters:int>>")
-FEATURES = ("kind", "digits", "marks", "plus", "hint", "before", "after", "size", "letters")
-GRID = 4 * 20 * 5 * 2 * 2 * 4 * 4 * 12 * 2   # most feature vectors there can be
+            "size:int,letters:int,form:int,valid:int>>")
+FEATURES = ("kind", "digits", "marks", "plus", "hint", "before", "after", "size", "letters", "form", "valid")
+GRID = 4 * 20 * 5 * 2 * 2 * 4 * 4 * 12 * 2 * 5 * 2   # most feature vectors there can be
+SPELLED = r"\(at\)|\[at\]|\(dot\)|\[dot\]|\[\.\]|\(\.\)"
+# (pattern, replacement) pairs that rewrite a valid base span into forms which the base patterns do not match
+REWRITES = {
+    "email": [[("@", " [at] "), (r"\.", " [dot] ")], [("@", "(at)"), (r"\.", "(dot)")], [("@", " (at) ")]],
+    "ip": [[(r"\.", "[.]")], [(r"\.", "(.)")]],
+    "card": [[("[^0-9]", ""), ("([0-9]{4})(?=[0-9])", f"$1{mark}")] for mark in "./_"],
+    "phone": [[(r"\+", "")], [(r"\+", "00")], [(r"\+", ""), (r"[\x20()-]+", ".")],
+              [(r"^\+[0-9]{1,3}[\x20.-]+(?=\(?[0-9])|\+", "")]],
+}
 ROUNDS, DEPTH = 20, 3
 
 
@@ -92,31 +105,55 @@ def _valid(kind: str, value: Column) -> Column:
     return n.between(9, 15) if kind == "phone" else F.lit(True)
 
 
+def _valid_loose(kind: str, value: Column) -> Column:
+    """Whether a candidate is a span of its kind once its separators are read as the usual ones."""
+    if kind == "email":   # a spelled-out dot may stand between blanks, a plain one may not
+        return value.rlike(r"(?:\.|\x20?(?:\(dot\)|\[dot\])\x20?)[A-Za-z]{2,}$") & ~value.rlike(r"\x20\.|\.\x20")
+    if kind == "ip":
+        return _valid(kind, F.regexp_replace(value, "[^0-9]+", "."))
+    return _valid(kind, value)
+
+
+def _form(value: Column) -> Column:
+    """Separators: 0 none, blank or hyphen, 1 spelled out or bracketed, 2 comma, colon, slash or low line, 3 parenthesis, 4 dot."""
+    return (F.when(value.rlike(SPELLED), 1).when(value.rlike("[,:/_]"), 2).when(value.rlike("[()]"), 3)
+            .when(value.contains("."), 4).otherwise(0))
+
+
 def _joined(arrays: list[Column]) -> Column:
     return F.array_sort(F.concat(*arrays))
 
 
+def _base_matches(text: Column, kind: str) -> Column:
+    return F.filter(_matches(text, BASE[kind]), lambda m: _valid(kind, m.value))
+
+
 def base_spans(text: Column) -> Column:
     """array<struct<start, kind, finish>> of the base patterns, by start, then kind as listed."""
     def of(k: int, kind: str) -> Column:
-        good = F.filter(_matches(text, BASE[kind]), lambda m: _valid(kind, m.value))
+        good = _base_matches(text, kind)
         spans = F.transform(good, lambda m: F.struct(m.start.alias("start"), F.lit(k).alias("kind"), m.finish.alias("finish")))
         return F.when(text.rlike(GUARD[kind]), spans).otherwise(F.array().cast(SPAN))
 
     return _joined([of(k, kind) for k, kind in enumerate(KINDS)])
 
 
+def _features(kind: str, value: Column, before: Column, after: Column, valid: Column) -> list[Column]:
+    """The features after the kind, in the order of ``FEATURES``."""
+    return [F.least(F.length(_digits(value)), F.lit(19)).alias("digits"),
+            F.least(F.length(F.regexp_replace(value, r"[A-Za-z0-9]", "")), F.lit(4)).alias("marks"),
+            value.startswith("+").cast("int").alias("plus"), before.rlike(CONTEXT).cast("int").alias("hint"),
+            _side(F.right(before, F.lit(1))).alias("before"), _side(after).alias("after"),
+            F.least((F.length(value) / 4).cast("int"), F.lit(11)).alias("size"),
+            value.rlike("[A-Za-z]").cast("int").alias("letters"), _form(value).alias("form"),
+            valid.cast("int").alias("valid")]
+
+
 def candidates(text: Column) -> Column:
     """Proposed spans with their features, by start, then kind."""
     def of(k: int, kind: str) -> Column:
         made = F.transform(_matches(text, LOOSE[kind]), lambda m: F.struct(
-            m.start.alias("start"), F.lit(k).alias("kind"), m.finish.alias("finish"),
-            F.least(F.length(_digits(m.value)), F.lit(19)).alias("digits"),
-            F.least(F.length(F.regexp_replace(m.value, r"[A-Za-z0-9]", "")), F.lit(4)).alias("marks"),
-            m.value.startswith("+").cast("int").alias("plus"), m.before.rlike(CONTEXT).cast("int").alias("hint"),
-            _side(F.right(m.before, F.lit(1))).alias("before"), _side(m.after).alias("after"),
-            F.least((F.length(m.value) / 4).cast("int"), F.lit(11)).alias("size"),
-            m.value.rlike("[A-Za-z]").cast("int").alias("letters")))
+            m.start.alias("start"), F.lit(k).alias("kind"), m.finish.alias("finish"), *_features(kind, m.value, m.before, m.after, _valid_loose(kind, m.value))))
         return F.when(text.rlike(GUARD[kind]), made).otherwise(F.array().cast(PROPOSED))
 
     return _joined([of(k, kind) for k, kind in enumerate(KINDS)])
@@ -126,18 +163,47 @@ def _touches(a: Column, b: Column) -> Column:
     return (a.start < b.finish) & (b.start < a.finish)
 
 
+def rewritten(text: Column) -> Column:
+    """Feature vectors of the valid base spans in the forms of ``REWRITES``, with label 1."""
+    def of(k: int, kind: str) -> Column:
+        def forms(m: Column) -> Column:
+            values = []
+            for pairs in REWRITES[kind]:
+                values.append(m.value)
+                for pattern, new in pairs:
+                    values[-1] = F.regexp_replace(values[-1], pattern, new)
+            made = [F.struct(v.alias("value"), F.lit(True).alias("valid")) for v in values]
+            if kind == "card":
+                made.append(F.struct(m.value.alias("value"), F.lit(False).alias("valid")))   # mistyped
+            good = F.filter(F.array(*made), lambda x: ~x.valid | _valid_loose(kind, x.value))
+            return F.transform(good, lambda x: F.struct(
+                F.lit(k).alias("kind"), *_features(kind, x.value, m.before, m.after, x.valid), F.lit(1).alias("y")))
+
+        made = F.flatten(F.transform(_base_matches(text, kind), forms))
+        return F.when(text.rlike(GUARD[kind]), made).otherwise(F.array())
+
+    return F.concat(*[of(k, kind) for k, kind in enumerate(KINDS)])
+
+
 def counted(docs: DataFrame) -> DataFrame:
-    """Counts of every distinct (feature vector, label) over all candidates of ``docs``."""
+    """Counts of every distinct (feature vector, label) over all labelled examples of ``docs``."""
     text = docs.select(text_or_empty().cast("string").alias("t")).where(F.col("t").rlike(r"@|\(at\)|\[at\]|[0-9]"))
-    both = text.select(base_spans(F.col("t")).alias("base"), candidates(F.col("t")).alias("proposed"))
-    labelled = both.select(F.explode(F.transform("proposed", lambda c: F.struct(
-        *[c[f].alias(f) for f in FEATURES],
-        F.exists("base", lambda b: (b.kind == c.kind) & _touches(c, b)).cast("int").alias("y")))).alias("c"))
+    both = text.select(base_spans(F.col("t")).alias("base"), candidates(F.col("t")).alias("proposed"), rewritten(F.col("t")).alias("made"))
+
+    def negative(c: Column) -> Column:
+        own = F.exists("base", lambda b: (b.kind == c.kind) & _touches(c, b))
+        other = F.exists("base", lambda b: (b.kind != c.kind) & _touches(c, b))
+        numbers = (c.kind == KINDS.index("ip")) & (c.form != 1)
+        embedded = (c.kind != KINDS.index("email")) & (c.before.isin(1, 2) | c.after.isin(1, 2))
+        return ~own & ((c.valid == 0) | other | numbers | embedded)
+
+    found = F.transform(F.filter("proposed", negative), lambda c: F.struct(*[c[f].alias(f) for f in FEATURES], F.lit(0).alias("y")))
+    labelled = both.select(F.explode(F.concat(F.col("made"), found)).alias("c"))
     return labelled.groupBy(*[F.col(f"c.{f}").alias(f) for f in FEATURES], F.col("c.y").alias("y")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def fit(docs: DataFrame) -> tuple[tuple[float, list], dict[int, float]]:
-    """(trees, threshold per kind) from all candidates of ``docs``; the counted grid is bounded by ``GRID`` rows."""
+    """(trees, threshold per kind) from all labelled examples of ``docs``; the counted grid is bounded by ``GRID`` rows."""
     rows = sorted(tuple(r) for r in counted(docs).collect())
     if not rows:
         return (0.0, []), {}
@@ -149,11 +215,9 @@ def fit(docs: DataFrame) -> tuple[tuple[float, list], dict[int, float]]:
     for kind in range(len(KINDS)):
         of = x[:, 0] == kind
         levels = np.unique(score[of])
-        for level in levels:
-            above = of & (score >= level - 1e-9)
-            if (n * y)[above].sum() >= PRECISION * n[above].sum():
-                limits[kind] = float(level - 1e-9)
-                break
+        worth = [(n * (y - PRECISION))[of & (score >= level - 1e-9)].sum() for level in levels]
+        if len(levels) and max(worth) > 0:   # every range of levels above the threshold keeps the precision down to it
+            limits[kind] = float(levels[int(np.argmax(worth))] - 1e-9)
     return model, limits
 
 

@@ -2,7 +2,7 @@
 import collections
 import math
 
-from narralytics.llm import word_lm
+from narralytics.llm import pii, word_lm
 from tests.llm.helpers import awkward, by_id, count, documents, empty, prose
 
 
@@ -51,3 +51,17 @@ def test_word_models_tell_words_apart_and_keep_the_larger_counts(spark):
     assert found[17].difference < found[18].difference   # digits are not one symbol: the target has 2024
     assert count(word_lm.cross_entropy_difference(awkward(spark), empty(spark).select("text"))) == 8
     assert count(word_lm.cross_entropy_difference(empty(spark), awkward(spark))) == 0
+
+
+# op2_pii
+
+def test_candidates_in_other_forms_are_added_and_failing_ones_are_not(spark):
+    plain = ["mail me@host.org now", "call +49 (017) 555-7713 now", "card 4111 1111 1111 1111 now", "from 10.1.2.3 now"]
+    odd = ["mail me [at] host [dot] org now", "call (017) 555-7713 now", "card 4111.1111.1111.1111 now", "from 10[.]1[.]2[.]3 now"]
+    bad = ["meet me (at) noon. Then go", "call (017) 555-77 now", "card 4111.1111.1111.1112 now", "from 10[.]1[.]2[.]300 now", "at 10,11,12,13 now"]
+    kinds = ["email", "phone", "card", "ip"]
+    copies = 10   # the odd forms are frequent beside the plain ones
+    got = by_id(pii.report(documents(spark, odd * copies + bad + plain * 5)))
+    for i in range(len(odd) * copies):
+        assert got[i].spans.split(":")[0] == kinds[i % 4] and "," not in got[i].spans, odd[i % 4]
+    assert [got[len(odd) * copies + i].spans for i in range(len(bad))] == [""] * len(bad)

@@ -75,8 +75,8 @@ def fragments(text: bytes, table: np.ndarray) -> list[bytes]:
 class Codec:
     """Encodes fragments once; a fragment maps to its ids (little-endian bytes) and its decoded text.
 
-    Where the vocabulary is lower-case anyway, ASCII capitals are lowered first, unless the text could
-    then hold a special token it does not hold now.
+    Where the vocabulary is lower-case anyway, ASCII capitals are lowered first, unless a byte
+    above ASCII follows (NFC comes before lowering) or the text could then hold a special token it does not hold now.
     """
 
     def __init__(self, path: str):
@@ -94,7 +94,14 @@ class Codec:
 
     def _lowered(self, text: bytes) -> bytes:
         low = text.lower() if self.lowers else text
-        return text if any(s in low for s in self.special) else low
+        if low is text or any(s in low for s in self.special):
+            return text
+        if text.isascii():
+            return low
+        raw = np.frombuffer(text, dtype=np.uint8)   # a capital before a mark may compose with it, so it stays
+        capital = (raw >= 65) & (raw <= 90)
+        capital[:-1] &= raw[1:] < 128
+        return (raw + (capital * 32).astype(np.uint8)).tobytes()
 
     def encode(self, texts: list[bytes]) -> list[tuple[bytes, bytes]]:
         """(ids as bytes, decoded text) per text; decoded fragments are joined as the library joins tokens."""

@@ -1,8 +1,12 @@
 """One test per finding of the second review."""
 import collections
 import math
+import struct
 
-from narralytics.llm import pii, word_lm
+import public_tokenizers
+from tokenizers import Tokenizer
+
+from narralytics.llm import bpe, pii, word_lm
 from tests.llm.helpers import awkward, by_id, count, documents, empty, prose
 
 
@@ -65,3 +69,15 @@ def test_candidates_in_other_forms_are_added_and_failing_ones_are_not(spark):
     for i in range(len(odd) * copies):
         assert got[i].spans.split(":")[0] == kinds[i % 4] and "," not in got[i].spans, odd[i % 4]
     assert [got[len(odd) * copies + i].spans for i in range(len(bad))] == [""] * len(bad)
+
+
+# op7_bpe
+
+def test_capitals_that_compose_only_when_small():
+    path = public_tokenizers.path(bpe.VOCABULARY)
+    words, codec = Tokenizer.from_file(path), bpe.Codec(path)
+    texts = ["J\u030cohn", "H\u0331 T\u0308 W\u030a Y\u030a", "A J\u0323\u030cX É JOHN", "J", "É J"]
+    for text, (ids, decoded) in zip(texts, codec.encode([t.encode() for t in texts])):
+        want = words.encode(text, add_special_tokens=False).ids
+        assert list(struct.unpack(f"<{len(ids) // 4}I", ids)) == want
+        assert decoded.decode() == words.decode(want, skip_special_tokens=False)

@@ -6,7 +6,7 @@ import struct
 import public_tokenizers
 from tokenizers import Tokenizer
 
-from narralytics.llm import bpe, pii, word_lm
+from narralytics.llm import bpe, mixing, pii, word_lm
 from tests.llm.helpers import awkward, by_id, count, documents, empty, prose
 
 
@@ -81,3 +81,29 @@ def test_capitals_that_compose_only_when_small():
         want = words.encode(text, add_special_tokens=False).ids
         assert list(struct.unpack(f"<{len(ids) // 4}I", ids)) == want
         assert decoded.decode() == words.decode(want, skip_special_tokens=False)
+
+
+# op8_mixing
+
+def test_margins_that_can_be_met_are_met_under_the_bound(spark):
+    targets = mixing.Targets({"a": 0.5, "b": 0.5}, {"x": 0.5, "y": 0.5}, {"p": 0.5, "q": 0.5})
+    tokens = {(s, t, u): (300 if s == "a" else 700) * (3 if t == "x" else 2) if u == "p" else (10 if s == "a" else 90)
+              for s in "ab" for t in "xy" for u in "pq"}   # q has too little
+    kept = mixing.probabilities(tokens, mixing.rake(tokens, targets), 0.5)
+    total = lambda axis, value: sum(tokens[k] * p for k, p in kept.items() if k[axis] == value)
+    want = 0.5 * sum(tokens.values())
+    assert all(0 <= p <= 1 for p in kept.values()) and abs(total(2, "q") - 200) < 1e-3 and abs(total(2, "p") - want + 200) < 1e-3
+    for axis, values in enumerate(("ab", "xy")):
+        room = [min(want / 2, sum(n for k, n in tokens.items() if k[axis] == v)) for v in values]
+        assert min(room) == want / 2 or axis == 0
+        for v, r in zip(values, room):
+            assert abs(total(axis, v) / want - (r if r < want / 2 else want - min(room)) / want) < 1e-3, (axis, v)
+
+
+def test_sources_of_the_table_are_the_default_targets(spark):
+    docs = documents(spark, [prose(i, 50) for i in range(40)]).selectExpr("doc_id", "text", "lang", "CASE WHEN doc_id < 30 THEN 'books' ELSE 'news' END AS source")
+    got = mixing.mix(docs).collect()
+    share = collections.Counter()
+    for r in got:
+        share[r.source] += r.n_tokens * r.weight
+    assert set(share) == {"books", "news"} and abs(share["books"] - share["news"]) < 1e-6 * share["news"]

@@ -62,6 +62,43 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Tables of one run in the shared folder, each deleted as soon as nothing reads it any more."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark = spark
+        self.paths: dict[str, str] = {}
+
+    def write(self, df: DataFrame, name: str) -> DataFrame:
+        """Write once and read back; a name that is used again must have been dropped before."""
+        if name in self.paths:
+            raise ValueError(f"scratch table {name} is still in use")
+        path = self.paths[name] = scratch_path(self.spark, name)
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, *names: str) -> None:
+        for name in names:
+            remove_path(self.spark, self.paths.pop(name))
+
+    def clear(self) -> None:
+        self.drop(*self.paths)
+
+
+def remove_path(spark: SparkSession, path: str) -> None:
+    """Delete a folder with the file system that Spark itself uses for it; a missing one is no error."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def clean_scratch(spark: SparkSession) -> None:
+    """Delete every scratch table this library has left in the shared folder.
+
+    For the end of an application: results that have not been written elsewhere can no longer be read.
+    """
+    remove_path(spark, f"{shared_dir(spark).rstrip('/')}/narralytics")
+
+
 def small_side(df: DataFrame, rows: int = 100_000) -> DataFrame:
     """``df`` marked for broadcasting when it has at most ``rows`` rows; the join's result is the same either way."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

@@ -1,7 +1,7 @@
 """Cosine similarity search and long-sequence alignment over vector tables."""
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -10,17 +10,19 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
 
 from narralytics.functions import kernels
-from narralytics.operators.ranking import exact_percentiles, rank_by_hash, top_per_group
-from narralytics.session import cut_lineage
+from narralytics.operators.ranking import exact_percentiles, top_per_group
+from narralytics.session import Scratch, cut_lineage, spread, stored
 
 BROADCAST_BYTES = 64 << 20  # a right side up to this size goes to every task
 BLOCK_BYTES = 32 << 20      # else each side is cut into blocks of this size
+SAMPLE = 4096               # right vectors that pivots are taken from
+SLACK = 1e-9                # room for rounding in bounds of similarities
 
 
 def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     """Column order of the k best scores per row; equal scores go to the smaller id."""
     by_id = np.argsort(ids, kind="stable")
-    order = np.argsort(-scores[:, by_id], axis=1, kind="stable")[:, :k]
+    order = np.argsort(-np.round(scores[:, by_id], 12), axis=1, kind="stable")[:, :k]
     return by_id[order]
 
 
@@ -32,43 +34,112 @@ def _top_frame(left_ids: pd.Series, left: np.ndarray, right_ids: np.ndarray, rig
                          "similarity": scores[rows, picked.ravel()]})
 
 
-def cosine_top_k(left: DataFrame, right: DataFrame, k: int, broadcast_bytes: int = BROADCAST_BYTES,
-                 block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """(left_id, right_id, similarity, rank): the k most similar right vectors of every left vector.
+def _farthest_first(points: np.ndarray, count: int) -> np.ndarray:
+    """Up to ``count`` rows, each the one farthest in angle from those before; ends when only copies are left."""
+    picks, best = [0], points @ points[0]
+    while len(picks) < count and best.min() < 1 - 1e-12:
+        picks.append(int(best.argmin()))
+        best = np.maximum(best, points @ points[picks[-1]])
+    return points[picks]
+
 
-    Both inputs are (id long, vec array). A right side within the limit in bytes is sent to every task.
-    A larger one is cut into blocks; every left block meets every right block in its own bounded task,
-    which keeps only its k best, and the winners are merged. Both ways give the same rows, and a vector is
-    copied once per block of the other side. Zero vectors have similarity 0.
+class AngularCells:
+    """Cells of unit vectors around sampled pivots, with the angle each cell covers.
+
+    The last cell is for zero vectors: their similarity is 0 to everything.
     """
-    schema = "left_id long, right_id long, similarity double"
-    count, width = right.agg(F.count("*"), F.max(F.size("vec"))).first()
-    row_bytes = 8 * ((width or 0) + 1)
-    if count * row_bytes <= broadcast_bytes:
-        head = right.select("id", "vec").toPandas()
-        ids = head["id"].to_numpy(dtype=np.int64)
-        matrix = kernels.unit_rows(np.stack(head["vec"].to_numpy()).astype(float) if count else np.zeros((0, 1)))
-        shared = left.sparkSession.sparkContext.broadcast((ids, matrix))
-
-        def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            right_ids, right_matrix = shared.value
-            for pdf in batches:
-                if len(pdf) and len(right_ids):
-                    yield _top_frame(pdf["id"], np.stack(pdf["vec"].to_numpy()).astype(float), right_ids, right_matrix, k)
-
-        found = left.select("id", "vec").mapInPandas(scan, schema)
-    else:
-        block_vectors = max(1, block_bytes // row_bytes)
-
-        def blocks(df: DataFrame) -> tuple[DataFrame, int]:
-            ranked = rank_by_hash(df.select("id", "vec"), ["id"], "block")
-            cut = ranked.withColumn("block", F.floor((F.col("rank") - 1) / block_vectors).cast("int")).drop("rank")
-            return cut, -(-df.count() // block_vectors)
-
-        (l, l_blocks), (r, r_blocks) = blocks(left), blocks(right)
-        every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-        l = l.withColumnRenamed("block", "lb").withColumn("rb", every(r_blocks))
-        r = r.withColumnRenamed("block", "rb").withColumn("lb", every(l_blocks))
+
+    def __init__(self, pivots: np.ndarray) -> None:
+        self.pivots = pivots
+        self.rows = np.zeros(len(pivots) + 1, dtype=np.int64)
+        self.cosine = np.ones(len(pivots))
+
+    def place(self, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Cell of every row and the cosine to its pivot."""
+        zero = ~unit.any(axis=1)
+        if not len(self.pivots):
+            return np.zeros(len(unit), dtype=np.int64), np.ones(len(unit))
+        dots = unit @ self.pivots.T
+        cell = dots.argmax(axis=1)
+        return np.where(zero, len(self.pivots), cell), np.where(zero, 1.0, dots[np.arange(len(unit)), cell])
+
+    def measured(self, sizes: Iterable) -> None:
+        for cell, rows, cosine in sizes:
+            self.rows[cell] = rows
+            if cell < len(self.pivots):
+                self.cosine[cell] = cosine - SLACK
+
+    def upper(self, unit: np.ndarray) -> np.ndarray:
+        """The largest similarity any row of a cell can have, per (row, cell); -inf for empty cells."""
+        dots = np.clip(unit @ self.pivots.T, -1.0, 1.0)
+        reach = dots * self.cosine + np.sqrt(1 - dots * dots) * np.sqrt(np.maximum(1 - self.cosine * self.cosine, 0.0))
+        bound = np.where(dots >= self.cosine, 1.0, reach) + SLACK
+        bound[~unit.any(axis=1)] = SLACK
+        bound = np.column_stack([bound, np.full(len(unit), SLACK)])
+        bound[:, self.rows == 0] = -np.inf
+        return bound
+
+    def nearest(self, unit: np.ndarray, k: int) -> np.ndarray:
+        """Per row the cells of highest bound that together hold ``k`` rows, as a mask."""
+        bound = self.upper(unit)
+        order = np.argsort(-bound, axis=1, kind="stable")
+        before = np.cumsum(self.rows[order], axis=1) - self.rows[order]
+        mask = np.zeros(bound.shape, dtype=bool)
+        np.put_along_axis(mask, order, before < k, axis=1)
+        return mask & (bound > -np.inf)
+
+
+def _cells(right: DataFrame, count: int, block_vectors: int) -> AngularCells:
+    filled = right.select("id", "vec").where(F.exists("vec", lambda x: x != 0))
+    sample = filled.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).toPandas()
+    if not len(sample):
+        return AngularCells(np.zeros((0, right.select(F.max(F.size("vec"))).first()[0])))
+    unit = kernels.unit_rows(np.stack(sample["vec"].to_numpy()).astype(float))
+    return AngularCells(_farthest_first(unit, -(-count // block_vectors)))
+
+
+def _pruned_top_k(left: DataFrame, right: DataFrame, k: int, count: int, block_vectors: int, report: dict | None) -> DataFrame:
+    """The large way of ``cosine_top_k``: blocks that cannot hold any of a vector's k best are not visited."""
+    scratch = Scratch(left.sparkSession)
+    cells = _cells(right, count, block_vectors)
+
+    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if len(pdf):
+                cell, cosine = cells.place(kernels.unit_rows(np.stack(pdf["vec"].to_numpy()).astype(float)))
+                yield pdf.assign(cell=cell, cosine=cosine)
+
+    placed = scratch.write(right.select("id", F.col("vec").cast("array<double>").alias("vec")).mapInPandas(
+        place, "id long, vec array<double>, cell long, cosine double"), "top-k-cells")
+    # at most one row per cell; the cells are bounded by the sample
+    cells.measured((r["cell"], r["n"], r["cosine"]) for r in placed.groupBy("cell").agg(F.count("*").alias("n"), F.min("cosine").alias("cosine")).collect())
+    subs = left.sparkSession.createDataFrame([(i, int(-(-n // block_vectors))) for i, n in enumerate(cells.rows) if n], "cell long, subs long")
+
+    def routed(rows: DataFrame, name: str) -> DataFrame:
+        """``rows`` (id, vec, kth) with the cells to visit: the nearest ones first, then those that can still hold a better row."""
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for whole in batches:
+                for start in range(0, len(whole), 512):
+                    pdf = whole.iloc[start:start + 512]
+                    unit = kernels.unit_rows(np.stack(pdf["vec"].to_numpy()).astype(float))
+                    mask = cells.nearest(unit, k)
+                    if name != "near":
+                        mask = ~mask & (cells.upper(unit) >= pdf["kth"].to_numpy()[:, None])
+                    yield pd.DataFrame({"id": pdf["id"], "vec": pdf["vec"], "cells": [np.flatnonzero(m) for m in mask]})
+
+        return scratch.write(rows.select("id", F.col("vec").cast("array<double>").alias("vec"), "kth").mapInPandas(
+            run, "id long, vec array<double>, cells array<long>"), f"top-k-{name}")
+
+    def met(sent: DataFrame, name: str) -> DataFrame:
+        each = sent.withColumn("cell", F.explode("cells")).drop("cells")
+        visits = each.groupBy("cell").agg(F.count("*").alias("n"))
+        if report is not None:
+            report["visited"] = report.get("visited", 0) + (visits.agg(F.sum("n")).first()[0] or 0)
+        plan = F.broadcast(subs.join(visits, "cell").select("cell", "subs", F.ceil(F.col("n") / block_vectors).alias("parts")))  # one row per cell
+        every = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
+        key = ["cell", "sub", "part"]
+        l = each.join(plan, "cell").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts"))).withColumn("sub", every("subs"))
+        r = placed.join(plan, "cell").withColumn("sub", F.pmod(F.xxhash64("id"), F.col("subs"))).withColumn("part", every("parts"))
 
         def meet(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
             if not len(a) or not len(b):
@@ -76,8 +147,57 @@ def cosine_top_k(left: DataFrame, right: DataFrame, k: int, broadcast_bytes: int
             other = kernels.unit_rows(np.stack(b["vec"].to_numpy()).astype(float))
             return _top_frame(a["id"], np.stack(a["vec"].to_numpy()).astype(float), b["id"].to_numpy(), other, k)
 
-        found = l.groupBy("lb", "rb").cogroup(r.groupBy("lb", "rb")).applyInPandas(meet, schema)
-    return top_per_group(found, ["left_id"], [F.col("similarity").desc(), F.col("right_id")], k)
+        found = spread(l.select(*key, "id", "vec"), *key).groupBy(*key).cogroup(spread(r.select(*key, "id", "vec"), *key).groupBy(*key)).applyInPandas(
+            meet, "left_id long, right_id long, similarity double")
+        return scratch.write(_k_best(found, k).drop("rank"), f"top-k-found-{name}")
+
+    unknown = left.select("id", "vec", F.lit(None).cast("double").alias("kth"))
+    first = met(routed(unknown, "near"), "near")
+    scratch.drop("top-k-near")
+    kth = first.groupBy("left_id").agg(F.min("similarity").alias("kth"), F.count("*").alias("n"))
+    known = left.select("id", "vec").join(kth.withColumnRenamed("left_id", "id"), "id", "left").select(
+        "id", "vec", F.when(F.col("n") >= k, F.col("kth")).otherwise(F.lit(float("-inf"))).alias("kth"))
+    second = met(routed(known, "rest"), "rest")
+    if report is not None:
+        report |= {"pairs": left.count() * int((cells.rows > 0).sum()), "cells": int((cells.rows > 0).sum())}
+    best = stored(_k_best(first.unionByName(second), k), "top-k")
+    scratch.clear()
+    return best
+
+
+def _k_best(found: DataFrame, k: int) -> DataFrame:
+    """The k best per left row; similarities that differ by rounding only count as equal."""
+    return top_per_group(found, ["left_id"], [F.round("similarity", 12).desc(), F.col("right_id")], k)
+
+
+def cosine_top_k(left: DataFrame, right: DataFrame, k: int, broadcast_bytes: int = BROADCAST_BYTES,
+                 block_bytes: int = BLOCK_BYTES, report: dict | None = None) -> DataFrame:
+    """(left_id, right_id, similarity, rank): the k most similar right vectors of every left vector.
+
+    Both inputs are (id long, vec array) with unique left ids. A right side within the limit in bytes is sent to every task.
+    A larger one is dealt to cells around pivots, farthest first from ``SAMPLE`` rows in hash order, and Spark measures the angle each
+    cell covers. A left vector first meets the cells of highest bound that hold k rows; its k-th best similarity
+    there is a lower bound, so only cells whose bound reaches it are visited after that. Cells are cut into blocks of ``block_bytes``
+    and met in bounded tasks which keep their k best. Both ways give the same rows. Zero vectors have similarity 0.
+    ``report`` is filled with the number of cells, of (left vector, cell) ``pairs`` and of those ``visited``.
+    """
+    schema = "left_id long, right_id long, similarity double"
+    count, width = right.agg(F.count("*"), F.max(F.size("vec"))).first()
+    row_bytes = 8 * ((width or 0) + 1)
+    if count * row_bytes > broadcast_bytes:
+        return _pruned_top_k(left, right, k, count, max(1, block_bytes // row_bytes), report)
+    head = right.select("id", "vec").toPandas()
+    ids = head["id"].to_numpy(dtype=np.int64)
+    matrix = kernels.unit_rows(np.stack(head["vec"].to_numpy()).astype(float) if count else np.zeros((0, 1)))
+    shared = left.sparkSession.sparkContext.broadcast((ids, matrix))
+
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        right_ids, right_matrix = shared.value
+        for pdf in batches:
+            if len(pdf) and len(right_ids):
+                yield _top_frame(pdf["id"], np.stack(pdf["vec"].to_numpy()).astype(float), right_ids, right_matrix, k)
+
+    return _k_best(left.select("id", "vec").mapInPandas(scan, schema), k)
 
 
 def nearest_distance(left: DataFrame, right: DataFrame, **options) -> DataFrame:

@@ -335,6 +335,35 @@ def test_top_k_block_path_equals_broadcast_path(spark):
     assert [r[:3] for r in small] == expected
 
 
+@pytest.mark.parametrize("k", [1, 4, 200])
+def test_pruned_top_k_gives_the_same_rows(spark, k):
+    """Separated groups, copies across a third of the right side, zero vectors on both sides."""
+    rng = np.random.default_rng(8)
+    groups = rng.normal(size=(12, 16))
+    near = lambda n: groups[rng.integers(0, 12, n)] + rng.normal(size=(n, 16)) / 12
+    left, right = near(120), near(300)
+    right[:100], left[0], right[120:123] = right[0], 0, 0
+    a, b = vector_table(spark, left), vector_table(spark, right, 1000)
+    rows = lambda d: sorted((r["left_id"], r["rank"], r["right_id"], round(r["similarity"], 9)) for r in d.collect())
+    report = {}
+    pruned = rows(N.cosine_top_k(a, b, k, broadcast_bytes=0, block_bytes=10 * 17 * 8, report=report))
+    assert pruned == rows(N.cosine_top_k(a, b, k)) and len(pruned) == 120 * min(k, 300)
+    assert report["pairs"] == 120 * report["cells"] and report["cells"] >= 12
+    assert k == 200 or report["visited"] < 0.3 * report["pairs"]    # zero vectors have to visit all cells
+
+
+def test_cells_bound_their_rows():
+    rng = np.random.default_rng(2)
+    unit = N.kernels.unit_rows(np.vstack([rng.normal(size=(500, 6)), np.zeros((2, 6))]))
+    cells = N.AngularCells(N._farthest_first(unit[:60], 15))
+    cell, cosine = cells.place(unit)
+    assert (cell[-2:] == 15).all()
+    cells.measured((c, int((cell == c).sum()), cosine[cell == c].min()) for c in np.unique(cell))
+    upper = cells.upper(unit)
+    for c in np.unique(cell):
+        assert (upper[:, c] >= (unit @ unit[cell == c].T).max(axis=1)).all()
+
+
 def long_dtw_brute(x, y):
     x, y = x / np.linalg.norm(x, axis=1, keepdims=True), y / np.linalg.norm(y, axis=1, keepdims=True)
     cost = np.clip(1 - x @ y.T, 0, 2)

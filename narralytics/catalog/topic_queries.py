@@ -9,6 +9,7 @@ from narralytics.catalog.registry import query
 from narralytics.catalog.stats_queries import rounded
 from narralytics.constants import STOP_WORDS
 from narralytics.functions.text import cluster_text
+from narralytics.operators import density as D
 from narralytics.operators import semantic as M
 from narralytics.operators import similarity as N
 from narralytics.operators import topics as T
@@ -120,6 +121,18 @@ def _(spark, sf):
     return T.cluster_topics(vectors(spark, sf).drop("topic_id"), k=10, components=5, min_size=20).select("id", "topic_id")
 
 
+@query("topic_density", "V8", f"""WITH {VECTORS_SQL}, s AS (SELECT a.vec_id AS id, {COS_SQL} AS c FROM e a, e b WHERE a.vec_id <> b.vec_id)
+    SELECT id, round(sqrt(greatest(0, 2 - 2 * list_sort(list(c), 'DESC')[10])), 6) AS core_distance FROM s GROUP BY id""")
+def _(spark, sf):
+    cores = D.core_distances(D.nearest_others(vectors(spark, sf), 10), 10)
+    return cores.select("id", F.round("core", 6).alias("core_distance"))
+
+
+@query("density_topics", "V8")
+def _(spark, sf):
+    return D.density_topics(vectors(spark, sf), min_samples=5, min_size=20)
+
+
 @query("topic_centroids", "V10", f"WITH {VECTORS_SQL}, {CENTROID_SQL} SELECT label AS topic_id, CAST(i AS INTEGER) AS dim, round(v[i], 6) AS value FROM (SELECT label, v, unnest(range(1, 65)) AS i FROM c)")
 def _(spark, sf):
     return T.centroids(vectors(spark, sf)).select("topic_id", F.posexplode("centroid").alias("p", "v")).select(

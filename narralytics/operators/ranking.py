@@ -44,6 +44,11 @@ def rank_by_value(df: DataFrame, ordinal: str, groups: Sequence[str] = (), out:
     return _placed_rank(df, [F.col(ordinal)], groups, out)
 
 
+def rank_rows(df: DataFrame, order: Sequence[str], groups: Sequence[str] = (), out: str = "rank") -> DataFrame:
+    """1-based rank by several columns, which together identify a row."""
+    return _placed_rank(df, [F.col(c) for c in order], groups, out)
+
+
 def first_by_ordinal(df: DataFrame, ordinal: str, rows: int, buckets: int = 4096, small: int = 10_000) -> DataFrame:
     """The rows with the ``rows`` smallest values of a unique numeric ordinal, in no order, on all partitions.
 

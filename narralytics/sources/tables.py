@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from narralytics.functions.text import collapse, usable_comment
 from narralytics.operators.align import GOLD_COLUMNS, PREDICTION_COLUMNS, ValidationError, require_columns, require_unique
 from narralytics.operators.ranking import first_by_ordinal, rank_by_value
+from narralytics.sources.split_csv import csv_records
 
 ALPACA_SCHEMA = "system string, instruction string, input string, output string"
 GOLD_SCHEMA = "source_text string, emotion_label string, reference_narrative string"
@@ -21,13 +22,15 @@ CSV_OPTIONS = {"header": "true", "multiLine": "true", "escape": '"', "quote": '"
 def read_csv(spark: SparkSession, path: str, schema: str, required: Sequence[str] = ()) -> DataFrame:
     """CSV with header, quoted newlines and doubled quotes; a leading byte-order mark is dropped.
 
-    Columns are matched by header name, so files may hold more columns in any order. Empty fields are
-    null; the text ``NA`` stays text.
+    Columns are matched by header name, so files may hold more columns in any order; all files share the header of the
+    first. Empty fields are null; the text ``NA`` stays text. Files are split like any text, also inside quoted fields.
     """
     header = spark.read.options(**CSV_OPTIONS).option("inferSchema", "false").csv(path)
     require_columns(header, required or [f.name for f in spark.createDataFrame([], schema).schema], path)
     wanted = spark.createDataFrame([], schema).schema
-    return header.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in wanted])
+    kinds = ", ".join("`{}` string".format(c.replace("`", "``")) for c in header.columns)
+    fields = csv_records(spark, path).select(F.from_csv("text", kinds, {k: v for k, v in CSV_OPTIONS.items() if k != "header"}).alias("r")).select("r.*")
+    return fields.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in wanted])
 
 
 def read_gold(spark: SparkSession, path: str, ordinal: str) -> DataFrame:
@@ -79,6 +82,7 @@ def write_jsonl(df: DataFrame, path: str) -> str:
 
 
 def write_csv(df: DataFrame, path: str) -> str:
-    """CSV that ``read_csv`` reads back unchanged: all fields quoted, quotes doubled."""
-    df.write.mode("errorifexists").options(header="true", quoteAll="true", escape='"', emptyValue="").csv(path)
+    """CSV that ``read_csv`` reads back unchanged: all fields quoted, quotes doubled, white space at the ends kept."""
+    df.write.mode("errorifexists").options(header="true", quoteAll="true", escape='"', emptyValue="", ignoreLeadingWhiteSpace="false",
+                                           ignoreTrailingWhiteSpace="false").csv(path)
     return path

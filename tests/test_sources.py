@@ -7,6 +7,7 @@ from narralytics.operators import corpus as C
 from narralytics.operators.align import ValidationError
 from narralytics.session import scratch_path, shared_dir
 from narralytics.sources import runs as SR
+from narralytics.sources import split_csv as SC
 from narralytics.sources import tables as S
 from narralytics.streaming.filters import filter_stream
 
@@ -19,6 +20,80 @@ def test_csv_bom_quotes_newlines_and_na(spark, tmp_path):
     assert rows[0]["source_text"] == "" and rows[0]["emotion_label"] == "Fear"
 
 
+RECORDS = ['1,"x\ny ""q""",NA', '2,,""', "", '3,"tab\t, comma\n\n\n"," lead"', "4,plain,  sp ", '5,"cr\r\nin\r",z', "  ", "6,short", '7,a,b,c,d',
+           '8,"ends\n\nblank","q\n"', '9,"",x', '"10","""","é😀\n""\n"""']
+
+
+def split_read(spark, path, size, schema="a string, b string, c string"):
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(size))
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        parts = SC.text_lines(spark, path).rdd.getNumPartitions()
+        return parts, sorted((tuple(r) for r in S.read_csv(spark, path, schema).collect()), key=repr)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before[0])
+        spark.conf.set("spark.sql.files.openCostInBytes", before[1])
+
+
+@pytest.mark.parametrize("end", ["\n", "\r\n"])
+def test_csv_blocks_cut_at_every_line(end):
+    """Records from blocks cut before any line, or before every line, equal those of one block."""
+    text = end.join(["\ufeffa,b,c", *RECORDS]) + end
+    lines = text.split("\n")[:-1]
+    want = [r.removesuffix("\r") for r in RECORDS if r]
+
+    def records(starts):
+        odd, inside, filled = 0, set(), None
+        blocks = list(zip(starts, [*starts[1:], len(lines)]))
+        for a, b in blocks:
+            inside |= {("f", a)} if odd else set()
+            odd ^= sum(x.count('"') for x in lines[a:b]) % 2
+            filled = a if filled is None and any(x.strip("\r\ufeff") for x in lines[a:b]) else filled
+        work, out = SC.BlockRecords(inside, {"f": filled}), []
+        for a, b in blocks:
+            for line in lines[a:b]:
+                out.extend(work.add("f", a, line))
+        out.extend(work.end())
+        whole, cut = [p[3] for p in out if p[2] == SC.WHOLE], {}
+        at = None
+        for _, start, kind, piece in sorted((p for p in out if p[2] != SC.WHOLE), key=lambda p: p[1:3]):
+            at = start if kind == SC.HEAD else at
+            cut.setdefault(at, []).append(piece)
+        return sorted(whole + ["\n".join(p).removesuffix("\r") for p in cut.values() if None not in p])
+
+    for cut in range(1, len(lines)):
+        assert records([0, cut]) == sorted(want), cut
+    for step in range(1, len(lines)):
+        assert records(list(range(0, len(lines), step))) == sorted(want), step
+
+
+@pytest.mark.parametrize("size", [3, 11, 40, 10_000])
+def test_csv_file_is_read_in_many_tasks(spark, tmp_path, size):
+    path = tmp_path / "x.csv"
+    path.write_text("\n\ufeffa,b,c\n".replace("\n\ufeff", "\ufeff") + "\n".join(RECORDS) + "\n", encoding="utf-8", newline="")
+    want = sorted((tuple(r) for r in spark.read.options(**S.CSV_OPTIONS).csv(str(path)).collect()), key=repr)
+    parts, got = split_read(spark, str(path), size)
+    assert got == want and (size == 10_000 or parts > 1)
+
+
+def test_csv_header_with_newline_and_empty_files(spark, tmp_path):
+    (tmp_path / "x").mkdir()
+    for i in range(3):
+        (tmp_path / "x" / f"{i}.csv").write_text('\n"a\nb",c\n' + f'{i},"u\nv"\n' * i, newline="")
+    _, got = split_read(spark, str(tmp_path / "x"), 4, "`a\nb` int, c string")
+    assert got == [(1, "u\nv"), (2, "u\nv"), (2, "u\nv")]
+    (tmp_path / "open.csv").write_text('a,b\n1,"never closed\nx\n', newline="")
+    assert split_read(spark, str(tmp_path / "open.csv"), 5, "a int, b string")[1][0][0] == 1
+
+
+def test_one_written_file_comes_back_whole(spark, tmp_path):
+    texts = [(i, " " * (i % 5) + f'line "{i}"\n' * (i % 7) + ',"' * (i % 3), f"x{i}") for i in range(400)]
+    path = S.write_csv(spark.createDataFrame(texts, "a int, b string, c string").coalesce(1), str(tmp_path / "out"))
+    parts, got = split_read(spark, path, 2000, "a int, b string, c string")
+    assert parts > 5 and got == sorted(((a, b or None, c) for a, b, c in texts), key=repr)
+
+
 def test_csv_missing_column(spark, tmp_path):
     (tmp_path / "x.csv").write_text("a,b\n1,2\n")
     with pytest.raises(ValidationError):

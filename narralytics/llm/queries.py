@@ -42,7 +42,8 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_lm_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return word_lm.cross_entropy_difference(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    scores = word_lm.cross_entropy_difference(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return scores.select("doc_id", "n_tokens", *[F.round(c, 6).alias(c) for c in ("target_loss", "background_loss", "difference")])
 
 
 def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,6 +87,19 @@ def _clustering_sql(k: int = centroids.CLUSTERS, rounds: int = centroids.ROUNDS)
 
 
 SQL: dict[str, str] = {
+    # the tables hold no ideographs, which the operator takes one by one
+    "op9_lm_difference": r"""WITH texts AS (SELECT doc_id, text, false AS target FROM documents UNION ALL SELECT item_id, text, true FROM benchmark),
+        s AS MATERIALIZED (SELECT target, doc_id, list_append(regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{M}\p{N}]+|[^ \t\n\x0B\f\r\p{L}\p{M}\p{N}]'), '</s>') AS w FROM texts),
+        g AS MATERIALIZED (SELECT target, doc_id, i, w[i] AS w, CASE WHEN i = 1 THEN '<s>' ELSE w[i - 1] END AS v FROM (SELECT target, doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM s)),
+        c AS MATERIALIZED (SELECT v, w, count(*) FILTER (WHERE target) AS t, count(*) FILTER (WHERE NOT target) AS b FROM g GROUP BY v, w),
+        o AS MATERIALIZED (SELECT w, sum(t) AS t, sum(b) AS b FROM c GROUP BY w),
+        x AS MATERIALIZED (SELECT v, sum(t) AS t, sum(b) AS b FROM c GROUP BY v),
+        n AS (SELECT count(*) AS words, sum(t) AS t, sum(b) AS b FROM o),
+        x0 AS (SELECT w AS v, t, b FROM o WHERE w <> '</s>' UNION ALL SELECT v, t, b FROM x WHERE v = '<s>'),
+        l AS MATERIALIZED (SELECT c.v, c.w, -log2((c.t + 16 * ((o.t + 16 / n.words) / (n.t + 16))) / (x0.t + 16)) AS t, -log2((c.b + 16 * ((o.b + 16 / n.words) / (n.b + 16))) / (x0.b + 16)) AS b
+            FROM c JOIN o ON o.w = c.w JOIN x0 ON x0.v = c.v, n),
+        d AS (SELECT doc_id, count(*) AS n_tokens, avg(l.t) AS t, avg(l.b) AS b FROM g JOIN l ON l.v = g.v AND l.w = g.w WHERE NOT target GROUP BY doc_id)
+        SELECT doc_id, n_tokens, round(t, 6) AS target_loss, round(b, 6) AS background_loss, round(t - b, 6) AS difference FROM d""",
     "op11_centroids": _clustering_sql(),
     "op12_hard_negatives": """WITH x AS MATERIALIZED (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
             list_transform(embedding, lambda c: floor(256 * c::DOUBLE)) AS v FROM embeddings

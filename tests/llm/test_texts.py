@@ -11,7 +11,7 @@ import pytest
 import sentencepiece
 from tokenizers import Tokenizer
 
-from narralytics.llm import bpe, lm, media, mixing, pii, quality, token_count
+from narralytics.llm import bpe, media, mixing, pii, quality, token_count
 from narralytics.llm.common import table
 from narralytics.llm.queries import QUERIES
 from tests.llm.helpers import DOCS, awkward, by_id, count, documents, empty, prose
@@ -233,67 +233,6 @@ def test_mixing_awkward_rows(spark):
     assert sample.count() == 8 and sample.columns == awkward(spark).columns
 
 
-# language models
-
-def plain_symbol(c):
-    if c in " \t\n\r\x0b\x0c":
-        return lm.BLANK
-    if c.isascii() and c.isalpha():
-        return ord(c.lower()) - 97
-    if c.isascii() and c.isdigit():
-        return lm.DIGIT
-    return lm.STOP if c in ".,;:!?" else lm.SIGN if c.isascii() else lm.LETTER
-
-
-def plain_model(texts, scale):
-    counts = [collections.Counter() for _ in range(5)]
-    for t in texts:
-        s = (lm.EDGE,) * 3 + tuple(map(plain_symbol, t or "")) + (lm.EDGE,)
-        for i in range(3, len(s)):
-            for n in range(1, 5):
-                counts[n][s[i - n + 1:i + 1]] += scale
-    contexts = [collections.Counter() for _ in range(5)]
-    for n in range(1, 5):
-        for gram, c in counts[n].items():
-            contexts[n][gram[:-1]] += c
-
-    def p(gram):
-        if not gram:
-            return 1 / lm.SYMBOLS
-        n = len(gram)
-        return (counts[n][gram] + lm.MASS * p(gram[1:])) / (contexts[n][gram[:-1]] + lm.MASS)
-
-    return p
-
-
-def test_cross_entropy_difference_against_plain_models(spark):
-    background = [prose(i, 30) for i in range(8)] + [None, "", "été 12!", "été 12!"]
-    target = ["winter music, winter music.", "silver paper"]
-    got = lm.cross_entropy_difference(documents(spark, background), spark.createDataFrame([(t,) for t in target], "text string")).collect()
-    size = lambda texts: sum(len(t or "") + 1 for t in texts)
-    low = min(size(background), size(target))
-    models = [plain_model(target, low / size(target)), plain_model(background, low / size(background))]
-    assert len(got) == len(background)
-    for r, text in zip(sorted(got, key=lambda r: r.doc_id), background):
-        s = (lm.EDGE,) * 3 + tuple(map(plain_symbol, text or "")) + (lm.EDGE,)
-        losses = [np.mean([-np.log2(p(s[i - 3:i + 1])) for i in range(3, len(s))]) for p in models]
-        assert r.n_tokens == len(s) - 3
-        assert abs(r.target_loss - losses[0]) < 1e-5 and abs(r.background_loss - losses[1]) < 1e-5
-        assert abs(r.difference - (losses[0] - losses[1])) < 1e-5
-
-
-def test_probabilities_of_a_context_sum_to_one():
-    counts = np.random.default_rng(3).integers(0, 5, lm.SLOTS).astype(float)
-    assert np.allclose((2.0 ** -lm.losses(counts)).reshape(-1, lm.SYMBOLS).sum(axis=1), 1)
-
-
-def test_language_models_awkward_rows(spark, sf_dir):
-    got = lm.cross_entropy_difference(awkward(spark), empty(spark).select("text")).collect()
-    assert len(got) == 8 and all(np.isfinite(r.difference) for r in got)
-    assert count(lm.cross_entropy_difference(empty(spark), awkward(spark))) == 0
-    assert count(QUERIES["op9_lm_difference"](spark, sf_dir)) == count(table(spark, sf_dir, "documents"))
-
-
 # personal data
 
 PATTERNS = (("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"),

@@ -1,18 +1,19 @@
 """Personal data in texts: base patterns, and candidates judged by boosted trees. DataFrame functions only.
 
 Four base patterns give spans that always stay. For recall, one looser generator per kind proposes further
-spans (spelled-out addresses, other separators, missing plus signs, failed checksums). Each candidate has format,
-validity and context features, and boosted trees give it a score. They are fitted on the counts of all distinct
-feature vectors of the whole table, with labels that do not ask what the base patterns cover. Positive are the valid
-base spans rewritten where they stand: spelled out, with other separators, without plus sign, and for cards with one
-digit mistyped. Negative are candidates that fail their checksum, range or form, that are a valid span of another
-kind, that stand inside a word or digit run, or that are plain lists of four numbers. Valid candidates beside the base spans have no label. Per kind the
-threshold is the score from which on down a further range of candidates would fall below ``PRECISION``. Candidates above it that touch no base span are added,
-from the left, without overlap among themselves. Only the counted feature vectors (a grid of fixed size) reach the
-driver. A card with a wrong checksum is added only where valid cards of its form are far more frequent in the table.
+spans (spelled-out addresses, other separators, missing plus signs, numbers that stand beside other numbers). Each candidate has format,
+validity and context features, and boosted trees give it a score. Labels come from the whole table, by joins on digests of values: a candidate
+that touches no base span is positive when its value, with the usual separators, is that of a valid base span elsewhere in the table; it is negative when its
+value is found only in places that are invalid (checksum, range, form) or embedded in a word or digit run; others have no label.
+The valid base spans, rewritten where they stand (spelled out, with other separators, without plus sign), are further positives. The trees are fitted on the
+counts of feature vectors of two thirds of the texts, by hash of the text; the threshold of each kind is set on the held-out third, as the score from
+which on down a further range of candidates would fall below ``PRECISION``. A kind without examples of both labels on both sides is fitted and
+calibrated on all its examples. Candidates above the threshold are added when they touch no base span and no added candidate that starts before. Only the counted feature
+vectors (a grid of at most ``GRID`` rows) reach the driver.
 
 Positions are code points, ends exclusive. The patterns are written so that a run of like characters is read
-once: possessive repeats, and starts only at the beginning of a run or where the last match ended.
+once: possessive repeats, and starts only at the beginning of a run or where the last match ended. Work is linear in the text and in its matches: running
+sums and maxima go over blocks of ``BLOCK`` matches first and then inside the block, and what touches what is read off one sorted list.
 
 Defined results: null is the empty text, without spans; repeated rows are judged alike; an empty table gives an
 empty result; further columns are ignored (or kept by ``redact``).
@@ -27,6 +28,7 @@ from pyspark.sql import functions as F
 
 from narralytics.llm import trees
 from narralytics.llm.common import text_or_empty
+from narralytics.session import Scratch
 
 KINDS = ("email", "ip", "card", "phone")
 # fixed values: the base patterns, possessive where nothing follows that could need the characters back
@@ -47,10 +49,12 @@ GUARD = {"email": r"@|\(at\)|\[at\]", "ip": "[0-9]", "card": "[0-9]", "phone": "
 CONTEXT = r"(?i)\b(?:e-?mail|mail|contact|call|tel|phone|fax|mobile|card|visa|pay|account|ip|host|server|address|from)\b"
 PRECISION = 0.9
 SPAN = "array<struct<start:int,kind:int,finish:int>>"
+FOUND = "array<struct<start:int,kind:int,finish:int,key:bigint>>"
 PROPOSED = ("array<struct<start:int,kind:int,finish:int,digits:int,marks:int,plus:int,hint:int,before:int,after:int,"
-            "size:int,letters:int,form:int,valid:int>>")
-FEATURES = ("kind", "digits", "marks", "plus", "hint", "before", "after", "size", "letters", "form", "valid")
-GRID = 4 * 20 * 5 * 2 * 2 * 4 * 4 * 12 * 2 * 5 * 2   # most feature vectors there can be
+            "form:int,valid:int,key:bigint>>")
+FEATURES = ("kind", "digits", "marks", "plus", "hint", "before", "after", "form", "valid")
+GRID = 2 * 2 * 4 * 5 * 3 * 2 * 2 * 3 * 3 * 5 * 2   # labels, sides and most feature vectors there can be: 86 400
+BLOCK = 32          # matches per block of a running sum; a power of two
 SPELLED = r"\(at\)|\[at\]|\(dot\)|\[dot\]|\[\.\]|\(\.\)"
 # (pattern, replacement) pairs that rewrite a valid base span into forms which the base patterns do not match
 REWRITES = {
@@ -63,25 +67,55 @@ REWRITES = {
 ROUNDS, DEPTH = 20, 3
 
 
+def _let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, however often it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def running(values: Column, step, zero: int) -> Column:
+    """array<int>: for every value the aggregate of those before it, by block totals first."""
+    shift = BLOCK.bit_length() - 1
+
+    def blocks(x: Column) -> Column:
+        count = F.shiftright(F.size(x.v) - 1, shift) + 1
+        sums = F.transform(F.sequence(F.lit(0), count - 1), lambda b: F.aggregate(F.slice(x.v, b * BLOCK + 1, BLOCK), F.lit(zero), step))
+        return F.aggregate(sums, F.struct(F.lit(zero).alias("at"), F.array().cast("array<int>").alias("out")),
+                           lambda acc, n: F.struct(step(acc.at, n).alias("at"), F.concat(acc.out, F.array(acc.at)).alias("out")), lambda acc: acc.out)
+
+    def places(x: Column) -> Column:
+        inside = lambda i: F.aggregate(F.slice(x.v, i - i.bitwiseAND(BLOCK - 1) + 1, i.bitwiseAND(BLOCK - 1)), F.lit(zero), step)
+        return F.transform(x.v, lambda v, i: step(F.get(x.before, F.shiftright(i, shift)), inside(i)))
+
+    made = _let(F.struct(values.alias("v")), lambda x: F.when(F.size(x.v) > 0, _let(F.struct(x.v.alias("v"), blocks(x).alias("before")), places)))
+    return F.coalesce(made, F.array().cast("array<int>"))
+
+
+def plus(a: Column, b: Column) -> Column:
+    return a + b
+
+
+def most(a: Column, b: Column) -> Column:
+    return F.greatest(a, b)
+
+
+def least(a: Column, b: Column) -> Column:
+    return F.least(a, b)
+
+
 def _side(char: Column) -> Column:
-    """Kind of a neighbouring character: 0 none or blank, 1 letter, 2 digit, 3 other."""
-    return (F.when((char == "") | char.rlike(r"^\s"), 0).when(char.rlike(r"^\p{L}"), 1).when(char.rlike("^[0-9]"), 2).otherwise(3))
+    """Kind of a neighbouring character: 0 none or blank, 1 letter or digit, 2 other."""
+    return F.when((char == "") | char.rlike(r"^\s"), 0).when(char.rlike(r"^[\p{L}0-9]"), 1).otherwise(2)
 
 
 def _matches(text: Column, pattern: str) -> Column:
     """array<struct<start, finish, value, before, after>> of the leftmost non-overlapping matches."""
-    gaps, values = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    parts = F.transform(values, lambda v, i: F.struct(
-        v.alias("value"), F.get(gaps, i).alias("gap"), F.substring(F.get(gaps, i + 1), 1, 1).alias("after")))
-    none = F.array().cast("array<struct<start:int,finish:int,value:string,before:string,after:string>>")
-    start = lambda acc, p: acc.at + F.length(p.gap)
-    finish = lambda acc, p: start(acc, p) + F.length(p.value)
-    return F.aggregate(
-        parts, F.struct(F.lit(0).alias("at"), none.alias("out")),
-        lambda acc, p: F.struct(finish(acc, p).alias("at"), F.concat(acc.out, F.array(F.struct(
-            start(acc, p).alias("start"), finish(acc, p).alias("finish"), p.value.alias("value"),
-            F.right(p.gap, F.lit(24)).alias("before"), p.after.alias("after")))).alias("out")),
-        lambda acc: acc.out)
+    def found(x: Column) -> Column:
+        ends = running(F.transform(x["values"], lambda v, i: F.length(F.get(x.gaps, i)) + F.length(v)), plus, 0)
+        return _let(F.struct(x.gaps.alias("gaps"), x["values"].alias("values"), ends.alias("at")), lambda y: F.transform(y["values"], lambda v, i: F.struct(
+            (F.get(y.at, i) + F.length(F.get(y.gaps, i))).alias("start"), (F.get(y.at, i) + F.length(F.get(y.gaps, i)) + F.length(v)).alias("finish"),
+            v.alias("value"), F.right(F.get(y.gaps, i), F.lit(24)).alias("before"), F.substring(F.get(y.gaps, i + 1), 1, 1).alias("after"))))
+
+    return _let(F.struct(F.split(text, pattern, -1).alias("gaps"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("values")), found)
 
 
 def _digits(value: Column) -> Column:
@@ -128,6 +162,27 @@ def _base_matches(text: Column, kind: str) -> Column:
     return F.filter(_matches(text, BASE[kind]), lambda m: _valid(kind, m.value))
 
 
+def _key(kind: str, value: Column) -> Column:
+    """Digest of the value with the usual separators; of a telephone number its last nine digits."""
+    if kind == "email":
+        plain = F.regexp_replace(F.regexp_replace(value, r"\x20?(?:\(at\)|\[at\]|@)\x20?", "@"), r"\x20?(?:\(dot\)|\[dot\]|\.)\x20?", ".")
+        return F.xxhash64(F.lit(kind), F.lower(plain))
+    if kind == "ip":
+        return F.xxhash64(F.lit(kind), F.regexp_replace(F.regexp_replace(value, "[^0-9]+", "."), r"(^|\.)0+(?=[0-9])", "$1"))
+    digits = _digits(value)
+    return F.xxhash64(F.lit(kind), F.right(digits, F.lit(9)) if kind == "phone" else digits)
+
+
+def base_found(text: Column) -> Column:
+    """array<struct<start, kind, finish, key>> of the base patterns, by start, then kind as listed."""
+    def of(k: int, kind: str) -> Column:
+        good = _base_matches(text, kind)
+        spans = F.transform(good, lambda m: F.struct(m.start.alias("start"), F.lit(k).alias("kind"), m.finish.alias("finish"), _key(kind, m.value).alias("key")))
+        return F.when(text.rlike(GUARD[kind]), spans).otherwise(F.array().cast(FOUND))
+
+    return _joined([of(k, kind) for k, kind in enumerate(KINDS)])
+
+
 def base_spans(text: Column) -> Column:
     """array<struct<start, kind, finish>> of the base patterns, by start, then kind as listed."""
     def of(k: int, kind: str) -> Column:
@@ -140,31 +195,48 @@ def base_spans(text: Column) -> Column:
 
 def _features(kind: str, value: Column, before: Column, after: Column, valid: Column) -> list[Column]:
     """The features after the kind, in the order of ``FEATURES``."""
-    return [F.least(F.length(_digits(value)), F.lit(19)).alias("digits"),
-            F.least(F.length(F.regexp_replace(value, r"[A-Za-z0-9]", "")), F.lit(4)).alias("marks"),
+    digits, marks = F.length(_digits(value)), F.length(F.regexp_replace(value, r"[A-Za-z0-9]", ""))
+    return [F.when(digits < 9, 0).when(digits < 12, 1).when(digits < 16, 2).when(digits == 16, 3).otherwise(4).alias("digits"),
+            F.when(marks == 0, 0).when(marks < 3, 1).otherwise(2).alias("marks"),
             value.startswith("+").cast("int").alias("plus"), before.rlike(CONTEXT).cast("int").alias("hint"),
-            _side(F.right(before, F.lit(1))).alias("before"), _side(after).alias("after"),
-            F.least((F.length(value) / 4).cast("int"), F.lit(11)).alias("size"),
-            value.rlike("[A-Za-z]").cast("int").alias("letters"), _form(value).alias("form"),
-            valid.cast("int").alias("valid")]
+            _side(F.right(before, F.lit(1))).alias("before"), _side(after).alias("after"), _form(value).alias("form"), valid.cast("int").alias("valid")]
 
 
 def candidates(text: Column) -> Column:
-    """Proposed spans with their features, by start, then kind."""
+    """Proposed spans with their features and keys, by start, then kind."""
     def of(k: int, kind: str) -> Column:
         made = F.transform(_matches(text, LOOSE[kind]), lambda m: F.struct(
-            m.start.alias("start"), F.lit(k).alias("kind"), m.finish.alias("finish"), *_features(kind, m.value, m.before, m.after, _valid_loose(kind, m.value))))
+            m.start.alias("start"), F.lit(k).alias("kind"), m.finish.alias("finish"),
+            *_features(kind, m.value, m.before, m.after, _valid_loose(kind, m.value)), _key(kind, m.value).alias("key")))
         return F.when(text.rlike(GUARD[kind]), made).otherwise(F.array().cast(PROPOSED))
 
     return _joined([of(k, kind) for k, kind in enumerate(KINDS)])
 
 
-def _touches(a: Column, b: Column) -> Column:
-    return (a.start < b.finish) & (b.start < a.finish)
+def free_candidates(base: Column, proposed: Column) -> Column:
+    """The candidates that touch no base span, in their order.
+
+    In the list of both, sorted by start, a candidate touches a base span when one before it ends behind its start, or the next one begins before its end.
+    """
+    far = (1 << 31) - 1
+
+    def flagged(x: Column) -> Column:
+        ends = running(F.transform(x.all, lambda e: F.when(e.at < 0, e.finish).otherwise(0)), most, 0)
+        nexts = F.reverse(running(F.transform(F.reverse(x.all), lambda e: F.when(e.at < 0, e.start).otherwise(F.lit(far))), least, far))
+        return _let(F.struct(x.all.alias("all"), x.proposed.alias("proposed"), ends.alias("ends"), nexts.alias("nexts")), lambda y: F.transform(
+            F.filter(y.all, lambda e, i: (e.at >= 0) & (F.get(y.ends, i) <= e.start) & (F.get(y.nexts, i) >= e.finish)), lambda e: F.get(y.proposed, e.at)))
+
+    def merged(x: Column) -> Column:
+        of_base = F.transform(x.base, lambda b: F.struct(b.start.alias("start"), F.lit(-1).alias("at"), b.finish.alias("finish")))
+        of_proposed = F.transform(x.proposed, lambda c, i: F.struct(c.start.alias("start"), i.alias("at"), c.finish.alias("finish")))
+        return F.when((F.size(x.base) == 0) | (F.size(x.proposed) == 0), x.proposed).otherwise(
+            _let(F.struct(F.array_sort(F.concat(of_base, of_proposed)).alias("all"), x.proposed.alias("proposed")), flagged))
+
+    return _let(F.struct(base.alias("base"), proposed.alias("proposed")), merged)
 
 
 def rewritten(text: Column) -> Column:
-    """Feature vectors of the valid base spans in the forms of ``REWRITES``, with label 1."""
+    """Feature vectors of the valid base spans in the forms of ``REWRITES``."""
     def of(k: int, kind: str) -> Column:
         def forms(m: Column) -> Column:
             values = []
@@ -172,12 +244,8 @@ def rewritten(text: Column) -> Column:
                 values.append(m.value)
                 for pattern, new in pairs:
                     values[-1] = F.regexp_replace(values[-1], pattern, new)
-            made = [F.struct(v.alias("value"), F.lit(True).alias("valid")) for v in values]
-            if kind == "card":
-                made.append(F.struct(m.value.alias("value"), F.lit(False).alias("valid")))   # mistyped
-            good = F.filter(F.array(*made), lambda x: ~x.valid | _valid_loose(kind, x.value))
-            return F.transform(good, lambda x: F.struct(
-                F.lit(k).alias("kind"), *_features(kind, x.value, m.before, m.after, x.valid), F.lit(1).alias("y")))
+            good = F.filter(F.array(*values), lambda v: _valid_loose(kind, v))
+            return F.transform(good, lambda v: F.struct(F.lit(k).alias("kind"), *_features(kind, v, m.before, m.after, F.lit(True))))
 
         made = F.flatten(F.transform(_base_matches(text, kind), forms))
         return F.when(text.rlike(GUARD[kind]), made).otherwise(F.array())
@@ -186,54 +254,78 @@ def rewritten(text: Column) -> Column:
 
 
 def counted(docs: DataFrame) -> DataFrame:
-    """Counts of every distinct (feature vector, label) over all labelled examples of ``docs``."""
+    """Counts of every distinct (feature vector, held, y) over all labelled examples of ``docs``."""
+    scratch = Scratch(docs.sparkSession)
     text = docs.select(text_or_empty().cast("string").alias("t")).where(F.col("t").rlike(r"@|\(at\)|\[at\]|[0-9]"))
-    both = text.select(base_spans(F.col("t")).alias("base"), candidates(F.col("t")).alias("proposed"), rewritten(F.col("t")).alias("made"))
-
-    def negative(c: Column) -> Column:
-        own = F.exists("base", lambda b: (b.kind == c.kind) & _touches(c, b))
-        other = F.exists("base", lambda b: (b.kind != c.kind) & _touches(c, b))
-        numbers = (c.kind == KINDS.index("ip")) & (c.form != 1)
-        embedded = (c.kind != KINDS.index("email")) & (c.before.isin(1, 2) | c.after.isin(1, 2))
-        return ~own & ((c.valid == 0) | other | numbers | embedded)
-
-    found = F.transform(F.filter("proposed", negative), lambda c: F.struct(*[c[f].alias(f) for f in FEATURES], F.lit(0).alias("y")))
-    labelled = both.select(F.explode(F.concat(F.col("made"), found)).alias("c"))
-    return labelled.groupBy(*[F.col(f"c.{f}").alias(f) for f in FEATURES], F.col("c.y").alias("y")).agg(F.count(F.lit(1)).alias("n"))
-
-
-def fit(docs: DataFrame) -> tuple[tuple[float, list], dict[int, float]]:
-    """(trees, threshold per kind) from all labelled examples of ``docs``; the counted grid is bounded by ``GRID`` rows."""
-    rows = sorted(tuple(r) for r in counted(docs).collect())
+    scanned = text.select((F.pmod(F.xxhash64("t"), F.lit(3)) == 0).alias("held"), base_found(F.col("t")).alias("base"), candidates(F.col("t")).alias("proposed"),
+                          rewritten(F.col("t")).alias("made"))
+    one = lambda c: F.explode(c).alias("c")
+    parts = scanned.select("held", F.col("base.key").alias("valid_keys"), "made", free_candidates(F.col("base"), F.col("proposed")).alias("free"))
+    # one scan: every example is counted by its key, valid values as rows of their own
+    key = lambda c, known, made: F.struct(*[(c[f] if c is not None else F.lit(None).cast("int")).alias(f) for f in FEATURES], known.alias("key"), F.lit(made).alias("role"))
+    rows = F.concat(F.transform("free", lambda c: key(c, c.key, "free")), F.transform("made", lambda c: key(c, F.lit(None).cast("bigint"), "made")),
+                    F.transform(F.array_distinct("valid_keys"), lambda k: key(None, k, "valid")))
+    seen = scratch.write(parts.select("held", one(rows)).groupBy("held", "c.role", "c.key", *[F.col(f"c.{f}").alias(f) for f in FEATURES])
+                         .agg(F.count(F.lit(1)).alias("n")), "pii-examples")
+    free = seen.where("role = 'free'")
+    embedded = (F.col("kind") != KINDS.index("email")) & ((F.col("before") == 1) | (F.col("after") == 1))
+    numbers = (F.col("kind") == KINDS.index("ip")) & (F.col("form") != 1)       # plain lists of four numbers
+    places = free.groupBy("key").agg(F.min((F.col("valid") == 0) | embedded | numbers).alias("bad"))
+    valid = seen.where("role = 'valid'").select("key").distinct().withColumn("known", F.lit(True))
+    labelled = free.join(places, "key").join(valid, "key", "left").withColumn("y", F.when(F.col("known"), 1).when(F.col("bad"), 0)).where("y IS NOT NULL")
+    made = seen.where("role = 'made'").withColumn("y", F.lit(1))
+    both = labelled.select(*FEATURES, "held", "y", "n").unionByName(made.select(*FEATURES, "held", "y", "n"))
+    result = scratch.write(both.groupBy(*FEATURES, "held", "y").agg(F.sum("n").alias("n")), "pii-counts")
+    scratch.drop("pii-examples")
+    return result
+
+
+def fit_counts(rows: list[tuple]) -> tuple[tuple[float, list], dict[int, float], dict[str, dict]]:
+    """(trees, threshold per kind, held-out figures per kind) from the rows of ``counted``."""
     if not rows:
-        return (0.0, []), {}
-    data = np.array(rows, dtype=float)
-    x, y, n = data[:, :len(FEATURES)], data[:, -2], data[:, -1]
-    model = trees.fit(x, y, n, ROUNDS, DEPTH)
-    score = trees.predict(model, x)
-    limits = {}
+        return (0.0, []), {}, {}
+    data = np.array(sorted(tuple(map(int, r)) for r in rows), dtype=float)
+    x, held, y, n = data[:, :len(FEATURES)], data[:, -3] > 0, data[:, -2], data[:, -1]
+    train, test = ~held, held.copy()
     for kind in range(len(KINDS)):
         of = x[:, 0] == kind
+        if not all((y[of & side] == label).any() for side in (held, ~held) for label in (0, 1)):    # too few to hold some out
+            train[of] = test[of] = True
+    model = trees.fit(x[train], y[train], n[train], ROUNDS, DEPTH)
+    score = trees.predict(model, x)
+    limits, figures = {}, {}
+    for kind, name in enumerate(KINDS):
+        of = (x[:, 0] == kind) & test
         levels = np.unique(score[of])
         worth = [(n * (y - PRECISION))[of & (score >= level - 1e-9)].sum() for level in levels]
         if len(levels) and max(worth) > 0:   # every range of levels above the threshold keeps the precision down to it
             limits[kind] = float(levels[int(np.argmax(worth))] - 1e-9)
-    return model, limits
+        taken = of & (score >= limits.get(kind, np.inf))
+        figures[name] = {"examples": int(n[of].sum()), "positive": int((n * y)[of].sum()),
+                         "precision": float((n * y)[taken].sum() / max(1, n[taken].sum())), "recall": float((n * y)[taken].sum() / max(1, (n * y)[of].sum()))}
+    return model, limits, figures
+
+
+def fit(docs: DataFrame) -> tuple[tuple[float, list], dict[int, float]]:
+    """(trees, threshold per kind) from all labelled examples of ``docs``; the counted grid is bounded by ``GRID`` rows."""
+    return fit_counts([tuple(r) for r in counted(docs).collect()])[:2]
 
 
 def added_spans(base: Column, proposed: Column, model, limits: dict[int, float]) -> Column:
-    """Candidates that the trees accept, touching no base span and not one another."""
+    """Candidates that the trees accept, touching no base span and no accepted one that starts before."""
     if not limits:
         return F.array().cast(SPAN)
     wanted = F.create_map(*itertools.chain(*((F.lit(k), F.lit(v)) for k, v in limits.items())))
     accepted = F.filter(proposed, lambda c: F.coalesce(
         trees.expression(model, lambda f: c[FEATURES[f]]) >= F.try_element_at(wanted, c.kind), F.lit(False)))
-    free = F.filter(accepted, lambda c: ~F.exists(base, lambda b: _touches(c, b)))
-    return F.aggregate(
-        free, F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out")),
-        lambda acc, c: F.when(c.start >= acc.at, F.struct(c.finish.alias("at"), F.concat(acc.out, F.array(F.struct(
-            c.start.alias("start"), c.kind.alias("kind"), c.finish.alias("finish")))).alias("out"))).otherwise(acc),
-        lambda acc: acc.out)
+
+    def apart(x: Column) -> Column:
+        ends = running(F.transform(x.c, lambda c: c.finish), most, 0)
+        return _let(F.struct(x.c.alias("c"), ends.alias("ends")), lambda y: F.transform(
+            F.filter(y.c, lambda c, i: F.get(y.ends, i) <= c.start),
+            lambda c: F.struct(c.start.alias("start"), c.kind.alias("kind"), c.finish.alias("finish"))))
+
+    return _let(F.struct(free_candidates(base, accepted).alias("c")), apart)
 
 
 def spans_text(spans: Column) -> Column:
@@ -269,11 +361,15 @@ def redact(docs: DataFrame) -> DataFrame:
     names = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
     found = detect(docs)
     text = F.col("text").cast("string")
-    state = F.aggregate(
-        _joined([F.col("pii_base"), F.col("pii_added")]), F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
-        lambda acc, s: F.when(s.start >= acc.at, F.struct(s.finish.alias("at"), F.concat(
-            acc.out, text.substr(acc.at + 1, s.start - acc.at), F.get(names, s.kind)).alias("out")))
-        .otherwise(F.struct(F.greatest(acc.at, s.finish).alias("at"), acc.out.alias("out"))),
-        lambda acc: F.concat(acc.out, text.substr(acc.at + 1, F.length(text))))
-    clean = F.when((F.size("pii_base") == 0) & (F.size("pii_added") == 0), text).otherwise(state)
+
+    def pieces(x: Column) -> Column:
+        """What stands between the spans, and their names; a span that begins inside another one has none."""
+        between = lambda a, b: F.array_join(F.slice(x.chars, a + 1, b - a), "")
+        named = F.transform(x.spans, lambda s, i: F.when(s.start >= F.get(x.ends, i), F.concat(
+            between(F.get(x.ends, i), s.start), F.get(names, s.kind))).otherwise(""))
+        return F.array_join(F.concat(named, F.array(between(F.array_max(x.spans.finish), F.size(x.chars)))), "")
+
+    spans = _joined([F.col("pii_base"), F.col("pii_added")])
+    clean = F.when((F.size("pii_base") == 0) & (F.size("pii_added") == 0), text).otherwise(_let(F.struct(spans.alias("spans")), lambda x: _let(F.struct(
+        F.split(text, "").alias("chars"), x.spans.alias("spans"), running(x.spans.finish, most, 0).alias("ends")), pieces)))
     return found.withColumn("text", F.when(text.isNotNull(), clean)).select(*[F.col(f"`{c}`") for c in docs.columns])

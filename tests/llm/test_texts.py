@@ -3,12 +3,14 @@ import collections
 import hashlib
 import re
 import struct
+import time
 import zlib
 
 import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from narralytics.llm import bpe, media, mixing, pii, quality, token_count
@@ -283,14 +285,57 @@ def test_personal_data_query(spark, sf_dir):
 
 
 def test_boosted_candidates_are_added_and_leave_base_spans(spark):
-    good, bad = "card 4111111111111111 ok", "card 4111111111111112 ok"
-    docs = documents(spark, [good] * 40 + [bad] + ["room 12 and year 1999"])
+    good, bad, beside = "card 4111111111111111 ok", "card 4111111111111112 ok", "cards 4111111111111111 5555555555554444 ok"
+    docs = documents(spark, [good] * 40 + [bad, "room 12 and year 1999"] + ["pay 5555 5555 5555 4444 ok", beside, "x4111111111111111y"])
     got = by_id(pii.report(docs))
-    assert got[0].spans == "card:5:21" and got[40].n_card == 0 and got[40].spans == "card:5:21" and got[41].spans == ""
+    assert got[0].spans == "card:5:21" and got[40].n_card == 0 and got[40].spans == "" and got[41].spans == ""
+    # two numbers side by side are one failing match of the base pattern; their values are valid elsewhere
+    assert got[43].n_card == 0 and got[43].spans == "card:6:22,card:23:39"
     rare = by_id(pii.report(documents(spark, [good] + [bad] * 9)))  # mostly failing checksums: nothing is added
     assert rare[1].spans == "" and rare[0].spans == "card:5:21"
 
 
+def test_many_spans_in_one_text_take_linear_time(spark):
+    unit = "a.b@c.de 10.0.0.1, 4111111111111111 x +49 170 1234567 y me [at] host [dot] org, 4111.1111.1111.1111; "
+    seconds = {}
+    for n in (5_000, 20_000):
+        docs = documents(spark, [unit * n, "mail me@host.org"]).cache()
+        docs.count()
+        start = time.perf_counter()
+        row = by_id(pii.report(docs))[0]
+        seconds[n] = time.perf_counter() - start
+        assert (row.n_email, row.n_ip, row.n_card, row.n_phone) == (n, n, n, n)
+        assert row.base_sha256 == base_digest(plain_base(unit * n)) and row.spans.count(",") == 6 * n - 1
+        text = by_id(pii.redact(docs))[0].text
+        assert text == "[EMAIL] [IP], [CARD] x [PHONE] y [EMAIL], [CARD]; " * n
+    assert seconds[20_000] < 60 and seconds[20_000] < 8 * seconds[5_000]
+
+
+@pytest.mark.parametrize("n", [0, 1, 31, 32, 33, 64, 1000])
+def test_running_aggregates(spark, n):
+    values = [(7 * i) % 11 for i in range(n)]
+    df = spark.createDataFrame([(values,)], "v array<int>")
+    row = df.select(pii.running(F.col("v"), pii.plus, 0).alias("s"), pii.running(F.col("v"), pii.most, 0).alias("m")).first()
+    assert row.s == [sum(values[:i]) for i in range(n)] and row.m == [max(values[:i], default=0) for i in range(n)]
+
+
+def test_candidates_that_touch_no_base_span(spark):
+    rng = np.random.default_rng(3)
+    for _ in range(4):
+        base = sorted((int(a), 0, int(a + 1 + rng.integers(0, 9))) for a in rng.integers(0, 400, 60))
+        made = sorted((int(a), 1, int(a + 1 + rng.integers(0, 9))) for a in rng.integers(0, 400, 80))
+        row = spark.createDataFrame([(base, made)], f"b {pii.SPAN}, c {pii.SPAN}").select(pii.free_candidates(F.col("b"), F.col("c"))).first()[0]
+        assert [tuple(r) for r in row] == [c for c in made if not any(b[0] < c[2] and c[0] < b[2] for b in base)]
+
+
+def test_labels_come_from_values_elsewhere(spark):
+    texts = ["me [at] host [dot] org", "ME@host.org", "no (at) where. Now", "4111.1111.1111.1112", "a4111111111111111z", "4111-1111-1111-1111", "5555.5555.5555.4444"]
+    rows = [r.asDict() for r in pii.counted(documents(spark, texts)).collect()]
+    free = [(pii.KINDS[r["kind"]], r["valid"], r["form"], r["before"], r["y"]) for r in rows]
+    assert ("email", 1, 1, 0, 1) in free and ("card", 0, 4, 0, 0) in free and ("email", 0, 1, 0, 0) in free
+    assert ("card", 1, 4, 0, 0) not in free and len(rows) <= pii.GRID      # valid, but seen nowhere else: no label
+
+
 def test_redaction(spark):
     texts = ["mail a@b.cc now 😀 10.0.0.1!", None, "", "nothing", "+4111 1111 1111 1111"]
     got = by_id(pii.redact(documents(spark, texts)))

@@ -1,14 +1,17 @@
-"""Near-duplicate documents by SimHash fingerprints, searched with a vantage-point tree.
+"""Near-duplicate documents by SimHash fingerprints, searched with vantage-point trees.
 
-Distinct fingerprints are dealt to the shards of a tree of vantage points. A fingerprint has one home
-shard. At every node, a fingerprint of the inner side within the search radius of the boundary also
-travels as a guest to the outer side, and a guest goes wherever its ball reaches, so every pair within
-the radius meets in the home shard of one of the two (triangle inequality). Shards are searched exactly.
+Distinct fingerprints are first dealt to forced partitions: of ``radius + 1`` blocks of bits, two fingerprints within the radius have one block
+equal, so every fingerprint travels once per block, to the bucket of (block, some bits of it); the bits grow with the table, so buckets stay near
+``BUCKET_SHARDS`` shards. A bucket that is still far larger is keyed by all bits of its block. Inside a bucket a vantage-point tree
+splits by Hamming distance: at every node, a fingerprint of the inner side within the search radius of the boundary is also shown to the
+outer side, so every pair within the radius meets in the leaf of one of the two (triangle inequality). Leaves are searched exactly. Buckets that
+even a whole block leaves too large are dealt to the shards of a tree built from a sample: a fingerprint has one home shard and travels as a guest wherever
+its ball reaches. A fingerprint thus travels ``radius + 1`` times at any table size, plus as a guest in the last case only.
 
 Defined results: null and blank texts have fingerprint zero and link like any other; copies share a
 fingerprint and count once in the search; a null doc_id takes part but never names a component (a
 component of null ids only has a null component_id); an empty table gives an empty result; further
-columns of the input are ignored.
+columns of the input are ignored. Several rows of one doc_id are rows each.
 """
 from __future__ import annotations
 
@@ -26,6 +29,8 @@ RADIUS = 2
 WORDS = 3
 SEED = 42
 SHARD_ROWS = 1024        # distinct fingerprints a shard should hold
+BUCKET_SHARDS = 4        # shards of fingerprints a forced partition should hold
+OVERSIZE = 16            # a bucket this many times as large is split further
 MAX_SHARDS = 65536       # size of the tree that is sent to the tasks
 SAMPLE_PER_SHARD = 16    # the tree is built from so many sampled fingerprints per shard
 LEAF_PAIRS = 1 << 20     # pairs compared at once inside a task
@@ -52,14 +57,15 @@ def fingerprint(text: bytes) -> int:
     return int(np.packbits(2 * bits > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
-def with_fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp) of every row; fp is the fingerprint as a signed long."""
+def with_fingerprints(docs: DataFrame, kept: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, fp) and the ``kept`` long columns of every row; fp is the fingerprint as a signed long."""
     def run(batches):
         for batch in batches:
             values = np.array([fingerprint(t) for t in utf8(batch.column("text"))], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(values.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(values.view(np.int64)), *[batch.column(c) for c in kept]], ["doc_id", "fp", *kept])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp long")
+    kinds = "".join(f", {c} long" for c in kept)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), *kept).mapInArrow(run, f"doc_id long, fp long{kinds}")
 
 
 def _distance(a: np.ndarray, b) -> np.ndarray:
@@ -152,25 +158,59 @@ def close_pairs(home: np.ndarray, guest: np.ndarray, radius: int = RADIUS, depth
     return tuple(np.concatenate(x) for x in zip(*found))
 
 
-def links(fingerprints: DataFrame, radius: int = RADIUS, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """Links (a, b) between distinct fingerprints ``fp`` that join every pair within the radius.
-
-    Each shard returns a spanning forest of its pairs, at most one row per fingerprint in it.
-    """
-    total = fingerprints.count()
-    shards = min(MAX_SHARDS, max(1, total // shard_rows))
-    share = min(1.0, shards * SAMPLE_PER_SHARD / max(1, total))
-    picked = fingerprints.where(F.pmod(F.xxhash64(F.lit(SEED), "fp"), F.lit(1 << 32)) < int(share * (1 << 32)) + 1)
-    sample = np.array([r.fp for r in picked.limit(4 * MAX_SHARDS * SAMPLE_PER_SHARD).collect()], dtype=np.int64)
-    tree = build_tree(np.sort(sample.view(np.uint64)), SAMPLE_PER_SHARD if shards > 1 else max(1, total), radius)
+def bit_blocks(radius: int = RADIUS) -> list[tuple[int, int]]:
+    """(shift, width) of the ``radius + 1`` blocks of a fingerprint."""
+    ends = [64 * i // (radius + 1) for i in range(radius + 2)]
+    return [(a, b - a) for a, b in zip(ends, ends[1:])]
+
+
+def partitioned(fingerprints: DataFrame, total: int, radius: int = RADIUS, shard_rows: int = SHARD_ROWS) -> DataFrame:
+    """(block, key, leaf, fp, guest): every fingerprint in the bucket of each block, at home or as a guest."""
+    blocks = bit_blocks(radius)
+    goal = shard_rows * BUCKET_SHARDS
+    bits = min(min(w for _, w in blocks), max(0, -(-total // goal) - 1).bit_length())
+    value = lambda shift, width: F.shiftrightunsigned("fp", shift).bitwiseAND(F.lit((1 << width) - 1))
+    each = [F.struct(F.lit(i).alias("block"), value(s, w).alias("value")) for i, (s, w) in enumerate(blocks if bits else blocks[:1])]
+    sent = fingerprints.select("fp", F.explode(F.array(*each)).alias("e")).select("fp", "e.*").withColumn(
+        "low", F.col("value").bitwiseAND(F.lit((1 << bits) - 1)))
+    if not bits:        # one bucket holds all
+        return sent.select("block", F.lit(0).cast("long").alias("key"), F.lit(0).cast("long").alias("leaf"), "fp", F.lit(False).alias("guest"))
+    limit = goal * OVERSIZE
+    crowded = sent.groupBy("block", "low").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > limit).select("block", "low", F.lit(True).alias("crowded"))
+    crowded = written(crowded, "crowded-buckets")
+    keyed = sent.join(crowded, ["block", "low"], "left")
+    # all bits of the block are told from some of them by the sign
+    keyed = keyed.select("block", F.when(F.col("crowded"), -1 - F.col("value")).otherwise(F.col("low")).alias("key"), "fp")
+    if not crowded.limit(1).count():
+        return keyed.select("block", "key", F.lit(0).cast("long").alias("leaf"), "fp", F.lit(False).alias("guest"))
+    keyed = written(keyed, "keyed-fingerprints")
+    counts = keyed.where("key < 0").groupBy("block", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > limit)
+    full = written(counts.select("block", "key", F.lit(True).alias("full")), "full-buckets")
+    marked = keyed.join(full, ["block", "key"], "left")
+    leftover = marked.where("full").select("fp").distinct()
+    count = leftover.count()
+    here = marked.where("full IS NULL").select("block", "key", F.lit(0).cast("long").alias("leaf"), "fp", F.lit(False).alias("guest"))
+    if not count:
+        return here
+    shards = min(MAX_SHARDS, max(1, count // shard_rows))
+    sample = np.array([r.fp for r in leftover.orderBy(F.xxhash64(F.lit(SEED), "fp")).limit(shards * SAMPLE_PER_SHARD).collect()], dtype=np.int64)
+    tree = build_tree(np.sort(sample.view(np.uint64)), SAMPLE_PER_SHARD, radius)
 
     def deal(batches):
         for batch in batches:
             values = batch.column("fp").to_numpy()
             row, leaf, guest = route(values.view(np.uint64), tree, radius)
-            yield pa.RecordBatch.from_arrays([pa.array(leaf.astype(np.int64)), pa.array(values[row]), pa.array(guest)],
-                                             ["shard", "fp", "guest"])
+            yield pa.RecordBatch.from_arrays([batch.column("block").take(pa.array(row)), batch.column("key").take(pa.array(row)),
+                                              pa.array(leaf.astype(np.int64)), pa.array(values[row]), pa.array(guest)], ["block", "key", "leaf", "fp", "guest"])
+
+    return here.unionByName(marked.where("full").select("block", "key", "fp").mapInArrow(deal, "block int, key long, leaf long, fp long, guest boolean"))
 
+
+def links(fingerprints: DataFrame, radius: int = RADIUS, shard_rows: int = SHARD_ROWS) -> DataFrame:
+    """Links (a, b) between distinct fingerprints ``fp`` that join every pair within the radius.
+
+    Each shard returns a spanning forest of its pairs, at most one row per fingerprint in it.
+    """
     def search(shard: pa.Table) -> pa.Table:
         values, guest = shard.column("fp").to_numpy(), shard.column("guest").to_numpy()
         ordered = np.concatenate([values[~guest], values[guest]])
@@ -179,29 +219,45 @@ def links(fingerprints: DataFrame, radius: int = RADIUS, shard_rows: int = SHARD
         linked = np.flatnonzero(label != np.arange(len(ordered)))
         return pa.table({"a": ordered[linked], "b": ordered[label[linked]]})
 
-    dealt = spread(fingerprints.mapInArrow(deal, "shard long, fp long, guest boolean"), "shard")
-    return dealt.groupBy("shard").applyInArrow(search, "a long, b long")
+    key = ["block", "key", "leaf"]
+    dealt = spread(partitioned(fingerprints, fingerprints.count(), radius, shard_rows), *key)
+    return dealt.groupBy(*key).applyInArrow(search, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, radius: int = RADIUS, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits), component_id: one row per row of ``docs``."""
-    rows = written(with_fingerprints(docs), "fingerprints")
+def _components(rows: DataFrame, radius: int, shard_rows: int) -> DataFrame:
+    """(fp, root, component_id) of every fingerprint of ``rows`` (doc_id, fp); ``root`` tells components apart, also without any id."""
     classes = written(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "fingerprint-classes")
     found = components(links(classes.select("fp"), radius, shard_rows))
     rooted = classes.join(found.withColumnRenamed("node", "fp"), "fp", "left")
     low = (rooted.where("component IS NOT NULL").groupBy("component").agg(F.min("first_id").alias("low")))
     named = (rooted.join(low, "component", "left")
-             .select("fp", F.coalesce("low", F.when(F.col("component").isNull(), F.col("first_id"))).alias("component_id")))
-    named = written(named, "fingerprint-components")
-    return rows.join(named, "fp").select(
+             .select("fp", F.coalesce("component", "fp").alias("root"), F.coalesce("low", F.when(F.col("component").isNull(), F.col("first_id"))).alias("component_id")))
+    return written(named, "fingerprint-components")
+
+
+def near_duplicates(docs: DataFrame, radius: int = RADIUS, shard_rows: int = SHARD_ROWS) -> DataFrame:
+    """doc_id, fingerprint (16 hex digits), component_id: one row per row of ``docs``."""
+    rows = written(with_fingerprints(docs), "fingerprints")
+    return rows.join(_components(rows, radius, shard_rows), "fp").select(
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_first(docs: DataFrame) -> DataFrame:
-    """One document of each group of near-duplicates, the one with the smallest doc_id.
+def _text_keys(docs: DataFrame) -> DataFrame:
+    """``docs`` with two digests of the text."""
+    text = F.col("text").cast("string")
+    return docs.withColumns({"_t1": F.xxhash64(text), "_t2": F.xxhash64(F.lit(SEED), text)})
+
+
+def keep_first(docs: DataFrame, radius: int = RADIUS, shard_rows: int = SHARD_ROWS) -> DataFrame:
+    """One document of each group of near-duplicates: the one with the smallest doc_id (null ids last), of its texts the one of smallest digest.
 
-    Rows that repeat a doc_id are that document again and go too; rows with a null doc_id stay.
+    Different texts of one doc_id are documents of their own; rows equal in id and text are one document.
     """
-    kept = near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.where("doc_id IS NOT NULL").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
+    keyed = _text_keys(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
+    rows = written(with_fingerprints(keyed, ("_t1", "_t2")), "fingerprints")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_t1", "_t2")
+    first = rows.join(_components(rows.select("doc_id", "fp"), radius, shard_rows), "fp").groupBy("root").agg(F.min(order).alias("f")).select("f.*")
+    all_rows = _text_keys(docs)
+    same = all_rows["doc_id"].cast("long").eqNullSafe(first["doc_id"]) & (all_rows["_t1"] == first["_t1"]) & (all_rows["_t2"] == first["_t2"])
+    kept = all_rows.join(first, same, "left_semi").dropDuplicates(["doc_id", "_t1", "_t2"])
+    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])

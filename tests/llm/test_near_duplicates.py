@@ -4,11 +4,12 @@ import re
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from narralytics.llm import embed_dedup, graph, simhash
 from narralytics.llm.common import table
 from narralytics.llm.queries import QUERIES
-from tests.llm.helpers import awkward, count, documents, empty, prose
+from tests.llm.helpers import DOCS, awkward, count, documents, empty, prose
 
 
 def plain_fingerprint(text):
@@ -98,6 +99,46 @@ def test_tree_finds_every_pair(spark, spread):
     assert groups(lambda i: roots.get(signed[i], signed[i])) == groups(lambda i: want[i])
 
 
+@pytest.mark.parametrize("oversize, shard", [(16, 8), (1, 8), (1, 2), (0, 4)])
+def test_crowded_buckets_are_split_exactly(spark, monkeypatch, oversize, shard):
+    """Fingerprints that share whole blocks of bits: buckets are keyed anew, and at last dealt to a tree."""
+    monkeypatch.setattr(simhash, "OVERSIZE", oversize)
+    rng = np.random.default_rng(shard)
+    values = set()
+    for keep in (0, (1 << 22) - 1, ((1 << 43) - 1) ^ ((1 << 21) - 1)):     # the bits that all of a family have in common
+        base = int(rng.integers(0, 1 << 62))
+        for v in rng.integers(0, 1 << 63, 150, dtype=np.uint64).tolist():
+            v = base & keep | v & ~keep & ((1 << 64) - 1)
+            values |= {v, v ^ 1 << int(rng.integers(0, 64)) ^ 1 << int(rng.integers(0, 64))}
+    values = sorted(values)
+    signed = np.array(values, dtype=np.uint64).view(np.int64).tolist()
+    table_ = spark.createDataFrame([(v,) for v in signed], "fp long")
+    roots = {r.node: r.component for r in graph.components(simhash.links(table_, shard_rows=shard)).collect()}
+    want = plain_components(len(values), [(i, j) for i in range(len(values)) for j in range(i) if (values[i] ^ values[j]).bit_count() <= 2])
+    label = [roots.get(v, v) for v in signed]
+    assert {(want[i], want[j]) for i in range(len(values)) for j in range(i) if label[i] == label[j]} == {
+        (want[i], want[j]) for i in range(len(values)) for j in range(i) if want[i] == want[j]}
+    assert len(set(label)) == len(set(want))
+
+
+def test_copies_per_fingerprint_do_not_grow(spark):
+    for n in (20_000, 160_000):
+        random = spark.range(n).select(F.xxhash64("id").alias("fp"))
+        sent = simhash.partitioned(random, n)
+        assert sent.count() == 3 * n and sent.groupBy("block", "key").count().agg(F.max("count")).first()[0] < 3 * simhash.SHARD_ROWS * simhash.BUCKET_SHARDS
+
+
+def test_keep_first_loses_no_text_of_a_repeated_id(spark):
+    a, b = prose(1, 300), prose(2, 300)
+    texts = [(1, a), (1, b), (1, a), (2, a + " last"), (3, b), (None, prose(3, 200)), (None, prose(3, 200)), (None, prose(4, 200)), (None, b), (None, None), (None, "")]
+    kept = sorted(((r.doc_id, r.text) for r in simhash.keep_first(spark.createDataFrame(
+        [(i, t, "en", "s", 0, "f", "x", "y") for i, t in texts], DOCS)).collect()), key=repr)
+    linked = [plain_fingerprint(a), plain_fingerprint(a + " last"), plain_fingerprint(b)]
+    assert (linked[0] ^ linked[1]).bit_count() <= 2 < (linked[0] ^ linked[2]).bit_count()
+    assert [k for k in kept if k[1]] == sorted([(1, a), (1, b), (None, prose(3, 200)), (None, prose(4, 200))], key=repr)
+    assert len([k for k in kept if not k[1]]) == 1
+
+
 def test_large_shard_is_split_exactly(monkeypatch):
     monkeypatch.setattr(simhash, "LEAF_PAIRS", 2000)
     rng = np.random.default_rng(4)

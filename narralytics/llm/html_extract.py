@@ -6,9 +6,10 @@ article, and a dynamic programme over the tree picks the likeliest labelling in
 node is dropped too, so ancestor and descendant never contradict each other. The text directly inside kept
 nodes is the main text.
 
-The trees are fitted on a bounded sample (``TRAIN_PAGES`` pages chosen by a hash of page_id, at most ``TRAIN_NODES``
-nodes) whose <article> or <main> gives the labels, each page also in variants with other containers and with
-boilerplate of every sort put into and around the article, and on pages drawn from the same templates.
+The trees are fitted on a bounded sample (``TRAIN_PAGES`` pages chosen by a hash of page_id, of their nodes at most the ``TRAIN_NODES``
+first by a hash of page, variant and node, so the model does not depend on file layout) whose <article> or <main> gives the labels, each page also in
+variants with other containers and with boilerplate of every sort put into and around the article, and on made pages with lists,
+tables, code, quotes and reader comments inside the article, so that a table that marks no article has a model as well.
 
 Defined results: null or empty html gives an empty text; a page without markup is its own text; broken markup is
 read as browsers do as far as open paragraphs and stray ends go; white space of a block, line breaks included,
@@ -29,7 +30,7 @@ from narralytics.llm.common import slices, strings
 
 TRAIN_PAGES = 150
 TRAIN_NODES = 40_000
-TEMPLATE_PAGES = 60
+TEMPLATE_PAGES = 160
 ROUNDS, DEPTH = 40, 4
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure "
@@ -57,6 +58,8 @@ class Page(HTMLParser):
     def __init__(self, html: str):
         super().__init__(convert_charrefs=True)
         self.parent, self.tag, self.attrs, self.flow, self.open = [-1], ["#page"], [""], [], [0]
+        self.depths: dict[str, list[int]] = {}      # per tag name, where its open elements stand in ``open``
+        self.roots: set[str] = set()
         self.feed(html)
         self.close()
 
@@ -65,8 +68,10 @@ class Page(HTMLParser):
             self._close("p", stop=("table", "td", "th", "div", "article", "section", "li", "body"))
         for other in SELF_CLOSING.get(tag, ()):
             self._close(other, stop=("ul", "ol", "dl", "table", "select", "tbody", "thead") if other not in ("td", "th") else ("table",))
-        if tag in ("html", "body") and tag in self.tag:
-            return
+        if tag in ("html", "body"):
+            if tag in self.roots:
+                return
+            self.roots.add(tag)
         if tag in BLOCK or tag in VOID:
             self.flow.append((None, " " if tag in VOID and tag not in BLOCK else "\n"))
         if tag not in VOID:
@@ -75,6 +80,7 @@ class Page(HTMLParser):
             self.attrs.append(" ".join(f"{v}" for k, v in attrs if k in ("class", "id", "role", "itemprop") and v).lower()
                               + (" hidden" if any(k == "hidden" or (k == "style" and v and "none" in v) for k, v in attrs) else "")
                               + "".join(f" train{v}" for k, v in attrs if k == "data-train"))
+            self.depths.setdefault(tag, []).append(len(self.open))
             self.open.append(len(self.tag) - 1)
 
     def handle_startendtag(self, tag, attrs):
@@ -95,13 +101,13 @@ class Page(HTMLParser):
         pass
 
     def _close(self, tag, stop):
-        for depth in range(len(self.open) - 1, 0, -1):
-            name = self.tag[self.open[depth]]
-            if name == tag:
-                del self.open[depth:]
-                return
-            if name in stop:
-                return
+        """Closes the innermost open element of the name and all in it, unless one of the stop names stands between."""
+        at = self.depths.get(tag)
+        if not at or any(other[-1] > at[-1] for other in map(self.depths.get, stop) if other):
+            return
+        depth = at[-1]
+        while len(self.open) > depth:       # every element is taken off once
+            self.depths[self.tag[self.open.pop()]].pop()
 
 
 def node_features(page: Page) -> np.ndarray:
@@ -185,14 +191,30 @@ def extract(htmls: list[str], model) -> list[str]:
     return out
 
 
+def _sentence(rng, words: list[str], n: int, marks: float) -> str:
+    """Two to ``n`` words, with commas and an end mark as often as ``marks`` says, so that marks alone tell nothing."""
+    chosen = [str(w) for w in rng.choice(words, int(rng.integers(2, max(3, n))))]
+    for i in np.flatnonzero(rng.random(len(chosen)) < marks / 8):
+        chosen[i] += ","
+    return " ".join(chosen) + ("." if rng.random() < marks else "")
+
+
 def _boilerplate(rng, words: list[str]) -> str:
     """One piece of boilerplate of a random sort, marked as such for training."""
-    some = lambda n: " ".join(rng.choice(words, int(rng.integers(2, n))))
+    wide, marks = rng.choice([0.3, 1.0]), rng.random()
+
+    def some(n: int) -> str:
+        return _sentence(rng, words, max(3, int(n * wide)), marks)
+
     item = f'<li><a href="/x">{some(4)}</a></li>'
-    sort = int(rng.integers(0, 12))
+    sort = int(rng.integers(0, 14))
     mark = 'data-train="0"'
+    n = int(rng.integers(1, 6))
     note = [f'<section id="comments" class="comments" {mark}><h3>{some(4)}</h3>' + "".join(
-                f'<div class="comment"><b>{some(3)}</b><p>{some(60)}</p><a href="#">{some(3)}</a></div>' for _ in range(3)) + "</section>",
+                f'<div class="comment"><b>{some(3)}</b><p>{some(60)}</p><a href="#">{some(3)}</a></div>' for _ in range(n)) + "</section>",
+            f'<div class="comments-area" {mark}><h2>{some(5)}</h2>' + "".join(
+                f'<div class="comment-body"><span class="author">{some(3)}</span><p>{some(70)}</p><p>{some(30)}</p></div>' for _ in range(n)) + "</div>",
+            f'<div id="respond" {mark}><h3>{some(4)}</h3><ul class="replies">' + "".join(f'<li class="reply"><div><p>{some(60)}</p></div></li>' for _ in range(n)) + "</ul></div>",
             f'<ol class="comment-list" {mark}>' + "".join(f"<li><p>{some(50)}</p></li>" for _ in range(3)) + "</ol>",
             f'<aside class="sidebar" {mark}><h4>{some(4)}</h4><ul>{item * 4}</ul><p>{some(30)}</p></aside>',
             f'<div class="cookie-notice" {mark}><p>{some(40)}</p><button>{some(3)}</button></div>',
@@ -221,8 +243,8 @@ def variants(html: str, seed: int) -> list[str]:
     out = [html[:found.start()] + '<article data-train="1">' + inside + "</article>" + html[found.end():]]
     for _ in range(2):
         opening = str(rng.choice(_CONTAINERS))
-        blocks = re.split(r"(?<=</p>)", inside)
-        for _ in range(int(rng.integers(0, 3))):
+        blocks = re.split(r"(?<=</p>)(?!\s*</(?:li|td|th|dd|blockquote|figure)>)|(?<=</ul>)|(?<=</ol>)|(?<=</pre>)|(?<=</table>)", inside)
+        for _ in range(int(rng.integers(0, 4))):
             at = int(rng.integers(0, len(blocks) + 1))
             blocks.insert(at, _boilerplate(rng, words))
         closing = f"</{re.match(r'<([a-z]+)', opening)[1]}>"
@@ -253,35 +275,65 @@ def template_page(seed: int) -> str:
     """A made page of the usual parts, so that a table without a marked article still has a model."""
     rng = np.random.default_rng(seed)
     words = ["".join(rng.choice(list("aeioulnrst"), int(rng.integers(2, 9)))) for _ in range(200)]
-    text = lambda n: " ".join(rng.choice(words, int(rng.integers(3, n)))) + "."
-    body = f"<h1>{text(9)}</h1>" + "".join(f"<p>{text(80)}</p>" for _ in range(int(rng.integers(1, 9))))
+    wide, marks = rng.choice([0.15, 0.4, 1.0]), rng.choice([0.3, 0.9])
+    few = lambda a, b: range(int(rng.integers(a, b)))
+
+    def text(n: int) -> str:
+        return _sentence(rng, words, max(4, int(n * wide)), marks)
+
+
+    def block() -> str:
+        sort = int(rng.integers(0, 14))
+        if sort == 0:
+            return f"<h{2 + seed % 3}>{text(9)}</h{2 + seed % 3}>"
+        if sort == 1:
+            return "<ul>" + "".join(f"<li>{text(20)}</li>" for _ in few(2, 7)) + "</ul>"
+        if sort == 2:
+            return "<ol>" + "".join(f"<li><p>{text(30)}</p></li>" for _ in few(2, 6)) + "</ol>"
+        if sort == 3:
+            head = "<thead><tr>" + "".join(f"<th>{text(4)}</th>" for _ in range(3)) + "</tr></thead>" if rng.random() < 0.5 else ""
+            return f"<table>{head}<tbody>" + "".join("<tr>" + "".join(f"<td>{text(6)}</td>" for _ in range(3)) + "</tr>" for _ in few(2, 7)) + "</tbody></table>"
+        if sort == 4:
+            return "<pre><code>" + "\n".join(text(8) for _ in few(1, 8)) + "</code></pre>" if rng.random() < 0.5 else f"<pre>{text(30)}</pre>"
+        if sort == 5:
+            return f"<blockquote><p>{text(50)}</p></blockquote>"
+        if sort == 6:
+            return f'<figure><img src="/a.png"><figcaption>{text(12)}</figcaption></figure>'
+        if sort == 7:
+            return f'<p>{text(30)} <a href="/{words[0]}">{text(6)}</a> <b>{text(5)}</b> {text(30)}</p>'
+        if sort == 8:
+            return f"<div><p>{text(70)}</p><p>{text(30)}</p></div>"
+        return f"<p>{text(80)}</p>"
+
+    body = f"<h1>{text(9)}</h1>" + "".join(block() for _ in few(1, 12))
     menu = "<nav><ul>" + "".join(f'<li><a href="/{w}">{w}</a></li>' for w in rng.choice(words, 6)) + "</ul></nav>"
     return f"<html><head><title>{text(6)}</title></head><body>{menu}<article>{body}</article><footer>{text(12)}</footer></body></html>"
 
 
 def training_nodes(pages: DataFrame) -> DataFrame:
-    """(x, y) of the nodes of the sampled pages and their variants."""
+    """(place, x, y) of the nodes of the sampled pages and their variants; ``place`` orders them by value alone."""
     chosen = (pages.select(F.col("page_id").cast("long").alias("page_id")).where("page_id IS NOT NULL").distinct()
               .orderBy(F.xxhash64("page_id"), "page_id").limit(TRAIN_PAGES))  # the fit is on a bounded sample
 
     def run(batches):
         for batch in batches:
             for part in slices(batch, 16):
-                made = [labelled(v) for i, h in zip(part.column("page_id").to_pylist(), strings(part.column("html"))) for v in variants(h, i)]
+                made = [(i, k, *labelled(v)) for i, h in zip(part.column("page_id").to_pylist(), strings(part.column("html"))) for k, v in enumerate(variants(h, i))]
                 if made:
-                    x, y = np.concatenate([m[0] for m in made]), np.concatenate([m[1] for m in made])
+                    x, y = np.concatenate([m[2] for m in made]), np.concatenate([m[3] for m in made])
                     at = pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1])
-                    yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(at, pa.array(x.ravel().astype(np.float32))), pa.array(y)], ["x", "y"])
+                    place = [f"{i}:{k}:{node}" for i, k, _, labels in made for node in range(len(labels))]
+                    yield pa.RecordBatch.from_arrays([pa.array(place), pa.ListArray.from_arrays(at, pa.array(x.ravel().astype(np.float32))), pa.array(y)], ["place", "x", "y"])
 
     picked = pages.select(F.col("page_id").cast("long"), F.col("html").cast("string")).join(F.broadcast(chosen), "page_id")
-    return picked.mapInArrow(run, "x array<float>, y double")
+    return picked.mapInArrow(run, "place string, x array<float>, y double")
 
 
 def fit(pages: DataFrame):
     """Boosted trees from at most ``TRAIN_NODES`` nodes of sampled pages and the template pages."""
     made = [labelled(v) for s in range(TEMPLATE_PAGES) for v in variants(template_page(s), s)]
     x, y = [m[0] for m in made], [m[1] for m in made]
-    got = training_nodes(pages).limit(TRAIN_NODES).toArrow()
+    got = training_nodes(pages).orderBy(F.xxhash64("place"), "place", "x").limit(TRAIN_NODES).select("x", "y").toArrow()
     if got.num_rows:
         column = got.column("x").combine_chunks()
         x.append(column.flatten().to_numpy().reshape(got.num_rows, -1).astype(float))

@@ -11,7 +11,7 @@ from narralytics.constants import (
 )
 from narralytics.functions.plugins import RuleTagger
 from narralytics.functions.text import clean_markup, collapse_without_urls, safe_int, safe_number, tag_topics, word_count
-from narralytics.operators.ranking import exact_percentiles, first_by_ordinal
+from narralytics.operators.ranking import first_by_ordinal, percentiles
 from narralytics.session import cut_lineage
 
 
@@ -73,8 +73,9 @@ def retention_summary(ratios: DataFrame, past: float = PAST_THRESHOLD, first_per
         F.count("*").alias("n"), F.avg(keep_past.cast("double")).alias("pass_past"),
         F.avg(keep_first.cast("double")).alias("pass_fp"), F.avg((keep_past & keep_first).cast("double")).alias("pass_both"),
         F.avg("past_verb_ratio").alias("past_mean"), F.avg("first_person_ratio").alias("fp_mean"))
-    medians = [exact_percentiles(ratios, c, [0.5]).first()["p0"] for c in ("past_verb_ratio", "first_person_ratio")]
-    return rates.withColumn("past_median", F.lit(medians[0])).withColumn("fp_median", F.lit(medians[1]))
+    found = {r["column"]: r["p0"] for r in percentiles(ratios, ["past_verb_ratio", "first_person_ratio"], [0.5]).collect()}  # two rows
+    return rates.withColumn("past_median", F.lit(found.get("past_verb_ratio")).cast("double")).withColumn(
+        "fp_median", F.lit(found.get("first_person_ratio")).cast("double"))
 
 
 def retention_sweep(ratios: DataFrame, past_grid: Sequence[float] = tuple(PAST_GRID),

@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
@@ -11,7 +12,7 @@ from narralytics.constants import EMOTION_LABELS, LENGTH_LIMITS
 from narralytics.functions.text import collapse, first_tokens, key_digest, tokens_13a
 from narralytics.operators.align import ValidationError, require_unique
 from narralytics.operators.label_metrics import label_distribution
-from narralytics.operators.ranking import rank_by_hash, rank_by_value
+from narralytics.operators.ranking import percentiles, rank_by_hash, rank_by_value
 from narralytics.session import small_side, stored
 
 MAX_LABELS = 1000  # labels a relabelling may have; its plan has one run per pair of them
@@ -167,12 +168,15 @@ def task_summary(rows: DataFrame) -> DataFrame:
 
 
 def length_profile(df: DataFrame, length: str, by: Sequence[str] = (), limits: Sequence[int] = tuple(LENGTH_LIMITS)) -> DataFrame:
-    """Integer lengths repeat, so the exact percentile buffer holds one entry per distinct length."""
-    n = F.col(length)
-    return df.groupBy(*by).agg(
-        F.count("*").alias("rows"), F.min(n).alias("minimum"), F.percentile(n, F.lit(0.5)).alias("median"),
-        *[F.percentile(n, F.lit(p / 100)).alias(f"p{p}") for p in (90, 95, 99)], F.max(n).alias("maximum"),
-        *[F.count_if(n > limit).alias(f"over_{limit}") for limit in limits])
+    """Rows, extremes, exact percentiles and rows over the limits, per group; lengths are measured once and written."""
+    sized, n = stored(df.select(*by, length), "lengths"), F.col(length)
+    plain = sized.groupBy(*by).agg(F.count("*").alias("rows"), F.min(n).alias("minimum"), F.max(n).alias("maximum"),
+                                   *[F.count_if(n > limit).alias(f"over_{limit}") for limit in limits])
+    found = percentiles(sized, [length], [0.5, 0.9, 0.95, 0.99], by)
+    same = reduce(lambda a, b: a & b, [plain[c].eqNullSafe(found[c]) for c in by], F.lit(True))
+    return plain.join(found, same, "left").select(
+        *[plain[c] for c in by], "rows", "minimum", F.col("p0").alias("median"), F.col("p1").alias("p90"), F.col("p2").alias("p95"), F.col("p3").alias("p99"),
+        "maximum", *[f"over_{limit}" for limit in limits])
 
 
 def length_deltas(lengths: DataFrame, baseline: str, cutoff: int, key: str = "sample_id") -> DataFrame:

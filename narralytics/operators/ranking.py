@@ -7,16 +7,18 @@ before give its rank. A hot group spans as many partitions as its rows fill, and
 """
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from narralytics.functions.draws import hash_hex
-from narralytics.session import stored
-
-RANGE_BUCKETS = 256
+from narralytics.session import Scratch, stored
 
 
 def _placed_rank(df: DataFrame, order: Sequence[Column], groups: Sequence[str], out: str) -> DataFrame:
@@ -81,30 +83,71 @@ def top_per_group(df: DataFrame, groups: Sequence[str], order: Sequence[Column],
     return df.withColumn(out, F.row_number().over(window)).where(F.col(out) <= k)
 
 
-def exact_percentiles(df: DataFrame, column: str, probabilities: Sequence[float], buckets: int = RANGE_BUCKETS) -> DataFrame:
-    """One row with linearly interpolated percentiles ``p0, p1, ...`` of a whole column.
+DIGIT_BITS = 16
+
+
+def _ordered_keys(df: DataFrame, columns: Sequence[str], by: Sequence[str]) -> DataFrame:
+    """(by, item, key): every value of the columns as a long whose unsigned order is that of the doubles; nulls are left out."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bits = (batch.column("key").to_numpy(zero_copy_only=False) + 0.0).view(np.int64)
+            keys = np.where(bits < 0, ~bits, bits | np.int64(-1 << 63))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(keys)], batch.schema.names)
+
+    items = F.array(*[F.struct(F.lit(i).alias("item"), F.col(c).cast("double").alias("key")) for i, c in enumerate(columns)])
+    long = df.select(*by, F.explode(items).alias("_e")).select(*by, "_e.item", "_e.key").where("key IS NOT NULL")
+    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in long.schema.fields[:-1]]
+    return long.mapInArrow(run, ", ".join([*kinds, "key long"]))
+
+
+@F.pandas_udf(DoubleType())
+def _value_of_key(key: pd.Series) -> pd.Series:
+    keys = key.to_numpy(dtype=np.int64)
+    return pd.Series(np.where(keys < 0, keys & np.int64((1 << 63) - 1), ~keys).view(np.float64))
+
+
+def percentiles(df: DataFrame, columns: Sequence[str], probabilities: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
+    """(by, column, p0, p1, ...): linearly interpolated exact percentiles of whole columns, per group.
 
-    Equal values are counted first and cumulated bucket by bucket, so no task holds all distinct
-    values (the built-in ``percentile`` merges them in one buffer).
+    Radix selection: the values become longs in the order of the doubles and are written once. Four passes count, for all
+    columns, groups and wanted ranks at once, the next 16 bits of the values that share a wanted rank's bits so far; counts are
+    added up per task first, so only counts are shuffled, never values. Groups whose column holds no value have no row.
     """
-    values = (df.where(F.col(column).isNotNull()).groupBy(F.col(column).cast("double").alias("_v"))
-              .agg(F.count("*").alias("_c")))
-    edges = sorted(set(df.select(F.col(column).cast("double").alias("_v"))
-                       .approxQuantile("_v", [i / buckets for i in range(1, buckets)], 1.0 / (4 * buckets))))
-    bucket = (F.size(F.filter(F.array(*[F.lit(e) for e in edges]), lambda e: e < F.col("_v"))) if edges else F.lit(0))
-    tagged = values.withColumn("_bucket", bucket)
-    ordered = Window.partitionBy().orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = tagged.groupBy("_bucket").agg(F.sum("_c").alias("_n")).select(
-        "_bucket", F.coalesce(F.sum("_n").over(ordered), F.lit(0)).alias("_before"),
-        F.sum("_n").over(Window.partitionBy()).alias("_total"))
-    local = F.sum("_c").over(Window.partitionBy("_bucket").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0))
-    placed = tagged.withColumn("_local", local).join(sizes, "_bucket").withColumn("_end", F.col("_before") + F.col("_local"))
-    start = F.col("_end") - F.col("_c")
-    aggregates = []
-    for i, p in enumerate(probabilities):
-        for name, rank in (("lo", F.floor((F.col("_total") - 1) * p)), ("hi", F.ceil((F.col("_total") - 1) * p))):
-            aggregates.append(F.max(F.when((start <= rank) & (rank < F.col("_end")), F.col("_v"))).alias(f"_{name}{i}"))
-    found = placed.groupBy().agg(F.max("_total").alias("_total"), *aggregates)
-    return found.select(*[
-        (F.col(f"_lo{i}") + ((F.col("_total") - 1) * p - F.floor((F.col("_total") - 1) * p))
-         * (F.col(f"_hi{i}") - F.col(f"_lo{i}"))).alias(f"p{i}") for i, p in enumerate(probabilities)])
+    scratch, by = Scratch(df.sparkSession), list(by)
+    group = [*by, "item"]
+    keys = scratch.write(_ordered_keys(df, columns, by), "percentile-keys")
+    same = lambda x, y, names: reduce(lambda a, b: a & b, [x[n].eqNullSafe(y[n]) for n in names])
+    at = (F.col("_n") - 1) * F.col("_w.p")
+    wanted = F.array(*[F.struct(F.lit(i).alias("slot"), F.lit(float(p)).alias("p"), F.lit(up).alias("up")) for i, p in enumerate(probabilities) for up in (False, True)])
+    slots = keys.groupBy(*group).agg(F.count(F.lit(1)).alias("_n")).withColumn("_w", F.explode(wanted)).select(
+        *group, F.col("_w.slot").alias("slot"), F.col("_w.up").alias("up"), (at - F.floor(at)).alias("part"),
+        F.when(F.col("_w.up"), F.ceil(at)).otherwise(F.floor(at)).cast("long").alias("rank"), F.lit(0).cast("long").alias("prefix"))
+    slots = scratch.write(slots, "percentile-slots-64")     # two rows per group, column and probability
+    for shift in range(64 - DIGIT_BITS, -1, -DIGIT_BITS):
+        digit = F.shiftrightunsigned("key", shift).bitwiseAND((1 << DIGIT_BITS) - 1)
+        prefix = F.lit(0).cast("long") if shift + DIGIT_BITS == 64 else F.shiftrightunsigned("key", shift + DIGIT_BITS)
+        seen = keys.withColumn("prefix", prefix)
+        places = slots.select(*group, "prefix").distinct()
+        counts = seen.join(places, same(seen, places, [*group, "prefix"]), "left_semi").groupBy(*group, "prefix", digit.alias("digit")).agg(F.count(F.lit(1)).alias("n"))
+        order = Window.partitionBy(*group, "prefix").orderBy("digit").rowsBetween(Window.unboundedPreceding, -1)    # at most 65 536 rows
+        counts = counts.withColumn("before", F.coalesce(F.sum("n").over(order), F.lit(0)))
+        hit = same(slots, counts, [*group, "prefix"]) & (slots["rank"] >= counts["before"]) & (slots["rank"] < counts["before"] + counts["n"])
+        found = slots.join(counts, hit).select(*[slots[g] for g in group], "slot", "up", "part", (slots["rank"] - counts["before"]).alias("rank"),
+                                               (F.shiftleft(slots["prefix"], DIGIT_BITS) + F.col("digit")).alias("prefix"))
+        slots = scratch.write(found, f"percentile-slots-{shift}")
+        scratch.drop(f"percentile-slots-{shift + DIGIT_BITS}")
+    value = lambda i, up: F.max(F.when((F.col("slot") == i) & (F.col("up") == up), F.col("value")))
+    part = lambda i: F.max(F.when(F.col("slot") == i, F.col("part")))
+    mixed = [(value(i, False) + F.when((part(i) > 0) & (value(i, False) != value(i, True)), part(i) * (value(i, True) - value(i, False))).otherwise(0.0)).alias(f"p{i}") for i in range(len(probabilities))]
+    result = slots.withColumn("value", _value_of_key("prefix")).groupBy(*group).agg(*mixed)
+    names = F.array(*[F.lit(c) for c in columns])
+    kept = stored(result.select(*by, F.get(names, F.col("item")).alias("column"), *[f"p{i}" for i in range(len(probabilities))]), "percentiles")
+    scratch.clear()
+    return kept
+
+
+def exact_percentiles(df: DataFrame, column: str, probabilities: Sequence[float]) -> DataFrame:
+    """One row with linearly interpolated percentiles ``p0, p1, ...`` of a whole column; null where it holds no value."""
+    found = percentiles(df, [column], probabilities)
+    empty = df.sparkSession.range(1).select(F.lit(column).alias("column"))
+    return empty.join(found, "column", "left").select(*[f"p{i}" for i in range(len(probabilities))])

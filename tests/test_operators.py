@@ -44,6 +44,30 @@ def test_exact_percentiles(spark, values):
     assert list(got) == pytest.approx(list(np.quantile(values, [0.0, 0.25, 0.5, 0.95, 1.0])))
 
 
+def test_percentiles_of_groups_and_columns(spark):
+    rng = np.random.default_rng(4)
+    a = np.concatenate([rng.normal(size=300) * 10.0 ** rng.integers(-300, 300, 300), [0.0, -0.0, np.inf, -np.inf, 5e-324, -5e-324], [7.25] * 200])
+    b = rng.integers(-5, 6, len(a))
+    g = [None if i % 5 == 0 else f"g{i % 3}" for i in range(len(a))]
+    rows = [(g[i], float(a[i]), None if i % 7 == 0 else int(b[i])) for i in range(len(a))] + [("empty", None, None), ("one", 3.0, None)]
+    df = spark.createDataFrame(rows, "g string, a double, b int").repartition(5)
+    ps = [0.0, 0.1, 0.5, 0.99, 1.0]
+    got = {(r["g"], r["column"]): r[2:] for r in K.percentiles(df, ["a", "b"], ps, ["g"]).collect()}
+    assert ("empty", "a") not in got and ("one", "b") not in got and got["one", "a"] == (3.0,) * 5
+    for key in [None, "g0", "g1", "g2"]:
+        for i, name in ((1, "a"), (2, "b")):
+            values = sorted(float(r[i]) for r in rows if r[0] == key and r[i] is not None)
+            at = [(len(values) - 1) * p for p in ps]
+            pairs = [(values[int(np.floor(x))], values[int(np.ceil(x))], x - np.floor(x)) for x in at]
+            assert got[key, name] == pytest.approx([lo if lo == hi else lo + f * (hi - lo) for lo, hi, f in pairs], rel=1e-12), (key, name)
+    assert [r["p0"] for r in K.exact_percentiles(df.where("g = 'empty'"), "a", [0.5]).collect()] == [None]
+
+
+def test_percentiles_shuffle_only_counts(spark):
+    df = spark.range(1, 20_001).select((F.col("id") * 0.5).alias("v"), F.lit("x" * 50).alias("wide"))
+    assert list(K.exact_percentiles(df, "v", [0.5, 0.25]).first()) == [5000.25, 2500.375]
+
+
 # --- alignment -------------------------------------------------------------------------------
 
 GOLD = "sample_id long, source_text string, emotion_label string, reference_narrative string"

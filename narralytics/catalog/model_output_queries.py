@@ -18,6 +18,8 @@ from narralytics.operators import judge as J
 from narralytics.operators import label_metrics as L
 from narralytics.operators import parsing as P
 from narralytics.operators import runs as R
+from narralytics.operators.score_cache import ScoreCache, score_with_stored_cache
+from narralytics.session import scratch_path
 
 ESCAPED_SQL = f"""replace(replace({V.norm_sql('text')}, '\\', '\\\\'), '"', '\\"')"""
 VALID_SQL = """'{"predicted_narrative":"' || t || '","predicted_emotion_label":"' || l || '"}'"""
@@ -202,7 +204,9 @@ def _(spark, sf):
     docs = V.table(spark, sf, "documents").select(F.col("doc_id").alias("sample_id"), "text")
     keyed = docs.select("sample_id", J.cache_key(F.col("sample_id"), "judge", "v1", F.col("text")).alias("cache_key"))
     cache = keyed.join(V.table(spark, sf, "labels").select(F.col("doc_id").alias("sample_id"), "quality"), "sample_id").select("cache_key", "quality")
-    hits, misses = J.cached_scores(keyed, cache)
+    stored_cache = ScoreCache(spark, scratch_path(spark, "score-cache"), "quality int")
+    stored_cache.append(cache)
+    hits, misses = stored_cache.lookup(keyed)
     return hits.select("sample_id", "cache_key", F.lit("hit").alias("state")).unionByName(misses.select("sample_id", "cache_key", F.lit("miss").alias("state")))
 
 
@@ -250,7 +254,9 @@ def _(spark, sf):
     def score(misses: DataFrame) -> DataFrame:
         return misses.join(G.score_rows(misses, "text", length_judge, "relevance_score int, nli_label string"), "sample_id")
 
-    return J.score_with_cache(rows, cache, score).select("sample_id", "relevance_score", "nli_label")
+    stored_cache = ScoreCache(spark, scratch_path(spark, "score-cache"), "relevance_score int, nli_label string")
+    stored_cache.append(cache)
+    return score_with_stored_cache(rows, stored_cache, score).select("sample_id", "relevance_score", "nli_label")
 
 
 @query("token_budget_batches", "W10")

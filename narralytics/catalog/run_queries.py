@@ -14,6 +14,7 @@ from narralytics.operators.ranking import top_per_group
 from narralytics.constants import MAX_COMMENT_CHARS
 from narralytics.operators.audits import file_fingerprints, order_free_print, ordered_print
 from narralytics.session import scratch_path
+from narralytics.operators.merkle import differing_ranges, merkle_tree
 from narralytics.sources import runs as SR
 from narralytics.sources import tables as S
 from narralytics.streaming import filters, telemetry
@@ -106,6 +107,17 @@ def _(spark, sf):
         order_free_print(F.col("text")).alias("content_print"), ordered_print(F.col("text"), F.col("doc_id")).alias("ordered_print"), F.min(F.sha2("text", 256)).alias("first_sha256"))
 
 
+@query("merkle_ranges", "IO12", """WITH d AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS r, doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1) AS changed FROM documents),
+    b AS (SELECT (r - 1) // 64 AS block, min(r) AS first_rank, max(r) AS last_rank, min(doc_id) AS first_key, max(doc_id) AS last_key FROM d GROUP BY 1 HAVING bool_or(changed))
+    SELECT block, first_rank, last_rank, first_key AS first_key_a, last_key AS last_key_a, first_key AS first_key_b, last_key AS last_key_b FROM b""")
+def _(spark, sf):
+    """Blocks of documents that hold a changed text: those of toxic documents get one more character."""
+    docs = V.table(spark, sf, "documents").select("doc_id", "text", "lang")
+    toxic = V.table(spark, sf, "labels").where("toxic = 1").select("doc_id").distinct().withColumn("toxic", F.lit("!"))
+    changed = docs.join(toxic, "doc_id", "left").select("doc_id", F.concat("text", F.coalesce("toxic", F.lit(""))).alias("text"), "lang")
+    return differing_ranges(spark, *(merkle_tree(t, "doc_id", leaf_rows=64, fan=8) for t in (docs, changed)))
+
+
 @query("file_fingerprints", "IO12", """SELECT count(*) AS rows, CAST(sum(('0x' || substr(md5(concat(doc_id, '|', text, '|', lang, '|', source, '|', n_chars)), 1, 12))::BIGINT) AS VARCHAR) AS content_print
     FROM documents""")
 def _(spark, sf):

@@ -116,6 +116,29 @@ def _(spark, sf):
     return rounded(tests.withColumn("cohen_dz", F.round("cohen_dz", 6)), 8)
 
 
+@query("sign_flip_of_nations", "R8", """
+    WITH RECURSIVE v AS (SELECT c_mktsegment AS segment, c_nationkey AS seed, round(100 * avg(c_acctbal)) AS t FROM customer GROUP BY ALL),
+    u AS (SELECT c_nationkey AS seed, round(100 * avg(c_acctbal)) AS c FROM customer GROUP BY ALL),
+    a AS MATERIALIZED (SELECT segment, t - c AS a, row_number() OVER (PARTITION BY segment ORDER BY v.seed) AS i, count(*) OVER (PARTITION BY segment) AS k FROM v JOIN u ON u.seed = v.seed),
+    f AS (SELECT segment, 0::BIGINT AS i, 0::DOUBLE AS s FROM (SELECT DISTINCT segment FROM a) UNION ALL
+          SELECT f.segment, a.i, f.s + g * a.a FROM f JOIN a ON a.segment = f.segment AND a.i = f.i + 1 AND a.i <= a.k // 2, (SELECT unnest([-1, 1]) AS g)),
+    b AS (SELECT segment, (SELECT max(k // 2) FROM a WHERE a.segment = d.segment) AS i, 0::DOUBLE AS s FROM (SELECT DISTINCT segment FROM a) d UNION ALL
+          SELECT b.segment, a.i, b.s + g * a.a FROM b JOIN a ON a.segment = b.segment AND a.i = b.i + 1, (SELECT unnest([-1, 1]) AS g)),
+    m AS (SELECT segment, max(k) AS k, abs(sum(a)) AS observed FROM a GROUP BY segment),
+    l AS MATERIALIZED (SELECT f.segment, s, count(*) AS n FROM f JOIN m ON m.segment = f.segment AND f.i = m.k // 2 GROUP BY ALL),
+    r AS MATERIALIZED (SELECT b.segment, s, count(*) AS n FROM b JOIN m ON m.segment = b.segment AND b.i = m.k GROUP BY ALL)
+    SELECT l.segment, any_value(m.k) AS n_seeds, round(sum(CASE WHEN abs(l.s + r.s) >= m.observed THEN l.n * r.n ELSE 0 END) / power(2, any_value(m.k)), 9) AS exact_sign_flip_p
+    FROM l JOIN r ON r.segment = l.segment JOIN m ON m.segment = l.segment GROUP BY l.segment""")
+def _(spark, sf):
+    """Nations as seeds: mean balance of a segment's customers against that of all, in cents."""
+    customers = V.table(spark, sf, "customer")
+    mean = F.round(100 * F.avg("c_acctbal"))
+    every = customers.groupBy(F.col("c_nationkey").alias("seed")).agg(mean.alias("control"))
+    pairs = customers.groupBy(F.col("c_mktsegment").alias("segment"), F.col("c_nationkey").alias("seed")).agg(mean.alias("treatment")).join(every, "seed")
+    tests = S.paired_tests(pairs.withColumn("advantage", F.col("treatment") - F.col("control")), ["segment"])
+    return tests.select("segment", "n_seeds", F.round("exact_sign_flip_p", 9).alias("exact_sign_flip_p"))
+
+
 @query("seed_pair_comparison", "R7 R9", f"""WITH {SEED_SQL}, {ADV_SQL}
     SELECT dataset, metric, CAST(seed AS INTEGER) AS seed, round(tv, 9) AS treatment, round(cv, 9) AS control, round(a, 9) AS advantage
     FROM adv WHERE control = 'single_narrative'""")

@@ -124,3 +124,27 @@ def t_critical(df: float, level: float = 0.95) -> float:
 def binomial_half_tail(successes: int, trials: int) -> float:
     """P(X <= successes) for a fair coin."""
     return 1.0 if successes >= trials else beta_cdf(trials - successes, successes + 1.0, 0.5)
+
+
+def sign_flip_share(values) -> float:
+    """Share of the sign vectors whose sum is at least as large, in absolute value, as that of the values.
+
+    Sums that differ by rounding only count as equal.
+    """
+    values = np.asarray(values, dtype=float)
+    size = float(np.abs(values).sum())
+    limit = abs(float(values.sum())) - max(len(values) * 1e-15, size * 1e-12)
+    if limit <= 0:
+        return 1.0
+
+    def sums(part: np.ndarray) -> np.ndarray:
+        out = np.zeros(1)
+        for v in part:
+            out = np.concatenate([out + v, out - v])
+        return out
+
+    half = len(values) // 2
+    a, b = sums(values[:half]), np.sort(sums(values[half:]))
+    above = len(b) * len(a) - int(np.searchsorted(b, limit - a, side="left").sum())
+    below = int(np.searchsorted(b, -limit - a, side="right").sum())
+    return (above + below) / 2 ** len(values)

@@ -12,7 +12,7 @@ from narralytics.constants import LOWER_IS_BETTER
 from narralytics.functions import kernels
 from narralytics.operators.align import ValidationError
 
-MAX_SIGN_FLIP_SEEDS = 20
+MAX_SIGN_FLIP_SEEDS = 40   # two halves of 2^20 sums
 ZERO = 1e-12
 
 
@@ -74,20 +74,19 @@ def seed_advantages(metrics: DataFrame, treatment: str, control: str, by: Sequen
     return wide.withColumn("advantage", F.when(both, advantage).otherwise(lone))
 
 
+@F.pandas_udf(DoubleType())
+def _sign_flip(values: pd.Series) -> pd.Series:
+    return pd.Series([None if v is None or not len(v) else kernels.sign_flip_share(v) for v in values], dtype="float64")
+
+
 def sign_flip_p(values: Column) -> Column:
     """Share of all 2^k sign vectors whose mean is at least as far from 0 as the observed one.
 
-    More than ``MAX_SIGN_FLIP_SEEDS`` values are an error: their sign vectors do not fit into one row.
+    The sign vectors are split in the middle: the 2^(k/2) signed sums of each half are made, one half is sorted, and for every sum of the other the
+    partners beyond the limits are counted by their places. More than ``MAX_SIGN_FLIP_SEEDS`` values are an error.
     """
-    k = F.size(values)
-    mean_of = lambda mask: F.aggregate(
-        F.sequence(F.lit(0), k - 1), F.lit(0.0),
-        lambda acc, i: acc + F.get(values, i) * F.when(F.expr("0") == mask.bitwiseAND(F.call_function("shiftleft", F.lit(1), i)), -1.0).otherwise(1.0)) / k
-    observed = F.abs(F.aggregate(values, F.lit(0.0), lambda a, v: a + v) / k)
-    masks = F.sequence(F.lit(0), F.call_function("shiftleft", F.lit(1), k) - 1)
-    extreme = F.size(F.filter(masks, lambda m: F.abs(mean_of(m)) >= observed - 1e-15))
-    too_many = F.raise_error(F.lit(f"the exact test takes at most {MAX_SIGN_FLIP_SEEDS} seeds")).cast("double")
-    return F.when(k <= MAX_SIGN_FLIP_SEEDS, extreme / F.size(masks)).otherwise(too_many)
+    too_many = F.raise_error(F.lit(f"the exact test takes at most {MAX_SIGN_FLIP_SEEDS} seeds")).cast("array<double>")
+    return _sign_flip(F.when(F.size(values) <= MAX_SIGN_FLIP_SEEDS, values).otherwise(too_many))
 
 
 def _spread(column: str) -> Column:

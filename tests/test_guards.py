@@ -31,8 +31,8 @@ def test_null_labels_count_as_empty_ones(spark):
 
 
 def test_exact_sign_flip_refuses_many_seeds(spark):
-    rows = spark.createDataFrame([("d", "m", i, 1.0, 0.0, 1.0) for i in range(21)], "dataset string, metric string, seed int, treatment double, control double, advantage double")
-    with pytest.raises(Exception, match="at most 20 seeds"):
+    rows = spark.createDataFrame([("d", "m", i, 1.0, 0.0, 1.0) for i in range(41)], "dataset string, metric string, seed int, treatment double, control double, advantage double")
+    with pytest.raises(Exception, match="at most 40 seeds"):
         S.paired_tests(rows).collect()
 
 

@@ -1,4 +1,6 @@
+import itertools
 import math
+import time
 
 import numpy as np
 import pytest
@@ -278,6 +280,23 @@ def test_fingerprints(spark):
 
 # --- statistics ------------------------------------------------------------------------------
 
+@pytest.mark.parametrize("k", [1, 2, 3, 7, 16])
+def test_sign_flip_share_equals_enumeration(k):
+    rng = np.random.default_rng(k)
+    for values in (rng.normal(size=k) + 0.3, rng.integers(-3, 4, k) / 100, np.full(k, 0.1), np.zeros(k)):
+        signs = np.array(list(itertools.product([-1, 1], repeat=k)))
+        sums = np.abs((signs * values).sum(axis=1))
+        assert N.kernels.sign_flip_share(values) == np.mean(sums >= abs(values.sum()) - 1e-12)
+
+
+@pytest.mark.parametrize("k", [24, 36, 40])
+def test_sign_flip_of_many_seeds(spark, k):
+    df = spark.createDataFrame([([1.0] * k,), ([float(1 << i) for i in range(k)],)], "v array<double>")
+    start = time.perf_counter()
+    got = [r[0] for r in df.select(S.sign_flip_p(F.col("v"))).collect()]
+    assert got == [2 / 2 ** k, 2 / 2 ** k] and time.perf_counter() - start < 20
+
+
 def test_sign_flip_and_paired_tests(spark):
     rows = [("d", "rougeL_mean", s, 0.5 + 0.1, 0.5, 0.1) for s in (1, 2, 3)] + [("d", "zero", s, 1.0, 1.0, 0.0) for s in (1, 2, 3)]
     df = spark.createDataFrame(rows, "dataset string, metric string, seed int, treatment double, control double, advantage double")

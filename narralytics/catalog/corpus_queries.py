@@ -9,6 +9,7 @@ from narralytics.catalog.views import documents, norm_sql, table
 from narralytics.constants import FIRST_PERSON_GRID, PAST_GRID, TOPIC_SAMPLE_ROWS
 from narralytics.functions.plugins import RuleTagger
 from narralytics.operators import corpus as C
+from narralytics.operators.tagging import tag_documents_by_rules
 
 CLEAN_SQL = norm_sql("regexp_replace(text, 'http[^ \t\n\r\f\v]+', ' ', 'g')".replace("\t", r"\t").replace("\n", r"\n")
                      .replace("\r", r"\r").replace("\f", r"\f").replace("\v", r"\v"))
@@ -71,6 +72,15 @@ def _(spark, sf):
     return C.tag_documents(documents(spark, sf), TOPIC_RULES, require_topic=True).select("doc_id", "topics")
 
 
+@query("passage_tags", "F5", """WITH rules AS (SELECT item_id, regexp_extract(text, '[A-Za-z]{2,}( [a-z]{2,}){2}') AS w FROM benchmark)
+    SELECT doc_id, string_agg('item_' || item_id, ',' ORDER BY item_id) AS topics FROM documents, rules WHERE w <> '' AND contains(text, w) GROUP BY doc_id""")
+def _(spark, sf):
+    """One literal rule per benchmark item: three words of its text. The rule list is the driver's, like any other."""
+    words = F.regexp_extract("text", "[A-Za-z]{2,}( [a-z]{2,}){2}", 0)
+    rules = table(spark, sf, "benchmark").select("item_id", words.alias("w")).where("w <> ''").orderBy("item_id").collect()
+    return tag_documents_by_rules(documents(spark, sf), [(f"item_{r.item_id}", r.w) for r in rules], require_topic=True).select("doc_id", "topics")
+
+
 @query("selected_topic_rows", "F6", """
     SELECT vec_id, label AS topic_id FROM embeddings WHERE label IN (SELECT doc_id % 10 FROM labels WHERE toxic = 1 AND quality = 0)""")
 def _(spark, sf):

@@ -17,7 +17,7 @@ from narralytics.session import scratch_path
 from narralytics.operators.merkle import differing_ranges, merkle_tree
 from narralytics.sources import runs as SR
 from narralytics.sources import tables as S
-from narralytics.streaming import filters, telemetry
+from narralytics.streaming import early_stop, filters, telemetry
 
 
 @query("csv_round_trip", "IO1 IO7", "SELECT doc_id, text, source FROM documents")
@@ -67,7 +67,10 @@ def _(spark, sf):
 SUMMARY_SCHEMA = "rougeL_mean double, num_aligned_rows long, num_missing_prediction_rows long, gold_path string"
 
 
-def run_tree(spark, sf) -> DataFrame:
+RUN_LAYOUT = "condition={condition}/seed=seed_{seed}/dataset={dataset}/run=run_{run_ts}/*.json"
+
+
+def run_tree(spark, sf, **where) -> DataFrame:
     """Two stamped runs per key written as a tree; the older one lacks a row."""
     base = run_summaries(spark, sf).select("condition", F.col("seed"), "dataset", "rougeL_mean", "num_aligned_rows")
     runs = base.withColumn("r", F.explode(F.array(
@@ -78,7 +81,7 @@ def run_tree(spark, sf) -> DataFrame:
                        F.col("r.lost").alias("num_missing_prediction_rows"), F.concat(F.lit("/data/"), "dataset", F.lit(".csv")).alias("gold_path"))
     path = scratch_path(spark, "runs")
     rows.write.partitionBy("condition", "seed", "dataset", "run").json(path)
-    return SR.read_run_tree(spark, path, SUMMARY_SCHEMA, r"condition=([^/]+)/seed=seed_(\d+)/dataset=([^/]+)/run=run_([^/]+)/")
+    return SR.read_runs(spark, path, SUMMARY_SCHEMA, RUN_LAYOUT, **where)
 
 
 RUN_SUMMARY_SQL = f"WITH {RUNS_SQL}, s AS (SELECT condition, seed::VARCHAR AS seed, dataset, avg(rougeL_mean) AS v, count(*) AS n FROM runs GROUP BY ALL)"
@@ -95,6 +98,13 @@ def _(spark, sf):
     return rounded(SR.latest_complete_runs(run_tree(spark, sf), gold).select("condition", "seed", "dataset", "run_ts", "rougeL_mean", "num_aligned_rows"))
 
 
+@query("runs_of_conditions", "IO9", RUN_SUMMARY_SQL + """ SELECT condition, seed, dataset, unnest(['20260101_000000', '20260102_000000']) AS run_ts FROM s
+    WHERE condition IN ('paired_joint', 'single_narrative') AND seed = '2'""")
+def _(spark, sf):
+    """Only the folders of two conditions and one seed are listed and opened."""
+    return run_tree(spark, sf, condition=["paired_joint", "single_narrative"], seed=["2"]).select("condition", "seed", "dataset", "run_ts")
+
+
 @query("runs_on_dataset", "F10", RUN_SUMMARY_SQL + " SELECT condition, seed, ts AS run_ts FROM s, (SELECT unnest(['20260101_000000', '20260102_000000']) AS ts) WHERE dataset = 'stage1'")
 def _(spark, sf):
     return SR.runs_on_dataset(run_tree(spark, sf), "stage1.csv").select("condition", "seed", "run_ts")
@@ -150,15 +160,29 @@ def _(spark, sf):
     return rounded(R.validation_history(spark.read.schema(f"run long, checkpoint long, {S.TRAINER_STATE_SCHEMA}").json(path)))
 
 
-@query("early_stop_decisions", "W7", f"""WITH {HISTORY_SQL}, b AS (SELECT run, arg_min(step, (eval_loss, step)) AS best_step, min(eval_loss) AS best_loss,
+STOP_SQL = f"""WITH {HISTORY_SQL}, b AS (SELECT run, arg_min(step, (eval_loss, step)) AS best_step, min(eval_loss) AS best_loss,
     max(step) AS latest_step, arg_max(eval_loss, step) AS latest_loss FROM history GROUP BY run),
     d AS (SELECT b.*, (SELECT count(*) FROM history h WHERE h.run = b.run AND h.step > b.best_step) AS later, latest_loss / best_loss - 1 AS rel FROM b)
     SELECT run, best_step, latest_step, later AS validations_without_improvement, round(rel, 9) AS relative_degradation,
-           CASE WHEN latest_step <> best_step AND rel >= 0.1 THEN 'immediate_relative_degradation_threshold' WHEN later >= 2 THEN 'validation_patience_exhausted' END AS reason FROM d""")
+           CASE WHEN latest_step <> best_step AND rel >= 0.1 THEN 'immediate_relative_degradation_threshold' WHEN later >= 2 THEN 'validation_patience_exhausted' END AS reason FROM d"""
+
+
+@query("early_stop_decisions", "W7", STOP_SQL)
 def _(spark, sf):
     return rounded(R.early_stop(history(spark, sf)).select("run", "best_step", "latest_step", "validations_without_improvement", "relative_degradation", "reason"))
 
 
+@query("early_stop_streamed", "W6 W7 ST2", STOP_SQL)
+def _(spark, sf):
+    """The same decisions from a stream of the validations, two files a micro-batch."""
+    source, out, checkpoint = (scratch_path(spark, f"stop-{x}") for x in ("in", "out", "checkpoint"))
+    history(spark, sf).repartition(4, "step").write.parquet(source)
+    stream = spark.readStream.schema("run long, step long, eval_loss double").option("maxFilesPerTrigger", 2).parquet(source)
+    early_stop.stop_stream(stream, out, checkpoint).start().awaitTermination()
+    found = early_stop.latest_decisions(spark.read.parquet(out))
+    return rounded(found.select("run", "best_step", "latest_step", "validations_without_improvement", "relative_degradation", "reason"))
+
+
 FILES_SQL = "files AS (SELECT DISTINCT user_id AS run, day(ts)::BIGINT AS step FROM events WHERE event_type <> 'error')"
 
 

@@ -137,6 +137,24 @@ def test_run_tree_layout(spark, tmp_path):
     assert SR.runs_on_dataset(tree, "test.csv").count() == 3 and SR.runs_on_dataset(tree, "other.csv").count() == 0
 
 
+def test_run_tree_lists_only_what_is_asked(spark, tmp_path):
+    for condition in ("joint", "single", "a,{b}*"):
+        for seed in range(4):
+            folder = tmp_path / condition / f"seed_{seed}" / "stage1" / "evaluation" / f"run_2026010{seed}_0" / "metrics"
+            folder.mkdir(parents=True)
+            (folder / "summary.json").write_text(json.dumps({"n": seed}, indent=2))
+            (folder / "other.json").write_text("not json")
+    every = SR.read_runs(spark, str(tmp_path), "n long")
+    assert sorted((r.condition, r.seed, r.dataset, r.run_ts, r.n) for r in every.collect()) == sorted(
+        (c, str(s), "stage1", f"2026010{s}_0", s) for c in ("joint", "single", "a,{b}*") for s in range(4))
+    some = SR.read_runs(spark, str(tmp_path), "n long", condition=["joint", "a,{b}*"], seed=["2", "9"])
+    assert len(some.inputFiles()) == 2 and sorted((r.condition, r.n) for r in some.collect()) == [("a,{b}*", 2), ("joint", 2)]
+    none = SR.read_runs(spark, str(tmp_path), "n long", condition=["nothing"])
+    assert none.count() == 0 and none.columns == every.columns and SR.read_runs(spark, str(tmp_path), "n long", seed=[]).count() == 0
+    with pytest.raises(ValueError, match="dates"):
+        SR.read_runs(spark, str(tmp_path), "n long", dates=["x"])
+
+
 def test_nested_array_document(spark, tmp_path):
     (tmp_path / "t.json").write_text(json.dumps([{"topic_id": 1, "count": 2, "name": "n", "top_terms": ["a"], "representative_docs": []}], indent=2))
     assert S.read_nested(spark, str(tmp_path / "t.json"), S.TOPIC_SUMMARY_SCHEMA).first()["top_terms"] == ["a"]

@@ -200,17 +200,24 @@ def test_mixing_query_equals_plain_raking(spark):
     sf = "/root/testdata/sf0.01"
     docs = table(spark, sf, "documents").collect()
     got = by_id(QUERIES["op8_mixing"](spark, sf))
-    form = lambda t: "table" if " | " in t else "notice" if "Licensed under" in t else "short" if len(t) < 200 else "prose"
-    tokens = collections.Counter()
-    cell = {}
+    model = mixing.topic_model(table(spark, sf, "documents"))
+    tokens, cell = collections.Counter(), {}
     for d in docs:
         n = max(1, len(re.findall(r"\S+", d.text, re.A)))
-        cell[d.doc_id] = (d.source, d.lang, form(d.text)), n
+        cell[d.doc_id] = (d.source, d.lang, model.names([d.text.encode()], [d.lang])[0][0]), n
         tokens[cell[d.doc_id][0]] += n
     share = {k: v / sum(tokens.values()) for k, v in tokens.items()}
-    targets = mixing.Targets()
+    targets = [collections.Counter() for _ in range(3)]
+    for k, v in tokens.items():
+        targets[0][k[0]] = 1
+        targets[1][k[1]] += v
+        targets[2][k[2]] += v
+    for axis in (1, 2):
+        targets[axis] = {k: v ** 0.5 for k, v in targets[axis].items() if k != mixing.EMPTY}
+    targets = [{k: v / sum(t.values()) for k, v in t.items()} for t in targets]
+    assert mixing.EMPTY not in {k[2] for k in tokens} and len(targets[2]) == mixing.TOPICS
     for _ in range(mixing.SWEEPS):
-        for axis, wanted in enumerate((targets.source, targets.lang, targets.topic)):
+        for axis, wanted in enumerate(targets):
             now = collections.Counter()
             for k, v in share.items():
                 now[k[axis]] += v
@@ -224,6 +231,49 @@ def test_mixing_query_equals_plain_raking(spark):
     assert abs(sum(r.n_tokens for r in got.values() if r.kept) / sum(tokens.values()) - 0.5) < 0.1
 
 
+def test_fifteen_hundred_sources_each_have_their_target(spark):
+    docs = spark.range(6000).selectExpr("id AS doc_id", "concat('word ', repeat(concat('w', id div 1500, ' '), 5 + int(id % 7))) AS text", "'en' AS lang",
+                                        "concat('s', id % 1500) AS source")
+    got = mixing.mix(docs, budget=0.1).collect()
+    weight, expected = collections.Counter(), collections.Counter()
+    for r in got:
+        weight[r.source] += r.n_tokens * r.weight
+        expected[r.source] += r.n_tokens * r.probability
+    total = sum(r.n_tokens for r in got)
+    assert len(weight) == 1500 and all(abs(w / total - 1 / 1500) < 1e-6 for w in weight.values())
+    assert all(abs(e / (0.1 * total) - 1 / 1500) < 1e-6 for e in expected.values())
+
+
+def test_filling_up_by_one_sort_equals_filling_step_by_step():
+    rng = np.random.default_rng(4)
+    for _ in range(200):
+        n, groups = int(rng.integers(1, 30)), int(rng.integers(1, 5))
+        code, room, weight = rng.integers(0, groups, n), rng.integers(1, 50, n).astype(float), rng.random(n) * (rng.random(n) < 0.9)
+        total = rng.random(groups) * 60
+        got = mixing.filled(weight, room, code, total)
+        for g in range(groups):
+            w, r, whole = weight[code == g], room[code == g], np.zeros((code == g).sum(), bool)
+            while True:
+                mass = w[~whole].sum()
+                scale = max(0.0, total[g] - r[whole].sum()) / mass if mass > 0 else 0.0
+                over = ~whole & (w * scale >= r) & (w > 0)
+                if not over.any():
+                    break
+                whole |= over
+            assert np.allclose(got[code == g], np.where(whole, r, np.minimum(r, w * scale)))
+
+
+def test_topics_come_from_the_words_not_from_the_language(spark):
+    rng = np.random.default_rng(2)
+    kinds = {"cook": "oven salt soup bake onion".split(), "sail": "mast wind harbour rope anchor".split()}
+    glue = {"en": "the of and to in".split(), "de": "der die das und ein".split()}
+    texts = [(f"{k} {x}", " ".join(rng.choice(kinds[k] + glue[x] * 2, 60)), x) for k in kinds for x in glue for _ in range(40)]
+    model = mixing.fit_topics(mixing.word_vectors([t.encode() for _, t, _ in texts])[0], [x for _, _, x in texts], 2)
+    names, _ = model.names([t.encode() for _, t, _ in texts], [x for _, _, x in texts])
+    assert len({(k.split()[0], n) for (k, _, _), n in zip(texts, names)}) == 2
+    assert model.names([b"", b" \n "], ["en", "xx"])[0] == [mixing.EMPTY] * 2
+
+
 def test_mixing_awkward_rows(spark):
     got = mixing.mix(awkward(spark)).collect()
     assert len(got) == 8

@@ -10,7 +10,7 @@ meeting only. A task returns, per vector, a link count and one neighbour label,
 
 Defined results: a row with a null vec_id, null label, or a vector that is null, empty, zero or holds null or
 non-finite components links with nothing (n_links 0, component_id = vec_id). Equal vectors of one label are
-one class while searching; every copy counts in n_links. Widths never mix. An empty table gives an empty
+one class while searching; every copy counts in n_links. Rows of one vec_id with other vectors are vectors each. Widths never mix. An empty table gives an empty
 result; further columns are ignored.
 """
 from __future__ import annotations
@@ -27,10 +27,12 @@ from narralytics.session import spread
 
 THRESHOLD = 0.93
 TABLES = 6
-AXES = 2         # hashes per key: (2 * width) ** AXES keys per label and table
+AXES = 2         # hashes per key: (2 * width) ** AXES keys per label and table; one more for every 100 times as many rows
 PROBES = 2       # further keys per vector and table
-TILE_ROWS = 2048
+ROWS_PER_AXES = 10_000_000   # vectors of one label that AXES and TABLES are made for
+TILE_ROWS = 1024
 SEED = 7
+FOLD = (1 << 31) - 1
 
 
 def rotate(x: np.ndarray, seed: int) -> np.ndarray:
@@ -50,8 +52,8 @@ def rotate(x: np.ndarray, seed: int) -> np.ndarray:
 
 
 def keys(x: np.ndarray, tables: int = TABLES, axes: int = AXES, probes: int = PROBES) -> np.ndarray:
-    """(rows, tables, 1 + probes) keys; the first of each table is the home key."""
-    out = np.empty((len(x), tables, 1 + probes), dtype=np.int64)
+    """(rows, tables, 1 + probes) keys; the first of each table is the home key. Keys that leave 31 bits are folded, which only adds candidates."""
+    out = np.empty((len(x), tables, 1 + probes), dtype=np.int32)
     for t in range(tables):
         first, second, loss = [], [], []
         for a in range(axes):
@@ -68,8 +70,8 @@ def keys(x: np.ndarray, tables: int = TABLES, axes: int = AXES, probes: int = PR
         home = sum(first[a] * base ** a for a in range(axes))
         other = np.concatenate([home[:, None] + (second[a] - first[a][:, None]) * base ** a for a in range(axes)], axis=1)
         best = np.argsort(np.concatenate(loss, axis=1), axis=1, kind="stable")[:, :probes]
-        out[:, t, 0] = home
-        out[:, t, 1:] = np.take_along_axis(other, best, axis=1)
+        out[:, t, 0] = home % FOLD
+        out[:, t, 1:] = np.take_along_axis(other, best, axis=1) % FOLD
     return out
 
 
@@ -102,7 +104,7 @@ def _hashed(classes: DataFrame, tables: int, axes: int, probes: int) -> DataFram
                 yield pa.RecordBatch.from_arrays(
                     [*part.columns, pa.ListArray.from_arrays(offsets, pa.array(codes.ravel()))], [*part.schema.names, "codes"])
 
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in classes.schema) + ", codes array<long>"
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in classes.schema) + ", codes array<int>"
     return classes.mapInArrow(run, schema)
 
 
@@ -120,10 +122,10 @@ def _verified(home_of, codes, i, j, table, key, tables, probes) -> np.ndarray:
     return (where == table) & (at == key)
 
 
-def _cell_links(cls, copies, vectors, codes, home, block, cell, table, key, threshold, tables, probes):
+def _cell_links(uid, copies, vectors, codes, home, block, cell, table, key, threshold, tables, probes):
     """Link counts and labels of one tile; pairs of one block are compared only in its own tile."""
     norm = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
-    n, left, right = len(cls), [], []
+    n, left, right = len(uid), [], []
     for start in range(0, n, 256):
         close = norm[start:start + 256] @ norm.T >= threshold
         i, j = np.nonzero(close)
@@ -139,22 +141,22 @@ def _cell_links(cls, copies, vectors, codes, home, block, cell, table, key, thre
     count = np.bincount(i, copies[j], n) + np.bincount(j, copies[i], n)
     label = local_labels(i, j, n)
     linked = np.flatnonzero(count > 0)
-    return cls[linked], count[linked].astype(np.int64), cls[label[linked]]
+    return uid[linked], count[linked].astype(np.int64), uid[label[linked]]
 
 
 def class_links(hashed: DataFrame, threshold: float, tables: int, probes: int, tile_rows: int) -> DataFrame:
-    """(cls, links, peer): per tile and class, the copies it links to and a class it is connected with."""
+    """(uid, links, peer): per tile and class, the copies it links to and a class it is connected with."""
     per = 1 + probes
     meeting = ["label", "width", "tab", "key"]
-    sent = hashed.select("cls", "uid", "label", "width", F.posexplode("codes").alias("slot", "key")).select(
-        "cls", "uid", "label", "width", (F.col("slot") / per).cast("int").alias("tab"), "key", (F.col("slot") % per == 0).alias("home"))
+    sent = hashed.select("uid", "label", "width", F.posexplode("codes").alias("slot", "key")).select(
+        "uid", "label", "width", (F.col("slot") / per).cast("int").alias("tab"), "key", (F.col("slot") % per == 0).alias("home"))
     sizes = (sent.groupBy(*meeting).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("home").cast("long")).alias("homes"))
              .where("homes > 0 AND n > 1").select(*meeting, F.ceil(F.col("n") / tile_rows).alias("blocks")))
     placed = sent.join(sizes, meeting).withColumn("block", F.pmod(F.xxhash64("uid"), F.col("blocks")))
     cells = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda b: F.struct(
         F.least(b, F.col("block")).alias("lo"), F.greatest(b, F.col("block")).alias("hi")))
-    tiles = placed.withColumn("cell", F.explode(cells)).select("cls", "uid", "tab", "key", "home", "block", "cell.lo", "cell.hi")
-    tiled = tiles.join(hashed, ["cls", "uid"])   # vectors join last, so only meeting rows carry them
+    tiles = placed.withColumn("cell", F.explode(cells)).select("uid", "tab", "key", "home", "block", "cell.lo", "cell.hi")
+    tiled = tiles.join(hashed.drop("cls"), "uid")   # vectors join last, so only meeting rows carry them
     order = [*meeting, "lo", "hi"]
     sorted_tiles = spread(tiled, *order).sortWithinPartitions(*order)
 
@@ -167,18 +169,18 @@ def class_links(hashed: DataFrame, threshold: float, tables: int, probes: int, t
             change = (tab[1:] != tab[:-1]) | (key[1:] != key[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1]) \
                 | (label[1:] != label[:-1]) | (width[1:] != width[:-1])
             edges = [0, *(np.flatnonzero(change) + 1), len(tab)]
-            cls, copies, home, block = get("cls"), get("copies").astype(float), get("home"), get("block")
+            uid, copies, home, block = get("uid"), get("copies").astype(float), get("home"), get("block")
             out = []
             for a, b in zip(edges, edges[1:]):
                 if b - a > 1:
                     part = rows.slice(a, b - a).combine_chunks()
                     vectors = matrix(part.column("vector").chunk(0)).astype(float)
                     codes = matrix(part.column("codes").chunk(0))
-                    out.append(_cell_links(cls[a:b], copies[a:b], vectors, codes, home[a:b], block[a:b],
+                    out.append(_cell_links(uid[a:b], copies[a:b], vectors, codes, home[a:b], block[a:b],
                                            (lo[a], hi[a]), tab[a], key[a], threshold, tables, probes))
             if out:
                 c, n, p = (np.concatenate(x) for x in zip(*out))
-                yield pa.RecordBatch.from_arrays([pa.array(c), pa.array(n), pa.array(p)], ["cls", "links", "peer"])
+                yield pa.RecordBatch.from_arrays([pa.array(c), pa.array(n), pa.array(p)], ["uid", "links", "peer"])
 
         def last_start(batch: pa.RecordBatch) -> int:
             """Where the last tile of the batch begins."""
@@ -202,26 +204,45 @@ def class_links(hashed: DataFrame, threshold: float, tables: int, probes: int, t
         if held:
             yield from done(pa.Table.from_batches(held))
 
-    return sorted_tiles.mapInArrow(run, "cls long, links long, peer long")
+    return sorted_tiles.mapInArrow(run, "uid long, links long, peer long")
 
 
-def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, tables: int = TABLES, axes: int = AXES,
+def key_shape(rows: int) -> tuple[int, int]:
+    """(axes, tables) for so many vectors of one label.
+
+    A further axis makes keys some hundred times as many and a meeting in one table less likely, which twice the tables make good: the recall measured for pairs
+    exactly at the threshold, width 64, is 0.999 with 2 axes and 6 tables, 0.997 with 3 and 12, 0.998 with 4 and 24.
+    """
+    extra, size = 0, rows
+    while size > ROWS_PER_AXES:
+        extra, size = extra + 1, size / 100
+    return AXES + extra, TABLES * 2 ** extra
+
+
+def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, tables: int | None = None, axes: int | None = None,
                     probes: int = PROBES, tile_rows: int = TILE_ROWS) -> DataFrame:
-    """vec_id, n_links, component_id, kept: one row per row of ``vectors`` (vec_id, embedding, label)."""
+    """vec_id, n_links, component_id, kept: one row per row of ``vectors`` (vec_id, embedding, label).
+
+    Axes and tables follow from the vectors of the largest label unless they are given.
+    """
     # single-precision vectors travel as they are; all arithmetic is in double precision
     kept = "array<float>" if vectors.schema["embedding"].dataType == ArrayType(FloatType()) else "array<double>"
     rows = vectors.select(F.col("vec_id").cast("long"), F.col("label").cast("string"),
                           F.col("embedding").cast(kept).alias("vector"))
     ok = F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.coalesce(usable(F.col("vector")), F.lit(False))
     keyed = rows.withColumn("ok", ok).withColumn("vector", F.when(F.col("ok"), F.transform("vector", lambda v: F.when(v == 0, F.lit(0).cast(kept[6:-1])).otherwise(v))))
-    hashed = written(_hashed(_classes(keyed.where("ok")), tables, axes, probes), "vector-classes")
+    classes = _classes(keyed.where("ok"))
+    if axes is None or tables is None:
+        most = classes.groupBy("label").agg(F.sum("copies").alias("n")).agg(F.max("n")).first()[0] or 0
+        axes, tables = key_shape(most)
+    hashed = written(_hashed(classes, tables, axes, probes), "vector-classes")
     met = written(class_links(hashed, threshold, tables, probes, tile_rows), "vector-links")
-    found = components(met.select(F.col("cls").alias("a"), F.col("peer").alias("b")))
-    counts = met.groupBy("cls").agg(F.sum("links").alias("links"))
-    named = (hashed.select("cls", "copies", "label", "vector").join(counts, "cls", "left")
-             .join(found.withColumnRenamed("node", "cls"), "cls", "left")
-             .select("label", "vector", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"),
-                     F.coalesce("component", "cls").alias("component_id")))
+    found = components(met.select(F.col("uid").alias("a"), F.col("peer").alias("b"))).withColumnRenamed("node", "uid")
+    counts = met.groupBy("uid").agg(F.sum("links").alias("links"))
+    rooted = hashed.select("uid", "cls", "copies", "label", "vector").join(found, "uid", "left").withColumn("root", F.coalesce("component", "uid"))
+    low = found.join(hashed.select("uid", "cls"), "uid").groupBy("component").agg(F.min("cls").alias("low")).withColumnRenamed("component", "root")
+    named = (rooted.join(counts, "uid", "left").join(low, "root", "left")
+             .select("label", "vector", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("low", "cls").alias("component_id")))
     linked = keyed.where("ok").join(named, ["label", "vector"]).select("vec_id", "n_links", "component_id")
     alone = keyed.where(~F.col("ok")).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.unionByName(alone).select(

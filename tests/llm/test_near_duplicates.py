@@ -1,4 +1,5 @@
 """Fingerprints and vectors against comparing all pairs."""
+import collections
 import re
 
 import numpy as np
@@ -213,6 +214,31 @@ def test_vectors_awkward_rows(spark):
     assert count(embed_dedup.near_duplicates(spark.createDataFrame([], VECTORS))) == 0
 
 
+def test_vectors_that_share_an_id_are_told_apart(spark):
+    rng = np.random.default_rng(7)
+    a, b, c = (rng.normal(size=16).tolist() for _ in range(3))
+    near = lambda v: (np.array(v) + rng.normal(size=16) / 100).tolist()
+    rows = [(5, a, 1, 0, ""), (5, b, 1, 0, ""), (1, near(a), 1, 0, ""), (9, near(b), 1, 0, ""), (3, near(b), 1, 0, ""), (5, c, 1, 0, "")]
+    got = collections.Counter(tuple(r) for r in embed_dedup.near_duplicates(spark.createDataFrame(rows, VECTORS)).collect())
+    assert got == {(5, 1, 1, False): 1, (5, 2, 3, False): 1, (1, 1, 1, True): 1, (9, 2, 3, False): 1, (3, 2, 3, True): 1, (5, 0, 5, True): 1}
+
+
+def test_axes_and_tables_follow_the_rows():
+    assert [embed_dedup.key_shape(n) for n in (0, 10 ** 7, 10 ** 7 + 1, 10 ** 9, 10 ** 10)] == [(2, 6), (2, 6), (3, 12), (3, 12), (4, 24)]
+
+
+@pytest.mark.parametrize("axes, tables", [(3, 12), (4, 24)])
+def test_recall_with_more_axes(axes, tables):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(800, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    z = rng.normal(size=x.shape)
+    z -= (z * x).sum(1, keepdims=True) * x
+    z /= np.linalg.norm(z, axis=1, keepdims=True)
+    a, b = (embed_dedup.keys(v, tables, axes) for v in (x, 0.93 * x + np.sqrt(1 - 0.93 ** 2) * z))
+    assert ((a[:, :, :1] == b).any(2) | (b[:, :, :1] == a).any(2)).any(1).mean() >= 0.98
+
+
 def test_recall_at_the_threshold():
     rng = np.random.default_rng(2)
     x = rng.normal(size=(1500, 64))

@@ -98,12 +98,13 @@ def _weights(z, n, free):
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, label: str = "quality", limit: int = TRAIN_ROWS) -> DataFrame:
-    """(text, y) of at most ``limit`` labelled rows outside the held-out third, the same at every run."""
+    """(place, text, y) of the rows of at most ``limit`` labelled ids outside the held-out third; ``place`` orders them by value alone."""
     known = (labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y"))
              .where("doc_id IS NOT NULL AND y IN (0, 1)").groupBy("doc_id").agg(F.max("y").alias("y"))
              .where(F.crc32(F.col("doc_id").cast("string")) % 3 != 1))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)  # the fit is on a bounded sample
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(chosen), "doc_id").select("text", "y")
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(chosen), "doc_id")
+    return rows.select(F.xxhash64("doc_id", "text").alias("place"), "text", "y")
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", limit: int = TRAIN_ROWS) -> tuple[np.ndarray, float]:
@@ -114,12 +115,12 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", limit: int =
                 offsets, slot, value = features(utf8(part.column("text")))
                 at = pa.array(offsets.astype(np.int32))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("y"), pa.ListArray.from_arrays(at, pa.array(slot.astype(np.int32))),
-                     pa.ListArray.from_arrays(at, pa.array(value.astype(np.float32)))], ["y", "slot", "value"])
+                    [part.column("place"), part.column("y"), pa.ListArray.from_arrays(at, pa.array(slot.astype(np.int32))),
+                     pa.ListArray.from_arrays(at, pa.array(value.astype(np.float32)))], ["place", "y", "slot", "value"])
 
-    sample = training_rows(docs, labels, label, limit).mapInArrow(run, "y int, slot array<int>, value array<float>")
+    sample = training_rows(docs, labels, label, limit).mapInArrow(run, "place long, y int, slot array<int>, value array<float>")
     rows, y = [], []
-    got = sample.limit(2 * limit).toArrow()  # a doc_id may repeat; the sample stays bounded
+    got = sample.orderBy("place", "y", "slot").limit(2 * limit).toArrow()  # a doc_id may repeat; the sample stays bounded, whatever the file layout
     for batch in got.to_batches():
         slots, values = batch.column("slot"), batch.column("value")
         for k in range(batch.num_rows):

@@ -4,7 +4,7 @@ Two neighbouring bytes that no vocabulary token holds side by side can never end
 cut between them and the fragments encoded on their own. ``cut_table`` derives these pairs from the
 vocabulary (special tokens included). Only cuts that also leave normalisation and the splitting into words
 untouched are used: both bytes are ASCII, and they differ in kind (letter, digit, sign, blank) or are
-digits. Fragments repeat a lot, so each task keeps a bounded table of the ones it has encoded.
+digits; or the second is an ASCII blank after a character above ASCII that is no blank itself. Fragments repeat a lot, so each task keeps a bounded table of the ones it has encoded.
 
 Defined results: null is the empty text, with no ids and an empty decoded text; repeated rows are encoded alike;
 an empty table gives an empty result; further columns are ignored.
@@ -28,6 +28,9 @@ from narralytics.llm.common import slices, utf8
 VOCABULARY = "word_bpe_49k.json"
 CACHED_FRAGMENTS = 400_000
 CACHED_BYTES = 64        # longer fragments are not kept
+# fixed values: the blanks above ASCII
+BLANKS = "\u0085\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+_BLANK_CODES = np.array([int.from_bytes(c.encode()[-3:], "big") for c in BLANKS])
 
 
 @lru_cache(maxsize=2)
@@ -63,12 +66,21 @@ def cut_table(path: str) -> np.ndarray:
             apart = kinds[0] != kinds[1] or kinds == ("digit", "digit")
             # a blank starts a fragment and stays with the word after it
             table[a, b] = apart and kinds[0] != "blank" and not seen[lower(a), lower(b)] and not seen[a, b]
+    for a in range(128, 256):      # no letter composes with the blank after it
+        for b in b" \t\n\r\x0b\x0c":
+            table[a, b] = not seen[a, b]
     return table
 
 
 def fragments(text: bytes, table: np.ndarray) -> list[bytes]:
     raw = np.frombuffer(text, dtype=np.uint8)
-    cuts = (np.flatnonzero(table[raw[:-1], raw[1:]]) + 1).tolist()
+    cuts = np.flatnonzero(table[raw[:-1], raw[1:]]) + 1
+    high = raw[cuts - 1] >= 128
+    if high.any():      # a blank above ASCII stays with the blanks after it
+        two = raw[cuts - 2].astype(int) << 8 | raw[cuts - 1]
+        blank = np.isin(two, _BLANK_CODES) | np.isin(raw[np.maximum(cuts - 3, 0)].astype(int) << 16 | two, _BLANK_CODES)
+        cuts = cuts[~(high & blank)]
+    cuts = cuts.tolist()
     return [text[a:b] for a, b in zip([0, *cuts], [*cuts, len(text)])] if text else []
 
 

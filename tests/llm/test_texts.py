@@ -1,6 +1,8 @@
 """Media, quality, token counts, BPE, mixing, language models and personal data on small tables."""
 import collections
 import hashlib
+import math
+import random
 import re
 import struct
 import time
@@ -181,6 +183,66 @@ def test_bpe_awkward_rows(spark, words):
     assert got == want and count(bpe.digests(empty(spark))) == 0
 
 
+def plain_ftrl(rows, labels, bits, epochs):
+    """Dictionaries and one coordinate at a time."""
+    z, n, order = collections.defaultdict(float), collections.defaultdict(float), np.random.default_rng(5)
+
+    def weight(k):
+        if k != "bias" and abs(z[k]) <= quality.L1:
+            return 0.0
+        pull = 0.0 if k == "bias" else quality.L1 * (1 if z[k] > 0 else -1)
+        return -(z[k] - pull) / ((quality.BETA + n[k] ** 0.5) / quality.ALPHA + quality.L2)
+
+    for _ in range(epochs):
+        for i in order.permutation(len(rows)):
+            x = {**dict(zip(rows[i][0].tolist(), rows[i][1].tolist())), "bias": 1.0}
+            w = {k: weight(k) for k in x}
+            error = 1 / (1 + math.exp(-sum(w[k] * v for k, v in x.items()))) - labels[i]
+            for k, v in x.items():
+                g = error * v
+                z[k] += g - ((n[k] + g * g) ** 0.5 - n[k] ** 0.5) / quality.ALPHA * w[k]
+                n[k] += g * g
+    return {k: weight(k) for k in z}
+
+
+def test_learner_and_scores_equal_plain_version(spark):
+    good, bad = (prose(i, 40) for i in range(30)), (f"buy now {i} cheap cheap cheap offer click here {prose(i, 6)}" for i in range(30))
+    texts = [*good, *bad]
+    labels = np.array([1] * 30 + [0] * 30)
+    offsets, slots, values = quality.features([t.encode() for t in texts])
+    rows = [(slots[a:b], values[a:b]) for a, b in zip(offsets, offsets[1:])]
+    weights, bias = quality.ftrl(rows, labels, epochs=3)
+    want = plain_ftrl(rows, labels, quality.BITS, 3)
+    assert bias == pytest.approx(want["bias"], abs=1e-6)
+    assert all(weights[k] == pytest.approx(v, abs=1e-6) for k, v in want.items() if k != "bias") and np.count_nonzero(weights) == sum(v != 0 for k, v in want.items() if k != "bias")
+    got = {r.doc_id: r for r in quality.score(documents(spark, texts), (weights, bias)).collect()}
+    for i, (at, x) in enumerate(rows):
+        p = 1 / (1 + math.exp(-(sum(want.get(k, 0.0) * v for k, v in zip(at.tolist(), x.tolist())) + want["bias"])))
+        assert got[i].quality_score == pytest.approx(p, abs=1e-5) and got[i].quality_predicted == int(p >= 0.5)
+
+
+def test_quality_fit_does_not_depend_on_file_layout(spark):
+    texts = [prose(i, 30) for i in range(40)]
+    rows = [(i % 10, t) for i, t in enumerate(texts)]           # every id four times, with other texts: more rows than the bound
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(10)], "doc_id long, quality int")
+    one, other = (quality.fit(d, labels, limit=4) for d in (docs.coalesce(1), docs.orderBy(F.desc("text")).repartition(6)))
+    assert np.array_equal(one[0], other[0]) and one[1] == other[1]
+
+
+def test_cuts_before_blanks_after_any_letter():
+    path = public_tokenizers.path(bpe.VOCABULARY)
+    made, codec, rng = Tokenizer.from_file(path), bpe.Codec(path), random.Random(3)
+    assert len(bpe.fragments("привет мир как дела".encode(), codec.table)) > 2
+    pieces = ["привет", "мир", "ΑΒΓ", "δέλτα", "naïve", "e\u0301", "J\u030c", "日本", "語", "한국", "😀", "\u00a0", "\u3000", "\u2003", "\u0085", "\u1680", "\u200b", "\u0301", "\u2028",
+              " ", "  ", "\n", "\t", "x", "12", ".", "'s", "É", "ß", "ﬁ", "½", "\u00ad", "<|endoftext|>", "</w>"]
+    texts = ["".join(rng.choice(pieces) + rng.choice(["", " ", " "]) for _ in range(rng.randrange(1, 25))) for _ in range(4000)]
+    for text, (ids, decoded) in zip(texts, codec.encode([t.encode() for t in texts])):
+        want = made.encode(text, add_special_tokens=False).ids
+        assert list(struct.unpack(f"<{len(ids) // 4}I", ids)) == want, repr(text)
+        assert decoded.decode() == made.decode(want, skip_special_tokens=False)
+
+
 # mixing
 
 def test_raked_margins_meet_targets():

@@ -206,11 +206,27 @@ def _(spark, sf):
     return M.semantic_summary(M.sentence_dtw(both).join(M.greedy_match(both), "sample_id"))
 
 
-@query("corpus_alignment", "V4")
+# the grid is walked by anti-diagonals; entry i of a diagonal's list belongs to row i - 1, entry 1 to the border
+ALIGN_SQL = f"""WITH RECURSIVE {VECTORS_SQL}, p AS (SELECT CASE WHEN label % 2 = 0 THEN 'even' ELSE 'odd' END AS pair, label < 5 AS side, vec_id,
+        list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS u FROM e),
+    s AS (SELECT pair, list(u ORDER BY vec_id) FILTER (WHERE side) AS a, list(u ORDER BY vec_id) FILTER (WHERE NOT side) AS b FROM p GROUP BY pair),
+    g AS (SELECT pair, len(a) AS n, len(b) AS m, list_transform(a, lambda x: list_transform(b, lambda y: greatest(0, least(2, 1 - list_dot_product(x, y))))) AS cost FROM s),
+    w AS (SELECT pair, 1 AS d, n, m, cost, list_transform(range(0, n + 1), lambda i: CAST('infinity' AS DOUBLE)) AS c1, list_transform(range(0, n + 1), lambda i: 0::BIGINT) AS s1,
+            list_transform(range(0, n + 1), lambda i: CASE WHEN i = 0 THEN 0.0 ELSE CAST('infinity' AS DOUBLE) END) AS c2, list_transform(range(0, n + 1), lambda i: 0::BIGINT) AS s2 FROM g
+        UNION ALL SELECT pair, d + 1, n, m, cost,
+            list_transform(range(0, n + 1), lambda i: CASE WHEN i = 0 OR d + 1 - i < 1 OR d + 1 - i > m THEN CAST('infinity' AS DOUBLE) ELSE least(c1[i], c1[i + 1], c2[i]) + cost[i][d + 1 - i] END),
+            list_transform(range(0, n + 1), lambda i: CASE WHEN i = 0 OR d + 1 - i < 1 OR d + 1 - i > m THEN 0 WHEN c1[i] <= least(c1[i + 1], c2[i]) THEN s1[i] + 1 WHEN c1[i + 1] <= c2[i] THEN s1[i + 1] + 1 ELSE s2[i] + 1 END),
+            c1, s1 FROM w WHERE d < n + m)
+    SELECT pair, round(c1[n + 1], 6) AS dtw_distance, round(c1[n + 1] / (n + m), 6) AS normalized_dtw_distance, round(c1[n + 1] / s1[n + 1], 6) AS path_normalized_dtw_distance,
+           s1[n + 1] AS dtw_path_length FROM w WHERE d = n + m"""
+
+
+@query("corpus_alignment", "V4", ALIGN_SQL)
 def _(spark, sf):
     both = vectors(spark, sf).withColumn("pair", F.when(F.col("topic_id") % 2 == 0, "even").otherwise("odd"))
     side = lambda keep: positions(both.where(keep))
-    return N.align_sequences(side("topic_id < 5"), side("topic_id >= 5"), ["pair"], block=64)
+    found = N.align_sequences(side("topic_id < 5"), side("topic_id >= 5"), ["pair"])
+    return rounded(found.withColumn("dtw_path_length", F.col("dtw_path_length").cast("long")), 6)
 
 
 def positions(rows: DataFrame) -> DataFrame:

@@ -26,7 +26,8 @@ def accuracy(df: DataFrame, by: Sequence[str] = (), gold: str = GOLD, pred: str
 
 
 def correctness(df: DataFrame, gold: str = GOLD, pred: str = PRED) -> DataFrame:
-    return df.select("sample_id", gold, pred, (F.col(gold) == F.col(pred)).alias("emotion_correct"))
+    """A null label counts as the empty one, as in the accuracy."""
+    return df.select("sample_id", gold, pred, (_label(gold) == _label(pred)).alias("emotion_correct"))
 
 
 def cell_counts(df: DataFrame, by: Sequence[str] = (), gold: str = GOLD, pred: str = PRED) -> DataFrame:

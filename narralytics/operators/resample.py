@@ -75,17 +75,20 @@ def resampled_sums(stats: DataFrame, values: Sequence[str], groups: Sequence[str
     return block_sums(stats, values, groups, samples, seed)
 
 
-def _node_draws(sizes: list[int], block: int, samples: int, seed: list[int]) -> np.ndarray:
+def _node_draws(n: int, block_rows: int, block: int, samples: int, seed: list[int]) -> np.ndarray:
     """Draws falling into one block per replicate, by walking down a binary tree of binomials.
 
-    Each node's generator is keyed by the node, so every block sees the same splits above it.
+    Each node's generator is keyed by the node, so every block sees the same splits above it. All blocks but the last hold
+    ``block_rows`` rows, so the rows below a node follow from its ends and a block costs the logarithm of their number.
     """
-    low, high = 0, len(sizes)
-    counts = np.full(samples, sum(sizes), dtype=np.int64)
+    def rows(low: int, high: int) -> int:
+        return min(high * block_rows, n) - low * block_rows
+
+    low, high = 0, -(-n // block_rows)
+    counts = np.full(samples, n, dtype=np.int64)
     while high - low > 1:
         mid = (low + high) // 2
-        share = sum(sizes[low:mid]) / sum(sizes[low:high])
-        left = np.random.default_rng([*seed, low, high]).binomial(counts, share)
+        left = np.random.default_rng([*seed, low, high]).binomial(counts, rows(low, mid) / rows(low, high))
         counts, low, high = (left, low, mid) if block < mid else (counts - left, mid, high)
     return counts
 
@@ -101,11 +104,10 @@ def block_sums(stats: DataFrame, values: Sequence[str], groups: Sequence[str], s
 
     def resample(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         n, block = int(pdf["n"].iloc[0]), int(key[-1])
-        sizes = [min(block_rows, n - start) for start in range(0, n, block_rows)]
         base = [seed, zlib.crc32(repr(key[:-1]).encode())]
-        counts = _node_draws(sizes, block, samples, base)
+        counts = _node_draws(n, block_rows, block, samples, base)
         matrix = pdf.sort_values("idx")[cols].to_numpy(dtype=float)
-        rng = np.random.default_rng([*base, len(sizes), block])
+        rng = np.random.default_rng([*base, -(-n // block_rows), block])
         sums = np.empty((samples, len(cols)))
         for b in range(samples):
             weights = np.bincount(rng.integers(0, len(matrix), counts[b]), minlength=len(matrix))

@@ -261,16 +261,18 @@ def align_sequences(left: DataFrame, right: DataFrame, keys: Sequence[str] = ("p
 
     Inputs are (keys, pos from 0, vec). The cost grid is cut into blocks and solved one anti-diagonal
     of blocks at a time: blocks of a wave run in parallel and hand on only their borders, which are
-    checkpointed. Returns the raw, the (n + m)-normalised and the path-normalised distance.
+    written; a wave is deleted when the second after it stands. Waves are as many as the longest pair has blocks on both
+    sides. Returns the raw, the (n + m)-normalised and the path-normalised distance.
     """
-    keys = list(keys)
-    l = cut_lineage(_sequence_blocks(left, keys, block))
-    r = cut_lineage(_sequence_blocks(right, keys, block))
+    keys, scratch = list(keys), Scratch(left.sparkSession)
+    l = scratch.write(_sequence_blocks(left, keys, block), "align-left")
+    r = scratch.write(_sequence_blocks(right, keys, block), "align-right")
     shape = lambda df, n, b: df.groupBy(*keys).agg(F.sum(F.size("vecs")).alias(n), F.count("*").cast("int").alias(b))
-    sizes = cut_lineage(shape(l, "n", "lb").join(shape(r, "m", "rb"), keys))
-    last = sizes.agg(F.max(F.col("lb") + F.col("rb"))).first()[0]
-    if last is None:
+    sizes = scratch.write(shape(l, "n", "lb").join(shape(r, "m", "rb"), keys), "align-sizes")
+    ends = {w[0] for w in sizes.select(F.col("lb") + F.col("rb") - 2).distinct().collect()}    # waves in which a pair is finished
+    if not ends:
         raise ValueError("no pair has both sequences")
+    last = max(ends) + 2
     l, r = l.withColumnsRenamed({"block": "bi", "vecs": "a"}), r.withColumnsRenamed({"block": "bj", "vecs": "b"})
     done: list[DataFrame] = []
     results = []
@@ -295,9 +297,13 @@ def align_sequences(left: DataFrame, right: DataFrame, keys: Sequence[str] = ("p
             else:
                 work = work.withColumn("cc", F.lit(None).cast("double")).withColumn("cl", F.lit(None).cast("int"))
             work = work.withColumn("cc", F.coalesce("cc", F.when(origin, 0.0).otherwise(float("inf")))).withColumn("cl", F.coalesce("cl", F.lit(0)))
-        solved = cut_lineage(work.select(*keys, "n", "m", "lb", "rb", "bi", "bj", _align_block("a", "b", "tc", "tl", "lc", "ll", "cc", "cl").alias("e")))
+        solved = scratch.write(work.select(*keys, "n", "m", "lb", "rb", "bi", "bj", _align_block("a", "b", "tc", "tl", "lc", "ll", "cc", "cl").alias("e")), f"wave-{wave}")
         done = [*done[-1:], solved]
-        results.append(solved.where((F.col("bi") == F.col("lb") - 1) & (F.col("bj") == F.col("rb") - 1)))
+        if wave in ends:
+            results.append(stored(solved.where((F.col("bi") == F.col("lb") - 1) & (F.col("bj") == F.col("rb") - 1)), "aligned"))
+        if wave > 1:
+            scratch.drop(f"wave-{wave - 2}")
+    scratch.clear()
     corner = results[0]
     for extra in results[1:]:
         corner = corner.unionByName(extra)

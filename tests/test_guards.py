@@ -28,6 +28,8 @@ def test_null_labels_count_as_empty_ones(spark):
     rows = spark.createDataFrame([("Joy", "Joy"), ("Joy", None), (None, None)], f"{L.GOLD} string, {L.PRED} string")
     assert L.accuracy(rows).first()["accuracy"] == pytest.approx(2 / 3)
     assert sum(r["n"] for r in L.confusion_grid(L.cell_counts(rows)).collect()) == 3
+    flags = L.correctness(rows.withColumn("sample_id", F.monotonically_increasing_id())).select("emotion_correct").collect()
+    assert sorted(r[0] for r in flags) == [False, True, True]
 
 
 def test_exact_sign_flip_refuses_many_seeds(spark):

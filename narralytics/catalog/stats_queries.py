@@ -85,10 +85,11 @@ def _(spark, sf):
     return rounded(S.with_t_interval(S.condition_summary(seed_metrics(spark, sf))), 8)
 
 
-ADV_SQL = f"""adv AS (SELECT t.dataset, t.metric, c.condition AS control, t.seed, t.value AS tv, c.value AS cv,
+PAIR_SQL = f"""adv AS (SELECT t.dataset, t.metric, c.condition AS control, t.seed, t.value AS tv, c.value AS cv,
     (CASE WHEN t.metric = 'normalized_dtw_distance_mean' THEN -1.0 ELSE 1.0 END) * (t.value - c.value) AS a
     FROM seed_metrics t JOIN seed_metrics c ON c.dataset = t.dataset AND c.metric = t.metric AND c.seed = t.seed
-    WHERE t.condition = 'paired_joint' AND c.condition <> 'paired_joint'),
+    WHERE t.condition = 'paired_joint' AND c.condition <> 'paired_joint')"""
+ADV_SQL = PAIR_SQL + """,
     tests AS (SELECT dataset, metric, control, count(*) AS n_seeds, avg(tv) AS treatment_mean, avg(cv) AS control_mean, avg(a) AS m, CASE WHEN stddev_samp(a) < 1e-12 THEN 0 ELSE stddev_samp(a) END AS s,
         list(a ORDER BY a) AS v FROM adv GROUP BY ALL),
     flips AS (SELECT dataset, metric, control, avg(CASE WHEN abs((v[1] * b1 + v[2] * b2 + v[3] * b3) / 3) >= abs(m) - 1e-15 THEN 1.0 ELSE 0 END) AS p
@@ -139,9 +140,12 @@ def _(spark, sf):
     return tests.select("segment", "n_seeds", F.round("exact_sign_flip_p", 9).alias("exact_sign_flip_p"))
 
 
-@query("seed_pair_comparison", "R7 R9", f"""WITH {SEED_SQL}, {ADV_SQL}
-    SELECT dataset, metric, CAST(seed AS INTEGER) AS seed, round(tv, 9) AS treatment, round(cv, 9) AS control, round(a, 9) AS advantage
-    FROM adv WHERE control = 'single_narrative'""")
+@query("seed_pair_comparison", "R7 R9", f"""WITH {RUNS_SQL}, m AS MATERIALIZED (SELECT dataset, condition, seed, {', '.join(f'avg({x}) AS {x}' for x in METRICS)}
+        FROM runs WHERE condition IN ('paired_joint', 'single_narrative') GROUP BY dataset, condition, seed),
+    l AS (UNPIVOT m ON {', '.join(METRICS)} INTO NAME metric VALUE value)
+    SELECT t.dataset, t.metric, CAST(t.seed AS INTEGER) AS seed, round(t.value, 9) AS treatment, round(c.value, 9) AS control,
+           round((CASE WHEN t.metric = 'normalized_dtw_distance_mean' THEN -1.0 ELSE 1.0 END) * (t.value - c.value), 9) AS advantage
+    FROM l t JOIN l c ON c.dataset = t.dataset AND c.metric = t.metric AND c.seed = t.seed WHERE t.condition = 'paired_joint' AND c.condition = 'single_narrative'""")
 def _(spark, sf):
     return rounded(S.seed_advantages(seed_metrics(spark, sf), "paired_joint", "single_narrative")).select(
         "dataset", "metric", "seed", "treatment", "control", "advantage")

@@ -2,10 +2,11 @@ import json
 
 import pytest
 
+from narralytics import session
 from narralytics.functions.plugins import RuleTagger
 from narralytics.operators import corpus as C
 from narralytics.operators.align import ValidationError
-from narralytics.session import scratch_path, shared_dir
+from narralytics.session import Scratch, clean_scratch, scratch_path, shared_dir
 from narralytics.sources import runs as SR
 from narralytics.sources import split_csv as SC
 from narralytics.sources import tables as S
@@ -164,6 +165,21 @@ def test_scratch_is_under_the_shared_folder(spark):
     assert scratch_path(spark, "x").startswith(shared_dir(spark)) and scratch_path(spark, "x") != scratch_path(spark, "x")
 
 
+def test_scratch_is_cleaned(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(session, "shared_dir", lambda _: f"file://{tmp_path}/shared")
+    scratch = Scratch(spark)
+    scratch.write(spark.range(3), "a")
+    kept = scratch.write(spark.range(4), "b")
+    scratch.drop("a")
+    folders = lambda: sorted(p.name[0] for p in (tmp_path / "shared" / "narralytics").glob("*"))
+    assert folders() == ["b"] and kept.count() == 4
+    with pytest.raises(ValueError):
+        scratch.write(spark.range(1), "b")
+    clean_scratch(spark)
+    assert folders() == []
+    clean_scratch(spark)
+
+
 @pytest.mark.parametrize("cap", [None, 5])
 def test_streamed_filter_equals_batch_and_restarts(spark, tmp_path, cap):
     source, out = str(tmp_path / "in"), str(tmp_path / "out")

@@ -131,3 +131,18 @@ def test_one_group_and_small_tables(spark, single):
     assert len(out) == 60 and set(out) == ({0} if single else {-1})
     for n in (0, 1, 2):
         assert [r["topic_id"] for r in D.density_topics(table(spark, rng.normal(size=(n, 3))), 5, 40).collect()] == [-1] * n
+
+
+def test_topic_study_by_density(spark, sf_dir):
+    from narralytics.operators.topics import policy_codebook
+    from narralytics.plans.corpus_topics import study_topics
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").selectExpr("doc_id", "text", "CAST(size(split(text, ' ')) AS STRING) AS word_count")
+    study = study_topics(docs, "doc_id", policy_codebook(spark), min_size=8, min_topics=1, method="density", min_samples=3)
+    assigned = study.assignments.select("doc_id", "topic_id").collect()
+    topics = {r.topic_id for r in assigned}
+    assert -1 in topics and len(topics) >= 3 and len(assigned) == len({r.doc_id for r in assigned})
+    assert {r.topic_id for r in study.summary.select("topic_id").collect()} == topics - {-1}
+    assert all(sum(r.topic_id == t for r in assigned) >= 8 for t in topics - {-1})
+    with pytest.raises(ValueError, match="unknown method"):
+        study_topics(docs, "doc_id", policy_codebook(spark), method="other")

@@ -7,9 +7,9 @@ joined by Spark: a digest that occurs once stays beside its media, one that occu
 once in a chunk table. Reading back puts each media together from its ordered chunk list, compares the
 SHA-256 of the whole with the recorded one and only then computes features.
 
-Bytes are moved only for shared chunks. Which digests are shared is told to the writing tasks by a bit map of
-fixed size (``MAP_BITS``); a digest that hits a bit by chance is treated as shared, which costs a move and changes
-no result.
+Bytes are moved only for shared chunks. Which digests are shared is told to the writing tasks by a bit map
+with ``BITS_PER_CHUNK`` bits for each shared digest, 2 to 32 MB; a digest that hits a bit by chance is treated as shared,
+which costs a move and changes no result.
 
 Defined results: null is the empty text; equal texts give equal values; repeated rows and repeated doc_ids
 give a row each; an empty table gives an empty result; further columns are ignored.
@@ -34,7 +34,8 @@ RATE = 8000
 WINDOW = 32
 CUT_MASK = np.uint32(0xFFF00000)   # 12 bits: chunks of 4 KiB on average
 MIN_CHUNK, MAX_CHUNK = 512, 65536
-MAP_BITS = 24
+BITS_PER_CHUNK = 16
+LEAST_BITS, MOST_BITS = 24, 28     # logarithm of the map's size
 _GEAR = np.random.default_rng(11).integers(0, 1 << 32, 256, dtype=np.uint32)
 
 
@@ -99,8 +100,8 @@ def features(samples: bytes) -> str:
     return f"mean={mean:.4f};sd={deviation:.4f};peak={int(np.abs(x).max())};zc={crossings};bands=" + ",".join(map(str, bands))
 
 
-def _bit(of: bytes) -> int:
-    return int.from_bytes(of[:MAP_BITS // 8], "big")
+def _bit(of: bytes, bits: int) -> int:
+    return int.from_bytes(of[:4], "big") >> (32 - bits)
 
 
 def chunk_lists(docs: DataFrame) -> DataFrame:
@@ -114,15 +115,22 @@ def chunk_lists(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("text").cast("string")).mapInArrow(run, "chunks array<binary>")
 
 
-def shared_map(listed: DataFrame) -> np.ndarray:
-    """Bit map (fixed size) of the digests that occur more than once among all chunk lists."""
+def map_bits(shared: int) -> int:
+    """Logarithm of the size of the map for so many shared digests."""
+    return min(MOST_BITS, max(LEAST_BITS, (shared * BITS_PER_CHUNK - 1).bit_length()))
+
+
+def shared_map(listed: DataFrame) -> tuple[np.ndarray, int]:
+    """Bit map of the digests that occur more than once among all chunk lists, and the logarithm of its size."""
     seen = listed.select(F.explode("chunks").alias("chunk")).groupBy("chunk").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    at = seen.selectExpr(f"CAST(conv(hex(substring(chunk, 1, {MAP_BITS // 8})), 16, 10) AS BIGINT) AS at")
+    heads = written(seen.selectExpr("CAST(conv(hex(substring(chunk, 1, 4)), 16, 10) AS BIGINT) AS head"), "shared-heads")
+    bits = map_bits(heads.count())
+    at = heads.selectExpr(f"shiftrightunsigned(head, {32 - bits}) AS at")
     words = at.selectExpr("at div 64 AS word", "shiftleft(1L, CAST(at % 64 AS INT)) AS bit").groupBy("word").agg(F.bit_or("bit").alias("bits"))
-    out = np.zeros((1 << MAP_BITS) // 64, dtype=np.uint64)
-    for row in words.toLocalIterator():  # at most 2 ** MAP_BITS / 64 rows
-        out[row.word] = np.uint64(row.bits % (1 << 64))
-    return out
+    out = np.zeros((1 << bits) // 64, dtype=np.uint64)
+    got = words.toArrow()       # at most 2 ** MOST_BITS / 64 rows
+    out[got.column("word").to_numpy()] = got.column("bits").to_numpy().view(np.uint64)
+    return out, bits
 
 
 STORED = "kind string, doc_id long, n_bytes long, media_sha256 string, parts array<struct<digest: binary, blob: binary>>"
@@ -132,9 +140,11 @@ _STORED_TYPES = (pa.string(), pa.int64(), pa.int64(), pa.string(), _PARTS)
 
 def store(docs: DataFrame, path: str) -> None:
     """Write ``path``/written/kind=media (a row per document, unshared chunks inside) and ``path``/chunks (shared ones, once)."""
-    shared = shared_map(chunk_lists(docs))
+    made, bits = shared_map(chunk_lists(docs))
+    told = docs.sparkSession.sparkContext.broadcast(made)
 
     def run(batches):
+        shared = told.value
         pack = zstandard.ZstdCompressor(level=3).compress
         for batch in batches:
             for part in slices(batch, 512):
@@ -143,7 +153,7 @@ def store(docs: DataFrame, path: str) -> None:
                     media, parts = encode(payload(text)), []
                     for chunk in chunks(media):
                         name = digest(chunk)
-                        at = _bit(name)
+                        at = _bit(name, bits)
                         hit = int(shared[at // 64]) >> (at % 64) & 1
                         if hit:
                             common[name] = chunk

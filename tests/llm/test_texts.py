@@ -23,6 +23,15 @@ from tests.llm.helpers import DOCS, awkward, by_id, count, documents, empty, pro
 
 # media
 
+def test_map_of_shared_chunks_grows_with_them(spark):
+    assert [media.map_bits(n) for n in (0, 1, 1 << 20, (1 << 20) + 1, 1 << 23, 1 << 40)] == [24, 24, 24, 25, 27, 28]
+    names = [media.digest(str(i).encode()) for i in range(50)]
+    lists = spark.createDataFrame([(names[:30],), (names[20:],), (names[40:],)], "chunks array<binary>")
+    found, bits = media.shared_map(lists)
+    hit = lambda n: int(found[media._bit(n, bits) // 64]) >> (media._bit(n, bits) % 64) & 1
+    assert [i for i, n in enumerate(names) if hit(n)] == [*range(20, 30), *range(40, 50)]
+
+
 def media_row(text):
     raw = (text or "").encode()
     samples = raw + b" " * (max(192, -(-len(raw) // 192) * 192) - len(raw))

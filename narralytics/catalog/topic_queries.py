@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from narralytics.catalog import views as V
 from narralytics.catalog.registry import query
 from narralytics.catalog.stats_queries import rounded
+from narralytics.catalog.text_queries import SENTENCES_SQL, tokens_13a_sql
 from narralytics.constants import STOP_WORDS
 from narralytics.functions.text import cluster_text
 from narralytics.operators import density as D
@@ -190,20 +191,75 @@ def _(spark, sf):
     return sums.where("value <> 0")
 
 
-@query("sentence_alignment", "V3 V6")
+# a token that stands on both sides has its best match there, unless its vector is zero; only the others meet all tokens of the other side
+# unit vectors of hashed features: the signs of a text's features summed per dimension; a text without features has the zero vector
+def unit_sql(features: str, seed: int, keys: str) -> str:
+    """CTEs f, d, u: (keys, u) from ``features``, a select of (keys, feature)."""
+    return f"""f AS MATERIALIZED ({features}),
+    k AS (SELECT DISTINCT feature FROM f), h AS MATERIALIZED (SELECT feature, ('0x' || substr(md5('{seed}:' || feature), 1, 8))::BIGINT % 32 AS dim,
+        CASE WHEN ('0x' || substr(md5('{seed}:' || feature), 9, 1))::BIGINT % 2 = 0 THEN 1.0 ELSE -1.0 END AS sign FROM k WHERE feature <> ''),
+    d AS (SELECT {keys}, dim, sum(sign) AS x FROM f JOIN h ON h.feature = f.feature GROUP BY {keys}, dim),
+    m AS (SELECT {keys}, map_from_entries(list((dim, x))) AS x, sqrt(sum(x * x)) AS norm FROM d GROUP BY {keys}),
+    u AS MATERIALIZED (SELECT {keys}, list_transform(range(0, 32), lambda i: CASE WHEN norm > 0 THEN coalesce(x[i], 0) / norm ELSE 0.0 END) AS u FROM m)"""
+
+
+SPLIT_SQL = SENTENCES_SQL.replace("text", "{0}")
+SENTENCE_SQL = V.with_views(["aligned"], f""", t AS MATERIALIZED (SELECT sample_id, {SPLIT_SQL.format('reference_narrative')} AS a, {SPLIT_SQL.format('predicted_narrative')} AS b FROM aligned),
+    q AS MATERIALIZED (SELECT DISTINCT unnest(a) AS sentence FROM t UNION SELECT DISTINCT unnest(b) FROM t),
+    {unit_sql("SELECT sentence, unnest(string_split(lower(sentence), ' ')) AS feature FROM q", 7, "sentence")},
+    e AS (SELECT sample_id, side, list(u ORDER BY pos) AS u FROM (SELECT sample_id, side, pos, coalesce(u.u, list_transform(range(0, 32), lambda i: 0.0)) AS u FROM (
+            SELECT sample_id, 'a' AS side, unnest(a) AS sentence, unnest(range(1, len(a) + 1)) AS pos FROM t UNION ALL SELECT sample_id, 'b', unnest(b), unnest(range(1, len(b) + 1)) FROM t) x
+            LEFT JOIN u ON u.sentence = x.sentence) GROUP BY sample_id, side),
+    g AS MATERIALIZED (SELECT x.sample_id, len(x.u) AS n, len(y.u) AS m, list_transform(x.u, lambda p: list_transform(y.u, lambda r: 1 - list_dot_product(p, r))) AS cost
+        FROM e x JOIN e y ON y.sample_id = x.sample_id AND x.side = 'a' AND y.side = 'b'),
+    w AS (SELECT sample_id, 1 AS d, list_transform(range(0, n + 1), lambda i: CAST('infinity' AS DOUBLE)) AS c1,
+            list_transform(range(0, n + 1), lambda i: CASE WHEN i = 0 THEN 0.0 ELSE CAST('infinity' AS DOUBLE) END) AS c2 FROM g
+        UNION ALL SELECT w.sample_id, d + 1, list_transform(range(0, n + 1), lambda i: CASE WHEN i = 0 OR d + 1 - i < 1 OR d + 1 - i > m THEN CAST('infinity' AS DOUBLE)
+            ELSE least(c1[i], c1[i + 1], c2[i]) + cost[i][d + 1 - i] END), c1 FROM w JOIN g ON g.sample_id = w.sample_id WHERE d < n + m)
+    SELECT t.sample_id, round(c, 6) AS dtw_distance, round(c / (n + m), 6) AS normalized_dtw_distance FROM t LEFT JOIN (
+        SELECT w.sample_id, c1[n + 1] AS c, n, m FROM w JOIN g ON g.sample_id = w.sample_id WHERE d = n + m) z ON z.sample_id = t.sample_id""").replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@query("sentence_alignment", "V3 V6", SENTENCE_SQL)
 def _(spark, sf):
-    return M.sentence_dtw(V.aligned(spark, sf))
+    return rounded(M.sentence_dtw(V.aligned(spark, sf)), 6)
 
 
-@query("greedy_token_match", "V5")
+TOKENS = tokens_13a_sql
+GREEDY_SQL = V.with_views(["aligned"], f""", t AS MATERIALIZED (SELECT sample_id, list_filter({TOKENS('predicted_narrative')}, lambda w: w <> '') AS h, list_filter({TOKENS('reference_narrative')}, lambda w: w <> '') AS r FROM aligned),
+    q AS MATERIALIZED (SELECT DISTINCT unnest(h) AS token FROM t UNION SELECT DISTINCT unnest(r) FROM t),
+    {unit_sql("SELECT token, substr('^' || lower(token) || '$', i, 3) AS feature FROM (SELECT token, unnest(range(1, greatest(1, length(token)) + 1)) AS i FROM q)", 11, "token")},
+    c AS MATERIALIZED (SELECT sample_id, side, token, count(*) AS n FROM (SELECT sample_id, 'h' AS side, unnest(h) AS token FROM t UNION ALL SELECT sample_id, 'r', unnest(r) FROM t) GROUP BY ALL),
+    o AS (SELECT sample_id, token, count(*) = 2 AS both FROM c GROUP BY sample_id, token),
+    x AS MATERIALIZED (SELECT c.*, u.u, o.both AND list_dot_product(u.u, u.u) > 0 AS sure FROM c JOIN o ON o.sample_id = c.sample_id AND o.token = c.token JOIN u ON u.token = c.token),
+    b AS (SELECT x.sample_id, x.side, any_value(x.n) AS n, max(list_dot_product(x.u, y.u)) AS c FROM x JOIN x y ON y.sample_id = x.sample_id AND y.side <> x.side WHERE NOT x.sure
+        GROUP BY x.sample_id, x.side, x.token),
+    v AS (SELECT sample_id, side, sum(n * c) / sum(n) AS c FROM (SELECT sample_id, side, n, c FROM b UNION ALL SELECT sample_id, side, n, 1.0 FROM x WHERE sure) GROUP BY sample_id, side),
+    p AS (SELECT sample_id, c AS p FROM v WHERE side = 'h'), l AS (SELECT sample_id, c AS r FROM v WHERE side = 'r')
+    SELECT t.sample_id, round(p, 6) AS bertscore_precision, round(l.r, 6) AS bertscore_recall, round(CASE WHEN p + l.r = 0 THEN 0 ELSE 2 * p * l.r / (p + l.r) END, 6) AS bertscore_f1
+    FROM t LEFT JOIN p ON p.sample_id = t.sample_id LEFT JOIN l ON l.sample_id = t.sample_id""")
+
+
+@query("greedy_token_match", "V5", GREEDY_SQL)
 def _(spark, sf):
-    return M.greedy_match(V.aligned(spark, sf))
+    return rounded(M.greedy_match(V.aligned(spark, sf)), 6)
+
+
+def unrounded(sql: str, *columns: str) -> str:
+    for c in columns:
+        sql = sql.replace(f"round({c}, 6)", c)
+    return sql
+
+
+GREEDY_F1 = "CASE WHEN p + l.r = 0 THEN 0 ELSE 2 * p * l.r / (p + l.r) END"
 
 
-@query("semantic_means", "V3 V5 A12")
+@query("semantic_means", "V3 V5 A12", f"""SELECT unnest(['bertscore_f1_mean', 'dtw_distance_mean', 'normalized_dtw_distance_mean']) AS metric,
+        unnest([round(avg(bertscore_f1), 6), round(avg(dtw_distance), 6), round(avg(normalized_dtw_distance), 6)]) AS value
+    FROM ({unrounded(SENTENCE_SQL, "c", "c / (n + m)")}) x JOIN ({unrounded(GREEDY_SQL, GREEDY_F1)}) y ON y.sample_id = x.sample_id""")
 def _(spark, sf):
     both = V.aligned(spark, sf)
-    return M.semantic_summary(M.sentence_dtw(both).join(M.greedy_match(both), "sample_id"))
+    return rounded(M.semantic_summary(M.sentence_dtw(both).join(M.greedy_match(both), "sample_id")), 6)
 
 
 # the grid is walked by anti-diagonals; entry i of a diagonal's list belongs to row i - 1, entry 1 to the border

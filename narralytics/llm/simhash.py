@@ -243,21 +243,20 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, shard_rows: int = SHA
 
 
 def _text_keys(docs: DataFrame) -> DataFrame:
-    """``docs`` with two digests of the text."""
+    """``docs`` with what tells documents apart, none of it null: the id (or a stand-in), whether it is null, and two digests of the text."""
     text = F.col("text").cast("string")
-    return docs.withColumns({"_t1": F.xxhash64(text), "_t2": F.xxhash64(F.lit(SEED), text)})
+    digests = docs.withColumns({"_t1": F.xxhash64(text), "_t2": F.xxhash64(F.lit(SEED), text)})
+    return digests.withColumns({"_id": F.coalesce(F.col("doc_id").cast("long"), F.col("_t1")), "_none": F.col("doc_id").isNull().cast("long")})
 
 
 def keep_first(docs: DataFrame, radius: int = RADIUS, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """One document of each group of near-duplicates: the one with the smallest doc_id (null ids last), of its texts the one of smallest digest.
 
-    Different texts of one doc_id are documents of their own; rows equal in id and text are one document.
+    Different texts of one doc_id are documents of their own; rows equal in id and text are one document. Texts move once, by the whole key, so
+    neither many copies of a text nor many rows of an id meet in one task.
     """
-    keyed = _text_keys(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
-    rows = written(with_fingerprints(keyed, ("_t1", "_t2")), "fingerprints")
-    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_t1", "_t2")
-    first = rows.join(_components(rows.select("doc_id", "fp"), radius, shard_rows), "fp").groupBy("root").agg(F.min(order).alias("f")).select("f.*")
-    all_rows = _text_keys(docs)
-    same = all_rows["doc_id"].cast("long").eqNullSafe(first["doc_id"]) & (all_rows["_t1"] == first["_t1"]) & (all_rows["_t2"] == first["_t2"])
-    kept = all_rows.join(first, same, "left_semi").dropDuplicates(["doc_id", "_t1", "_t2"])
+    key = ["_none", "_id", "_t1", "_t2"]
+    rows = written(with_fingerprints(_text_keys(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")), tuple(key)), "fingerprints")
+    first = rows.join(_components(rows.select("doc_id", "fp"), radius, shard_rows), "fp").groupBy("root").agg(F.min(F.struct(*key)).alias("f")).select("f.*")
+    kept = _text_keys(docs).join(first, key, "left_semi").dropDuplicates(key)
     return kept.select(*[F.col(f"`{c}`") for c in docs.columns])

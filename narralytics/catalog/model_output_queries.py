@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from narralytics.catalog import views as V
 from narralytics.catalog.registry import query
 from narralytics.catalog.stats_queries import rounded
-from narralytics.catalog.text_queries import tokens_13a_sql
 from narralytics.constants import EMOTION_LABELS
 from narralytics.functions.text import collapse, tokens_13a
 from narralytics.operators import align as A

@@ -8,7 +8,7 @@ from narralytics.catalog import views as V
 from narralytics.catalog.alignment_queries import bleu_formula_sql, overlap_sql
 from narralytics.catalog.registry import query
 from narralytics.catalog.text_queries import tokens_13a_sql, tokens_alnum_sql
-from narralytics.constants import EMOTION_LABELS, PER_SAMPLE_METRICS
+from narralytics.constants import PER_SAMPLE_METRICS
 from narralytics.operators import align as A
 from narralytics.operators import overlap_metrics as O
 from narralytics.operators import resample as R

@@ -17,7 +17,7 @@ from pyspark.sql.types import ArrayType, DoubleType, StringType
 
 from narralytics.constants import FIRST_PERSON_WORDS, PAST_IRREGULAR, PRESENT_VERBS
 from narralytics.functions import kernels, porter
-from narralytics.functions.text import tokens_13a, tokens_linguistic
+from narralytics.functions.text import tokens_linguistic
 
 
 class Encoder(Protocol):

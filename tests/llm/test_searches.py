@@ -8,7 +8,6 @@ import numpy as np
 import pytest
 
 from narralytics.llm import centroids, hard_negatives, line_dedup
-from narralytics.llm.common import table
 from narralytics.llm.queries import QUERIES, SQL
 from narralytics.session import Scratch, scratch_path
 from tests.llm.helpers import awkward, count, empty, rows

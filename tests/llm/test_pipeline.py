@@ -18,7 +18,7 @@ from tests.llm.test_texts import plain_base
 
 def test_registered():
     names = set(entry.queries())
-    assert {f"op{n}_" for n in range(1, 11)} <= {re.match(r"op\d+_|", n)[0] for n in names} and "pipeline" in names
+    assert {f"op{n}_" for n in range(1, 14)} <= {re.match(r"op\d+_|", n)[0] for n in names} and "pipeline" in names
     assert [f.__name__ for _, f in corpus_pipeline.STAGES] == ["quality_stage", "simhash_stage", "pii_stage", "mixing_stage", "bpe_stage"]
 
 

@@ -17,21 +17,48 @@ BROADCAST_BYTES = 64 << 20  # a right side up to this size goes to every task
 BLOCK_BYTES = 32 << 20      # else each side is cut into blocks of this size
 SAMPLE = 4096               # right vectors that pivots are taken from
 SLACK = 1e-9                # room for rounding in bounds of similarities
+ROUNDING = 2e-12            # similarities are compared to twelve digits
+TILE = 1024                 # left rows and
+TILE_COLUMNS = 4096         # right rows that are multiplied at once in a task
 
 
-def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    """Column order of the k best scores per row; equal scores go to the smaller id."""
-    by_id = np.argsort(ids, kind="stable")
-    order = np.argsort(-np.round(scores[:, by_id], 12), axis=1, kind="stable")[:, :k]
-    return by_id[order]
+def _merged(known: tuple, row: np.ndarray, col: np.ndarray, key: np.ndarray, score: np.ndarray, k: int) -> tuple:
+    """The k best of the (row, col, key, score) known so far and the new ones, per row; equal keys go to the smaller column."""
+    row, col, key, score = (np.concatenate(both) for both in zip(known, (row, col, key, score)))
+    order = np.lexsort((col, -key, row))
+    place = np.arange(len(order)) - np.searchsorted(row[order], row[order])
+    order = order[place < k]
+    return row[order], col[order], key[order], score[order]
 
 
 def _top_frame(left_ids: pd.Series, left: np.ndarray, right_ids: np.ndarray, right: np.ndarray, k: int) -> pd.DataFrame:
-    scores = kernels.unit_rows(left) @ right.T
-    picked = _best(scores, right_ids, k)
-    rows = np.repeat(np.arange(len(left)), picked.shape[1])
-    return pd.DataFrame({"left_id": left_ids.to_numpy()[rows], "right_id": right_ids[picked.ravel()],
-                         "similarity": scores[rows, picked.ravel()]})
+    """The k best right rows of every left row; equal scores go to the smaller id.
+
+    Scores are made in tiles of ``TILE`` rows and ``TILE_COLUMNS`` columns, so memory does not grow with either side. From the second tile
+    of a row on, only scores that reach the k-th best so far are looked at.
+    """
+    by_id = np.argsort(right_ids, kind="stable")
+    if (by_id[1:] < by_id[:-1]).any():
+        right_ids, right = right_ids[by_id], right[by_id]
+    unit, found = kernels.unit_rows(left), []
+    for top in range(0, len(unit), TILE):
+        some = unit[top:top + TILE]
+        kth = np.full(len(some), -np.inf)
+        best = (np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0), np.zeros(0))
+        for start in range(0, len(right), TILE_COLUMNS):
+            scores = some @ right[start:start + TILE_COLUMNS].T
+            keys = np.where(np.isnan(scores), -np.inf, scores)    # undefined similarities come last
+            reach = kth
+            if start == 0 and keys.shape[1] > k:
+                reach = np.partition(keys, keys.shape[1] - k, axis=1)[:, keys.shape[1] - k]
+            row, col = np.nonzero(keys >= (reach - ROUNDING)[:, None])
+            best = _merged(best, row, col + start, np.round(keys[row, col], 12), scores[row, col], k)
+            last = np.searchsorted(best[0], np.arange(len(some)), side="right") - 1
+            full = np.bincount(best[0], minlength=len(some)) >= k
+            kth[full] = best[2][last[full]]
+        found.append((best[0] + top, best[1], best[3]))
+    row, col, score = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, dtype=np.int64),) * 2 + (np.zeros(0),)
+    return pd.DataFrame({"left_id": left_ids.to_numpy()[row], "right_id": right_ids[col], "similarity": score})
 
 
 def _farthest_first(points: np.ndarray, count: int) -> np.ndarray:

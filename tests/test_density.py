@@ -1,8 +1,13 @@
 """Density topics against a plain version."""
+import tracemalloc
+
 import numpy as np
+import pandas as pd
 import pytest
 
+from narralytics.functions import kernels
 from narralytics.operators import density as D
+from narralytics.operators import similarity as N
 
 
 def table(spark, points, first=0):
@@ -146,3 +151,17 @@ def test_topic_study_by_density(spark, sf_dir):
     assert all(sum(r.topic_id == t for r in assigned) >= 8 for t in topics - {-1})
     with pytest.raises(ValueError, match="unknown method"):
         study_topics(docs, "doc_id", policy_codebook(spark), method="other")
+
+
+def test_nearest_rows_are_found_in_bounded_memory():
+    rng = np.random.default_rng(3)
+    left, right, ids = rng.integers(-2, 3, (2500, 4)).astype(float), rng.integers(-2, 3, (12_000, 4)).astype(float), rng.permutation(12_000)   # many ties, some zero vectors
+    unit = kernels.unit_rows(right)
+    tracemalloc.start()
+    got = N._top_frame(pd.Series(np.arange(len(left))), left, ids, unit, 5)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 220 << 20, peak      # all scores at once are 229 MB, and as much again for their order
+    scores = np.round(kernels.unit_rows(left[::50]) @ unit.T, 12)
+    want = [[i * 50, x] for i, row in enumerate(scores) for x in ids[np.lexsort((ids, -row))[:5]]]
+    assert got[got.left_id % 50 == 0][["left_id", "right_id"]].to_numpy().tolist() == want

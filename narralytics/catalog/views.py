@@ -22,6 +22,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def table_stream(spark: SparkSession, sf_dir: str, name: str, **options) -> DataFrame:
+    """The files of a table as a stream, whether the table is one file or a folder of files."""
+    any_kind = f"{sf_dir}/{name}.[p]arquet"     # a stream takes a file only by a pattern
+    return spark.readStream.schema(table(spark, sf_dir, name).schema).options(**options).parquet(any_kind)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents; a table of very few files is spread over the cores before heavy text work."""
     docs = table(spark, sf_dir, "documents")

@@ -94,15 +94,19 @@ class RuleTagger:
 
     def add_counts(self, df: DataFrame, text: str) -> DataFrame:
         """Adds ``verbs``, ``past_verbs``, ``first_person`` and ``tokens``."""
-        token = F.col("_tokens")
+        # a generated row is computed once; a plain column would be computed again by every filter on the counts
+        counts = F.transform(F.array(tokens_linguistic(F.col(text))), lambda words: F.struct(
+            F.size(F.filter(words, lambda t: t.rlike(self.past_pattern))).alias("past"),
+            F.size(F.filter(words, lambda t: t.rlike(self.other_pattern))).alias("other"),
+            F.size(F.filter(words, lambda t: t.isin(self.first_person_words))).alias("own"),
+            F.size(words).alias("all")))
         return (
-            df.withColumn("_tokens", tokens_linguistic(F.col(text)))
-            .withColumn("past_verbs", F.size(F.filter(token, lambda t: t.rlike(self.past_pattern))))
-            .withColumn("verbs", F.col("past_verbs")
-                        + F.size(F.filter(token, lambda t: t.rlike(self.other_pattern))))
-            .withColumn("first_person", F.size(F.filter(token, lambda t: t.isin(self.first_person_words))))
-            .withColumn("tokens", F.size(token))
-            .drop("_tokens")
+            df.withColumn("_counts", F.explode_outer(counts))
+            .withColumn("past_verbs", F.col("_counts.past"))
+            .withColumn("verbs", F.col("_counts.past") + F.col("_counts.other"))
+            .withColumn("first_person", F.col("_counts.own"))
+            .withColumn("tokens", F.col("_counts.all"))
+            .drop("_counts")
         )
 
 

@@ -7,6 +7,7 @@ from pyspark.sql.streaming import DataStreamWriter
 from narralytics.constants import FIRST_PERSON_THRESHOLD, PAST_THRESHOLD
 from narralytics.operators.corpus import narrative_filter
 from narralytics.operators.ranking import first_by_ordinal
+from narralytics.session import spread
 
 
 def filter_stream(stream: DataFrame, out: str, checkpoint: str, ordinal: str, max_rows: int | None = None, tagger=None,
@@ -27,7 +28,8 @@ def filter_stream(stream: DataFrame, out: str, checkpoint: str, ordinal: str, ma
             size = batch.count()
             rows = batch if size <= left else first_by_ordinal(batch, ordinal, left)
             batch.sparkSession.range(1).selectExpr(f"cast({min(size, left)} as long) rows").write.mode("overwrite").parquet(f"{out}/read/batch={batch_id}")
-        kept = narrative_filter(rows, tagger=tagger, past=past, first_person=first_person)
+        # a batch has a task per file; tagging is spread over the cores
+        kept = narrative_filter(spread(rows, ordinal), tagger=tagger, past=past, first_person=first_person)
         kept.write.mode("overwrite").parquet(f"{out}/kept/batch={batch_id}")
 
     return stream.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(availableNow=True)

@@ -1,8 +1,10 @@
+import collections
 import json
 
 import pytest
 
 from narralytics import session
+from narralytics.catalog import load_all
 from narralytics.functions.plugins import RuleTagger
 from narralytics.operators import corpus as C
 from narralytics.operators.align import ValidationError
@@ -197,3 +199,12 @@ def test_streamed_filter_equals_batch_and_restarts(spark, tmp_path, cap):
     got = drain()
     read = spark.read.parquet(source).orderBy("id").limit(cap or 100)
     assert got == sorted(r["id"] for r in C.narrative_filter(read).collect())
+
+
+def test_streamed_queries_read_tables_that_are_folders(spark, sf_dir, tmp_path):
+    queries = load_all()
+    for name in ("documents", "events"):
+        spark.read.parquet(f"{sf_dir}/{name}.parquet").repartition(3).write.parquet(f"{tmp_path}/{name}.parquet")
+    for name in ("narrative_filter_streamed", "telemetry_windows_streamed"):
+        one, many = (collections.Counter(tuple(r) for r in queries[name].run(spark, at).collect()) for at in (sf_dir, str(tmp_path)))
+        assert one and one == many, name

@@ -13,8 +13,11 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from narralytics.constants import EMOTION_LABELS, LOWER_IS_BETTER
 from narralytics.functions.draws import draw_index
@@ -24,7 +27,7 @@ from narralytics.operators.ranking import rank_by_value
 from narralytics.session import cut_lineage
 
 DEFAULT_SAMPLES = 10_000
-BROADCAST_VALUES = 16_000_000  # values of a table that is sent to every task: 128 MB of doubles
+BROADCAST_VALUES = 500_000  # values of a table that is sent to every task: 4 MB of doubles
 BLOCK_ROWS = 65_536
 ZERO = 1e-12  # distributed sums differ in their last bits; replicates this close to 0 count as ties
 
@@ -53,17 +56,97 @@ def drawn_sums(reps: DataFrame, stats: DataFrame, groups: Sequence[str], keys: S
                seed: int, portable: bool = False, extra: Sequence[str] = ()) -> DataFrame:
     """Sums over n draws with replacement per row of ``reps`` (its ``n`` rows of its group).
 
-    The slots of a replicate stay in its partition; rows are looked up in a broadcast table when it is small
-    enough, else by a shuffled join with the same result.
+    The slots of a replicate stay in its partition. A small table is sent to every task; draws from a larger one are packed
+    by blocks of rows and meet their block, with the same result.
     """
-    draws = reps.withColumn("slot", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))))
+    draws = reps.withColumn("_rep", F.monotonically_increasing_id()).withColumn("slot", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))))
     picked = draws.withColumn("idx", draw_index(F.col("n"), seed, *[F.col(k) for k in keys], F.col("slot"), portable=portable))
     table = stats.select(*groups, "idx", *values, *extra)
-    if stats.count() * (1 + len(groups) + len(values) + len(extra)) <= BROADCAST_VALUES:
-        table = F.broadcast(table)
-    joined = picked.join(table, [*groups, "idx"])
-    aggregates = [F.sum(v).alias(v) for v in values] + [F.count("*").alias("draws")]
-    return joined.groupBy(*keys, *[g for g in groups if g not in keys], *extra).agg(*aggregates)
+    by = [*keys, *[g for g in groups if g not in keys], *extra]
+    if stats.count() * (1 + len(groups) + len(values) + len(extra)) > BROADCAST_VALUES:
+        return _drawn_in_blocks(picked, table, groups, by[:len(by) - len(extra)], values, extra).groupBy(*by).agg(
+            *[F.sum(v).alias(v) for v in values], F.sum("draws").alias("draws"))
+    joined = picked.join(F.broadcast(table), [*groups, "idx"])
+    return joined.groupBy(*by).agg(*[F.sum(v).alias(v) for v in values], F.count("*").alias("draws"))
+
+
+def _drawn_in_blocks(picked: DataFrame, table: DataFrame, groups: Sequence[str], carried: Sequence[str], values: Sequence[str],
+                     extra: Sequence[str], block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """(carried, extra, values, draws) per block of ``block_rows`` rows of a group: sums over the draws that fall into it.
+
+    Only four bytes a draw are shuffled; a task holds one block and the draws that fall into it.
+    """
+    groups, carried, values, extra = list(groups), list(carried), list(values), list(extra)
+    types = {f.name: f.dataType.simpleString() for f in [*table.schema.fields, *picked.schema.fields]}
+    whole = [types[v] in ("tinyint", "smallint", "int", "bigint") for v in values]
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rep, idx = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("_rep", "idx"))
+            block = idx // block_rows
+            order = np.lexsort((block, rep))
+            rep, block = rep[order], block[order]
+            first = np.flatnonzero(np.concatenate([[True], (rep[1:] != rep[:-1]) | (block[1:] != block[:-1])]))
+            ends = pa.array(np.append(first, len(order)).astype(np.int32))
+            at = pa.ListArray.from_arrays(ends, pa.array((idx[order] - block * block_rows).astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([*[batch.column(c).take(pa.array(order[first])) for c in [*carried, "_rep"]], pa.array(block[first]), at],
+                                             [*carried, "_rep", "_block", "_at"])
+
+    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
+        places = right.column("idx").to_numpy()
+        right = right.take(pa.array(np.argsort(places, kind="stable")))
+        columns = [right.column(v) for v in values]
+        known = np.array([c.is_valid().to_numpy() for c in columns]).T.reshape(len(right), len(values)).astype(float)
+        matrix = np.array([np.where(c.is_valid().to_numpy(), c.to_numpy(), 0) for c in columns], dtype=float).T.reshape(len(right), len(values))
+        cells, code = [0], np.zeros(len(right), dtype=np.int64)
+        if extra:
+            code = right.select(extra).to_pandas().groupby(extra, dropna=False).ngroup().to_numpy()
+            cells = np.unique(code, return_index=True)[1]
+        _, start, rep = np.unique(left.column("_rep").to_numpy(), return_index=True, return_inverse=True)
+        left = left.combine_chunks()
+        lists = left.column("_at").combine_chunks()
+        flat, ends = lists.flatten().to_numpy(), np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
+        rows, of_cell, sums, seen, draws = [], [], [], [], []
+        finite = np.isfinite(matrix).all()
+        by_rep = np.argsort(rep, kind="stable")
+        for number, mine in enumerate(np.split(by_rep, np.flatnonzero(np.diff(rep[by_rep])) + 1)):
+            weight = np.bincount(np.concatenate([flat[ends[i]:ends[i + 1]] for i in mine]), minlength=len(right)).astype(float)
+            count = np.bincount(code, weight, len(cells))
+            hit = np.flatnonzero(count)
+            rows += [start[number]] * len(hit)
+            of_cell.append(hit)
+            draws.append(count[hit])
+            if not values:
+                continue
+            if len(cells) == 1 and finite:
+                sums.append((weight @ matrix)[None, :]), seen.append((weight @ known)[None, :])
+            else:
+                drawn = weight > 0      # an undrawn infinite value adds nothing
+                sums.append(np.column_stack([np.bincount(code[drawn], weight[drawn] * matrix[drawn, j], len(cells)) for j in range(len(values))])[hit])
+                seen.append(np.column_stack([np.bincount(code[drawn], weight[drawn] * known[drawn, j], len(cells)) for j in range(len(values))])[hit])
+        out = [left.column(c).take(pa.array(rows)) for c in carried]
+        out += [right.column(c).take(pa.array(cells[np.concatenate(of_cell)])) for c in extra]
+        for j, integral in enumerate(whole):
+            total, empty = np.concatenate(sums)[:, j], np.concatenate(seen)[:, j] == 0
+            out.append(pa.array(total.astype(np.int64) if integral else total, mask=empty))
+        return pa.Table.from_arrays([*out, pa.array(np.concatenate(draws).astype(np.int64))], [*carried, *extra, *values, "draws"])
+
+    def schema(names: Sequence[str]) -> list[str]:
+        return [f"`{c}` {types[c]}" for c in names]
+
+    packed = picked.select(*carried, "_rep", "idx").dropna(subset=groups).mapInArrow(
+        pack, ", ".join([*schema(carried), "_rep long", "_block long", "_at array<int>"]))
+    blocks = table.dropna(subset=groups).withColumn("_block", F.floor(F.col("idx") / block_rows).cast("long"))
+    result = ", ".join([*schema([*carried, *extra]), *[f"`{v}` {'long' if w else 'double'}" for v, w in zip(values, whole)], "draws long"])
+    return packed.groupBy(*groups, "_block").cogroup(blocks.groupBy(*groups, "_block")).applyInArrow(
+        lambda left, right: meet(left, right) if len(left) else _nothing(result), result)
+
+
+def _nothing(schema: str) -> pa.Table:
+    """An empty Arrow table of a schema in SQL notation."""
+    return to_arrow_schema(StructType.fromDDL(schema)).empty_table()
 
 
 def resampled_sums(stats: DataFrame, values: Sequence[str], groups: Sequence[str], samples: int, seed: int,

@@ -76,3 +76,16 @@ def test_one_row_one_replicate(spark):
     df = spark.createDataFrame([(0, 1.0, 1.0)], "sample_id long, m_a double, m_b double")
     row = R.paired_bootstrap(df, {"x": "m"}, samples=1, bleu=False).first()
     assert row["p_value"] == 1.0 and not row["significant_95"]
+
+
+def test_draws_from_a_larger_table_are_not_broadcast(spark):
+    n = 130_000
+    stats = spark.range(n).selectExpr("'a' AS g", "id AS idx", "IF(id % 10 = 0, NULL, CAST(id % 7 AS double)) AS v", "CAST(id % 3 AS int) AS w")
+    sums = R.resampled_sums(stats, ["v", "w"], ["g"], 3, 1, portable=True)
+    plan = sums._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and "FlatMapCoGroupsInArrow" in plan
+    reps = R.replicates(R.group_sizes(stats, ["g"]), 3, ["g"]).withColumn("slot", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))))
+    draw = R.draw_index(F.col("n"), 1, F.col("g"), F.col("replicate"), F.col("slot"), portable=True)
+    want = reps.withColumn("idx", draw).join(stats, ["g", "idx"]).groupBy("g", "replicate").agg(F.sum("v").alias("v"), F.sum("w").alias("w"), F.count("*").alias("draws"))
+    assert sorted(map(tuple, sums.collect())) == sorted(map(tuple, want.collect()))
+    assert dict(sums.dtypes) == dict(want.dtypes)

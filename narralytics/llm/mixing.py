@@ -7,7 +7,8 @@ than its target asks for is kept whole and the others of its kind share the rest
 the budget is met. A smaller budget meets more margins.
 
 Topics come from the texts: hashed word counts, less the mean of the document's language, go to the nearest of ``TOPICS``
-centroids, which are fitted on a bounded sample (``TOPIC_SAMPLE`` documents in hash order). Every row gets its topic.
+centroids. Means and centroids are those of all rows: the vectors are written once, and every pass over them adds up whole numbers per task,
+so the fit does not depend on file layout. Centres start from candidates that are drawn over all rows by distance (scalable k-means++).
 
 Without given targets every source of the table has the same share, and languages and topics have shares in proportion to the square
 root of their tokens, so that rare ones are raised. A value that no target names keeps its share.
@@ -39,8 +40,11 @@ SWEEPS = 500
 TOLERANCE = 1e-10
 MAX_CELLS = 10_000_000
 TOPICS = 8
-TOPIC_SAMPLE = 4096
 WIDTH = 256         # places that words are hashed to
+ROUNDS = 20         # passes that move the centroids
+DRAWS, DRAWN = 4, 16    # passes that draw starting candidates, and candidates of each
+UNIT = 32767        # stored vectors are multiples of 1 / UNIT
+PART = 1 << 24      # what is left of a vector is added up in multiples of 1 / PART
 ROWS = 512          # texts judged at once in a task
 NAMES = ("mix_source", "mix_lang", "mix_topic")
 Cell = tuple[str, str, str]
@@ -68,7 +72,7 @@ def word_vectors(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
                 places.clear()
     out = np.log1p(out)
     norms = np.linalg.norm(out, axis=1, keepdims=True)
-    return np.divide(out, norms, out=out, where=norms > 0), sizes
+    return np.rint(np.divide(out, norms, out=out, where=norms > 0) * UNIT) / UNIT, sizes
 
 
 class TopicModel:
@@ -83,8 +87,12 @@ class TopicModel:
     def names(self, texts: list[bytes], langs: list[str]) -> tuple[list[str], np.ndarray]:
         """Topic and number of words of every text."""
         vectors, sizes = word_vectors(texts)
-        nearest = (self.rest(vectors, langs) @ self.centroids.T).argmax(axis=1) if len(self.centroids) else np.zeros(len(texts), dtype=int)
-        return [f"topic{k}" if n else EMPTY for k, n in zip(nearest, sizes)], sizes
+        return self.named(vectors, sizes, langs), sizes
+
+    def named(self, vectors: np.ndarray, sizes: np.ndarray, langs: list[str]) -> list[str]:
+        near = np.rint(self.rest(vectors, langs) @ self.centroids.T * 1e9)
+        nearest = near.argmax(axis=1) if len(self.centroids) else np.zeros(len(vectors), dtype=int)
+        return [f"topic{k}" if n else EMPTY for k, n in zip(nearest, sizes)]
 
 
 def fit_topics(vectors: np.ndarray, langs: list[str], topics: int = TOPICS) -> TopicModel:
@@ -95,47 +103,166 @@ def fit_topics(vectors: np.ndarray, langs: list[str], topics: int = TOPICS) -> T
         return TopicModel({}, np.zeros(WIDTH), np.zeros((0, WIDTH)))
     means = {x: vectors[langs == x].mean(axis=0) for x in sorted(set(langs)) if (langs == x).sum() >= 20}
     model = TopicModel(means, vectors.mean(axis=0), np.zeros((0, WIDTH)))
-    rest = model.rest(vectors, list(langs))
+    rest = _unit(model.rest(vectors, list(langs)))
+    model.centroids = _by_size(*_grouped(rest, np.ones(len(rest)), topics))
+    return model
+
+
+def _unit(rest: np.ndarray) -> np.ndarray:
     norms = np.linalg.norm(rest, axis=1, keepdims=True)
-    rest = np.divide(rest, norms, out=np.zeros_like(rest), where=norms > 1e-9)
-    picks, best = [0], rest @ rest[0]
+    return np.divide(rest, norms, out=np.zeros_like(rest), where=norms > 1e-9)
+
+
+def _moved(centres: np.ndarray, sums: np.ndarray) -> np.ndarray:
+    """The directions of the sums; a centre whose sum is zero stays."""
+    norms = np.linalg.norm(sums, axis=1, keepdims=True)
+    return np.where(norms > 1e-9, sums / np.maximum(norms, 1e-9), centres)
+
+
+def _by_size(centres: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    return centres[np.argsort(-sizes, kind="stable")]
+
+
+def _grouped(rest: np.ndarray, weights: np.ndarray, topics: int) -> tuple[np.ndarray, np.ndarray]:
+    """(centres, their weights) of weighted unit rows: spherical k-means from the heaviest row and those of most weighted distance."""
+    picks = [int(weights.argmax())]
+    best = rest @ rest[picks[0]]
     while len(picks) < min(topics, len(rest)) and best.min() < 1 - 1e-9:
-        picks.append(int(best.argmin()))
+        picks.append(int((weights * (1 - best)).argmax()))
         best = np.maximum(best, rest @ rest[picks[-1]])
     centres = rest[picks]
-    for _ in range(20):
+    for _ in range(ROUNDS):
         owner = (rest @ centres.T).argmax(axis=1)
-        sums = np.array([rest[owner == k].sum(axis=0) for k in range(len(centres))])
-        norms = np.linalg.norm(sums, axis=1, keepdims=True)
-        centres = np.where(norms > 1e-9, sums / np.maximum(norms, 1e-9), centres)
-    order = np.argsort(-np.bincount((rest @ centres.T).argmax(axis=1), minlength=len(centres)), kind="stable")
-    model.centroids = centres[order]
-    return model
+        centres = _moved(centres, np.array([(rest[owner == k] * weights[owner == k, None]).sum(axis=0) for k in range(len(centres))]))
+    return centres, np.bincount((rest @ centres.T).argmax(axis=1), weights, len(centres))
 
 
 def _lang() -> Column:
     return F.coalesce(F.col("lang").cast("string"), F.lit(OTHER))
 
 
+def _places(docs: DataFrame, *kept: Column) -> DataFrame:
+    """The ``kept`` columns, source, language, draw and text."""
+    text = text_or_empty().cast("string")
+    return docs.select(*kept, F.coalesce(F.col("source").cast("string"), F.lit(OTHER)).alias("mix_source") if "source" in docs.columns else F.lit(OTHER).alias("mix_source"),
+                       _lang().alias("mix_lang"), unit_draw(F.col("doc_id").cast("long"), text, seed=SEED).alias("mix_draw"), text.alias("mix_text"))
+
+
+def word_table(docs: DataFrame, *kept: Column) -> DataFrame:
+    """``kept``, mix_source, mix_lang, mix_draw, mix_words and mix_vector (16-bit numbers) of every row; written once."""
+    rows = _places(docs, *kept)
+    names = rows.columns[:-1]
+
+    def run(batches):
+        for batch in batches:
+            for part in slices(batch, ROWS):
+                vectors, sizes = word_vectors(utf8(part.column("mix_text")))
+                found = np.rint(vectors * UNIT).astype("<i2")
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(sizes), pa.array([x.tobytes() for x in found], pa.binary())],
+                                                 [*names, "mix_words", "mix_vector"])
+
+    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]]
+    return written(rows.mapInArrow(run, ", ".join([*kinds, "mix_words long", "mix_vector binary"])), "mixing-vectors")
+
+
+def _stored(vectors: pa.Array) -> np.ndarray:
+    """The whole numbers of the vectors of a word table."""
+    return np.frombuffer(b"".join(vectors.to_pylist()), dtype="<i2").reshape(len(vectors), WIDTH).astype(float)
+
+
+def _total(rows: DataFrame, key: str, kind: str, sums) -> dict:
+    """{key: (rows, vector sum)} over all rows; ``sums`` gives (key, rows, whole numbers) of a batch, which tasks add up first."""
+    def run(batches):
+        total = {}
+        for batch in batches:
+            for part in slices(batch, 4 * ROWS):
+                for k, n, v in sums(part):
+                    known = total.get(k)
+                    total[k] = (n, v) if known is None else (known[0] + n, known[1] + v)
+        if total:
+            at = pa.array(np.arange(len(total) + 1, dtype=np.int32) * (WIDTH + 1))
+            flat = pa.array(np.concatenate([np.append(v, n) for n, v in total.values()]).astype(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string() if kind == "string" else pa.int64()), pa.ListArray.from_arrays(at, flat)], [key, "v"])
+
+    parts = rows.mapInArrow(run, f"{key} {kind}, v array<long>").select(key, F.posexplode("v").alias("at", "x"))
+    found: dict = {}
+    for r in parts.groupBy(key, "at").agg(F.sum("x").alias("x")).collect():     # one vector per language or centroid
+        found.setdefault(r[key], np.zeros(WIDTH + 1))[r["at"]] = r["x"]
+    return {k: (int(v[WIDTH]), v[:WIDTH]) for k, v in sorted(found.items())}
+
+
 def topic_model(docs: DataFrame) -> TopicModel:
-    """Fitted on ``TOPIC_SAMPLE`` documents in hash order; only their vectors reach the driver."""
-    rows = docs.select(_lang().alias("lang"), text_or_empty().cast("string").alias("text"),
-                       F.xxhash64(F.col("doc_id").cast("long"), text_or_empty().cast("string")).alias("place"))
-    last = rows.select("place").orderBy("place").limit(TOPIC_SAMPLE).agg(F.max("place")).first()[0]   # numbers only; texts stay where they are
-    if last is None:
+    """Fitted on all rows with words; only sums and drawn candidates reach the driver."""
+    return fitted(word_table(docs))
+
+
+def fitted(table: DataFrame) -> TopicModel:
+    """The topic model of a word table."""
+    rows = table.where("mix_words > 0").select(F.col("mix_lang").alias("lang"), F.col("mix_vector").alias("v"), "mix_draw")
+
+    def by_lang(part: pa.RecordBatch):
+        vectors, langs = _stored(part.column("v")).astype(np.int64), part.column("lang").dictionary_encode()
+        codes = langs.indices.to_numpy()
+        return [(x, int((codes == i).sum()), vectors[codes == i].sum(axis=0)) for i, x in enumerate(langs.dictionary.to_pylist())]
+
+    sums = _total(rows, "lang", "string", by_lang)
+    if not sums:
         return fit_topics(np.zeros((0, WIDTH)), [])
+    count = sum(n for n, _ in sums.values())
+    model = TopicModel({x: v / n / UNIT for x, (n, v) in sums.items() if n >= 20}, sum(v for _, v in sums.values()) / count / UNIT, np.zeros((0, WIDTH)))
+
+    def rest(part: pa.RecordBatch) -> np.ndarray:
+        return _unit(model.rest(_stored(part.column("v")) / UNIT, part.column("lang").to_pylist()))
+
+    def owned(centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(rows, vector sum) of every centre over all rows."""
+        def sums(part: pa.RecordBatch):
+            left = rest(part)
+            owner = (left @ centres.T).argmax(axis=1)
+            whole = np.rint(left * PART).astype(np.int64)
+            return [(int(k), int((owner == k).sum()), whole[owner == k].sum(axis=0)) for k in np.unique(owner)]
+
+        got = _total(rows, "k", "long", sums)
+        sizes, total = np.zeros(len(centres)), np.zeros(centres.shape)
+        for k, (n, v) in got.items():
+            sizes[k], total[k] = n, v
+        return sizes, total / PART
+
+    found = np.zeros((0, WIDTH))
+    for step in range(DRAWS):       # the first draw is even, the others prefer rows far from what was drawn before
+        new = _drawn(rows, rest, found, step)
+        if not len(new):
+            break
+        found = np.concatenate([found, new])
+    if not len(found):      # every text is its language's mean
+        return model
+    centres, _ = _grouped(found, owned(found)[0], TOPICS)
+    for _ in range(ROUNDS):
+        sizes, total = owned(centres)
+        before, centres = centres, _moved(centres, total)
+        if (before == centres).all():
+            break
+    model.centroids = _by_size(centres, owned(centres)[0])
+    return model
+
+
+def _drawn(rows: DataFrame, rest, found: np.ndarray, step: int) -> np.ndarray:
+    """``DRAWN`` of all rows, drawn in proportion to their distance from ``found``: those of the smallest -log(draw) / distance."""
+    draw = unit_draw("mix_draw", seed=SEED + 1 + step)
 
     def run(batches):
         for batch in batches:
-            for part in slices(batch, ROWS):
-                vectors, _ = word_vectors(utf8(part.column("text")))
-                at = pa.array(np.arange(len(vectors) + 1, dtype=np.int32) * WIDTH)
-                yield pa.RecordBatch.from_arrays([part.column("place"), part.column("lang"), pa.ListArray.from_arrays(at, pa.array(vectors.ravel().astype(np.float32)))],
-                                                 ["place", "lang", "v"])
+            for part in slices(batch, 4 * ROWS):
+                left = rest(part)
+                far = np.rint((1 - (left @ found.T).max(axis=1) if len(found) else np.ones(len(left))) * 1e9) / 1e9
+                far[~left.any(axis=1)] = 0
+                key = np.divide(-np.log(np.maximum(part.column("draw").to_numpy(), 1e-300)), far, out=np.full(len(left), np.inf), where=far > 0)
+                best = np.argsort(key, kind="stable")[:DRAWN * 8]
+                best = best[key[best] < np.inf]
+                yield pa.RecordBatch.from_arrays([pa.array(key[best]), pa.array([np.rint(left[i] * PART).astype("<i8").tobytes() for i in best], pa.binary())], ["key", "v"])
 
-    found = rows.where(F.col("place") <= last).mapInArrow(run, "place long, lang string, v array<float>")
-    got = found.orderBy("place", "lang", "v").limit(TOPIC_SAMPLE).toArrow()       # repeated rows share a place
-    return fit_topics(got.column("v").combine_chunks().flatten().to_numpy().reshape(got.num_rows, WIDTH).astype(float), got.column("lang").to_pylist())
+    got = rows.select("lang", "v", draw.alias("draw")).mapInArrow(run, "key double, v binary").distinct().orderBy("key", "v").limit(DRAWN).collect()
+    return _unit(np.array([np.frombuffer(r["v"], dtype="<i8") for r in got], dtype=float).reshape(len(got), WIDTH))
 
 
 def placed(docs: DataFrame, model: TopicModel, *kept: Column) -> DataFrame:
@@ -149,11 +276,21 @@ def placed(docs: DataFrame, model: TopicModel, *kept: Column) -> DataFrame:
             sizes.append(words)
         return pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(np.maximum(np.concatenate(sizes), 1))], ["topic", "tokens"])
 
-    text = text_or_empty().cast("string")
-    return docs.select(*kept, F.coalesce(F.col("source").cast("string"), F.lit(OTHER)).alias("mix_source"), _lang().alias("mix_lang"),
-                       unit_draw(F.col("doc_id").cast("long"), text, seed=SEED).alias("mix_draw"),
-                       judged(text, _lang()).alias("mix_judged")).select(
-        "*", F.col("mix_judged.topic").alias("mix_topic"), F.col("mix_judged.tokens").alias("mix_tokens")).drop("mix_judged")
+    return _places(docs, *kept).withColumn("mix_judged", judged("mix_text", "mix_lang")).select(
+        "*", F.col("mix_judged.topic").alias("mix_topic"), F.col("mix_judged.tokens").alias("mix_tokens")).drop("mix_judged", "mix_text")
+
+
+def placed_table(table: DataFrame, model: TopicModel) -> DataFrame:
+    """Topic and tokens of a word table's rows, from the written vectors."""
+    @F.arrow_udf("string")
+    def named(vectors: pa.Array, words: pa.Array, langs: pa.Array) -> pa.Array:
+        names = []
+        for start in range(0, len(vectors), ROWS):
+            cut = [x.slice(start, ROWS) for x in (vectors, words, langs)]
+            names += model.named(_stored(cut[0]) / UNIT, cut[1].to_numpy(zero_copy_only=False), cut[2].to_pylist())
+        return pa.array(names, pa.string())
+
+    return table.withColumn("mix_topic", named("mix_vector", "mix_words", "mix_lang")).withColumn("mix_tokens", F.greatest("mix_words", F.lit(1))).drop("mix_words", "mix_vector")
 
 
 # --- raking -------------------------------------------------------------------------------------------------
@@ -273,7 +410,8 @@ def plan(rows: DataFrame, targets: Targets | None, budget: float) -> DataFrame:
 
 def mix(docs: DataFrame, targets: Targets | None = None, budget: float = BUDGET) -> DataFrame:
     """doc_id, source, lang, topic, n_tokens, weight, probability, kept: one row per row of ``docs``."""
-    rows = written(placed(docs, topic_model(docs), F.col("doc_id")), "mixing-cells")
+    table = word_table(docs, F.col("doc_id"))
+    rows = placed_table(table, fitted(table))
     return rows.join(small_side(plan(rows, targets, budget)), list(NAMES)).select(
         "doc_id", F.col("mix_source").alias("source"), F.col("mix_lang").alias("lang"), F.col("mix_topic").alias("topic"),
         F.col("mix_tokens").alias("n_tokens"), F.col("mix_weight").alias("weight"), F.col("mix_probability").alias("probability"),
@@ -282,6 +420,8 @@ def mix(docs: DataFrame, targets: Targets | None = None, budget: float = BUDGET)
 
 def sample(docs: DataFrame, targets: Targets | None = None, budget: float = BUDGET) -> DataFrame:
     """The kept rows of ``docs``, all columns."""
-    rows = placed(docs, topic_model(docs), *[F.col(f"`{c}`") for c in docs.columns])
-    return (rows.join(small_side(plan(rows, targets, budget)), list(NAMES)).where("mix_draw < mix_probability")
+    table = word_table(docs)
+    model = fitted(table)
+    rows = placed(docs, model, *[F.col(f"`{c}`") for c in docs.columns])
+    return (rows.join(small_side(plan(placed_table(table, model), targets, budget)), list(NAMES)).where("mix_draw < mix_probability")
             .select(*[F.col(f"`{c}`") for c in docs.columns]))

@@ -44,14 +44,30 @@ def term_lists(text: Column, stop_words: Sequence[str] = tuple(STOP_WORDS)) -> C
     return F.element_at(both, 1)
 
 
+WIDE_TOPICS = 32  # topics whose counts travel as columns of one row per term
+
+
+def _term_counts(terms: DataFrame, topic: str, min_topics: int) -> DataFrame:
+    """(topic, term, n, f) of the terms of at least ``min_topics`` topics; ``f`` is the term's count over all topics."""
+    names = [r[0] for r in terms.select(topic).distinct().limit(WIDE_TOPICS + 1).collect()]
+    long = terms.select(topic, F.explode("_terms").alias("term"))
+    if 0 < len(names) <= WIDE_TOPICS:  # one row per term and task is shuffled, and only once
+        kind = terms.schema[topic].dataType
+        per_term = long.groupBy("term").agg(*[F.count_if(F.col(topic).eqNullSafe(F.lit(x).cast(kind))).alias(f"_n{i}") for i, x in enumerate(names)])
+        parts = F.filter(F.array(*[F.struct(F.lit(x).cast(kind).alias(topic), F.col(f"_n{i}").alias("n")) for i, x in enumerate(names)]), lambda e: e["n"] > 0)
+        packed = per_term.select("term", parts.alias("parts"))
+    else:
+        counts = long.groupBy(topic, "term").agg(F.count("*").alias("n"))
+        packed = counts.groupBy("term").agg(F.collect_list(F.struct(topic, "n")).alias("parts"))
+    both = packed.where(F.size("parts") >= min_topics).withColumn("f", F.aggregate("parts", F.lit(0).cast("long"), lambda s, e: s + e["n"]))
+    return both.select("term", "f", F.explode("parts").alias("p")).select(F.col(f"p.{topic}").alias(topic), "term", F.col("p.n").alias("n"), "f")
+
+
 def topic_terms(df: DataFrame, text: str = "text", topic: str = "topic_id", min_topics: int = 5, k: int = 10,
                 stop_words: Sequence[str] = tuple(STOP_WORDS)) -> DataFrame:
     """Top terms per topic by class-based TF-IDF; a term must occur in ``min_topics`` topics."""
-    # texts are tokenised once; every later step reads the written counts
-    counts = stored(df.select(topic, F.explode(term_lists(F.col(text), stop_words)).alias("term"))
-                    .groupBy(topic, "term").agg(F.count("*").alias("n")), "term-counts")
-    terms = counts.groupBy("term").agg(F.sum("n").alias("f"), F.count("*").alias("topics")).where(F.col("topics") >= min_topics)
-    kept = counts.join(terms, "term")
+    # texts are tokenised once; every later step reads the written counts of the terms that stay
+    kept = stored(_term_counts(df.select(topic, term_lists(F.col(text), stop_words).alias("_terms")), topic, min_topics), "term-counts")
     sizes = kept.groupBy(topic).agg(F.sum("n").alias("topic_total"))
     average = sizes.withColumn("average", F.avg("topic_total").over(Window.partitionBy()))  # one row per topic
     weighted = kept.join(small_side(average), topic).withColumn(

@@ -4,6 +4,7 @@ Everything here is built from JVM expressions, so a chain of these stays in one
 """
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column
@@ -14,11 +15,13 @@ from narralytics.constants import DELETED_MARKERS
 # Java's \s is ASCII only; the (?U) class still misses the four information separators.
 WHITESPACE = r"(?U)[\s\x1c-\x1f]+"
 NON_WHITESPACE = r"(?U)[^\s\x1c-\x1f]+"
+# runs that one space has to replace: single spaces, which are most of them, stay as they are
+UNEVEN = r"(?U)[\s\x1c-\x1f&&[^ ]][\s\x1c-\x1f]*| [\s\x1c-\x1f]+"
 
 
 def collapse(text: Column) -> Column:
     """Null becomes empty, whitespace runs become one space, ends are trimmed."""
-    return F.trim(F.regexp_replace(F.coalesce(text.cast("string"), F.lit("")), WHITESPACE, " "))
+    return F.trim(F.regexp_replace(F.coalesce(text.cast("string"), F.lit("")), UNEVEN, " "))
 
 
 def collapse_without_urls(text: Column) -> Column:
@@ -41,7 +44,7 @@ def sentences(text: Column) -> Column:
 
 
 def words(text: Column) -> Column:
-    return F.array_remove(F.split(collapse(text), " "), "")  # a blank text splits into one empty word
+    return F.array_remove(F.split(F.coalesce(text.cast("string"), F.lit("")), WHITESPACE), "")  # a blank text splits into empty words
 
 
 def word_count(text: Column) -> Column:
@@ -174,7 +177,17 @@ def ngrams(tokens: Column, n: int) -> Column:
     return F.element_at(F.transform(F.array(tokens), grams), 1)
 
 
+_FREE_START = re.compile(r"((?:\(\?[a-z]+\))?\[[^\[\]\\&]+\])\+(?![+?])")
+
+
+def existence_pattern(pattern: str) -> str:
+    """A pattern that matches somewhere exactly where the given one does: a leading ``[...]+`` needs one character only."""
+    return _FREE_START.sub(r"\1", pattern, count=1) if _FREE_START.match(pattern) else pattern
+
+
 def tag_topics(text: Column, rules: Sequence[tuple[str, str]]) -> Column:
-    """Comma-joined names of all regex rules that match, in rule order."""
-    hits = F.array(*[F.when(text.rlike(pattern), F.lit(name)) for name, pattern in rules])
-    return F.array_join(F.array_compact(hits), ",")
+    """Comma-joined names of all regex rules that match, in rule order; ``text`` is computed once for all rules."""
+    def hits(t: Column) -> Column:
+        return F.array_join(F.array_compact(F.array(*[F.when(t.rlike(existence_pattern(pattern)), F.lit(name)) for name, pattern in rules])), ",")
+
+    return F.element_at(F.transform(F.array(text), hits), 1)

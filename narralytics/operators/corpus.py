@@ -12,7 +12,7 @@ from narralytics.constants import (
 from narralytics.functions.plugins import RuleTagger
 from narralytics.functions.text import clean_markup, collapse_without_urls, safe_int, safe_number, tag_topics, word_count
 from narralytics.operators.ranking import first_by_ordinal, percentiles
-from narralytics.session import cut_lineage
+from narralytics.session import cut_lineage, with_once
 
 
 def long_documents(df: DataFrame, text: str = "text", min_words: int = MIN_WORD_COUNT) -> DataFrame:
@@ -53,7 +53,7 @@ def narrative_filter(df: DataFrame, text: str = "text", tagger=None, past: float
 
 
 def tag_documents(df: DataFrame, rules: Sequence[tuple[str, str]], text: str = "text", require_topic: bool = False) -> DataFrame:
-    tagged = df.withColumn("topics", tag_topics(clean_markup(F.col(text)), rules))
+    tagged = with_once(df, topics=tag_topics(clean_markup(F.col(text)), rules))
     return tagged.where("topics <> ''") if require_topic else tagged
 
 

@@ -5,7 +5,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -104,6 +104,14 @@ def small_side(df: DataFrame, rows: int = 100_000) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def with_once(df: DataFrame, **columns: Column) -> DataFrame:
+    """``withColumns`` whose values are computed once a row: a plain column is computed again by every filter that names it."""
+    row = F.explode_outer(F.array(F.struct(*[c.alias(n) for n, c in columns.items()])))
+    made = df.select("*", row.alias("_once"))
+    return made.select(*[F.col(f"_once.{c}").alias(c) if c in columns else F.col(f"`{c}`") for c in df.columns],
+                       *[F.col(f"_once.{c}").alias(c) for c in columns if c not in df.columns])
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Hash-partition by key with a fixed partition count.
 

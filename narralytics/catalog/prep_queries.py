@@ -8,10 +8,10 @@ from narralytics.catalog import views as V
 from narralytics.catalog.registry import query
 from narralytics.catalog.text_queries import KEY_SQL, tokens_13a_sql
 from narralytics.constants import EMOTION_LABELS
-from narralytics.functions.text import tokens_13a
 from narralytics.operators import align as A
 from narralytics.operators import audits as U
 from narralytics.operators import prep as P
+from narralytics.session import stored
 
 HASH_SQL = "md5(concat_ws(':', '{seed}', doc_id))"
 LABEL_SQL = V.label_sql("d.doc_id")
@@ -97,7 +97,7 @@ def _(spark, sf):
 
 
 def _tasks(spark, sf):
-    rows = split(spark, sf)
+    rows = stored(split(spark, sf), "split")    # both tasks and the check of the pairing read it
     labels = P.alpaca_rows(rows, "Label system", "Label instruction", "text", "label")
     narratives = P.alpaca_rows(rows.where("narrative <> ''"), "Narrative system", "Narrative instruction", "text", "narrative")
     return P.pair_tasks(labels, narratives)
@@ -154,7 +154,8 @@ LENGTHS_SQL = f"""lengths AS (SELECT sample_id, condition, len({tokens_13a_sql('
 
 
 def _lengths(spark, sf):
-    return _targets(spark, sf).select("sample_id", "condition", F.size(tokens_13a(F.col("output"))).alias("n"))
+    sized = P.target_tokens(pool(spark, sf), CONDITIONS, F.col("label"), V.pick_label(F.col("doc_id") + 3), F.col("narrative"))
+    return sized.select(F.col("doc_id").alias("sample_id"), "condition", "n")
 
 
 @query("length_profile", "A14", f"""WITH {POOL_SQL}, {TARGETS_SQL}, {LENGTHS_SQL}

@@ -13,7 +13,7 @@ from narralytics.functions.text import collapse, first_tokens, key_digest, token
 from narralytics.operators.align import ValidationError, require_unique
 from narralytics.operators.label_metrics import label_distribution
 from narralytics.operators.ranking import percentiles, rank_by_hash, rank_by_value
-from narralytics.session import small_side, stored
+from narralytics.session import small_side, stored, with_once
 
 MAX_LABELS = 1000  # labels a relabelling may have; its plan has one run per pair of them
 
@@ -21,7 +21,7 @@ MAX_LABELS = 1000  # labels a relabelling may have; its plan has one run per pai
 def required_rows(df: DataFrame, text: str, label: str, labels: Sequence[str] = tuple(EMOTION_LABELS),
                   check: bool = True) -> DataFrame:
     """Rows with text and label after normalisation; an unknown label is an error."""
-    clean = df.withColumn(text, collapse(F.col(text))).withColumn(label, collapse(F.col(label)))
+    clean = with_once(df, **{text: collapse(F.col(text)), label: collapse(F.col(label))})
     kept = clean.where((F.col(text) != "") & (F.col(label) != ""))
     if check:
         other = ~F.col(label).isin(list(labels))
@@ -123,13 +123,27 @@ def pairing_summary(pairs: DataFrame) -> DataFrame:
                      F.count_if(F.col("reference_narrative").isNull()).alias("label_rows_without_narrative"))
 
 
-def target_text(condition: Column, label: Column, wrong_label: Column, narrative: Column) -> Column:
-    """Two-line training target of a condition: true, forced_wrong, constant_neutral, marker_control."""
+def target_head(condition: Column, label: Column, wrong_label: Column) -> Column:
+    """What stands before the narrative in a training target."""
     first = (F.when(condition == "marker_control", F.lit("Marker: X"))
              .when(condition == "constant_neutral", F.lit("Emotion: Neutral"))
              .when(condition == "forced_wrong", F.concat(F.lit("Emotion: "), wrong_label))
              .otherwise(F.concat(F.lit("Emotion: "), label)))
-    return F.concat(first, F.lit("\nNarrative: "), F.trim(narrative))
+    return F.concat(first, F.lit("\nNarrative: "))
+
+
+def target_text(condition: Column, label: Column, wrong_label: Column, narrative: Column) -> Column:
+    """Two-line training target of a condition: true, forced_wrong, constant_neutral, marker_control."""
+    return F.concat(target_head(condition, label, wrong_label), F.trim(narrative))
+
+
+def target_tokens(df: DataFrame, conditions: Sequence[str], label: Column, wrong_label: Column, narrative: Column, n: str = "n") -> DataFrame:
+    """A row per condition with the 13a token count of its ``target_text``. A head ends in a space and no token crosses one, so the
+    narrative is counted once for all conditions."""
+    own = F.size(tokens_13a(F.trim(narrative)))
+    rows = with_once(df, _own=own).withColumn("condition", F.explode(F.array(*[F.lit(c) for c in conditions])))
+    head = target_head(F.col("condition"), label, wrong_label)
+    return rows.withColumn(n, F.when(head.isNull() | narrative.isNull(), 0).otherwise(F.size(tokens_13a(head)) + F.col("_own"))).drop("_own")
 
 
 def gold_prefix(label: Column, instruction: Column) -> Column:
@@ -137,18 +151,28 @@ def gold_prefix(label: Column, instruction: Column) -> Column:
 
 
 def task_rows(pairs: DataFrame, max_source_tokens: int, cutoff: int, tokenise=tokens_13a) -> DataFrame:
-    """Two rows per pair (label, narrative) with token counts, capped at the cutoff length."""
-    tokens = pairs.withColumn("_source", tokenise(F.col("source_text")))
-    cut = tokens.withColumn("truncated", F.size("_source") > max_source_tokens).withColumn(
-        "_text", F.when(F.col("truncated"), first_tokens(F.col("_source"), max_source_tokens)).otherwise(F.col("source_text")))
-    both = cut.select(*pairs.columns, "truncated", F.explode(F.array(*[
-        F.struct(F.lit(task).alias("task"), F.col(f"{task}_system").alias("system"),
-                 F.concat(F.col(f"{task}_instruction"), F.lit("\n"), F.col("_text")).alias("prompt"), F.col(target).alias("target"))
+    """Two rows per pair (label, narrative) with token counts, capped at the cutoff length.
+
+    Both prompts end with the same source on its own line, so with the default tokeniser, whose tokens never cross a line, its
+    tokens are counted once for both; a head that ends in a hyphen would draw the next line to itself and is counted with its source.
+    """
+    tokens = with_once(pairs, _source=tokenise(F.col("source_text")))
+    long = F.size("_source") > max_source_tokens
+    cut = with_once(tokens, truncated=long, _text=F.when(long, first_tokens(F.col("_source"), max_source_tokens)).otherwise(F.col("source_text")))
+    count = lambda text: F.size(tokenise(text))
+    sized_text = with_once(cut, _tokens=F.when(F.col("truncated"), count(F.col("_text"))).otherwise(F.size("_source"))).drop("_source")
+    both = sized_text.select(*pairs.columns, "truncated", "_text", "_tokens", F.explode(F.array(*[
+        F.struct(F.lit(task).alias("task"), F.col(f"{task}_system").alias("system"), F.col(f"{task}_instruction").alias("instruction"), F.col(target).alias("target"))
         for task, target in (("label", "emotion_label"), ("narrative", "reference_narrative"))])).alias("t"))
     key = [c for c in pairs.columns if c in ("sample_id", "split")]
-    sized = both.select(*key, "truncated", "t.task", "t.prompt", "t.target",
-                        F.size(tokenise(F.concat_ws("\n", "t.system", "t.prompt"))).alias("prompt_tokens"),
-                        F.size(tokenise(F.col("t.target"))).alias("_target"))
+    prompt = F.concat(F.col("t.instruction"), F.lit("\n"), F.col("_text"))
+    whole = count(F.concat_ws("\n", "t.system", prompt))
+    if tokenise is tokens_13a:
+        head = F.concat_ws("\n", "t.system", "t.instruction")
+        drawn = F.endswith(F.replace(head, F.lit("<skipped>"), F.lit("")), F.lit("-"))
+        whole = F.when(prompt.isNull() | drawn, whole).otherwise(count(head) + F.col("_tokens"))
+    sized = with_once(both, prompt_tokens=whole, _target=count(F.col("t.target"))).select(
+        *key, "truncated", "t.task", prompt.alias("prompt"), "t.target", "prompt_tokens", "_target")
     sequence = F.least(F.col("prompt_tokens") + F.col("_target"), F.lit(cutoff))
     return sized.withColumn("sequence_tokens", sequence).withColumn(
         "target_tokens", F.greatest(F.col("sequence_tokens") - F.col("prompt_tokens"), F.lit(0))).drop("_target")
@@ -180,7 +204,8 @@ def length_profile(df: DataFrame, length: str, by: Sequence[str] = (), limits: S
 
 
 def length_deltas(lengths: DataFrame, baseline: str, cutoff: int, key: str = "sample_id") -> DataFrame:
-    """Per condition: spread of the length change against the baseline and changed cutoff status."""
+    """Per condition: spread of the length change against the baseline and changed cutoff status; lengths are measured once and written."""
+    lengths = stored(lengths.select(key, "condition", "n"), "lengths")
     base = lengths.where(F.col("condition") == baseline).select(key, F.col("n").alias("_base"))
     others = lengths.where(F.col("condition") != baseline).join(base, key).withColumn("_d", F.col("n") - F.col("_base"))
     return others.groupBy("condition").agg(

@@ -3,7 +3,7 @@ from __future__ import annotations
 
 import hashlib
 import math
-from functools import lru_cache
+from collections.abc import Iterable, Sequence
 
 import numpy as np
 
@@ -64,20 +64,78 @@ def dtw_cost(cost: np.ndarray) -> float:
     return float(last[n])
 
 
-@lru_cache(maxsize=500_000)
+def dtw_costs(pairs: Sequence[tuple[np.ndarray, np.ndarray]], cells: int = 1_000_000) -> np.ndarray:
+    """``dtw_cost(1 - x @ y.T)`` of many pairs of unit rows. Grids of like size are stacked, up to ``cells`` cells, and walked together.
+
+    A grid that is smaller than its stack is filled up at its far ends, which its own last cell does not see.
+    """
+    out = np.empty(len(pairs))
+    shape = [(len(x), len(y)) for x, y in pairs]
+    order = sorted(range(len(pairs)), key=lambda i: (sum(shape[i]), shape[i]))
+    start = 0
+    while start < len(order):
+        end, n, m = start, 0, 0
+        while end < len(order):
+            i, j = shape[order[end]]
+            if end > start and ((end - start + 1) * max(n, i) * max(m, j) > cells or max(n, i) > 2 * shape[order[start]][0] + 8 or max(m, j) > 2 * shape[order[start]][1] + 8):
+                break
+            n, m, end = max(n, i), max(m, j), end + 1
+        some, start = order[start:end], end
+        cost = np.zeros((n, m, len(some)))
+        for k, at in enumerate(some):
+            x, y = pairs[at]
+            cost[:len(x), :len(y), k] = 1.0 - x @ y.T
+        ends = np.array([sum(shape[at]) for at in some])
+        last_row = np.array([shape[at][0] for at in some])
+        before, last = np.full((n + 1, len(some)), np.inf), np.full((n + 1, len(some)), np.inf)
+        before[0] = 0.0
+        for diagonal in range(2, n + m + 1):
+            low, high = max(1, diagonal - m), min(n, diagonal - 1)
+            now = np.full((n + 1, len(some)), np.inf)
+            best = np.minimum(np.minimum(last[low - 1:high], last[low:high + 1]), before[low - 1:high])
+            rows = np.arange(low - 1, high)
+            now[low:high + 1] = best + cost[rows, diagonal - rows - 2]
+            for k in range(*np.searchsorted(ends, [diagonal, diagonal + 1])):
+                out[some[k]] = now[last_row[k], k]
+            before, last = last, now
+    return out
+
+
 def hashed_slot(feature: str, dim: int, seed: int) -> tuple[int, float]:
-    """Position and sign of a feature; the table of known features is bounded."""
-    digest = hashlib.md5(f"{seed}:{feature}".encode()).hexdigest()
-    return int(digest[:8], 16) % dim, 1.0 if int(digest[8], 16) % 2 == 0 else -1.0
+    """Position and sign of a feature."""
+    digest = hashlib.md5(f"{seed}:{feature}".encode()).digest()
+    return int.from_bytes(digest[:4]) % dim, -1.0 if digest[4] & 16 else 1.0
+
+
+class KnownSlots(dict):
+    """Feature -> 2 * position + (1 if the sign is negative); the table of known features is bounded."""
+
+    def __init__(self, dim: int, seed: int, limit: int = 500_000) -> None:
+        super().__init__()
+        self.dim, self.seed, self.limit = dim, seed, limit
+
+    def __missing__(self, feature: str) -> int:
+        if len(self) >= self.limit:
+            self.clear()
+        at, sign = hashed_slot(feature, self.dim, self.seed)
+        self[feature] = 2 * at + (sign < 0)
+        return self[feature]
+
+    def vectors(self, lists: Iterable[list[str]]) -> np.ndarray:
+        """Signed feature hashing of bags of strings, one row a bag."""
+        found, sizes = [], []
+        for features in lists:
+            found += [self[f] for f in features]
+            sizes.append(len(features))
+        slots = np.array(found, dtype=np.int64)
+        cells = np.repeat(np.arange(len(sizes)), sizes) * (2 * self.dim) + slots
+        counts = np.bincount(cells, minlength=len(sizes) * 2 * self.dim).reshape(len(sizes), self.dim, 2)
+        return (counts[:, :, 0] - counts[:, :, 1]).astype(float)
 
 
 def hashed_vector(features: list[str], dim: int, seed: int) -> np.ndarray:
     """Signed feature hashing of a bag of strings."""
-    vector = [0.0] * dim
-    for feature in features:
-        at, sign = hashed_slot(feature, dim, seed)
-        vector[at] += sign
-    return np.array(vector)
+    return KnownSlots(dim, seed).vectors([features])[0]
 
 
 def beta_cdf(a: float, b: float, x: float, terms: int = 100_000) -> float:

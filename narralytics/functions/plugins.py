@@ -11,6 +11,8 @@ from typing import Protocol
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StringType
@@ -30,37 +32,45 @@ class HashingEncoder:
     """Seeded feature hashing over lower-cased words."""
 
     def __init__(self, dim: int = 32, seed: int = 7):
-        self.dim, self.seed = dim, seed
+        self.dim, self.seed, self.slots = dim, seed, kernels.KnownSlots(dim, seed)
 
     def encode(self, texts: list[str]) -> np.ndarray:
-        return np.array([kernels.hashed_vector(t.lower().split(), self.dim, self.seed) for t in texts])
+        return self.slots.vectors(t.lower().split() for t in texts)
 
 
 class CharHashingEncoder:
     """Seeded feature hashing over character trigrams, for single tokens."""
 
     def __init__(self, dim: int = 32, seed: int = 11):
-        self.dim, self.seed = dim, seed
+        self.dim, self.seed, self.slots = dim, seed, kernels.KnownSlots(dim, seed)
 
     def encode(self, texts: list[str]) -> np.ndarray:
         padded = [f"^{t.lower()}$" for t in texts]
-        grams = [[p[i:i + 3] for i in range(max(1, len(p) - 2))] for p in padded]
-        return np.array([kernels.hashed_vector(g, self.dim, self.seed) for g in grams])
+        return self.slots.vectors([p[i:i + 3] for i in range(max(1, len(p) - 2))] for p in padded)
 
 
 class CachedEncoder:
     """Remembers the vectors of a bounded number of texts, so one that repeats in a task is encoded once."""
 
     def __init__(self, encoder: Encoder, limit: int = 200_000):
-        self.encoder, self.limit, self.known = encoder, limit, {}
+        self.encoder, self.limit, self.known, self.table = encoder, limit, {}, np.empty((0, 0))
 
     def encode(self, texts: list[str]) -> np.ndarray:
+        if not texts:
+            return self.encoder.encode(texts)
         new = [t for t in dict.fromkeys(texts) if t not in self.known]
         if len(self.known) + len(new) > self.limit:
             self.known, new = {}, list(dict.fromkeys(texts))
         if new:
-            self.known.update(zip(new, self.encoder.encode(new)))
-        return np.stack([self.known[t] for t in texts]) if texts else self.encoder.encode(texts)
+            vectors, first = np.asarray(self.encoder.encode(new)), len(self.known)
+            if first + len(new) > len(self.table) or not first:     # the table doubles, like a list
+                larger = np.empty((max(1024, 2 * first, first + len(new)), vectors.shape[1]), dtype=vectors.dtype)
+                if first:
+                    larger[:first] = self.table[:first]
+                self.table = larger
+            self.table[first:first + len(new)] = vectors
+            self.known.update(zip(new, range(first, first + len(new))))
+        return self.table[[self.known[t] for t in texts]]
 
 
 def encode_column(make_encoder: Callable[[], Encoder]) -> Callable[[Column], Column]:
@@ -75,12 +85,22 @@ def encode_column(make_encoder: Callable[[], Encoder]) -> Callable[[Column], Col
     return run
 
 
-@F.pandas_udf(ArrayType(StringType()))
-def stem_tokens(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+def stemmed(lists: pa.ListArray, stem: Callable[[str], str], rows: int = 512) -> pa.ListArray:
+    """The lists with every token stemmed. Only the distinct tokens of a few rows are Python strings at a time."""
+    values = []
+    for start in range(0, len(lists), rows):
+        coded = lists.slice(start, rows).flatten().dictionary_encode()
+        values.append(pa.array([stem(t) for t in coded.dictionary.to_pylist()], pa.string()).take(coded.indices))
+    ends = np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(), dtype=np.int32)
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.concat_arrays([pa.array([], pa.string()), *values]), mask=lists.is_null())
+
+
+@F.arrow_udf(ArrayType(StringType()))
+def stem_tokens(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
     """Porter stems; a bounded cache means a frequent word is stemmed once per task."""
     cached = lru_cache(maxsize=200_000)(porter.stem)
     for batch in batches:
-        yield batch.map(lambda tokens: None if tokens is None else [cached(t) for t in tokens])
+        yield stemmed(batch, cached)
 
 
 class RuleTagger:

@@ -5,7 +5,8 @@ from collections import Counter
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
@@ -33,23 +34,43 @@ def encode_sentences(df: DataFrame, key: str, texts: Sequence[str], make_encoder
 _DTW = StructType([StructField("dtw_distance", DoubleType()), StructField("normalized_dtw_distance", DoubleType())])
 
 
-def _dtw(ref: list[str], hyp: list[str], encoder: Encoder) -> tuple[float | None, float | None]:
-    if not len(ref) or not len(hyp):
-        return None, None
-    x, y = kernels.unit_rows(encoder.encode(list(ref))), kernels.unit_rows(encoder.encode(list(hyp)))
-    cost = kernels.dtw_cost(1.0 - x @ y.T)
-    return cost, cost / (len(ref) + len(hyp))
+def _dtw_rows(refs: list[list[str]], hyps: list[list[str]], encoder: Encoder) -> np.ndarray:
+    """(raw, over n + m) per row; NaN when either side has no sentence. All sentences of the rows are encoded in one call."""
+    out = np.full((len(refs), 2), np.nan)
+    at = [i for i, (r, h) in enumerate(zip(refs, hyps)) if r is not None and h is not None and len(r) and len(h)]
+    if at:
+        units = kernels.unit_rows(encoder.encode([s for i in at for side in (refs[i], hyps[i]) for s in side]))
+        parts = np.split(units, np.cumsum([len(side) for i in at for side in (refs[i], hyps[i])])[:-1])
+        out[at, 0] = kernels.dtw_costs(list(zip(parts[::2], parts[1::2])))
+        out[at, 1] = out[at, 0] / [len(refs[i]) + len(hyps[i]) for i in at]
+    return out
+
+
+def _slices(lists: pa.ListArray, others: pa.ListArray, most: int = 20_000) -> Iterator[tuple[list, list]]:
+    """Runs of rows with at most ``most`` list entries on both sides together, one row at least, as Python lists."""
+    ends = np.cumsum(sum(pc.fill_null(pc.list_value_length(x), 0).to_numpy().astype(np.int64) for x in (lists, others)))
+    start = 0
+    while start < len(ends):
+        before = ends[start - 1] if start else 0
+        rows = max(1, int(np.searchsorted(ends, before + most, side="right")) - start)
+        yield lists.slice(start, rows).to_pylist(), others.slice(start, rows).to_pylist()
+        start += rows
+
+
+def _structs(values: np.ndarray, kind: StructType) -> pa.StructArray:
+    return pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(values[:, i])) for i in range(len(kind.fields))], kind.names)
 
 
 def sentence_dtw(df: DataFrame, ref: str = "reference_narrative", hyp: str = "predicted_narrative", key: str = "sample_id",
                  make_encoder: Callable[[], Encoder] = HashingEncoder) -> DataFrame:
     """Time-warping distance between the sentence vectors of both texts, raw and over n + m; null
-    when either side has no sentence. A narrow per-row step; a task encodes a repeated sentence once."""
-    @F.pandas_udf(_DTW)
-    def score(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+    when either side has no sentence. A narrow step over rows; a task encodes a repeated sentence once."""
+    @F.arrow_udf(_DTW)
+    def score(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         encoder = CachedEncoder(make_encoder(), 50_000)
         for refs, hyps in batches:
-            yield pd.DataFrame([_dtw(r, h, encoder) for r, h in zip(refs, hyps)], columns=[f.name for f in _DTW.fields], dtype="float64")
+            found = [_dtw_rows(r, h, encoder) for r, h in _slices(refs, hyps)]
+            yield _structs(np.concatenate([np.empty((0, 2)), *found]), _DTW)
 
     scored = df.select(key, score(sentences(F.col(ref)), sentences(F.col(hyp))).alias("s"))
     return scored.select(key, *[F.nanvl(f"s.{f.name}", F.lit(None)).alias(f.name) for f in _DTW.fields])
@@ -58,16 +79,24 @@ def sentence_dtw(df: DataFrame, ref: str = "reference_narrative", hyp: str = "pr
 _PRF = StructType([StructField(f"bertscore_{n}", DoubleType()) for n in ("precision", "recall", "f1")])
 
 
-def _greedy(hyp: list[str], ref: list[str], encoder: Encoder, chunk: int = 2048) -> tuple[float, float, float]:
+def _best(own: np.ndarray, other: np.ndarray, sure: np.ndarray, chunk: int = 2048) -> np.ndarray:
+    """Best cosine of every row of ``own`` with the rows of ``other``; a ``sure`` row stands there too, as its own best match."""
+    best = np.einsum("ij,ij->i", own, own)
+    rest = np.flatnonzero(~sure)
+    for start in range(0, len(rest), chunk):
+        at = rest[start:start + chunk]
+        best[at] = (own[at] @ other.T).max(axis=1)
+    return best
+
+
+def _greedy(hyp: list[str], ref: list[str], encoder: Encoder) -> tuple[float, float, float]:
     """Mean best cosine of the tokens of each side, over distinct tokens weighted by their counts."""
     h, r = Counter(hyp), Counter(ref)
     hn, rn = np.array(list(h.values())), np.array(list(r.values()))
-    hv, rv = kernels.unit_rows(encoder.encode(list(h))), kernels.unit_rows(encoder.encode(list(r)))
-    best_h, best_r = np.empty(len(h)), np.full(len(r), -np.inf)
-    for start in range(0, len(h), chunk):
-        similarity = hv[start:start + chunk] @ rv.T
-        best_h[start:start + chunk] = similarity.max(axis=1)
-        best_r = np.maximum(best_r, similarity.max(axis=0))
+    hv, rv = np.split(kernels.unit_rows(encoder.encode([*h, *r])), [len(h)])
+    # a token that stands on both sides needs no search, unless its vector is zero
+    sure = lambda own, vectors, other: np.array([t in other for t in own]) & vectors.any(axis=1)
+    best_h, best_r = _best(hv, rv, sure(h, hv, r)), _best(rv, hv, sure(r, rv, h))
     precision, recall = float(best_h @ hn / hn.sum()), float(best_r @ rn / rn.sum())
     return precision, recall, 2 * precision * recall / (precision + recall) if precision + recall else 0.0
 
@@ -78,12 +107,12 @@ def greedy_match(df: DataFrame, ref: str = "reference_narrative", hyp: str = "pr
 
     Per row only distinct tokens meet, inside the task, so no token pair is ever a row.
     """
-    @F.pandas_udf(_PRF)
-    def score(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf(_PRF)
+    def score(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         encoder = CachedEncoder(make_encoder())
         for hyps, refs in batches:
-            rows = [(None, None, None) if not len(h) or not len(r) else _greedy(list(h), list(r), encoder) for h, r in zip(hyps, refs)]
-            yield pd.DataFrame(rows, columns=[f.name for f in _PRF.fields], dtype="float64")
+            rows = [_greedy(h, r, encoder) if h and r else (np.nan,) * 3 for some in _slices(hyps, refs) for h, r in zip(*some)]
+            yield _structs(np.array(rows, dtype=float).reshape(-1, 3), _PRF)
 
     return df.select(key, score(tokens_13a(F.col(hyp)), tokens_13a(F.col(ref))).alias("s")).select(
         key, *[F.nanvl(f"s.{f.name}", F.lit(None)).alias(f.name) for f in _PRF.fields])

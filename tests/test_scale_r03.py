@@ -4,6 +4,16 @@ from __future__ import annotations
 import math
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
+
+from pyspark.sql import functions as F
+
+from narralytics.functions import kernels, plugins
+from narralytics.functions import text as X
+from narralytics.operators import corpus as C
+from narralytics.operators import prep as P
+from narralytics.operators import semantic as M
 from narralytics.operators import topics as T
 
 
@@ -36,3 +46,95 @@ def test_only_shared_terms_are_written_and_any_number_of_topics_counts_alike(spa
         expected = {k: v for k, v in _brute_terms(some, 5).items() if k[0] is not None}
         assert found.keys() == expected.keys() and all(math.isclose(found[k], expected[k]) for k in found)
         assert written[-1].where("term like '%quartz%'").count() == 0
+
+
+def test_many_alignments_in_one_walk_equal_one_by_one(spark):
+    rng = np.random.default_rng(3)
+    sizes = [(1, 1), (1, 7), (9, 2), (30, 31), (4, 40), *[(int(a), int(b)) for a, b in rng.integers(1, 25, (60, 2))]]
+    pairs = [tuple(kernels.unit_rows(rng.normal(size=(n, 5))) for n in nm) for nm in sizes]
+    single = [kernels.dtw_cost(1.0 - x @ y.T) for x, y in pairs]
+    for cells in (1, 500, 1_000_000):
+        assert np.allclose(kernels.dtw_costs(pairs, cells), single, rtol=0, atol=1e-12)
+    assert kernels.dtw_costs([]).size == 0
+
+
+def test_sentences_of_many_rows_are_encoded_together():
+    class Counting(plugins.HashingEncoder):
+        calls = 0
+
+        def encode(self, texts):
+            Counting.calls += 1
+            return super().encode(texts)
+
+    refs = [[f"word{i} here.", "same words."] for i in range(50)] + [[], None]
+    found = M._dtw_rows(refs, [[*(r or ["x"])[::-1]] for r in refs], Counting())
+    assert Counting.calls == 1 and np.isnan(found[50:]).all() and (found[:50, 0] >= 0).all()
+
+
+def test_tokens_on_both_sides_need_no_search(monkeypatch):
+    searched = []
+    real = M._best
+    monkeypatch.setattr(M, "_best", lambda own, other, sure: searched.append(int((~sure).sum())) or real(own, other, sure))
+    ref = [f"token{i}" for i in range(200)] * 2
+    hyp = [t for i, t in enumerate(ref) if i % 7] + ["new"]
+    encoder = plugins.CachedEncoder(plugins.CharHashingEncoder())
+    precision, recall, _ = M._greedy(hyp, ref, encoder)
+    h, r = (kernels.unit_rows(plugins.CharHashingEncoder().encode(x)) for x in (hyp, ref))
+    assert math.isclose(precision, (h @ r.T).max(axis=1).mean()) and math.isclose(recall, (r @ h.T).max(axis=1).mean())
+    assert searched[0] == 1 and sum(searched) < 30
+
+
+def test_cached_vectors_outlive_growth_and_limit():
+    plain, cached = plugins.HashingEncoder(), plugins.CachedEncoder(plugins.HashingEncoder(), 1500)
+    for start in range(0, 4000, 700):
+        texts = [f"a{i} b{i % 9}" for i in range(start, start + 900)]
+        assert (cached.encode(texts) == plain.encode(texts)).all()
+
+
+def test_whitespace_and_words_as_before(spark):
+    texts = ["", " ", None, "a  b", " a\tb\n", "a b", " x   y", "a \x1c b\x1fc", "one two", "\n\na\r\nb  ", "a\u0085b c", "tab\t\tend\t"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    plain = F.trim(F.regexp_replace(F.coalesce(F.col("t"), F.lit("")), X.WHITESPACE, " "))
+    for r in df.select(X.collapse(F.col("t")).alias("c"), plain.alias("p"), X.words(F.col("t")).alias("w"), F.array_remove(F.split(plain, " "), "").alias("q")).collect():
+        assert r.c == r.p and r.w == r.q
+
+
+def test_prompt_tokens_are_those_of_the_whole_prompt(spark):
+    texts = [".5 a.b", "a-", "3,5 - x.", "", "...5 ..5", "-5 &quot;x", None, "w " * 9 + ".5", "no - hyphen-", "tail <skipped>"]
+    heads = [("sys", "do it."), ("s-", "end-"), ("5.", "x-<skipped>"), (None, "-"), ("sys", None), ("", "7")]
+    rows = [(t, "Joy", t, s, i, s, i) for t in texts for s, i in heads]
+    df = spark.createDataFrame(rows, "source_text string, emotion_label string, reference_narrative string, label_system string, label_instruction string, narrative_system string, narrative_instruction string")
+    sized = P.task_rows(df, 4, 20)
+    def plain(text):
+        return X.tokens_13a(text)
+    other = P.task_rows(df, 4, 20, plain)       # any other tokeniser reads whole prompts
+    assert sorted(map(str, sized.collect())) == sorted(map(str, other.collect())) and sized.columns == other.columns
+
+
+def test_tags_are_computed_once_and_existence_needs_one_leading_character(spark):
+    rules = [("mail", r"[a-z0-9.]+@[a-z0-9.]+"), ("eager", r"[ab]++b"), ("number", r"[0-9]{3,}"), ("end", r"x+y")]
+    assert [X.existence_pattern(p) for _, p in rules] == [r"[a-z0-9.]@[a-z0-9.]+", r"[ab]++b", r"[0-9]{3,}", r"x+y"]
+    df = spark.createDataFrame([("a@b",), ("@b a@",), ("ab",), ("1234 xxy",), ("",), (None,)], "text string")
+    tagged = C.tag_documents(df, rules, require_topic=True)
+    assert {r.text: r.topics for r in tagged.collect()} == {"a@b": "mail", "1234 xxy": "number,end"}
+    assert tagged._jdf.queryExecution().optimizedPlan().toString().count("a-z0-9") == 2     # one pattern, named once
+
+
+def test_only_few_rows_are_python_strings_at_a_time():
+    lists = pa.array([["running", "ponies"], None, [], ["cats"]] * 700)
+    seen = []
+    out = plugins.stemmed(lists.slice(1), lambda t: seen.append(t) or t[:3], rows=500)
+    assert out.to_pylist() == [x if x is None else [t[:3] for t in x] for x in lists.slice(1).to_pylist()] and len(seen) < 30
+    runs = [len(r) for r, _ in M._slices(lists, lists, 100)]
+    assert sum(runs) == len(lists) and max(runs) <= 70 and list(M._slices(lists.slice(0, 0), lists.slice(0, 0))) == []
+
+
+def test_target_lengths_are_those_of_the_whole_target(spark):
+    rows = [(t, lab) for t in (".5 a", "-x", " , b ", "", None, "a-b &amp; 3-4", "...") for lab in ("Joy", "x-", "5.", None)]
+    df = spark.createDataFrame(rows, "t string, l string")
+    names = ["true", "forced_wrong", "constant_neutral", "marker_control"]
+    found = P.target_tokens(df, names, F.col("l"), F.lit("Fear."), F.col("t"))
+    whole = F.size(X.tokens_13a(P.target_text(F.col("condition"), F.col("l"), F.lit("Fear."), F.col("t"))))
+    assert found.count() == 4 * len(rows) and found.where(F.col("n") != whole).count() == 0 and found.columns == ["t", "l", "condition", "n"]
+    counted = found._jdf.queryExecution().optimizedPlan().toString().count("&quot;")
+    assert counted == 2     # once for the narrative, once for the heads

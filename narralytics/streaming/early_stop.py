@@ -32,14 +32,14 @@ class StopMonitor(StatefulProcessor):
     """Keeps the losses of a run by step, so late and corrected validations count as in the batch form.
 
     Every trigger emits the decision of the runs that it changed; with ``once`` only the first one that stops a run.
-    The state of a run grows with its validations.
+    The state of a run grows with its validations; it is one value, read once and written once a trigger, whatever the number of steps.
     """
 
     def __init__(self, key: str, kind: str, patience: int, degradation: float, once: bool) -> None:
         self.key, self.kind, self.patience, self.degradation, self.once = key, kind, patience, degradation, once
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.losses = handle.getMapState("losses", "step long", "eval_loss double")
+        self.losses = handle.getValueState("losses", "steps array<bigint>, eval_losses array<double>")
         self.stopped = handle.getValueState("stopped", "reason string")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
@@ -47,10 +47,12 @@ class StopMonitor(StatefulProcessor):
             for _ in rows:
                 pass
             return
+        known = self.losses.get()
+        history = {} if known is None else dict(zip(*known))
         for pdf in rows:
-            for step, loss in zip(pdf["step"], pdf["eval_loss"]):
-                self.losses.updateValue((int(step),), (float(loss),))
-        row = decide({int(k[0]): float(v[0]) for k, v in self.losses.iterator()}, self.patience, self.degradation)
+            history.update(zip(pdf["step"].astype(int).tolist(), pdf["eval_loss"].astype(float).tolist()))
+        self.losses.update((list(history), list(history.values())))
+        row = decide(history, self.patience, self.degradation)
         if self.once and row[-1] is None:
             return
         if row[-1] is not None:

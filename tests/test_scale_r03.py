@@ -5,6 +5,7 @@ import math
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 
 from pyspark.sql import functions as F
@@ -15,6 +16,7 @@ from narralytics.operators import corpus as C
 from narralytics.operators import prep as P
 from narralytics.operators import semantic as M
 from narralytics.operators import topics as T
+from narralytics.streaming import early_stop
 
 
 def _brute_terms(rows, min_topics):
@@ -138,3 +140,34 @@ def test_target_lengths_are_those_of_the_whole_target(spark):
     assert found.count() == 4 * len(rows) and found.where(F.col("n") != whole).count() == 0 and found.columns == ["t", "l", "condition", "n"]
     counted = found._jdf.queryExecution().optimizedPlan().toString().count("&quot;")
     assert counted == 2     # once for the narrative, once for the heads
+
+
+def test_a_trigger_reads_and_writes_the_state_of_a_run_once():
+    class Value:
+        kept, calls = None, 0
+
+        def exists(self):
+            return self.kept is not None
+
+        def get(self):
+            self.calls += 1
+            return self.kept
+
+        def update(self, value):
+            self.calls, self.kept = self.calls + 1, value
+
+    class Handle:
+        def __init__(self):
+            self.values = {}
+
+        def getValueState(self, name, schema):  # noqa: N802
+            return self.values.setdefault(name, Value())
+
+    handle, monitor = Handle(), early_stop.StopMonitor("run", "long", 2, 0.1, False)
+    monitor.init(handle)
+    first = pd.DataFrame({"step": range(1, 400), "eval_loss": np.linspace(3.0, 2.0, 399)})
+    second = pd.DataFrame({"step": [400, 399], "eval_loss": [2.5, 1.9]})    # the last one is a correction
+    assert next(monitor.handleInputRows((7,), iter([first]), None)).iloc[0]["best_step"] == 399
+    row = next(monitor.handleInputRows((7,), iter([second]), None)).iloc[0]
+    assert (row["best_step"], row["best_loss"], row["latest_step"], row["reason"]) == (399, 1.9, 400, "immediate_relative_degradation_threshold")
+    assert handle.values["losses"].calls == 4

@@ -13,6 +13,7 @@ from narralytics.operators import align as A
 from narralytics.operators import overlap_metrics as O
 from narralytics.operators import resample as R
 from narralytics.operators import stats as S
+from narralytics.session import with_once
 
 CONDITIONS = ["single_narrative", "single_joint", "paired_narrative", "paired_joint"]
 SEEDS = [42, 1, 2]
@@ -402,16 +403,22 @@ def _(spark, sf):
 
 # --- paired bootstrap of text metrics --------------------------------------------------------
 
-def system_scores(spark, sf, step: int, phase: int) -> DataFrame:
-    """Reference, BLEU statistics and ROUGE-1 of one system: every ``step``-th word left out."""
-    docs = V.documents(spark, sf).select(F.col("doc_id").alias("sample_id"), V.collapse(F.col("text")).alias("reference_narrative"))
-    both = docs.withColumn("predicted_narrative", V.drop_words(F.col("reference_narrative"), step, phase))
-    return O.bleu_statistics(both).join(
-        O.rouge_n(both, orders=(1,), stemmer=False).select("sample_id", "rouge1_fmeasure"), "sample_id")
+SYSTEMS = {"a": (7, 3), "b": (5, 2)}  # the words each system leaves out: step and phase
+
+
+def system_scores(counts: DataFrame) -> DataFrame:
+    """BLEU statistics and ROUGE-1 of one system from its counts."""
+    return O.bleu_statistics(counts, counted=True).join(
+        O.rouge_n(counts, orders=(1,), stemmer=False, counted=True).select("sample_id", "rouge1_fmeasure"), "sample_id")
 
 
 def paired_systems(spark, sf) -> DataFrame:
-    a, b = system_scores(spark, sf, 7, 3), system_scores(spark, sf, 5, 2)
+    """Reference and two systems, each with every ``step``-th word left out."""
+    docs = V.documents(spark, sf).select(F.col("doc_id").alias("sample_id"), "text")
+    once = with_once(docs, reference_narrative=V.collapse(F.col("text"))).drop("text")
+    both = once.withColumns({f"narrative_{s}": V.drop_words(F.col("reference_narrative"), *cut) for s, cut in SYSTEMS.items()})
+    counts = O.system_counts(both, {s: f"narrative_{s}" for s in SYSTEMS})
+    a, b = (system_scores(counts[s]) for s in SYSTEMS)
     tag = lambda df, t: df.select("sample_id", *[F.col(c).alias(f"{t}_{c}") for c in O.BLEU_STATS], F.col("rouge1_fmeasure").alias(f"rouge1_{t}"))
     return tag(a, "a").join(tag(b, "b"), "sample_id")
 

@@ -6,6 +6,7 @@ import math
 from collections.abc import Iterable, Sequence
 
 import numpy as np
+import pandas as pd
 
 
 def lcs_length(left: list, right: list) -> int:
@@ -21,26 +22,29 @@ def lcs_length(left: list, right: list) -> int:
     return len(left) - row.bit_count()
 
 
-def clipped_counts(codes: np.ndarray, lists: np.ndarray, rows: int, orders: tuple[int, ...]) -> dict[int, np.ndarray]:
-    """Per order a (3, rows) array of clipped matches, hypothesis n-grams and reference n-grams.
+def clipped_counts(codes: np.ndarray, lists: np.ndarray, rows: int, orders: tuple[int, ...], systems: int = 1) -> dict[int, np.ndarray]:
+    """Per order, and per system one after another, rows of clipped matches, hypothesis n-grams and reference n-grams.
 
     ``codes`` are the tokens of all lists one after another, ``lists`` the list each belongs to: lists
-    0..rows-1 are the hypotheses, rows..2*rows-1 their references. An n-gram is numbered by its row, its
-    first n - 1 tokens and its last one, so numbers stay small at any order.
+    0..rows-1 are the hypotheses of the first system and so on, the last ``rows`` lists their references. An n-gram is
+    numbered by its row, its first n - 1 tokens and its last one, so numbers stay small at any order.
     """
     width = int(codes.max()) + 1 if len(codes) else 1
-    number, out = lists % rows if rows else lists, {}
+    side, of_row = np.divmod(lists, max(rows, 1))
+    lengths = np.bincount(lists, minlength=(systems + 1) * rows).reshape(systems + 1, rows)
+    number, out = of_row, {}
     for n in range(1, max(orders) + 1):
         start = np.flatnonzero(lists[:len(lists) - n + 1] == lists[n - 1:]) if len(lists) >= n else np.zeros(0, int)
-        distinct, first, which = np.unique(number[start] * width + codes[start + n - 1], return_index=True, return_inverse=True)
+        which, distinct = pd.factorize(number[start] * width + codes[start + n - 1])
         number = np.zeros(len(codes), dtype=np.int64)
         number[start] = which
         if n in orders:
-            reference = lists[start] >= rows
-            hyp = np.bincount(which[~reference], minlength=len(distinct))
-            ref = np.bincount(which[reference], minlength=len(distinct))
-            of = lists[start][first] % rows
-            out[n] = np.stack([np.bincount(of, c, rows) for c in (np.minimum(hyp, ref), hyp, ref)]).astype(np.int64)
+            size = len(distinct)
+            counts = np.bincount(side[start] * size + which, minlength=(systems + 1) * size).reshape(systems + 1, size)
+            of, total = np.zeros(size, dtype=np.int64), np.maximum(lengths - n + 1, 0)
+            of[which] = of_row[start]
+            out[n] = np.stack([part for s in range(systems) for part in (
+                np.bincount(of, np.minimum(counts[s], counts[-1]), rows).astype(np.int64), total[s], total[-1])])
     return out
 
 

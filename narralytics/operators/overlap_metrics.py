@@ -1,67 +1,84 @@
 """BLEU and ROUGE from clipped n-gram counts.
 
-Everything is counted per row, in one narrow step: the token lists of both texts go to an Arrow kernel that
-numbers the n-grams of a batch of rows at once. No n-gram is ever a row, and no text is shuffled.
+Everything is counted per row, in one narrow step: both texts go to an Arrow kernel that tokenises every distinct
+word of some rows once and numbers their n-grams. No n-gram is ever a row, and no text is shuffled.
 """
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from narralytics.functions import kernels
-from narralytics.functions.plugins import stem_tokens
-from narralytics.functions.text import tokens_13a, tokens_alnum
+from narralytics.functions.words import Cut, Words, make_13a, make_alnum, make_stems, numbered_tokens
+from narralytics.session import stored
 
 ORDERS = (1, 2, 3, 4)
 BLEU_STATS = ["hyp_len", "ref_len"] + [f"match_{n}" for n in ORDERS] + [f"total_{n}" for n in ORDERS]
-KERNEL_ROWS = 512  # rows whose tokens are numbered together
+KERNEL_ROWS = 128  # rows whose tokens are numbered together
 
 
-def _counted(hyp: pa.Array, ref: pa.Array, orders: Sequence[int], lcs: bool) -> list[np.ndarray]:
-    """Columns for one pair of token-list columns: match, hyp, ref per order, then lcs with both lengths."""
-    rows = len(hyp)
-    lengths = [pc.fill_null(pc.list_value_length(x), 0).to_numpy() for x in (hyp, ref)]
-    coded = pa.concat_arrays([hyp.flatten(), ref.flatten()]).dictionary_encode().indices.to_numpy().astype(np.int64)
-    lists = np.repeat(np.arange(2 * rows), np.concatenate(lengths))
-    found = kernels.clipped_counts(coded, lists, rows, tuple(orders)) if orders else {}
-    columns = [part for n in orders for part in found[n]]
+def _counted(tokens: np.ndarray, lists: np.ndarray, rows: int, systems: int, orders: Sequence[int], lcs: bool) -> list[np.ndarray]:
+    """Per system, columns for the numbered tokens of some rows: match, hyp, ref per order, then lcs with both lengths."""
+    found = kernels.clipped_counts(tokens, lists, rows, tuple(orders), systems) if orders else {}
+    columns = [[part for n in orders for part in found[n][3 * s:3 * s + 3]] for s in range(systems)]
     if lcs:
-        ends = np.cumsum(np.concatenate(lengths))
-        of = lambda k: coded[ends[k] - np.concatenate(lengths)[k]:ends[k]].tolist()
-        columns += [np.array([kernels.lcs_length(of(i), of(rows + i)) for i in range(rows)], dtype=np.int64), *lengths]
-    return columns
+        texts = [t.tolist() for t in np.split(tokens, np.searchsorted(lists, np.arange(1, (systems + 1) * rows)))]
+        refs = texts[systems * rows:]
+        for s in range(systems):
+            hyps = texts[s * rows:(s + 1) * rows]
+            columns[s] += [np.array(c, dtype=np.int64) for c in ([kernels.lcs_length(h, r) for h, r in zip(hyps, refs)], [len(h) for h in hyps], [len(r) for r in refs])]
+    return [c for some in columns for c in some]
 
 
-def overlap_counts(df: DataFrame, key: str, hyp: str, ref: str,
-                   parts: dict[str, tuple[Callable[[Column], Column], Sequence[int], bool]]) -> DataFrame:
+def overlap_counts(df: DataFrame, key: str, hyp: str | Mapping[str, str], ref: str,
+                   parts: dict[str, tuple[Callable[[], Cut], Sequence[int], bool]]) -> DataFrame:
     """Per row and part (prefix -> tokeniser, orders, whether to find the longest common subsequence):
-    ``<prefix>match_n``, ``<prefix>hyp_n``, ``<prefix>ref_n``, and ``<prefix>lcs`` with both lengths."""
-    tokens = df.select(key, *[c for p, (tokenise, _, _) in parts.items()
-                              for c in (tokenise(F.col(hyp)).alias(f"{p}_h"), tokenise(F.col(ref)).alias(f"{p}_r"))])
-    ordered = [name for p, (_, orders, lcs) in parts.items() for name in
+    ``<prefix>match_n``, ``<prefix>hyp_n``, ``<prefix>ref_n``, and ``<prefix>lcs`` with both lengths.
+
+    Several systems (prefix -> column) may be counted against one reference; their prefix comes before that of the part.
+    """
+    systems = {"": hyp} if isinstance(hyp, str) else dict(hyp)
+    texts = df.select(key, F.array(*[F.col(c).cast("string") for c in (*systems.values(), ref)]).alias("_t"))
+    ordered = [f"{s}{name}" for p, (_, orders, lcs) in parts.items() for s in systems for name in
                [f"{p}{side}_{n}" for n in orders for side in ("match", "hyp", "ref")] + [f"{p}{x}" for x in ("lcs", "hyp_len", "ref_len") if lcs]]
 
     def run(batches):
+        cuts = {p: make() for p, (make, _, _) in parts.items()}
         for batch in batches:
             for start in range(0, batch.num_rows, KERNEL_ROWS):
                 some = batch.slice(start, KERNEL_ROWS)
-                columns = [c for p, (_, orders, lcs) in parts.items()
-                           for c in _counted(some.column(f"{p}_h"), some.column(f"{p}_r"), orders, lcs)]
+                rows, flat = some.num_rows, some.column("_t").flatten()
+                sides = flat.take(pa.array(np.arange(len(flat)).reshape(rows, -1).T.ravel()))     # a system's texts, then the next one's
+                words, columns = Words(sides), []
+                for p, (_, orders, lcs) in parts.items():
+                    columns += _counted(*numbered_tokens(sides, cuts[p], words), rows, len(systems), orders, lcs)
                 yield pa.RecordBatch.from_arrays([some.column(key), *[pa.array(c.astype(np.int64)) for c in columns]], [key, *ordered])
 
     kind = dict(df.dtypes)[key]
-    return tokens.mapInArrow(run, f"`{key}` {kind}, " + ", ".join(f"{n} long" for n in ordered))
+    return texts.mapInArrow(run, f"`{key}` {kind}, " + ", ".join(f"{n} long" for n in ordered))
+
+
+BLEU_PART, ROUGE_1_PART = {"b_": (make_13a, ORDERS, False)}, {"r_": (make_alnum, (1,), False)}
+
+
+def system_counts(df: DataFrame, hyps: Mapping[str, str], ref: str = "reference_narrative", key: str = "sample_id") -> dict[str, DataFrame]:
+    """The counts of ``bleu_statistics`` and of ``rouge_n`` (order 1, no stemmer) per system (name -> column of its texts).
+
+    The texts are read and tokenised once for all systems; the counts are written once.
+    """
+    counts = stored(overlap_counts(df, key, {f"{s}_": c for s, c in hyps.items()}, ref, BLEU_PART | ROUGE_1_PART), "overlap-counts")
+    names = [c.removeprefix(f"{next(iter(hyps))}_") for c in counts.columns if c.startswith(f"{next(iter(hyps))}_")]
+    return {s: counts.select(key, *[F.col(f"{s}_{n}").alias(n) for n in names]) for s in hyps}
 
 
 def bleu_statistics(df: DataFrame, hyp: str = "predicted_narrative", ref: str = "reference_narrative",
-                    key: str = "sample_id") -> DataFrame:
-    """Ten integers per sample; everything BLEU needs afterwards is a sum of them."""
-    counts = overlap_counts(df, key, hyp, ref, {"b_": (tokens_13a, ORDERS, False)})
+                    key: str = "sample_id", counted: bool = False) -> DataFrame:
+    """Ten integers per sample; everything BLEU needs afterwards is a sum of them. ``counted``: ``df`` holds the counts."""
+    counts = df if counted else overlap_counts(df, key, hyp, ref, BLEU_PART)
     return counts.select(key, *_bleu_columns())
 
 
@@ -108,14 +125,10 @@ def _prf(match: Column, hyp: Column, ref: Column, name: str) -> list[Column]:
     return [precision.alias(f"{name}_precision"), recall.alias(f"{name}_recall"), f.alias(f"{name}_fmeasure")]
 
 
-def rouge_tokens(text: Column, stemmer: bool) -> Column:
-    tokens = tokens_alnum(text)
-    return stem_tokens(tokens) if stemmer else tokens
-
-
 def rouge_n(df: DataFrame, hyp: str = "predicted_narrative", ref: str = "reference_narrative",
-            key: str = "sample_id", orders: Sequence[int] = (1, 2), stemmer: bool = True) -> DataFrame:
-    counts = overlap_counts(df, key, hyp, ref, {"r_": (lambda text: rouge_tokens(text, stemmer), orders, False)})
+            key: str = "sample_id", orders: Sequence[int] = (1, 2), stemmer: bool = True, counted: bool = False) -> DataFrame:
+    """Precision, recall and F per sample and order. ``counted``: ``df`` holds the counts."""
+    counts = df if counted else overlap_counts(df, key, hyp, ref, {"r_": (make_stems if stemmer else make_alnum, orders, False)})
     return counts.select(key, *_rouge_columns(orders))
 
 
@@ -126,14 +139,14 @@ def _rouge_columns(orders: Sequence[int]) -> list[Column]:
 def rouge_l(df: DataFrame, hyp: str = "predicted_narrative", ref: str = "reference_narrative",
             key: str = "sample_id", stemmer: bool = True) -> DataFrame:
     """Longest common subsequence over the whole text; a narrow per-row step without a shuffle."""
-    counts = overlap_counts(df, key, hyp, ref, {"r_": (lambda text: rouge_tokens(text, stemmer), (), True)})
+    counts = overlap_counts(df, key, hyp, ref, {"r_": (make_stems if stemmer else make_alnum, (), True)})
     return counts.select(key, *_prf(F.col("r_lcs"), F.col("r_hyp_len"), F.col("r_ref_len"), "rougeL"))
 
 
 def overlap_metrics(df: DataFrame, key: str = "sample_id", stemmer: bool = True) -> tuple[DataFrame, DataFrame]:
     """Per-sample BLEU/ROUGE table and its long (metric, value) summary, from one pass over the texts."""
     counts = overlap_counts(df, key, "predicted_narrative", "reference_narrative", {
-        "b_": (tokens_13a, ORDERS, False), "r_": (lambda text: rouge_tokens(text, stemmer), (1, 2), True)})
+        "b_": (make_13a, ORDERS, False), "r_": (make_stems if stemmer else make_alnum, (1, 2), True)})
     rouge = [*_rouge_columns((1, 2)), *_prf(F.col("r_lcs"), F.col("r_hyp_len"), F.col("r_ref_len"), "rougeL")]
     per_sample = counts.select(key, *_bleu_columns(), *rouge).withColumn("bleu_sentence", bleu_score(effective_order=True))
     totals = per_sample.agg(

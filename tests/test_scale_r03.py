@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 import math
+import tempfile
 from collections import Counter
 
 import numpy as np
@@ -10,9 +11,12 @@ import pyarrow as pa
 
 from pyspark.sql import functions as F
 
+from narralytics import catalog
 from narralytics.functions import kernels, plugins
 from narralytics.functions import text as X
+from narralytics.functions import words as W
 from narralytics.operators import corpus as C
+from narralytics.operators import overlap_metrics as O
 from narralytics.operators import prep as P
 from narralytics.operators import semantic as M
 from narralytics.operators import topics as T
@@ -171,3 +175,47 @@ def test_a_trigger_reads_and_writes_the_state_of_a_run_once():
     row = next(monitor.handleInputRows((7,), iter([second]), None)).iloc[0]
     assert (row["best_step"], row["best_loss"], row["latest_step"], row["reason"]) == (399, 1.9, 400, "immediate_relative_degradation_threshold")
     assert handle.values["losses"].calls == 4
+
+
+def test_words_have_the_tokens_of_the_whole_text(spark):
+    pieces = ["a", "B7", "7", ".", ",", "-", "-\n", "\n", " ", "  ", "\t", "\x1c", "\u00a0", "'", "!", "$", "&amp;", "&amp;lt;", "&am", "p;", "&quot;", "<skipped>", "\u00e9", "\u0130", "\u212a", "\U0001f600", "_", "/"]
+    rng = np.random.default_rng(3)
+    texts = ["", ".", "x.,5", "1-2,3.", ",.a .,b", "end-<skipped>\nof", *["".join(rng.choice(pieces, rng.integers(1, 40))) for _ in range(3000)]]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string").repartition(8)
+    for cut, column in ((W.make_13a(), X.tokens_13a), (W.make_alnum(), X.tokens_alnum), (W.make_stems(), lambda t: plugins.stem_tokens(X.tokens_alnum(t)))):
+        whole = {r["i"]: r["w"] for r in df.select("i", column(F.col("t")).alias("w")).collect()}
+        for some in (texts, [t for t in texts if "\n" not in t and "\t" not in t]):      # a call with spaces only, too
+            named = {}
+            tokens, of = W.numbered_tokens(pa.array(some), cut)
+            for i, text in enumerate(some):
+                mine, expected = tokens[of == i].tolist(), whole[texts.index(text)]
+                assert len(mine) == len(expected) and all(named.setdefault(n, e) == e for n, e in zip(mine, expected)), text
+            assert len(set(named.values())) == len(named)
+
+
+def test_overlap_counts_tokenise_a_word_once(spark):
+    calls = []
+    tokens, of = W.numbered_tokens(pa.array(["a b. a", None, "b.  a"]), lambda words: calls.extend(words.to_pylist()) or W.cut_13a(words))
+    assert tokens.tolist() == [0, 1, 2, 0, 1, 2, 0] and of.tolist() == [0, 0, 0, 0, 2, 2, 2] and sorted(c for c in calls if c) == ["a", "b."]
+    texts = spark.createDataFrame([(1, "the cat, the cat", "a cat, the"), (2, None, "x"), (None, "x", "x")], "k long, h string, r string")
+    rows = {r["k"]: r for r in O.bleu_statistics(texts, "h", "r", "k").collect()}
+    assert rows[1][1:] == (5, 4, 3, 2, 1, 0, 5, 4, 3, 2) and rows[2]["hyp_len"] == 0 and rows[None]["match_1"] == 1
+
+
+def test_ngrams_are_not_sorted(monkeypatch):
+    monkeypatch.setattr(np, "unique", None)
+    codes, lists = np.array([0, 1, 0, 1, 0, 1, 2]), np.array([0, 0, 0, 0, 1, 1, 1])
+    found = kernels.clipped_counts(codes, lists, 1, (1, 2, 3))
+    assert [found[n].ravel().tolist() for n in (1, 2, 3)] == [[2, 4, 3], [1, 3, 2], [0, 2, 1]]
+    two = kernels.clipped_counts(np.concatenate([codes[:4], [2], codes[4:]]), np.array([0, 0, 0, 0, 1, 2, 2, 2]), 1, (1, 2, 3), 2)
+    assert [two[n].ravel().tolist() for n in (1, 2, 3)] == [[2, 4, 3, 1, 1, 3], [1, 3, 2, 0, 0, 2], [0, 2, 1, 0, 0, 1]]
+
+
+def test_systems_counted_together_equal_each_alone(spark):
+    rows = [(i, f"the cat{i % 3}, the  dog-{i} 3.5", " ".join(["the", f"cat{i % 3}"] * (i % 4)), None if i == 5 else "the dog. <skipped>") for i in range(300)]
+    df = spark.createDataFrame([*rows, rows[0]], "sample_id long, reference_narrative string, x string, y string")
+    counts = O.system_counts(df, {"x": "x", "y": "y"})
+    for system in "xy":
+        assert sorted(map(tuple, O.bleu_statistics(counts[system], counted=True).collect())) == sorted(map(tuple, O.bleu_statistics(df, hyp=system).collect()))
+        alone = O.rouge_n(df, hyp=system, orders=(1,), stemmer=False)
+        assert sorted(map(tuple, O.rouge_n(counts[system], orders=(1,), stemmer=False, counted=True).collect())) == sorted(map(tuple, alone.collect()))

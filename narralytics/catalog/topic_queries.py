@@ -187,8 +187,7 @@ def _(spark, sf):
 def _(spark, sf):
     """Sentence vectors summed per document; dimensions whose total is 0 are left out."""
     encoded = M.encode_sentences(V.documents(spark, sf).select("doc_id", "text"), "doc_id", ["text"])
-    sums = encoded.select("doc_id", F.posexplode("vec").alias("dim", "value")).groupBy("doc_id", "dim").agg(F.sum("value").alias("value"))
-    return sums.where("value <> 0")
+    return M.summed_vectors(encoded, "doc_id", M.HashingEncoder().dim).where("value <> 0")
 
 
 # a token that stands on both sides has its best match there, unless its vector is zero; only the others meet all tokens of the other side

@@ -31,6 +31,17 @@ def encode_sentences(df: DataFrame, key: str, texts: Sequence[str], make_encoder
     return keyed.join(vectors, "_k").drop("_k")
 
 
+def summed_vectors(encoded: DataFrame, key: str, dim: int) -> DataFrame:
+    """(key, dim, value): the vectors of ``encode_sentences`` added up per key and dimension.
+
+    Sentences are dealt by their digest, so a task that added them up there would hold sums for most keys, however many tasks
+    there are. The vectors move to their keys first; a task then holds one row for each of its own keys.
+    """
+    moved = encoded.select(key, "vec").repartition(key)
+    sums = moved.groupBy(key).agg(*[F.sum(F.get("vec", F.lit(i))).alias(f"_{i}") for i in range(dim)])
+    return sums.select(key, F.posexplode(F.array(*[f"_{i}" for i in range(dim)])).alias("dim", "value"))
+
+
 _DTW = StructType([StructField("dtw_distance", DoubleType()), StructField("normalized_dtw_distance", DoubleType())])
 
 

@@ -219,3 +219,21 @@ def test_systems_counted_together_equal_each_alone(spark):
         assert sorted(map(tuple, O.bleu_statistics(counts[system], counted=True).collect())) == sorted(map(tuple, O.bleu_statistics(df, hyp=system).collect()))
         alone = O.rouge_n(df, hyp=system, orders=(1,), stemmer=False)
         assert sorted(map(tuple, O.rouge_n(counts[system], orders=(1,), stemmer=False, counted=True).collect())) == sorted(map(tuple, alone.collect()))
+
+
+def test_vectors_are_summed_where_their_document_is(spark):
+    rows = [(1, "one two. two three! one two."), (2, "one two."), (None, "four."), (None, "four five."), (3, None), (4, "")]
+    encoded = M.encode_sentences(spark.createDataFrame(rows, "k long, text string"), "k", ["text"])
+    sums = M.summed_vectors(encoded, "k", 32)
+    expected = Counter()
+    for key, text in rows:
+        for dim, value in enumerate(plugins.HashingEncoder().encode([text or ""])[0]):
+            expected[key, dim] += value
+    found = {(r["k"], r["dim"]): r["value"] for r in sums.collect()}
+    assert {k: v for k, v in found.items() if v} == {k: v for k, v in expected.items() if v} and {k for k, _ in found} == {1, 2, None}
+    with tempfile.TemporaryDirectory() as folder:
+        spark.createDataFrame([(i, "one two. three!") for i in range(20)], "doc_id long, text string").write.parquet(f"{folder}/documents.parquet")
+        query = catalog.load_all()["encoded_sentences"].run(spark, folder)
+        plan = query._jdf.queryExecution().executedPlan().toString()
+        assert not [line for line in plan.splitlines() if "hashpartitioning(doc_id" in line and "dim#" in line]     # no sums before the move
+        assert query.select("doc_id").distinct().count() == 20

@@ -202,8 +202,12 @@ def test_overlap_counts_tokenise_a_word_once(spark):
     assert rows[1][1:] == (5, 4, 3, 2, 1, 0, 5, 4, 3, 2) and rows[2]["hyp_len"] == 0 and rows[None]["match_1"] == 1
 
 
-def test_ngrams_are_not_sorted(monkeypatch):
-    monkeypatch.setattr(np, "unique", None)
+def test_ngrams_are_numbered_alike_whatever_their_keys():
+    keys = np.array([7, 0, 7, 1 << 40, 3])
+    for bits in (63, 50, 10):
+        which, size = kernels.numbered(keys, bits)
+        assert which.tolist() == [2, 0, 2, 3, 1] and size == 4
+    assert kernels.numbered(np.zeros(0, np.int64))[1] == 0 and kernels.numbered(np.array([1 << 62]))[1] == 1
     codes, lists = np.array([0, 1, 0, 1, 0, 1, 2]), np.array([0, 0, 0, 0, 1, 1, 1])
     found = kernels.clipped_counts(codes, lists, 1, (1, 2, 3))
     assert [found[n].ravel().tolist() for n in (1, 2, 3)] == [[2, 4, 3], [1, 3, 2], [0, 2, 1]]

@@ -37,6 +37,11 @@ class HashingEncoder:
     def encode(self, texts: list[str]) -> np.ndarray:
         return self.slots.vectors(t.lower().split() for t in texts)
 
+    def encode_runs(self, words: list[str], at: np.ndarray, of: np.ndarray, size: int) -> np.ndarray:
+        """Vectors of ``size`` texts that are runs of words: ``words[at]`` one after another, ``of`` the text each belongs to."""
+        slots = np.array([self.slots[w.lower()] for w in words], dtype=np.int64)
+        return self.slots.summed(slots[at], of, size)
+
 
 class CharHashingEncoder:
     """Seeded feature hashing over character trigrams, for single tokens."""
@@ -46,7 +51,15 @@ class CharHashingEncoder:
 
     def encode(self, texts: list[str]) -> np.ndarray:
         padded = [f"^{t.lower()}$" for t in texts]
-        return self.slots.vectors([p[i:i + 3] for i in range(max(1, len(p) - 2))] for p in padded)
+        sizes = np.array([len(p) - 2 for p in padded], dtype=np.int64)
+        if not len(sizes) or not sizes.all():       # an empty text is one feature of two characters
+            return self.slots.vectors([p[i:i + 3] for i in range(max(1, len(p) - 2))] for p in padded)
+        joined = "".join(padded)
+        points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.int64)
+        start = np.arange(int(sizes.sum())) + np.repeat(2 * np.arange(len(sizes)), sizes)
+        codes, first, which = np.unique((points[start] << 42) | (points[start + 1] << 21) | points[start + 2], return_index=True, return_inverse=True)
+        slots = np.array([self.slots[joined[i:i + 3]] for i in start[first].tolist()], dtype=np.int64)
+        return self.slots.summed(slots[which], np.repeat(np.arange(len(sizes)), sizes), len(sizes))
 
 
 class CachedEncoder:

@@ -83,18 +83,35 @@ def make_alnum() -> Cut:
 
 def make_stems() -> Cut:
     stem = lru_cache(maxsize=200_000)(porter.stem)
-    return lambda words: stemmed(cut_alnum(words), stem)
+    return lambda words: stemmed(cut_alnum(words), stem, rows=50_000)
 
 
 def numbered_tokens(texts: pa.Array, cut: Cut, words: Words | None = None) -> tuple[np.ndarray, np.ndarray]:
     """The numbered tokens of all texts, one text after another, and the text of each. ``words`` are those of the texts, if known."""
+    return named_tokens(texts, cut, words)[:2]
+
+
+def named_tokens(texts: pa.Array, cut: Cut, words: Words | None = None) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """``numbered_tokens`` and the token of each number."""
     for mark in JOINED_13A if cut is cut_13a else ():
         if pc.any(pc.match_substring(texts, mark)).as_py():
             texts, words = pc.replace_substring(texts, mark, ""), None
     words = words or Words(texts)
     lists = cut(words.distinct)
     sizes = pc.list_value_length(lists).to_numpy().astype(np.int64)
-    flat = lists.flatten().dictionary_encode().indices.to_numpy().astype(np.int64)
+    coded = lists.flatten().dictionary_encode()
+    flat = coded.indices.to_numpy().astype(np.int64)
     size = sizes[words.at]
     first = (np.cumsum(sizes) - sizes)[words.at] - (np.cumsum(size) - size)
-    return flat[np.repeat(first, size) + np.arange(int(size.sum()))], np.repeat(words.of, size)
+    return flat[np.repeat(first, size) + np.arange(int(size.sum()))], np.repeat(words.of, size), coded.dictionary
+
+
+def sentence_runs(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The sentences of ``text.sentences`` as runs of words: the number of every word that is not empty, the sentence it stands in
+    (0, 1, ... over all texts), and the text of every sentence."""
+    ends = pc.or_(pc.or_(pc.ends_with(words.distinct, "."), pc.ends_with(words.distinct, "!")), pc.ends_with(words.distinct, "?"))
+    kept = pc.not_equal(words.distinct, "").to_numpy(zero_copy_only=False)[words.at]
+    at, of = words.at[kept], words.of[kept]
+    begins = np.ones(len(at), dtype=bool)
+    begins[1:] = ends.to_numpy(zero_copy_only=False)[at[:-1]] | (of[1:] != of[:-1])
+    return at, np.cumsum(begins) - 1, of[begins]

@@ -5,61 +5,94 @@ word of some rows once and numbers their n-grams. No n-gram is ever a row, and n
 """
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from narralytics.functions import kernels
-from narralytics.functions.words import Cut, Words, make_13a, make_alnum, make_stems, numbered_tokens
+from narralytics.functions.words import Cut, Words, make_13a, make_alnum, make_stems, named_tokens
 from narralytics.session import stored
 
 ORDERS = (1, 2, 3, 4)
 BLEU_STATS = ["hyp_len", "ref_len"] + [f"match_{n}" for n in ORDERS] + [f"total_{n}" for n in ORDERS]
-KERNEL_ROWS = 128  # rows whose tokens are numbered together
+KERNEL_ROWS, KERNEL_BYTES = 256, 4_000_000  # most rows whose words are tokenised together, and most bytes of their texts
+COUNTED_ROWS = 128  # rows whose n-grams are numbered together
+
+#: From some texts (all hypotheses, then all references), their words and a function that gives the named tokens of a tokeniser: columns of numbers.
+Scorer = Callable[[pa.Array, Words, Callable[[Cut], tuple[np.ndarray, np.ndarray, pa.Array]]], list[np.ndarray]]
 
 
 def _counted(tokens: np.ndarray, lists: np.ndarray, rows: int, systems: int, orders: Sequence[int], lcs: bool) -> list[np.ndarray]:
     """Per system, columns for the numbered tokens of some rows: match, hyp, ref per order, then lcs with both lengths."""
-    found = kernels.clipped_counts(tokens, lists, rows, tuple(orders), systems) if orders else {}
-    columns = [[part for n in orders for part in found[n][3 * s:3 * s + 3]] for s in range(systems)]
+    columns: list[list[np.ndarray]] = [[] for _ in range(systems)]
+    found = []
+    for start in range(0, rows if orders else 0, COUNTED_ROWS):
+        some = min(COUNTED_ROWS, rows - start)
+        bounds = [np.searchsorted(lists, [s * rows + start, s * rows + start + some]) for s in range(systems + 1)]
+        flat = np.concatenate([tokens[a:b] for a, b in bounds])
+        of = np.concatenate([lists[a:b] - s * (rows - some) - start for s, (a, b) in enumerate(bounds)])
+        found.append(kernels.clipped_counts(flat, of, some, tuple(orders), systems))
+    for s in range(systems):
+        columns[s] += [c for n in orders for c in np.concatenate([f[n][3 * s:3 * s + 3] for f in found], axis=1)]
     if lcs:
-        texts = [t.tolist() for t in np.split(tokens, np.searchsorted(lists, np.arange(1, (systems + 1) * rows)))]
-        refs = texts[systems * rows:]
+        lengths = np.bincount(lists, minlength=(systems + 1) * rows).reshape(systems + 1, rows)
+        first, last = np.searchsorted(lists, np.arange(systems + 1) * rows), np.searchsorted(lists, np.arange(1, systems + 2) * rows)
         for s in range(systems):
-            hyps = texts[s * rows:(s + 1) * rows]
-            columns[s] += [np.array(c, dtype=np.int64) for c in ([kernels.lcs_length(h, r) for h, r in zip(hyps, refs)], [len(h) for h in hyps], [len(r) for r in refs])]
+            two = [np.arange(first[x], last[x]) for x in (s, systems)]
+            of = np.concatenate([lists[two[0]] - s * rows, lists[two[1]] - (systems - 1) * rows])
+            columns[s] += [kernels.lcs_lengths(tokens[np.concatenate(two)], of, rows), lengths[s], lengths[-1]]
     return [c for some in columns for c in some]
 
 
+def _row_slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Runs of rows with at most ``KERNEL_ROWS`` rows and ``KERNEL_BYTES`` bytes of text, one row at least."""
+    lists = batch.column("_t")
+    sizes = pc.fill_null(pc.binary_length(lists.flatten()), 0).to_numpy().astype(np.int64)
+    ends = np.cumsum(sizes.reshape(batch.num_rows, -1).sum(axis=1))
+    start = 0
+    while start < batch.num_rows:
+        before = ends[start - 1] if start else 0
+        rows = max(1, min(KERNEL_ROWS, int(np.searchsorted(ends, before + KERNEL_BYTES, side="right")) - start))
+        yield batch.slice(start, rows)
+        start += rows
+
+
 def overlap_counts(df: DataFrame, key: str, hyp: str | Mapping[str, str], ref: str,
-                   parts: dict[str, tuple[Callable[[], Cut], Sequence[int], bool]]) -> DataFrame:
+                   parts: dict[str, tuple[Callable[[], Cut], Sequence[int], bool]],
+                   scorers: Sequence[tuple[Sequence[str], Callable[[], Scorer]]] = ()) -> DataFrame:
     """Per row and part (prefix -> tokeniser, orders, whether to find the longest common subsequence):
     ``<prefix>match_n``, ``<prefix>hyp_n``, ``<prefix>ref_n``, and ``<prefix>lcs`` with both lengths.
 
     Several systems (prefix -> column) may be counted against one reference; their prefix comes before that of the part.
+    ``scorers`` (names, maker) add columns of doubles for one system, from the same words and tokens.
     """
     systems = {"": hyp} if isinstance(hyp, str) else dict(hyp)
     texts = df.select(key, F.array(*[F.col(c).cast("string") for c in (*systems.values(), ref)]).alias("_t"))
     ordered = [f"{s}{name}" for p, (_, orders, lcs) in parts.items() for s in systems for name in
                [f"{p}{side}_{n}" for n in orders for side in ("match", "hyp", "ref")] + [f"{p}{x}" for x in ("lcs", "hyp_len", "ref_len") if lcs]]
 
+    scores = [n for names, _ in scorers for n in names]
+
     def run(batches):
-        cuts = {p: make() for p, (make, _, _) in parts.items()}
+        cuts, made = {p: make() for p, (make, _, _) in parts.items()}, [make() for _, make in scorers]
         for batch in batches:
-            for start in range(0, batch.num_rows, KERNEL_ROWS):
-                some = batch.slice(start, KERNEL_ROWS)
+            for some in _row_slices(batch):
                 rows, flat = some.num_rows, some.column("_t").flatten()
                 sides = flat.take(pa.array(np.arange(len(flat)).reshape(rows, -1).T.ravel()))     # a system's texts, then the next one's
-                words, columns = Words(sides), []
-                for p, (_, orders, lcs) in parts.items():
-                    columns += _counted(*numbered_tokens(sides, cuts[p], words), rows, len(systems), orders, lcs)
-                yield pa.RecordBatch.from_arrays([some.column(key), *[pa.array(c.astype(np.int64)) for c in columns]], [key, *ordered])
+                words = Words(sides)
+                tokens = lru_cache(maxsize=None)(lambda cut: named_tokens(sides, cut, words))      # noqa: B023
+                counts = [c for p, (_, orders, lcs) in parts.items() for c in _counted(*tokens(cuts[p])[:2], rows, len(systems), orders, lcs)]
+                found = [c for score in made for c in score(sides, words, tokens)]
+                yield pa.RecordBatch.from_arrays([some.column(key), *[pa.array(c.astype(np.int64)) for c in counts], *[pa.array(c.astype(float)) for c in found]],
+                                                 [key, *ordered, *scores])
 
     kind = dict(df.dtypes)[key]
-    return texts.mapInArrow(run, f"`{key}` {kind}, " + ", ".join(f"{n} long" for n in ordered))
+    return texts.mapInArrow(run, f"`{key}` {kind}, " + ", ".join([*[f"{n} long" for n in ordered], *[f"{n} double" for n in scores]]))
 
 
 BLEU_PART, ROUGE_1_PART = {"b_": (make_13a, ORDERS, False)}, {"r_": (make_alnum, (1,), False)}
@@ -143,10 +176,13 @@ def rouge_l(df: DataFrame, hyp: str = "predicted_narrative", ref: str = "referen
     return counts.select(key, *_prf(F.col("r_lcs"), F.col("r_hyp_len"), F.col("r_ref_len"), "rougeL"))
 
 
-def overlap_metrics(df: DataFrame, key: str = "sample_id", stemmer: bool = True) -> tuple[DataFrame, DataFrame]:
-    """Per-sample BLEU/ROUGE table and its long (metric, value) summary, from one pass over the texts."""
-    counts = overlap_counts(df, key, "predicted_narrative", "reference_narrative", {
-        "b_": (make_13a, ORDERS, False), "r_": (make_stems if stemmer else make_alnum, (1, 2), True)})
+def overlap_parts(stemmer: bool = True) -> dict[str, tuple[Callable[[], Cut], Sequence[int], bool]]:
+    return BLEU_PART | {"r_": (make_stems if stemmer else make_alnum, (1, 2), True)}
+
+
+def overlap_metrics(df: DataFrame, key: str = "sample_id", stemmer: bool = True, counted: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Per-sample BLEU/ROUGE table and its long (metric, value) summary, from one pass over the texts. ``counted``: ``df`` holds the counts."""
+    counts = df if counted else overlap_counts(df, key, "predicted_narrative", "reference_narrative", overlap_parts(stemmer))
     rouge = [*_rouge_columns((1, 2)), *_prf(F.col("r_lcs"), F.col("r_hyp_len"), F.col("r_ref_len"), "rougeL")]
     per_sample = counts.select(key, *_bleu_columns(), *rouge).withColumn("bleu_sentence", bleu_score(effective_order=True))
     totals = per_sample.agg(

@@ -17,7 +17,7 @@ from narralytics.session import spread, stored
 
 @dataclass
 class Evaluation:
-    """Outputs of a run; only the alignment is computed before a sink asks."""
+    """Outputs of a run; only the alignment and the numbers per sample that texts need are computed before a sink asks."""
 
     alignment: A.Alignment
     per_sample: DataFrame
@@ -47,19 +47,21 @@ def failure_count(pred: DataFrame) -> DataFrame:
 def evaluate(gold: DataFrame, pred: DataFrame, labels: bool = True, overlap: bool = True, semantic: bool = True,
              stemmer: bool = True, extra_summaries: Sequence[DataFrame] = (), check: bool = True) -> Evaluation:
     """Metrics of predictions against gold rows. The aligned table feeds every branch; it is written once to the
-    shared scratch folder, so no branch aligns again and no executor has to keep it."""
+    shared scratch folder, so no branch aligns again and no executor has to keep it. The texts are cut into words once for all
+    metrics of texts, whose numbers per sample are written once as well."""
     parts = A.align(gold, pred, check=check)
     aligned = stored(spread(parts.aligned, "sample_id"), "aligned")
     tables, summaries = [], [row_counts(gold, pred)]
     if "parse_success" in pred.columns:
         summaries.append(failure_count(pred))
     cells = L.cell_counts(aligned)
+    scores = stored(M.text_scores(aligned, overlap, semantic, stemmer), "text-scores") if overlap or semantic else None
     if overlap:
-        per_sample, summary = O.overlap_metrics(aligned, stemmer=stemmer)
+        per_sample, summary = O.overlap_metrics(scores, stemmer=stemmer, counted=True)
         tables.append(per_sample)
         summaries.append(summary)
     if semantic:
-        scored = M.sentence_dtw(aligned).join(M.greedy_match(aligned), "sample_id")
+        scored = M.sentence_dtw(scores, counted=True).join(M.greedy_match(scores, counted=True), "sample_id")
         tables.append(scored)
         summaries.append(M.semantic_summary(scored))
     if labels:

@@ -60,15 +60,18 @@ def predicted_label(doc_id: Column) -> Column:
 
 
 def pred(spark: SparkSession, sf: str, step: int = 7, phase: int = 3) -> DataFrame:
-    docs = documents(spark, sf).select("doc_id", "text").join(table(spark, sf, "labels"), "doc_id", "left")
-    from_docs = docs.select(
+    """Predictions for documents and turns. Texts meet their labels by sample id, as they later meet gold rows: they move and are sorted once."""
+    from_docs = documents(spark, sf).select(
         F.col("doc_id").alias("sample_id"), drop_words(collapse(F.col("text")), step, phase).alias("predicted_narrative"),
-        predicted_label(F.col("doc_id")).alias("predicted_emotion_label"))
+        F.lit("").alias("_turn_label"), F.lit(True).alias("_document"))
     turns = table(spark, sf, "conversations").select(
         (F.col("conv_id") * 1000 + F.col("turn") + CONVERSATION_OFFSET).alias("sample_id"),
         collapse(F.col("text")).alias("predicted_narrative"),
-        F.when(F.col("role") == "user", F.lit("Neutral")).otherwise(F.lit("Joy")).alias("predicted_emotion_label"))
-    return from_docs.unionByName(turns)
+        F.when(F.col("role") == "user", F.lit("Neutral")).otherwise(F.lit("Joy")).alias("_turn_label"), F.lit(False).alias("_document"))
+    both = from_docs.unionByName(turns).alias("t").join(
+        table(spark, sf, "labels").alias("l"), (F.col("t.sample_id") == F.col("l.doc_id")) & F.col("t._document"), "left")
+    label = F.when(F.col("t._document"), predicted_label(F.col("t.sample_id"))).otherwise(F.col("t._turn_label"))
+    return both.select("t.sample_id", "t.predicted_narrative", label.alias("predicted_emotion_label"))
 
 
 def aligned(spark: SparkSession, sf: str) -> DataFrame:

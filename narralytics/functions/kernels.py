@@ -15,16 +15,19 @@ def lcs_length(left: list, right: list) -> int:
         masks[token] = masks.get(token, 0) | (1 << position)
     full = (1 << len(left)) - 1
     row = full
-    for token in right:
-        match = row & masks.get(token, 0)
-        row = ((row + match) | (row - match)) & full
+    for start in range(0, len(right), 64):      # carries above the row are cut off now and then
+        for token in right[start:start + 64]:
+            if token in masks:
+                match = row & masks[token]
+                row = (row + match) | (row ^ match)
+        row &= full
     return len(left) - row.bit_count()
 
 
 def lcs_lengths(codes: np.ndarray, lists: np.ndarray, rows: int, cells: int = 4_000_000) -> np.ndarray:
     """``lcs_length`` of list ``i`` and list ``rows + i``, for every i; ``codes`` are the tokens of all lists one after another.
 
-    Rows of like size walk together: their bits stand side by side in one integer, with a spare bit between for the carry.
+    Rows of like size walk together: their bits stand side by side in one integer, with spare bits between for the carries.
     """
     lengths = np.bincount(lists, minlength=2 * rows)
     ends = np.cumsum(lengths)
@@ -36,7 +39,7 @@ def lcs_lengths(codes: np.ndarray, lists: np.ndarray, rows: int, cells: int = 4_
         while end < len(order):
             i, j = sizes[order[end]]
             wide, high = max(n, i), max(m, j)
-            if end > start and ((tokens + i + j) * (wide // 8 + 1) > 4 * cells or (end - start + 1) * high > cells
+            if end > start and ((tokens + i + j) * (wide // 8 + 2) > 4 * cells or (end - start + 1) * high > cells
                                 or wide > 1.25 * sizes[order[start]][0] + 16 or high > 1.25 * sizes[order[start]][1] + 16):
                 break
             n, m, tokens, end = wide, high, tokens + i + j, end + 1
@@ -49,17 +52,19 @@ def lcs_lengths(codes: np.ndarray, lists: np.ndarray, rows: int, cells: int = 4_
         row = [np.repeat(np.arange(len(some)), [len(x) for x in side]) for side in parts]
         flat = np.concatenate([*parts[0], *parts[1]])
         which, size = numbered((np.concatenate(row) << int(flat.max()).bit_length()) | flat)
-        width = n // 8 + 1
+        width = n // 8 + 2                                         # eight spare bits at least: each step may leave one more
         masks = np.zeros((size + 1) * width, dtype=np.uint8)      # of every (row, token); the last one has no bit
         np.bitwise_or.at(masks, which[:len(row[0])] * width + (place[0] >> 3), np.left_shift(1, place[0] & 7).astype(np.uint8))
         steps = np.full((m, len(some)), size)
         steps[place[1], row[1]] = which[len(row[0]):]
         masks = masks.reshape(-1, width)
-        full = int.from_bytes((b"\xff" * (width - 1) + b"\x7f") * len(some), "little")
+        full = int.from_bytes((b"\xff" * (width - 1) + b"\0") * len(some), "little")
         bits = full
-        for step in steps:
-            match = bits & int.from_bytes(masks[step].tobytes(), "little")
-            bits = ((bits + match) | (bits ^ match)) & full
+        for begin in range(0, m, 8):
+            for step in steps[begin:begin + 8]:
+                match = bits & int.from_bytes(masks[step].tobytes(), "little")
+                bits = (bits + match) | (bits ^ match)
+            bits &= full
         left = np.frombuffer((bits ^ full).to_bytes(width * len(some), "little"), dtype=np.uint8).reshape(len(some), width)
         out[some] = np.bitwise_count(left).sum(axis=1)
     return out
@@ -173,24 +178,22 @@ def unit_rows(matrix: np.ndarray) -> np.ndarray:
 
 def dtw_cost(cost: np.ndarray) -> float:
     """Dynamic-time-warping total."""
-    return float(_dtw_rows(cost, np.concatenate([[0.0], np.full(cost.shape[1], np.inf)]))[-1])
+    return float(_dtw_rows(np.cumsum(cost, axis=1), np.concatenate([[0.0], np.full(cost.shape[1], np.inf)]))[-1])
 
 
-def _dtw_rows(cost: np.ndarray, above: np.ndarray) -> np.ndarray:
+def _dtw_rows(along: np.ndarray, above: np.ndarray) -> np.ndarray:
     """The totals in the last of some rows of a cost grid, from those in the row above them (a corner first).
 
-    Steps to the right add up costs of the row, so the total of a cell is the row's costs up to it plus the least of what
-    the cells to its left need without them.
+    ``along`` are the costs added up along each row. Steps to the right add them, so the total of a cell is the row's costs up to
+    it plus the least of what the cells to its left need without them.
     """
-    along = np.zeros((len(cost), cost.shape[1] + 1))
-    np.cumsum(cost, axis=1, out=along[:, 1:])
-    last, now, least = above.copy(), np.full(len(above), np.inf), np.empty(cost.shape[1])
+    last, now, least = above.copy(), np.full(len(above), np.inf), np.empty(along.shape[1])
     for costs in along:
         np.minimum(last[1:], last[:-1], out=least)
-        np.subtract(least, costs[:-1], out=least)
+        np.subtract(least[1:], costs[:-1], out=least[1:])
         np.minimum.accumulate(least, out=least)
-        np.add(least, costs[1:], out=now[1:])
-        now[0] = np.inf
+        np.add(least, costs, out=now[1:])
+        last[0] = np.inf
         last, now = now, last
     return last
 
@@ -199,8 +202,9 @@ def _dtw_pair(x: np.ndarray, y: np.ndarray, cells: int = 50_000) -> float:
     """``dtw_cost(1 - x @ y.T)`` with some ``cells`` cells of the grid in memory, one row of it at least."""
     x, y = (x, y) if len(x) <= len(y) else (y, x)
     row, rows = np.concatenate([[0.0], np.full(len(y), np.inf)]), max(1, cells // len(y))
+    passed, steps = np.cumsum(y, axis=0).T, np.arange(1.0, len(y) + 1)
     for start in range(0, len(x), rows):
-        row = _dtw_rows(1.0 - x[start:start + rows] @ y.T, row)
+        row = _dtw_rows(steps - x[start:start + rows] @ passed, row)
     return float(row[-1])
 
 
@@ -268,6 +272,9 @@ class KnownSlots(dict):
         super().__init__()
         self.dim, self.seed, self.limit = dim, seed, limit
 
+    def __reduce__(self):
+        return KnownSlots, (self.dim, self.seed, self.limit)     # a copy elsewhere finds the features again
+
     def __missing__(self, feature: str) -> int:
         if len(self) >= self.limit:
             self.clear()
@@ -285,8 +292,7 @@ class KnownSlots(dict):
 
     def summed(self, slots: np.ndarray, of: np.ndarray, size: int) -> np.ndarray:
         """The slots added up by the row each belongs to."""
-        counts = np.bincount(of * (2 * self.dim) + slots, minlength=size * 2 * self.dim).reshape(size, self.dim, 2)
-        return (counts[:, :, 0] - counts[:, :, 1]).astype(float)
+        return np.bincount(of * self.dim + (slots >> 1), 1.0 - 2 * (slots & 1), size * self.dim).reshape(size, self.dim)
 
 
 def hashed_vector(features: list[str], dim: int, seed: int) -> np.ndarray:

@@ -28,18 +28,30 @@ class Encoder(Protocol):
     def encode(self, texts: list[str]) -> np.ndarray: ...
 
 
+@lru_cache(maxsize=8)
+def known_slots(dim: int, seed: int) -> kernels.KnownSlots:
+    """One table per process, so the tasks that a worker runs one after another share what they know."""
+    return kernels.KnownSlots(dim, seed)
+
+
+def lowered(texts: list[str]) -> list[str]:
+    """Every text in lower case. They are lowered as the lines of one text, if none has a line end."""
+    lines = "\n".join(texts).lower().split("\n")
+    return lines if len(lines) == len(texts) else [t.lower() for t in texts]
+
+
 class HashingEncoder:
     """Seeded feature hashing over lower-cased words."""
 
     def __init__(self, dim: int = 32, seed: int = 7):
-        self.dim, self.seed, self.slots = dim, seed, kernels.KnownSlots(dim, seed)
+        self.dim, self.seed, self.slots = dim, seed, known_slots(dim, seed)
 
     def encode(self, texts: list[str]) -> np.ndarray:
         return self.slots.vectors(t.lower().split() for t in texts)
 
     def encode_runs(self, words: list[str], at: np.ndarray, of: np.ndarray, size: int) -> np.ndarray:
         """Vectors of ``size`` texts that are runs of words: ``words[at]`` one after another, ``of`` the text each belongs to."""
-        slots = np.array([self.slots[w.lower()] for w in words], dtype=np.int64)
+        slots = np.array([self.slots[w] for w in lowered(words)], dtype=np.int64)
         return self.slots.summed(slots[at], of, size)
 
 
@@ -47,19 +59,27 @@ class CharHashingEncoder:
     """Seeded feature hashing over character trigrams, for single tokens."""
 
     def __init__(self, dim: int = 32, seed: int = 11):
-        self.dim, self.seed, self.slots = dim, seed, kernels.KnownSlots(dim, seed)
+        self.dim, self.seed, self.slots = dim, seed, known_slots(dim, seed)
 
     def encode(self, texts: list[str]) -> np.ndarray:
-        padded = [f"^{t.lower()}$" for t in texts]
-        sizes = np.array([len(p) - 2 for p in padded], dtype=np.int64)
+        texts = lowered(texts)
+        sizes = np.array([len(t) for t in texts], dtype=np.int64)
         if not len(sizes) or not sizes.all():       # an empty text is one feature of two characters
+            padded = [f"^{t}$" for t in texts]
             return self.slots.vectors([p[i:i + 3] for i in range(max(1, len(p) - 2))] for p in padded)
-        joined = "".join(padded)
+        joined = f"^{'$^'.join(texts)}$"
         points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.int64)
         start = np.arange(int(sizes.sum())) + np.repeat(2 * np.arange(len(sizes)), sizes)
-        codes, first, which = np.unique((points[start] << 42) | (points[start + 1] << 21) | points[start + 2], return_index=True, return_inverse=True)
-        slots = np.array([self.slots[joined[i:i + 3]] for i in start[first].tolist()], dtype=np.int64)
-        return self.slots.summed(slots[which], np.repeat(np.arange(len(sizes)), sizes), len(sizes))
+        bits = int(points.max()).bit_length()
+        codes = (points[start] << 2 * bits) | (points[start + 1] << bits) | points[start + 2]
+        if bits > 7:
+            codes = np.unique(codes, return_inverse=True)[1]
+        place = np.empty(int(codes.max()) + 1, dtype=np.int64)
+        place[codes] = start                                 # one place where each feature stands
+        seen = np.zeros(len(place), dtype=bool)
+        seen[codes] = True
+        place[seen] = [self.slots[joined[i:i + 3]] for i in place[seen].tolist()]
+        return self.slots.summed(place[codes], np.repeat(np.arange(len(sizes)), sizes), len(sizes))
 
 
 class CachedEncoder:
@@ -98,12 +118,17 @@ def encode_column(make_encoder: Callable[[], Encoder]) -> Callable[[Column], Col
     return run
 
 
+def strings(values: pa.Array) -> list[str]:
+    """An array of strings as a list; many times faster than ``to_pylist``, which goes by scalars."""
+    return values.to_numpy(zero_copy_only=False).tolist()
+
+
 def stemmed(lists: pa.ListArray, stem: Callable[[str], str], rows: int = 512) -> pa.ListArray:
     """The lists with every token stemmed. Only the distinct tokens of a few rows are Python strings at a time."""
     values = []
     for start in range(0, len(lists), rows):
         coded = lists.slice(start, rows).flatten().dictionary_encode()
-        values.append(pa.array([stem(t) for t in coded.dictionary.to_pylist()], pa.string()).take(coded.indices))
+        values.append(pa.array([stem(t) for t in strings(coded.dictionary)], pa.string()).take(coded.indices))
     ends = np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(), dtype=np.int32)
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.concat_arrays([pa.array([], pa.string()), *values]), mask=lists.is_null())
 

@@ -14,7 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 from narralytics.functions import porter
-from narralytics.functions.plugins import stemmed
+from narralytics.functions.plugins import stemmed, strings
 
 OTHER_SPACE = r"[\t-\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 JOINED_13A = ("<skipped>", "-\n")
@@ -64,7 +64,7 @@ def word_13a(word: str) -> list[str]:
 def cut_13a(words: pa.Array) -> pa.ListArray:
     ruled = pc.match_substring_regex(words, _RULES_13A)
     lists = pa.concat_arrays([_found(words.filter(pc.invert(ruled)), _APART_13A),
-                              pa.array([word_13a(w) for w in words.filter(ruled).to_pylist()], pa.list_(pa.string()))])
+                              pa.array([word_13a(w) for w in strings(words.filter(ruled))], pa.list_(pa.string()))])
     place = np.argsort(ruled.to_numpy(zero_copy_only=False), kind="stable")     # the words as they stand in ``lists``
     return lists.take(pa.array(np.argsort(place, kind="stable")))
 
@@ -81,9 +81,11 @@ def make_alnum() -> Cut:
     return cut_alnum
 
 
+known_stem = lru_cache(maxsize=200_000)(porter.stem)    # one table per process, so tasks of a worker share it
+
+
 def make_stems() -> Cut:
-    stem = lru_cache(maxsize=200_000)(porter.stem)
-    return lambda words: stemmed(cut_alnum(words), stem, rows=50_000)
+    return lambda words: stemmed(cut_alnum(words), known_stem, rows=50_000)
 
 
 def numbered_tokens(texts: pa.Array, cut: Cut, words: Words | None = None) -> tuple[np.ndarray, np.ndarray]:

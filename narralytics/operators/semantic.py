@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from narralytics.functions import kernels
-from narralytics.functions.plugins import CachedEncoder, CharHashingEncoder, Encoder, HashingEncoder, encode_column
+from narralytics.functions.plugins import CachedEncoder, CharHashingEncoder, Encoder, HashingEncoder, encode_column, strings
 from narralytics.functions.text import sentences, tokens_13a
 from narralytics.functions.words import Words, cut_13a, sentence_runs
 from narralytics.operators.overlap_metrics import Scorer, overlap_counts, overlap_parts
@@ -101,7 +101,7 @@ def sentence_scorer(make_encoder: Callable[[], Encoder] = HashingEncoder) -> tup
         def score(texts, words: Words, tokens) -> list[np.ndarray]:
             rows = len(texts) // 2
             at, sentence, text = sentence_runs(words)
-            names = words.distinct.to_pylist()
+            names = strings(words.distinct)
             if hasattr(encoder, "encode_runs"):
                 vectors = encoder.encode_runs(names, at, sentence, len(text))
             else:
@@ -182,7 +182,7 @@ def token_scorer(make_encoder: Callable[[], Encoder] = CharHashingEncoder) -> tu
             codes, lists, names = tokens(cut_13a)
             if not len(codes):
                 return [np.full(rows, np.nan)] * 3
-            units = kernels.unit_rows(encoder.encode(names.to_pylist()))
+            units = kernels.unit_rows(encoder.encode(strings(names)))
             return [*_matched(units, *kernels.side_counts(codes, lists, rows), rows)]
 
         return score

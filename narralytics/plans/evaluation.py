@@ -12,7 +12,7 @@ from narralytics.operators import label_metrics as L
 from narralytics.operators import overlap_metrics as O
 from narralytics.operators import runs as R
 from narralytics.operators import semantic as M
-from narralytics.session import spread, stored
+from narralytics.session import SMALL_GROUPS, small_splits, spread, stored
 
 
 @dataclass
@@ -50,12 +50,14 @@ def evaluate(gold: DataFrame, pred: DataFrame, labels: bool = True, overlap: boo
     shared scratch folder, so no branch aligns again and no executor has to keep it. The texts are cut into words once for all
     metrics of texts, whose numbers per sample are written once as well."""
     parts = A.align(gold, pred, check=check)
-    aligned = stored(spread(parts.aligned, "sample_id"), "aligned")
+    aligned = stored(spread(parts.aligned, "sample_id"), "aligned", **SMALL_GROUPS)
     tables, summaries = [], [row_counts(gold, pred)]
     if "parse_success" in pred.columns:
         summaries.append(failure_count(pred))
     cells = L.cell_counts(aligned)
-    scores = stored(M.text_scores(aligned, overlap, semantic, stemmer), "text-scores") if overlap or semantic else None
+    if overlap or semantic:
+        with small_splits(gold.sparkSession):
+            scores = stored(M.text_scores(aligned, overlap, semantic, stemmer), "text-scores")
     if overlap:
         per_sample, summary = O.overlap_metrics(scores, stemmer=stemmer, counted=True)
         tables.append(per_sample)

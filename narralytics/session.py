@@ -4,6 +4,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -55,13 +57,32 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, **options: str | int) -> DataFrame:
     """Write once to the shared scratch folder and read back; later actions never run ``df`` again."""
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+SMALL_GROUPS = {"parquet.block.size": 8 << 20}  # for tables that are read in small splits: a row group is never divided
+
+
+@contextmanager
+def small_splits(spark: SparkSession, size: int = 8 << 20) -> Iterator[None]:
+    """What is run inside reads files in splits of at most ``size`` bytes.
+
+    For steps whose cost is CPU, not bytes: with larger splits a few long tasks would end long after the others.
+    """
+    key = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(key)
+    if spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(before) > size:
+        spark.conf.set(key, size)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 class Scratch:
     """Tables of one run in the shared folder, each deleted as soon as nothing reads it any more."""
 
